@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WORDS = 10
@@ -250,7 +250,7 @@ def _matcher(shared, words: int):
     return match
 
 
-def _pairs(flat: F.Column) -> F.Column:
+def _pairs(flat: Column) -> Column:
     """(start, end) structs of a flat list."""
     pair = lambda i: F.struct(flat[i].alias("start"), flat[i + 1].alias("end"))
     at = F.filter(F.sequence(F.lit(0), F.size(flat)), lambda i: (i % 2 == 0) & (i < F.size(flat)))

@@ -5,15 +5,46 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, secrets, simhash, toxicity
+from . import bpe, decontaminate, fuzzyhash, licences, quality, secrets, simhash, tokenfiles, toxicity, warc
 from .common import table
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write(table(spark, sf_dir, "pages"))
+    return warc.read(index, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    listed = F.transform("licences", lambda x: F.concat_ws(":", x["line"], x["licence"]))
+    return found.select(
+        "doc_id", F.size("licences").cast("long").alias("n_licences"), F.array_join(listed, ",").alias("licences"),
+        F.coalesce(F.round(F.array_max("licences.dice"), 6), F.lit(0.0)).alias("best_dice"))
+
+
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    folder = tokenfiles.write(docs)
+    got = tokenfiles.read(tokenfiles.lookup(docs.select("doc_id"), folder), folder)
+    return got.select("doc_id", "start", F.col("n").alias("n_tokens"), F.crc32("ids").alias("ids_crc32"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return bpe.digests(bpe.tokenize(docs))
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "n_chars")
+    machine = quality.train(docs, table(spark, sf_dir, "labels"))
+    return quality.score(docs, machine).select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
+
+
+def op6_fuzzy_hash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fuzzyhash.edit_study(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     m = decontaminate.matches(docs, table(spark, sf_dir, "benchmark"))
@@ -47,6 +78,23 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
-QUERIES = {f.__name__: f for f in (op4_bpe, op7_decontaminate, op8_secrets, op9_simhash, op10_toxicity)}
-
-ORACLES: dict[str, str] = {}
+QUERIES = {f.__name__: f for f in (
+    op1_warc, op2_licences, op3_token_files, op4_bpe, op5_quality, op6_fuzzy_hash, op7_decontaminate, op8_secrets,
+    op9_simhash, op10_toxicity)}
+
+#: Base32 of a SHA-1: five hex digits at a time are four letters.
+_BASE32 = """list_reduce(list_transform(range(0, 8), lambda i: list_reduce(list_transform([15, 10, 5, 0],
+  lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(sha, CAST(1 + 5 * i AS INTEGER), 5) AS BIGINT) >> s) & 31 AS INTEGER), 1)),
+  lambda a, b: a || b)), lambda a, b: a || b)"""
+
+#: Queries that SQL can express; the others are held against brute force in tests/llm.
+ORACLES: dict[str, str] = {
+    "op1_warc": f"""
+WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha1(coalesce(html, '')) AS sha FROM pages),
+f AS (SELECT *, min(page_id) OVER (PARTITION BY sha) AS first FROM p)
+SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+  CASE WHEN page_id <> first THEN first END AS refers_to
+FROM f""",
+    "op2_licences": licences.oracle(),
+}

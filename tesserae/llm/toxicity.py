@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import bounded_labels, crc32_mod
@@ -151,7 +151,7 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def held_out() -> F.Column:
+def held_out() -> Column:
     return F.coalesce(crc32_mod("doc_id", FOLDS) == FOLD, F.lit(False))
 
 
