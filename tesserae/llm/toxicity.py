@@ -21,7 +21,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_labels, crc32_mod
+from .common import bounded_labels, crc32_mod, stored
 
 BITS = 20
 ORDERS = (3, 4, 5, 6)
@@ -73,64 +73,81 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, steps: int = 120, l2: float = 1e-3) -> Model:
-    """Fit on sets of buckets; without both classes, the model is the smoothed base rate."""
-    size, y = 1 << BITS, np.asarray(y, np.float64)
-    weights = np.zeros(size, np.float32)
+def chosen_buckets(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) -> tuple[np.ndarray, np.ndarray]:
+    """(mask, ratio): which n-grams are frequent and telling enough, and their log-count ratios."""
+    ratio = np.log((pos + 1) / (n_pos + 2)) - np.log((neg + 1) / (n_neg + 2))
+    return (pos + neg >= MIN_DOCS) & (np.abs(ratio) >= MIN_RATIO), ratio
+
+
+def fit(rows: list[np.ndarray], y: np.ndarray, buckets: np.ndarray, ratio: np.ndarray, steps: int = 120, l2: float = 1e-3) -> Model:
+    """Fit on sets of chosen ``buckets`` (ascending) with their ratios.
+
+    Without both classes or without chosen buckets, the model is the smoothed base rate.
+    """
+    weights, y = np.zeros(1 << BITS, np.float32), np.asarray(y, np.float64)
     base = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else -2.0
-    if not len(y) or y.min() == y.max():
+    if not len(y) or y.min() == y.max() or not len(buckets):
         return Model(weights, base)
-    pos, neg = np.zeros(size, np.int32), np.zeros(size, np.int32)
-    for x, t in zip(rows, y):
-        (pos if t else neg)[x] += 1
-    ratio = np.log((pos + 1) / (y.sum() + 2)) - np.log((neg + 1) / (len(y) - y.sum() + 2))
-    kept = np.flatnonzero((pos + neg >= MIN_DOCS) & (np.abs(ratio) >= MIN_RATIO))
-    if not len(kept):
-        return Model(weights, base)
-    place = np.full(size, -1, np.int32)
-    place[kept] = np.arange(len(kept))
-    cols = [p[p >= 0] for p in (place[x] for x in rows)]
+    cols = [np.searchsorted(buckets, x) for x in rows]
     doc = np.repeat(np.arange(len(rows)), [len(c) for c in cols])
     col = np.concatenate(cols)
-    scale = ratio[kept]
-    w, b = np.zeros(len(kept)), base
+    w, b = np.zeros(len(buckets)), base
     sums = lambda v: np.bincount(doc, v[col], minlength=len(rows))
     mean, var, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for t in range(1, steps + 1):  # Adam on the whole sample
-        p = 1 / (1 + np.exp(-np.clip(sums(w * scale) + b, -30, 30)))
+        p = 1 / (1 + np.exp(-np.clip(sums(w * ratio) + b, -30, 30)))
         err = (p - y) / len(y)
-        g = np.bincount(col, err[doc], minlength=len(kept)) * scale + l2 * w / len(y)
+        g = np.bincount(col, err[doc], minlength=len(buckets)) * ratio + l2 * w / len(y)
         gb = err.sum()
         mean, var = 0.9 * mean + 0.1 * g, 0.999 * var + 0.001 * g * g
         mb, vb = 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb * gb
         c1, c2 = 1 - 0.9**t, 1 - 0.999**t
         w -= 0.05 * (mean / c1) / (np.sqrt(var / c2) + 1e-8)
-        b -= 0.05 * (mb / c1) / (vb / c2 + 1e-16) ** 0.5
-    weights[kept] = (w * scale).astype(np.float32)
+        b -= 0.05 * (mb / c1) / ((vb / c2) ** 0.5 + 1e-8)
+    weights[buckets] = (w * ratio).astype(np.float32)
     return Model(weights, float(b))
 
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Model:
     """Fit on at most ``max_train`` labelled documents outside the held-out fold.
 
-    The labels' side has at most ``max_train`` rows, which bounds the broadcast;
-    what comes back is their hashed features. A null text is an empty one.
+    The labels' side has at most ``max_train`` rows, which bounds the broadcast.
+    N-grams are counted where the texts are and summed by Spark; the driver
+    gets the chosen ones (at most 2**BITS) and, in a second pass over the
+    sample, which of them each document has. A null text is an empty one.
     """
     chosen = bounded_labels(labels, "toxic", FOLD, FOLDS, max_train)
+    sample = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text").limit(max_train), "sample")
+    sizes = sample.agg(F.sum("y").alias("pos"), F.count("*").alias("all")).head()
+    n_pos, n_all = int(sizes["pos"] or 0), int(sizes["all"])
 
-    def hashed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        seen = np.zeros((2, 1 << BITS), np.int32)
+        for pdf in batches:
+            for y, text in zip(pdf["y"], pdf["text"], strict=True):
+                seen[int(y > 0), features(text)] += 1
+        have = np.flatnonzero(seen.any(0))
+        for at in range(0, len(have), 1 << 17):
+            part = have[at : at + (1 << 17)]
+            yield pd.DataFrame({"bucket": part, "neg": seen[0, part], "pos": seen[1, part]})
+
+    spread = sample.repartition(sample.sparkSession.sparkContext.defaultParallelism)
+    counts = spread.mapInPandas(count, "bucket int, neg int, pos int").groupBy("bucket").agg(
+        F.sum("neg").alias("neg"), F.sum("pos").alias("pos")).where(F.col("neg") + F.col("pos") >= MIN_DOCS)
+    # the same test as chosen_buckets makes, so that only what may stay comes here
+    ratio = F.log((F.col("pos") + 1) / (n_pos + 2.0)) - F.log((F.col("neg") + 1) / (n_all - n_pos + 2.0))
+    got = counts.where(F.abs(ratio) >= MIN_RATIO).orderBy("bucket").toArrow()
+    buckets = got.column("bucket").to_numpy().astype(np.int32)
+    mask, ratios = chosen_buckets(got.column("pos").to_numpy(), got.column("neg").to_numpy(), n_pos, n_all - n_pos)
+    buckets, ratios = buckets[mask], ratios[mask]
+    shared = sample.sparkSession.sparkContext.broadcast(buckets)
+
+    def chosen_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"y": pdf["y"], "x": [features(t).astype(np.int32).tobytes() for t in pdf["text"]]})
-
-    got = (
-        docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-        .mapInPandas(hashed, "y int, x binary").limit(max_train)
-    )
-    rows, y = [], []
-    for r in got.toLocalIterator():
-        rows.append(np.frombuffer(bytes(r.x), np.int32))
-        y.append(r.y)
-    return fit(rows, np.array(y))
+            yield pd.DataFrame({"y": pdf["y"], "x": [np.intersect1d(features(t), shared.value, True).astype(np.int32).tobytes() for t in pdf["text"]]})
+
+    rows = spread.mapInPandas(chosen_of, "y int, x binary").toArrow()
+    return fit([np.frombuffer(x.as_py(), np.int32) for x in rows.column("x")], rows.column("y").to_numpy(), buckets, ratios)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
