@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from .plans.base import ORACLES, QUERIES
+from .plans import (  # noqa: F401  each registers its queries
+    calibration, coverage, experiments, graph, logs, metrics, quality, reports, scans, scoring, selection, similarity,
+)
