@@ -23,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,6 +36,7 @@ _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PIECE = 1 << 20
+TURN = 256
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -149,24 +151,22 @@ def compare(a, b):
     return alike(a, b)
 
 
-def with_next(docs: DataFrame, each: int = 4096) -> DataFrame:
-    """Each row of (doc_id, text) beside the next one's text, in descending order of doc_id.
+def _in_turn(docs: DataFrame, each: int) -> DataFrame:
+    """(key, text, part, tail) in ranges of descending ids, each sorted in one task.
 
-    Rows: doc_id, text, next_text; the last has the first's. Repeated ids are
-    ordered by text; null ids come last. The ids are cut into ranges of about
-    ``each`` rows (the ends come from quantiles, one number a range). Each range
-    is sorted in one task, and the first row of a range also goes to the range
-    before it, as what comes next there. So each text is dealt once, and one
-    row of each range twice.
+    The ids are cut into ranges of about ``each`` rows (the ends come from
+    quantiles, one number a range). The first row of a range also goes to the
+    end of the range before it (tail 1), as what comes next there; that of the
+    first range goes to the last. So each text is dealt once, and one row of
+    each range twice. Keys are ids as text, empty for null.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     ids = docs.select("doc_id")
     rows = ids.count()
-    if not rows:
-        return docs.withColumn("next_text", F.lit(None).cast("string"))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
-    cuts = sorted(set(ids.stat.approxQuantile("doc_id", [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []), reverse=True)
+    wanted = [i / parts for i in range(1, parts)]
+    cuts = ids.stat.approxQuantile("doc_id", wanted, 0.25 / parts) if wanted and rows else []
     edges = np.array(sorted({int(c) for c in cuts}), np.int64)
 
     @F.pandas_udf("int")
@@ -186,27 +186,46 @@ def with_next(docs: DataFrame, each: int = 4096) -> DataFrame:
         "part", "top", F.coalesce(F.lag("part").over(around), F.max("part").over(everything)).alias("before")), "heads")
     own = F.struct("part", F.lit(0).alias("tail"))
     copies = F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(own, F.struct(F.col("before").alias("part"), F.lit(1).alias("tail")))).otherwise(F.array(own))
-    dealt = dealt.join(heads, "part")
-    spread = dealt.select("doc_id", "text", F.explode(copies).alias("to")).select("doc_id", "text", "to.part", "to.tail")
-    ordered = spread.repartition(parts, "part").sortWithinPartitions("part", "tail", F.desc_nulls_last("doc_id"), "text")
-
-    def follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        last = None  # (id, text, part) of the row that waits for its next
-        for pdf in batches:
-            ids, texts, nexts = [], [], []
-            for doc, text, part, tail in zip(pdf["key"], pdf["text"], pdf["part"], pdf["tail"], strict=True):
-                if last is not None and last[2] == part:
-                    ids.append(last[0])
-                    texts.append(last[1])
-                    nexts.append(text)
-                last = None if tail else (doc, text, part)
-            yield pd.DataFrame({"key": ids, "text": texts, "next_text": nexts})
-
+    spread = dealt.join(heads, "part").select("doc_id", "text", F.explode(copies).alias("to")).select("doc_id", "text", "to.part", "to.tail")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
-    return (
-        ordered.select(key, "text", "part", "tail").mapInPandas(follow, "key string, text string, next_text string")
-        .selectExpr("if(key = '', null, cast(key as bigint)) as doc_id", "text", "next_text")
-    )
+    return spread.repartition(parts, "part").sortWithinPartitions("part", "tail", F.desc_nulls_last("doc_id"), "text").select(key, "text", "part", "tail")
+
+
+def _follow(batches: Iterator[pa.RecordBatch], take) -> Iterator[pa.RecordBatch]:
+    """``take`` of lists of (key, text, next text), a list for each batch of rows in turn."""
+    last = None  # (key, text, part) of the row that waits for its next
+    for batch in batches:
+        met = []
+        for key, text, part, tail in zip(*(batch.column(c) for c in ("key", "text", "part", "tail")), strict=True):
+            key, text, part = key.as_py(), text.as_py(), part.as_py()
+            if last is not None and last[2] == part:
+                met.append((last[0], last[1], text))
+            last = None if tail.as_py() else (key, text, part)
+            if len(met) >= TURN:
+                yield take(met)
+                met = []
+        yield take(met)
+
+
+_ID = "if(key = '', null, cast(key as bigint)) as doc_id"
+
+
+def with_next(docs: DataFrame, each: int = 4096) -> DataFrame:
+    """Each row of (doc_id, text) beside the next one's text, in descending order of doc_id.
+
+    Rows: doc_id, text, next_text; the last has the first's, a single row its
+    own. Repeated ids are ordered by text; null ids come last; null texts are
+    empty ones.
+    """
+
+    def pairs(met):
+        columns = list(zip(*met, strict=True)) or [[], [], []]
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in columns], ["key", "text", "next_text"])
+
+    def each_next(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return _follow(batches, pairs)
+
+    return _in_turn(docs, each).mapInArrow(each_next, "key string, text string, next_text string").selectExpr(_ID, "text", "next_text")
 
 
 def edited(text: str | None, following: str | None) -> str:
@@ -216,23 +235,33 @@ def edited(text: str | None, following: str | None) -> str:
     return text[: len(text) - n] + (following or "")[:n]
 
 
-def edit_study(docs: DataFrame) -> DataFrame:
-    """Fingerprints of each text, of its edited text and of the next one's, and their likeness.
+def edit_study(docs: DataFrame, each: int = 4096) -> DataFrame:
+    """Fingerprints of each text and of its edited text, and their likeness; also the likeness to the next text's.
 
-    Null texts are empty ones. A table of one row has itself as the next.
+    Rows: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
+    near_edited, near_next. Order and nulls are as in with_next. Texts stay in
+    the task that sorts them, only the results leave it.
     """
-
-    @F.pandas_udf("n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, next_fingerprint string")
-    def study(texts: pd.Series, nexts: pd.Series) -> pd.DataFrame:
-        rows, known = [], {}
-        for text, following in zip(texts, nexts, strict=True):
-            new = edited(text, following)
-            mine = known.pop(text, None) or fingerprint(text)
-            then = fingerprint(following)
-            known = {following: then}  # the next row's own, mostly
-            rows.append((len(text or ""), hashlib.sha256(new.encode("utf-8", "replace")).hexdigest(), mine, fingerprint(new), then))
-        return pd.DataFrame(rows, columns=["n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "next_fingerprint"])
-
-    out = with_next(docs).withColumn("s", study("text", "next_text")).select("doc_id", "s.*")
-    return out.withColumn("near_edited", compare("fingerprint", "edited_fingerprint")).withColumn(
-        "near_next", compare("fingerprint", "next_fingerprint"))
+    schema = pa.schema([("key", pa.string()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
+                        ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])
+
+    def study(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, str] = {}  # the next text's fingerprint, for its own row
+
+        def take(met):
+            rows = []
+            for key, text, following in met:
+                new = edited(text, following)
+                mine = known.get(text) or fingerprint(text)
+                then, after = fingerprint(following), fingerprint(new)
+                known.clear()
+                known[following] = then
+                digest = hashlib.sha256(new.encode("utf-8", "replace")).hexdigest()
+                rows.append((key, len(text), digest, mine, after, likeness(mine, after), likeness(mine, then)))
+            columns = list(zip(*rows, strict=True)) or [[]] * len(schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
+
+        return _follow(batches, take)
+
+    kinds = "key string, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    return _in_turn(docs, each).mapInArrow(study, kinds).selectExpr(_ID, *[k.split()[0] for k in kinds.split(", ")[1:]])
