@@ -1,12 +1,17 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
-A text is split by the tokenizer's pattern; each piece is merged by rank. The
-queue that says which pair comes next has a bucket for each merge rank, which
-holds positions of the piece's linked list. A bitmap tells which buckets have
-entries; above it two smaller bitmaps tell which of its words aren't 0, so the
-next rank takes three find-first-set steps, whatever the length of the piece.
-Entries whose pair has changed since stay in their bucket and are skipped.
-A piece of n bytes costs O(n log n) at most, so very long pieces are no trouble.
+A text is split by the tokenizer's pattern; each piece is merged by rank, the
+lowest first and the leftmost of equal ones. The queue that says what comes
+next has a bucket for each merge rank, which holds positions of a linked list.
+A bitmap tells which buckets have entries; above it two smaller bitmaps tell
+which of its words aren't 0, so the next rank takes three find-first-set steps,
+however long the list. Entries whose pair has changed since stay in their
+bucket and are skipped when it comes up.
+
+All new pieces of a batch lie in one linked list, with a gap between pieces.
+Pieces don't touch each other, so taking ranks in order over all of them takes
+them in order in each, and a whole bucket can be merged in a few numpy steps.
+A very long piece costs as much as its bytes in short ones.
 
 Pieces recur, so each task remembers the ids of the pieces it has met (up to
 ``MEMORY`` of them; then it starts afresh).
@@ -17,7 +22,6 @@ from __future__ import annotations
 import base64
 import re
 from array import array
-from heapq import heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -26,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-MEMORY = 400_000
-LONG = 256
+MEMORY = 300_000
+CHUNK = 1 << 18
 
 #: What the pattern matches in texts without characters from U+0250 on and
 #: without those that the two regular expression libraries see differently:
@@ -51,116 +55,190 @@ def splitter(pattern: str):
 
 
 class RankQueue:
-    """Positions by rank; ``pop`` gives the smallest rank, leftmost position first."""
+    """Positions by rank; ``pop`` takes the bucket of the smallest rank that has any."""
 
     def __init__(self, ranks: int):
         words = ranks // 64 + 1
-        groups = words // 64 + 1
-        self.bits, self.words, self.top = array("Q", bytes(8 * words)), array("Q", bytes(8 * groups)), 0
-        self.buckets: dict[int, list[int]] = {}
-
-    def push(self, rank: int, at: int) -> None:
-        bucket = self.buckets.get(rank)
-        if bucket is None:
-            self.buckets[rank] = [at]
-            word, group = rank >> 6, rank >> 12
-            self.bits[word] |= 1 << (rank & 63)
-            self.words[group] |= 1 << (word & 63)
-            self.top |= 1 << group
-        else:
-            heappush(bucket, at)
-
-    def pop(self) -> tuple[int, int] | None:
-        if not self.top:
-            return None
+        self.bits, self.words, self.top = array("Q", bytes(8 * words)), array("Q", bytes(8 * (words // 64 + 1))), 0
+        self.buckets: dict[int, list[np.ndarray]] = {}
+
+    def push(self, ranks: np.ndarray, at: np.ndarray) -> None:
+        """File each position under its rank."""
+        if not len(ranks):
+            return
+        order = np.argsort(ranks, kind="stable")
+        ranks, at = ranks[order], at[order]
+        cuts = np.flatnonzero(ranks[1:] != ranks[:-1]) + 1
+        begins = [0, *cuts.tolist()]
+        buckets, bits, words = self.buckets, self.bits, self.words
+        for rank, a, b in zip(ranks[begins].tolist(), begins, [*begins[1:], len(ranks)], strict=True):
+            bucket = buckets.get(rank)
+            if bucket is None:
+                buckets[rank] = [at[a:b]]
+                word, group = rank >> 6, rank >> 12
+                bits[word] |= 1 << (rank & 63)
+                words[group] |= 1 << (word & 63)
+                self.top |= 1 << group
+            else:
+                bucket.append(at[a:b])
+
+    def pop(self) -> tuple[int, np.ndarray] | None:
+        """(rank, positions), or nothing if all buckets are empty."""
         top = self.top
+        if not top:
+            return None
         group = (top & -top).bit_length() - 1
         x = self.words[group]
         word = (group << 6) + (x & -x).bit_length() - 1
         x = self.bits[word]
         rank = (word << 6) + (x & -x).bit_length() - 1
-        bucket = self.buckets[rank]
-        at = heappop(bucket)
-        if not bucket:
-            del self.buckets[rank]
-            self.bits[word] &= ~(1 << (rank & 63))
-            if not self.bits[word]:
-                self.words[group] &= ~(1 << (word & 63))
-                if not self.words[group]:
-                    self.top &= ~(1 << group)
-        return rank, at
+        self.bits[word] &= ~(1 << (rank & 63))
+        if not self.bits[word]:
+            self.words[group] &= ~(1 << (word & 63))
+            if not self.words[group]:
+                self.top &= ~(1 << group)
+        bucket = self.buckets.pop(rank)
+        return rank, bucket[0] if len(bucket) == 1 else np.concatenate(bucket)
+
+
+class Pairs:
+    """Rank of a pair of tokens: of their joined bytes, if those are a token; else -1."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        keys, to = [], []
+        for whole, rank in ranks.items():
+            for cut in range(1, len(whole)):
+                a, b = ranks.get(whole[:cut]), ranks.get(whole[cut:])
+                if a is not None and b is not None:
+                    keys.append(a << 32 | b)
+                    to.append(rank)
+        order = np.argsort(np.array(keys, np.int64))
+        self.keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
+        self.to = np.append(np.array(to, np.int32)[order], -1).astype(np.int32)
+        # tokens that can be part of a token of lower rank: merging to one may bring up an earlier rank
+        a, b = self.keys[:-1] >> 32, self.keys[:-1] & 0xFFFFFFFF
+        self.back = np.zeros(max(ranks.values(), default=0) + 1, bool)
+        for part in (a, b):
+            self.back[part[self.to[:-1] < part]] = True
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """For token ids; negative ids (gaps) have no pair."""
+        key = np.where((a < 0) | (b < 0), -1, a.astype(np.int64) << 32 | b.astype(np.int64) & 0xFFFFFFFF)
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.to[at], np.int32(-1))
+
+
+class Numbers(dict):
+    """Pieces to numbers; a new piece gets the next one and is noted as fresh."""
+
+    def __init__(self):
+        super().__init__()
+        self.fresh: list[str] = []
+
+    def __missing__(self, piece: str) -> int:
+        self[piece] = n = len(self)
+        self.fresh.append(piece)
+        return n
 
 
 class Coder:
     """Encoder and decoder of one vocabulary; ``ranks`` maps bytes to ids, which are the ranks."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
-        self.ranks, self.split = ranks, splitter(pattern)
+        self.ranks, self.split, self.pairs = ranks, splitter(pattern), Pairs(ranks)
         self.size = max(ranks.values(), default=0) + 1
-        self.queue = RankQueue(self.size)  # empty between pieces
-        self.memory: dict[str, tuple[int, ...]] = {}
-        self.parts = [b""] * self.size
+        self.bytes = np.array([ranks.get(bytes([i]), -1) for i in range(256)], np.int32)
+        parts = [b""] * self.size
         for part, rank in ranks.items():
-            self.parts[rank] = part
-
-    def merge(self, piece: bytes) -> list[int]:
-        """Ids of one piece. Merges the pair of the lowest rank, leftmost first, until none is left."""
-        ranks = self.ranks
-        whole = ranks.get(piece)
-        if whole is not None:
-            return [whole]
-        n = len(piece)
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        pair = [-1] * n  # the rank of the pair that begins here, if any
-        queue, rank_of = self.queue, ranks.get
-        for i in range(n - 1):
-            r = rank_of(piece[i : i + 2], -1)
-            if r >= 0:
-                pair[i] = r
-                queue.push(r, i)
+            parts[rank] = part
+        self.part_bytes = np.frombuffer(b"".join(parts), np.uint8)
+        self.part_ends = np.cumsum([0, *map(len, parts)])
+        self.forget()
+
+    def forget(self) -> None:
+        self.number = Numbers()
+        self.ids, self.ends = np.empty(0, np.int32), np.zeros(1, np.int64)
+
+    def merge(self, pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of the pieces, one after the other."""
+        data = np.frombuffer(b"".join(pieces), np.uint8)
+        n, ends = len(data), np.cumsum([len(p) for p in pieces], dtype=np.int64)
+        token = np.append(self.bytes[data], np.int32(-1))  # n is the gap
+        after = np.arange(1, n + 2, dtype=np.int32)
+        before = np.arange(-1, n, dtype=np.int32)
+        after[ends[ends > 0] - 1] = n
+        before[ends[ends < n]] = n
+        before[0] = n
+        pair = np.append(self.pairs.rank(token[:-1], token[after[:-1]]), np.int32(-1))
+        queue, rank_of = RankQueue(self.size), self.pairs.rank
+        first = np.flatnonzero(pair >= 0)
+        queue.push(pair[first], first.astype(np.int32))
         while (got := queue.pop()) is not None:
-            rank, i = got
-            if pair[i] != rank:
-                continue  # stale
-            gone = after[i]
-            end = after[gone]
-            after[i], pair[gone] = end, -1
-            if end < n:
-                before[end] = i
-                pair[i] = rank_of(piece[i : after[end]], -1)
-                if pair[i] >= 0:
-                    queue.push(pair[i], i)
-            else:
-                pair[i] = -1
-            left = before[i]
-            if left >= 0:
-                r = rank_of(piece[left:end], -1)
-                if r != pair[left]:
-                    pair[left] = r
-                    if r >= 0:
-                        queue.push(r, left)
-        out, i = [], 0
-        while i < n:
-            out.append(ranks[piece[i : after[i]]])
-            i = after[i]
+            rank, at = got
+            at = at[pair[at] == rank]  # others are stale
+            if len(at) > 1:
+                at = np.unique(at)
+                if self.pairs.back[rank]:
+                    # one in each piece: what it brings up may come before the next
+                    _, lead = np.unique(np.searchsorted(ends, at, "right"), return_index=True)
+                    rest = np.delete(at, lead)
+                    queue.push(np.full(len(rest), rank), rest)
+                    at = at[lead]
+                else:
+                    # of pairs in a row every second one falls to the one before it
+                    row = np.append(False, after[at[:-1]] == at[1:])
+                    place = np.arange(len(at))
+                    at = at[(place - np.maximum.accumulate(np.where(row, 0, place))) % 2 == 0]
+            if not len(at):
+                continue
+            gone = after[at]
+            ahead = after[gone]
+            token[at], token[gone], pair[gone] = rank, -1, -1
+            after[at], before[ahead] = ahead, at
+            touched = np.concatenate([at, before[at]])
+            touched = touched[touched < n]
+            new = rank_of(token[touched], token[after[touched]])
+            pair[touched] = new
+            have = new >= 0
+            queue.push(new[have], touched[have])
+        left = np.flatnonzero(token[:n] >= 0)
+        return token[left], np.searchsorted(left, ends)
+
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, ends) of the texts, one after the other."""
+        if len(self.number) >= MEMORY:
+            self.forget()
+        number, split, met, sizes = self.number, self.split, array("i"), [0]
+        for text in texts:
+            met.extend(map(number.__getitem__, split(text)))
+            sizes.append(len(met))
+        if number.fresh:
+            ids, ends = self.merge([p.encode("utf-8", "replace") for p in number.fresh])
+            self.ends = np.append(self.ends, ends + len(self.ids))
+            self.ids = np.append(self.ids, ids)
+            number.fresh = []
+        which = np.frombuffer(met, np.int32) if met else np.empty(0, np.int32)
+        total = np.append(0, np.cumsum((self.ends[1:] - self.ends[:-1])[which]))
+        out = np.empty(total[-1], np.int32)
+        for at in range(0, len(which), CHUNK):
+            part = which[at : at + CHUNK]
+            out[total[at] : total[at + len(part)]] = self.ids[_spread(self.ends[part], self.ends[part + 1])]
+        return out, total[np.array(sizes)]
+
+    def decode(self, ids: np.ndarray, ends: np.ndarray) -> list[bytes]:
+        """The bytes of each stretch of ids."""
+        out = []
+        for a, b in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+            part = ids[a:b]
+            out.append(self.part_bytes[_spread(self.part_ends[part], self.part_ends[part + 1])].tobytes())
         return out
 
-    def encode(self, text: str) -> list[int]:
-        memory, out = self.memory, []
-        extend, get = out.extend, memory.get
-        for piece in self.split(text):
-            ids = get(piece)
-            if ids is None:
-                ids = tuple(self.merge(piece.encode("utf-8", "replace")))
-                if len(piece) <= LONG:
-                    if len(memory) >= MEMORY:
-                        memory.clear()
-                    memory[piece] = ids
-            extend(ids)
-        return out
 
-    def decode(self, ids) -> bytes:
-        return b"".join(map(self.parts.__getitem__, ids))
+def _spread(starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """All places of each [start, end), one after the other."""
+    size = ends - starts
+    total = np.cumsum(size)
+    return np.arange(total[-1] if len(total) else 0) + np.repeat(starts - (total - size), size)
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -185,17 +263,16 @@ def coder(source: str, pattern: str) -> Coder:
     return _CODERS[key]
 
 
+def _lists(ids: np.ndarray, ends: np.ndarray) -> pa.ListArray:
+    return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(ids))
+
+
 def encoder(source: str, pattern: str):
     """Column function: text -> array<int> of ids; null gives an empty array."""
 
     @arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
-        c = coder(source, pattern)
-        flat, ends = array("i"), [0]
-        for t in texts:
-            flat.extend(c.encode(t.as_py() or ""))
-            ends.append(len(flat))
-        return pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.frombuffer(flat, np.int32) if flat else np.empty(0, np.int32)))
+        return _lists(*coder(source, pattern).encode([t or "" for t in texts.to_pylist()]))
 
     return encode
 
@@ -205,14 +282,24 @@ def decoder(source: str, pattern: str):
 
     @arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
-        c = coder(source, pattern)
-        flat, ends = ids.values.to_pylist() if len(ids) else [], ids.offsets.to_pylist()
-        valid = ids.is_valid().to_pylist()
-        return pa.array([c.decode(flat[a:b]) if ok else None for a, b, ok in zip(ends, ends[1:], valid, strict=False)], pa.binary())
+        parts = coder(source, pattern).decode(ids.values.to_numpy(), ids.offsets.to_numpy())
+        return pa.array([p if ok else None for p, ok in zip(parts, ids.is_valid().to_pylist(), strict=True)], pa.binary())
 
     return decode
 
 
+def round_trip(source: str, pattern: str):
+    """Column function: text -> (ids, decoded), decoded being the bytes of the ids. One pass in one worker."""
+
+    @arrow_udf("ids array<int>, decoded binary")
+    def both(texts: pa.Array) -> pa.Array:
+        c = coder(source, pattern)
+        ids, ends = c.encode([t or "" for t in texts.to_pylist()])
+        return pa.StructArray.from_arrays([_lists(ids, ends), pa.array(c.decode(ids, ends), pa.binary())], ["ids", "decoded"])
+
+    return both
+
+
 def tokenize(docs: DataFrame, source: str = "byte_bpe_multi_50k.tiktoken", pattern: str | None = None,
              text: str = "text") -> DataFrame:
     """``docs`` with ``ids`` (array<int>) and ``decoded`` (binary, from the ids).
@@ -222,8 +309,8 @@ def tokenize(docs: DataFrame, source: str = "byte_bpe_multi_50k.tiktoken", patte
     """
     import public_tokenizers
 
-    pattern = pattern or public_tokenizers.PATTERN
-    return docs.withColumn("ids", encoder(source, pattern)(text)).withColumn("decoded", decoder(source, pattern)("ids"))
+    coded = docs.withColumn("_coded", round_trip(source, pattern or public_tokenizers.PATTERN)(text))
+    return coded.withColumn("ids", F.col("_coded.ids")).withColumn("decoded", F.col("_coded.decoded")).drop("_coded")
 
 
 def digests(tokens: DataFrame) -> DataFrame:
