@@ -7,7 +7,9 @@ import duckdb
 import numpy as np
 import pytest
 
-sys.path.insert(0, str(Path(__file__).parents[2]))
+sys.path[:0] = [str(Path(__file__).parents[2]), str(Path(__file__).parent)]
+import brute  # noqa: E402
+
 from tesserae.llm import licences, quality, queries, toxicity  # noqa: E402
 
 LARGER = "/root/testdata/sf0.1"
@@ -76,8 +78,6 @@ def test_no_python_in_licence_plan(spark, small):
 
 
 def test_pipeline(spark, small):
-    import brute
-
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{small}/documents.parquet")
     seen, columns = [docs], docs.columns
