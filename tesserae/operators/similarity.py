@@ -50,16 +50,16 @@ def jaccard_novelty(rows: DataFrame, by: str, id_: str, tokens: str, accepted: s
     search and its rows are bounded by its budget; whole corpora belong to the
     near-duplicate operators.
     """
-    r = rows.select(by, id_, F.array_distinct(tokens).alias("t"), F.col(accepted).alias("ok"))
-    each = r.select(by, id_, F.size("t").alias("n"), "ok", F.explode("t").alias("token"))
-    left, right = each.select(by, id_, "n", "token"), each.where("ok").select(by, F.col(id_).alias("other"), F.col("n").alias("m"), "token")
-    pairs = left.join(right, [by, "token"]).where(F.col("other") < F.col(id_)).groupBy(by, id_, "other").agg(
-        F.first("n").alias("n"), F.first("m").alias("m"), F.count("*").alias("c"))
-    best = pairs.groupBy(by, id_).agg(F.max(F.col("c") / (F.col("n") + F.col("m") - F.col("c"))).alias("j"))
-    first = r.where("ok and size(t) >= 0").groupBy(by).agg(F.min(id_).alias("first"))
+    r = rows.select(by, id_, F.array_distinct(tokens).alias("_t"), F.col(accepted).alias("_ok"))
+    each = r.select(by, id_, F.size("_t").alias("_n"), "_ok", F.explode("_t").alias("_token"))
+    left, right = each.select(by, id_, "_n", "_token"), each.where("_ok").select(by, F.col(id_).alias("_other"), F.col("_n").alias("_m"), "_token")
+    pairs = left.join(right, [by, "_token"]).where(F.col("_other") < F.col(id_)).groupBy(by, id_, "_other").agg(
+        F.first("_n").alias("_n"), F.first("_m").alias("_m"), F.count("*").alias("_both"))
+    best = pairs.groupBy(by, id_).agg(F.max(F.col("_both") / (F.col("_n") + F.col("_m") - F.col("_both"))).alias("_j"))
+    first = r.where("_ok").groupBy(by).agg(F.min(id_).alias("_first"))
     out = r.join(best, [by, id_], "left").join(first, by, "left")
-    alone = F.col("first").isNull() | (F.col("first") >= F.col(id_))
-    return out.select(by, id_, F.when(alone, 1.0).when(F.size("t") == 0, 0.0).otherwise(1 - F.coalesce("j", F.lit(0.0))).alias("novelty"))
+    alone = F.col("_first").isNull() | (F.col("_first") >= F.col(id_))
+    return out.select(by, id_, F.when(alone, 1.0).when(F.size("_t") == 0, 0.0).otherwise(1 - F.coalesce("_j", F.lit(0.0))).alias("novelty"))
 
 
 def reject_known(rows: DataFrame, failed: DataFrame, key: str) -> DataFrame:

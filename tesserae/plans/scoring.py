@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import rounded, tokens
+from ..functions import STOP_WORDS, rounded, tokens
 from ..operators import scoring as S
 from ..tables import VIEWS, table
 from .base import query
@@ -47,7 +47,7 @@ def static_rank(spark, sf):
     return rows.select("id", rounded(S.static_rank(F.col("static"), F.coalesce("degree", F.lit(0)), F.col("most"))).alias("score"))
 
 
-_STOP = "[" + ", ".join(f"'{w}'" for w in __import__("tesserae.functions", fromlist=["STOP_WORDS"]).STOP_WORDS) + "]"
+_STOP = "[" + ", ".join(f"'{w}'" for w in STOP_WORDS) + "]"
 
 
 def tokens_sql(text: str) -> str:
@@ -103,11 +103,11 @@ def fused_toggles(spark, sf):
     return t.groupBy("case_id", "variant").agg(rounded(F.max("score")).alias("best"), rounded(F.avg("score")).alias("mean"))
 
 
-@query("""SELECT c_custkey AS id, round(greatest(0.0, least(1.0, coalesce(max(o_totalprice) / 500000.0 - 0.2, 0))), 6) AS external
+@query("""SELECT c_custkey AS id, round(greatest(0.0, least(1.0, coalesce(max(o_totalprice) / 500000.0 - 0.2, 0))) + 1e-9, 6) AS external
 FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1""")
 def external_score(spark, sf):
     s = table(spark, sf, "orders").select(F.col("o_custkey").alias("id"), (F.col("o_totalprice") / 500000.0 - 0.2).alias("score"))
-    return S.with_external(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), s, "id").select("id", rounded("external").alias("external"))
+    return S.with_external(table(spark, sf, "customer").select(F.col("c_custkey").alias("id")), s, "id").select("id", rounded(F.col("external") + 1e-9).alias("external"))
 
 
 @query(SIGNALS_SQL + " SELECT case_id, item, CAST(rank AS INTEGER) AS rank, round(fused, 6) AS score FROM r WHERE rank <= 5", "ranked")
