@@ -51,8 +51,7 @@ def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.select(
         "doc_id", "match.n_words", "match.n_hit", F.size("match.items").cast("long").alias("n_items"),
         F.sha2(F.array_join("match.items", ",").cast("binary"), 256).alias("items_sha256"),
-        (F.col("match.n_hit") > 0).alias("contaminated"), "match.longest", "match.longest_at", "match.longest_item",
-    )
+        (F.col("match.n_hit") > 0).alias("contaminated"))
 
 
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,6 +86,10 @@ _BASE32 = """list_reduce(list_transform(range(0, 8), lambda i: list_reduce(list_
   lambda s: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST((CAST('0x' || substr(sha, CAST(1 + 5 * i AS INTEGER), 5) AS BIGINT) >> s) & 31 AS INTEGER), 1)),
   lambda a, b: a || b)), lambda a, b: a || b)"""
 
+_UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+_WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_N = f"least({decontaminate.WORDS}, len(ws))"
+
 #: Queries that SQL can express; the others are held against brute force in tests/llm.
 ORACLES: dict[str, str] = {
     "op1_warc": f"""
@@ -97,4 +100,14 @@ SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
   CASE WHEN page_id <> first THEN first END AS refers_to
 FROM f""",
     "op2_licences": licences.oracle(),
+    "op7_decontaminate": f"""
+WITH d AS (SELECT doc_id, {_WORDS} AS ws FROM documents), i AS (SELECT item_id, {_WORDS} AS ws FROM benchmark WHERE item_id IS NOT NULL),
+ip AS (SELECT item_id, ws, {_N} AS n, unnest(range(1, len(ws) - {_N} + 2)) AS p FROM i WHERE len(ws) > 0),
+iw AS (SELECT DISTINCT item_id, n, array_to_string(ws[p:p + n - 1], ' ') AS g FROM ip),
+dp AS (SELECT doc_id, ws, n, unnest(range(1, len(ws) - n + 2)) AS p FROM d, (SELECT DISTINCT n FROM iw) WHERE len(ws) >= n),
+m AS (SELECT doc_id, item_id, p, n FROM (SELECT doc_id, n, p, array_to_string(ws[p:p + n - 1], ' ') AS g FROM dp) JOIN iw USING (n, g)),
+h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM m) GROUP BY 1),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM m GROUP BY 1)
+SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
 }
