@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 
 def _group(pattern: str, n: int, text: str = "text") -> Column:
-    """A group of the pattern, null where it doesn't match."""
-    return F.when(F.col(text).rlike(pattern), F.regexp_extract(text, pattern, n))
+    """A group of the pattern (never an empty one), null where it doesn't match."""
+    return F.nullif(F.regexp_extract(text, pattern, n), F.lit(""))
 
 
 _NODE = r"[^\s:]+\.py(?:::[^\s\[]+)+(?:\[[^\]]*\])?"
@@ -27,7 +27,8 @@ def failing_tests(lines: DataFrame) -> DataFrame:
     module = F.array_join(F.slice(parts, 1, F.greatest(F.lit(0), n - F.when(in_class, 2).otherwise(1))), "/")
     unit = F.when(F.get(parts, n - 1) == method, F.concat(module, F.lit(".py::"), F.when(in_class, F.concat(F.get(parts, n - 2), F.lit("::"))).otherwise(""), method))
     node = F.coalesce(_group(rf"^FAILED ({_NODE})(?: - .*)?$", 1), _group(rf"^({_NODE}) FAILED", 1), unit)
-    rows = lines.withColumn("text", F.trim("text")).withColumn("nodeid", node).where("nodeid is not null")
+    some = F.col("text").contains("FAILED") | F.col("text").startswith("FAIL:") | F.col("text").startswith("ERROR:")
+    rows = lines.withColumn("text", F.trim("text")).where(some).withColumn("nodeid", node).where("nodeid is not null")
     return rows.select("run_id", "line_no", "nodeid", F.substring_index("nodeid", "::", 1).alias("path"), F.regexp_replace(F.substring_index("nodeid", "::", -1), r"\[.*$", "").alias("test"))
 
 
@@ -37,7 +38,7 @@ _PYTEST = r"^([^:\s][^:]*\.py):(\d+):\s+in\s+([A-Za-z_]\w*)"
 
 def frames(lines: DataFrame) -> DataFrame:
     """(run_id, line_no, path, line, function, format) of traceback lines of two shapes."""
-    rows = lines.withColumn("text", F.trim("text"))
+    rows = lines.withColumn("text", F.trim("text")).where(F.col("text").contains(".py") & F.col("text").contains("in "))
     pick = lambda n: F.coalesce(_group(_PYTHON, n), _group(_PYTEST, n))
     return rows.select("run_id", "line_no", pick(1).alias("path"), pick(2).cast("int").alias("line"), pick(3).alias("function"),
                        F.when(F.col("text").rlike(_PYTHON), "python_traceback").otherwise("pytest").alias("format")).where("path is not null")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rounded
 from ..operators import logs as L
 from ..operators.similarity import keep_first as first_of
+from ..sources.storage import stored
 from ..tables import VIEWS, table
 from .base import query
 
@@ -134,8 +135,10 @@ def match_frames(spark, sf):
 s AS (SELECT rt.run_id, rt.nodeid AS test, mt.entity FROM rt JOIN mt USING (nodeid) UNION SELECT fr.run_id, coalesce(rt.nodeid, 'synthetic::failure'), fr.entity FROM fr LEFT JOIN rt ON fr.run_id = rt.run_id)
 SELECT run_id, count(*) AS n, count(DISTINCT test) AS tests, count(DISTINCT entity) AS entities FROM s GROUP BY 1""", "logs")
 def evidence_spectrum(spark, sf):
-    t, m = _matched_tests(spark, sf)
-    f = L.frames(VIEWS["logs"](spark, sf))
+    # both are read twice below; their regular expressions run once
+    t = stored(L.failing_tests(VIEWS["logs"](spark, sf)), "failing-tests")
+    m = L.match_tests(t.withColumn("qualified", F.col("test")), _entities(spark, sf))
+    f = stored(L.frames(VIEWS["logs"](spark, sf)), "frames")
     framed = f.join(L.match_frames(f, _entities(spark, sf)).select("path", "line", "function", "entity"), ["path", "line", "function"])
     s = L.evidence_spectrum(t, m, framed)
     return s.groupBy("run_id").agg(F.count("*").alias("n"), F.countDistinct("test").alias("tests"), F.countDistinct("entity").alias("entities"))
