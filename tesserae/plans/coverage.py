@@ -93,7 +93,7 @@ def _collapsed(spark, sf):
     return C.collapse_runs(s, "run_id", "seq", "value")
 
 
-@query(_COLLAPSED + " SELECT run_id, seq, value, CAST(pos AS INTEGER) AS at FROM k", "steps")
+@query(_COLLAPSED + " SELECT run_id, CAST(seq AS INTEGER) AS seq, value, CAST(pos AS INTEGER) AS at FROM k", "steps")
 def seq_collapse(spark, sf):
     return _collapsed(spark, sf).select("run_id", "seq", "value", "at")
 

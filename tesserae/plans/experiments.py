@@ -91,7 +91,7 @@ def grid(spark):
     return E.weight_grid(spark, default={**{c: abs(w) for c, w in WEIGHTS.items()}})
 
 
-_GRID_SQL = ("g AS (SELECT row_number() OVER (ORDER BY sbfl, graph, static, semantic, llm, risk) - 1 AS i, * FROM " + ", ".join(f"(SELECT unnest({list(v)}) AS {k})" for k, v in E.GRID.items()) + ")")
+_GRID_SQL = ("g AS (SELECT row_number() OVER (ORDER BY sbfl, graph, static, semantic, llm, risk) - 1 AS i, * FROM " + ", ".join(f"(SELECT unnest(CAST({list(v)} AS DOUBLE[])) AS {k})" for k, v in E.GRID.items()) + ")")
 
 
 @query(f"""WITH {_GRID_SQL}, c AS (SELECT count(*) AS customers FROM customer) SELECT CASE WHEN sbfl = 0.3 AND graph = 0.25 AND static = 0.15 AND semantic = 0.1 AND llm = 0.15 AND risk = 0.05 THEN 'default'

@@ -171,7 +171,7 @@ h1 AS (SELECT dst AS target, src AS id, aw AS waits FROM c),
 h2 AS (SELECT target, c.src AS id, bool_or(waits OR aw) AS waits FROM h1 JOIN c ON h1.id = c.dst WHERE c.src <> target GROUP BY 1, 2),
 n2 AS (SELECT * FROM h2 WHERE (target, id) NOT IN (SELECT (target, id) FROM h1)),
 w AS (SELECT *, 1.0 AS f FROM h1 UNION ALL SELECT *, 0.5 FROM n2)
-SELECT target AS id, round(sum(f * (1 + CASE WHEN a.file <> b.file THEN 0.5 ELSE 0 END + CASE WHEN waits THEN 0.15 ELSE 0 END)), 6) AS impact
+SELECT target AS id, CAST(round(sum(f * (1 + CASE WHEN a.file <> b.file THEN 0.5 ELSE 0 END + CASE WHEN waits THEN 0.15 ELSE 0 END)), 6) AS DOUBLE) AS impact
 FROM w JOIN nodes a ON w.id = a.id JOIN nodes b ON w.target = b.id GROUP BY target""", "edges", "nodes")
 def caller_impact(spark, sf):
     """To depth 2: in this dense graph the third step reaches nearly everything."""
@@ -183,13 +183,13 @@ def pagerank(spark, sf):
     return G.pagerank(edges(spark, sf), nodes(spark, sf)).select("id", F.round("rank", 9).alias("rank"))
 
 
-@query(FULL + """ SELECT id, round(sum(s), 6) AS score FROM (SELECT dst AS id, 1.5 + least(0.1 * distance, 0.4) + CASE WHEN relative THEN 0.15 ELSE 0 END AS s FROM x WHERE kind = 'calls'
+@query(FULL + """ SELECT id, CAST(round(sum(s), 6) AS DOUBLE) AS score FROM (SELECT dst AS id, 1.5 + least(0.1 * distance, 0.4) + CASE WHEN relative THEN 0.15 ELSE 0 END AS s FROM x WHERE kind = 'calls'
 UNION ALL SELECT src, 0.5 FROM x WHERE kind = 'calls') GROUP BY 1""", "edges", "nodes")
 def module_score(spark, sf):
     return G.module_score(full_edges(spark, sf).where("kind = 'calls'")).select("id", rounded("score").alias("score"))
 
 
-@query(FULL + """ SELECT id, round(sum(s), 6) AS score FROM (SELECT dst AS id, 1.0 + CASE WHEN src_file <> dst_file THEN 0.5 ELSE 0 END AS s FROM x WHERE awaited
+@query(FULL + """ SELECT id, CAST(round(sum(s), 6) AS DOUBLE) AS score FROM (SELECT dst AS id, 1.0 + CASE WHEN src_file <> dst_file THEN 0.5 ELSE 0 END AS s FROM x WHERE awaited
 UNION ALL SELECT src, 0.25 FROM x WHERE awaited) GROUP BY 1""", "edges", "nodes")
 def async_score(spark, sf):
     return G.async_score(full_edges(spark, sf).where("awaited")).select("id", rounded("score").alias("score"))
@@ -248,7 +248,7 @@ def dep_fanout(spark, sf):
 @query(FULL + """, p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM x WHERE awaited), y AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, kind, distance FROM x),
 g AS (SELECT a, b, count(*) FILTER (kind = 'calls') AS calls, count(*) FILTER (kind = 'data_flow') AS data_flow, count(*) FILTER (kind = 'control_flow') AS control_flow,
   CAST(sum(distance) AS BIGINT) AS distance, max(distance) AS max_distance FROM p JOIN y USING (a, b) GROUP BY 1, 2)
-SELECT *, calls + data_flow + control_flow > 0 AS connected, round(least(0.20, 0.10 * least(calls, 1) + 0.06 * least(data_flow, 1) + 0.04 * least(control_flow, 1)), 6) AS bonus FROM g""", "edges", "nodes")
+SELECT *, calls + data_flow + control_flow > 0 AS connected, CAST(round(least(0.20, 0.10 * least(calls, 1) + 0.06 * least(data_flow, 1) + 0.04 * least(control_flow, 1)), 6) AS DOUBLE) AS bonus FROM g""", "edges", "nodes")
 def bundle_graph(spark, sf):
     e = full_edges(spark, sf)
     pairs = e.where("awaited").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
@@ -265,7 +265,7 @@ def neighbours_top(spark, sf):
 
 @query(""", x AS (SELECT a.file AS s, b.file AS d FROM edges e JOIN nodes a ON e.src = a.id JOIN nodes b ON e.dst = b.id WHERE a.file <> b.file),
 l AS (SELECT file, sum(v) AS links FROM (SELECT s AS file, 1.0 AS v FROM x UNION ALL SELECT d, 2.0 FROM x) GROUP BY 1)
-SELECT n.file, round(0.5 * count(*) + 0.25 * max(complexity) + coalesce(max(links), 0), 6) AS score FROM nodes n LEFT JOIN l ON n.file = l.file GROUP BY n.file""", "edges", "nodes")
+SELECT n.file, CAST(round(0.5 * count(*) + 0.25 * max(complexity) + coalesce(max(links), 0), 6) AS DOUBLE) AS score FROM nodes n LEFT JOIN l ON n.file = l.file GROUP BY n.file""", "edges", "nodes")
 def node_rank(spark, sf):
     return G.node_rank(nodes(spark, sf), edges(spark, sf)).withColumn("score", rounded("score"))
 

@@ -160,7 +160,7 @@ LINE_RULES = [
 
 
 @query(", r AS (SELECT * FROM (VALUES " + ", ".join(f"('{i}', '{p}', '{b}', {c})" for i, p, b, c in LINE_RULES) + """) v(rule_id, pattern, bug_type, confidence))
-SELECT source, rule_id, bug_type, count(*) AS lines, count(DISTINCT doc_id) AS docs, round(max(confidence), 6) AS confidence FROM lines JOIN r ON regexp_matches(line, pattern) GROUP BY 1, 2, 3""", "lines")
+SELECT source, rule_id, bug_type, count(*) AS lines, count(DISTINCT doc_id) AS docs, CAST(round(max(confidence), 6) AS DOUBLE) AS confidence FROM lines JOIN r ON regexp_matches(line, pattern) GROUP BY 1, 2, 3""", "lines")
 def rule_scan(spark, sf):
     f = L.scan_rules(VIEWS["lines"](spark, sf), LINE_RULES)
     return f.groupBy("source", "rule_id", "bug_type").agg(F.count("*").alias("lines"), F.countDistinct("doc_id").alias("docs"), rounded(F.max("confidence")).alias("confidence"))

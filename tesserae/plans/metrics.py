@@ -78,7 +78,7 @@ def analysis(spark, sf):
     return M.search_analysis(with_depth(spark, sf), "case_id", "grp")
 
 
-@query(ANALYSIS_SQL + """ SELECT case_id, grp, evaluated, successful, max_depth, first_success_rank, first_success_depth, failures_before,
+@query(ANALYSIS_SQL + """ SELECT case_id, grp, evaluated, successful, max_depth, CAST(first_success_rank AS INTEGER) AS first_success_rank, first_success_depth, failures_before,
 round(margin, 6) AS margin, round(efficiency, 6) AS efficiency FROM n""", "attempts")
 def search_analysis(spark, sf):
     return analysis(spark, sf).withColumn("margin", rounded("margin")).withColumn("efficiency", rounded("efficiency"))

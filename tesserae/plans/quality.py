@@ -70,7 +70,7 @@ _GATE = _SUITE + """, c AS (SELECT key, 'max_fail_rate' AS "check", 0.34 AS expe
 UNION ALL SELECT key, 'runs', 100.0, runs, runs >= 100 FROM m UNION ALL SELECT key, 'max_cost', 255000.0, cost, cost <= 255000.0 FROM m UNION ALL SELECT key, 'min_absent', 1.0, 0, false FROM m)"""
 
 
-@query(_GATE + ' SELECT key, "check", round(expected, 6) AS expected, round(CAST(actual AS DOUBLE), 4) AS actual, passed FROM c', "suites")
+@query(_GATE + ' SELECT key, "check", CAST(round(expected, 6) AS DOUBLE) AS expected, round(CAST(actual AS DOUBLE), 4) AS actual, passed FROM c', "suites")
 def threshold_gate(spark, sf):
     return V.gate(_metrics(spark, sf), LIMITS, "key").withColumn("expected", rounded("expected")).withColumn("actual", F.round("actual", 4))
 
