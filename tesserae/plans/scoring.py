@@ -56,7 +56,7 @@ def tokens_sql(text: str) -> str:
             f"lambda w: length(w) > 1 AND NOT list_contains({_STOP}, w))")
 
 
-@query(f"SELECT item_id, array_to_string(list_sort({tokens_sql('text')}), ' ') AS words FROM benchmark")
+@query(f"SELECT item_id, array_to_string(list_sort({tokens_sql('text')}), ' ') AS words FROM benchmark", name="tokens")
 def tokens_of_text(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.array_join(F.array_sort(tokens("text")), " ").alias("words"))
 
