@@ -16,9 +16,11 @@ from __future__ import annotations
 import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import new_folder, stored
@@ -83,14 +85,25 @@ def _pem(data: bytes) -> Iterator[tuple[int, int]]:
 
 @dataclass(frozen=True)
 class Rule:
-    """A rule; raise ``version`` whenever ``spans`` changes what it finds."""
+    """A rule; raise ``version`` whenever ``spans`` changes what it finds.
+
+    ``may`` is a condition on a text column that each text with a finding
+    meets; without one every text may have findings.
+    """
 
     name: str
     version: int
     spans: Callable[[bytes], Iterator[tuple[int, int]]]
+    may: Callable[[Column], Column] | None = None
+
+
+def _has(*words: str) -> Callable[[Column], Column]:
+    return lambda text: reduce(or_, [F.lower(text).contains(w) for w in words])
 
 
-RULES = (Rule("assign", 1, _assign), Rule("access", 1, _access), Rule("hex", 1, _hex), Rule("pem", 1, _pem))
+RULES = (
+    Rule("assign", 1, _assign, _has(*[n.decode() for n in _NAMES])), Rule("access", 1, _access, lambda text: text.contains("AKIA")),
+    Rule("hex", 1, _hex, lambda text: text.rlike("[0-9a-f]{32}")), Rule("pem", 1, _pem, lambda text: text.contains("-----BEGIN ")))
 
 
 def find(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, int]]:
@@ -175,10 +188,14 @@ def redact(docs: DataFrame, mask: str = "[REDACTED]", rules: tuple[Rule, ...] =
 
     Overlapping findings are masked as one. ``n_chars`` follows the new text;
     texts without findings, null ones too, stay as they are. All rows stay.
+    Only rows whose text may have a finding by some rule meet the findings in a
+    join; the others don't leave their task.
     """
     found = scan(docs, rules=rules).where(F.size("spans") > 0)
     spans = stored(found.groupBy("blob").agg(F.first("spans").alias("spans")), "spans")
-    blob = F.sha2(F.coalesce("text", F.lit("")), 256)
+    text = F.coalesce("text", F.lit(""))
+    blob = F.sha2(text, 256)
+    may = reduce(or_, [r.may(text) if r.may else F.lit(True) for r in rules])
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -196,9 +213,7 @@ def redact(docs: DataFrame, mask: str = "[REDACTED]", rules: tuple[Rule, ...] =
 
     n = F.char_length("_masked").cast(docs.schema["n_chars"].dataType)
     changed = {"text": F.col("_masked"), "n_chars": n}
-    row = docs.withColumn("_blob", blob).join(
-        spans.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left")
-    plain = row.where("_spans is null").select(*docs.columns)
-    hit = row.where("_spans is not null").withColumn("_masked", masked("text", "_spans")).select(
-        *[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
-    return plain.unionByName(hit)
+    row = docs.where(may).withColumn("_blob", blob).join(
+        spans.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left").withColumn("_masked", masked("text", "_spans"))
+    return docs.where(~may).unionByName(row.select(*[
+        F.when(F.col("_spans").isNotNull(), changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in docs.columns]))
