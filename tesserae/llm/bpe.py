@@ -32,6 +32,7 @@ from pyspark.sql.functions import arrow_udf
 
 MEMORY = 300_000
 CHUNK = 1 << 18
+SLICE = 1 << 23
 
 #: What the pattern matches in texts without characters from U+0250 on and
 #: without those that the two regular expression libraries see differently:
@@ -205,7 +206,21 @@ class Coder:
         return token[left], np.searchsorted(left, ends)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids, ends) of the texts, one after the other."""
+        """(ids, ends) of the texts, one after the other. About SLICE characters at a time, or one text."""
+        parts, at = [], 0
+        while at < len(texts):
+            upto, size = at + 1, len(texts[at])
+            while upto < len(texts) and size + len(texts[upto]) <= SLICE:
+                size += len(texts[upto])
+                upto += 1
+            parts.append(self._encode(texts[at:upto]))
+            at = upto
+        if len(parts) == 1:
+            return parts[0]
+        ids = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.int32)
+        return ids, np.append(0, np.cumsum(np.concatenate([np.diff(p[1]) for p in parts])) if parts else [])
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if len(self.number) >= MEMORY:
             self.forget()
         number, split, met, sizes = self.number, self.split, array("i"), [0]
