@@ -26,7 +26,7 @@ from .common import bounded_labels, crc32_mod, stored
 BITS = 20
 ORDERS = (3, 4, 5, 6)
 MAX_TRAIN = 6000
-MIN_DOCS = 3
+MIN_DOCS = 5
 MIN_RATIO = 1.5
 THRESHOLD = 0.3
 FOLD, FOLDS = 2, 4
@@ -79,7 +79,7 @@ def chosen_buckets(pos: np.ndarray, neg: np.ndarray, n_pos: int, n_neg: int) ->
     return (pos + neg >= MIN_DOCS) & (np.abs(ratio) >= MIN_RATIO), ratio
 
 
-def fit(rows: list[np.ndarray], y: np.ndarray, buckets: np.ndarray, ratio: np.ndarray, steps: int = 120, l2: float = 1e-3) -> Model:
+def fit(rows: list[np.ndarray], y: np.ndarray, buckets: np.ndarray, ratio: np.ndarray, steps: int = 120, l2: float = 1.0) -> Model:
     """Fit on sets of chosen ``buckets`` (ascending) with their ratios.
 
     Without both classes or without chosen buckets, the model is the smoothed base rate.
