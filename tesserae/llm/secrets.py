@@ -75,12 +75,23 @@ def _hex(data: bytes) -> Iterator[tuple[int, int]]:
 
 
 _PEM = re.compile(rb"-----BEGIN (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+_PEM_END = re.compile(rb"-----END (?:[A-Z0-9]+ )*PRIVATE KEY-----")
+# What may stand between the lines of a key: blanks, quote marks, comment signs, line ends written out.
+_GAP = rb"""(?:[\s>"'`,;|#*]|\\[nrt])"""
+_PEM_BODY = re.compile(
+    rb"(?:" + _GAP + rb"*+[A-Za-z][A-Za-z0-9-]*+:\x20[^\n\\]*+)*+"  # Proc-Type, DEK-Info
+    rb"(?:" + _GAP + rb"*+[A-Za-z0-9+/]{16,}+={0,2}+)++"
+    # the last, shorter line is padded or stands alone on the next line
+    rb"""(?:[\x20\t\r"'>|#*]*+(?:\\r)?(?:\n|\\n)[\x20\t"'>|#*]*+[A-Za-z0-9+/]++(?:=+|(?![^\r\n"'`,;\\])))?""")
 
 
 def _pem(data: bytes) -> Iterator[tuple[int, int]]:
-    for at in _starts(data, b"-----BEGIN "):
+    """Whole keys: to the END line, or where none comes before the next BEGIN, over the base64 lines that follow."""
+    starts = [*_starts(data, b"-----BEGIN "), len(data)]
+    for at, limit in zip(starts, starts[1:], strict=False):
         if m := _PEM.match(data, at):
-            yield m.span()
+            last = _PEM_END.search(data, m.end(), limit) or _PEM_BODY.match(data, m.end(), limit) or m
+            yield at, last.end()
 
 
 @dataclass(frozen=True)
@@ -103,7 +114,7 @@ def _has(*words: str) -> Callable[[Column], Column]:
 
 RULES = (
     Rule("assign", 1, _assign, _has(*[n.decode() for n in _NAMES])), Rule("access", 1, _access, lambda text: text.contains("AKIA")),
-    Rule("hex", 1, _hex, lambda text: text.rlike("[0-9a-f]{32}")), Rule("pem", 1, _pem, lambda text: text.contains("-----BEGIN ")))
+    Rule("hex", 1, _hex, lambda text: text.rlike("[0-9a-f]{32}")), Rule("pem", 2, _pem, lambda text: text.contains("-----BEGIN ")))
 
 
 def find(text: str | None, rules: tuple[Rule, ...] = RULES) -> list[tuple[str, int, int]]:
