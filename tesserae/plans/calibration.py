@@ -117,7 +117,7 @@ def judge_confusion(spark, sf):
 def bootstrap_ci(spark, sf):
     """Intervals of the mean confidence and accuracy in each group; random, so without an oracle."""
     rows = VIEWS["conf"](spark, sf).select("id", "grp", "confidence", F.col("hit").cast("double").alias("accuracy"))
-    return K.bootstrap(rows, ["confidence", "accuracy"], ["grp"], samples=200)
+    return K.bootstrap(rows, ["confidence", "accuracy"], ["grp"], samples=1000)
 
 
 WEIGHTS = {"sbfl": 0.30, "graph": 0.25, "static": 0.15, "semantic": 0.10, "llm": 0.15, "risk": -0.05}
