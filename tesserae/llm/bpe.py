@@ -11,10 +11,15 @@ bucket and are skipped when it comes up.
 All new pieces of a batch lie in one linked list, with a gap between pieces.
 Pieces don't touch each other, so taking ranks in order over all of them takes
 them in order in each, and a whole bucket can be merged in a few numpy steps.
-A very long piece costs as much as its bytes in short ones.
+A merge of rank r may bring up a pair of lower rank only where r's token is
+part of a token of lower rank. Such buckets, and small ones, are merged from
+left to right, and each new token at once takes in its neighbours as long as
+that gives a rank of at most r: no other pairs of such ranks exist just then.
+So each bucket comes up once, and a piece of any length costs time in
+proportion to its bytes.
 
 Pieces recur, so each task remembers the ids of the pieces it has met (up to
-``MEMORY`` of them; then it starts afresh).
+``MEMORY`` of them or ``MEMORY_CHARS`` characters; then it starts afresh).
 """
 
 from __future__ import annotations
@@ -31,6 +36,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 MEMORY = 300_000
+MEMORY_CHARS = 1 << 24
+FEW = 24
 CHUNK = 1 << 18
 SLICE = 1 << 23
 
@@ -106,13 +113,17 @@ class Pairs:
     """Rank of a pair of tokens: of their joined bytes, if those are a token; else -1."""
 
     def __init__(self, ranks: dict[bytes, int]):
-        keys, to = [], []
+        size = max(ranks.values(), default=0) + 1
+        parts, to = [], []
         for whole, rank in ranks.items():
             for cut in range(1, len(whole)):
                 a, b = ranks.get(whole[:cut]), ranks.get(whole[cut:])
                 if a is not None and b is not None:
-                    keys.append(a << 32 | b)
+                    parts.append((a, b))
                     to.append(rank)
+        keys = [a << 32 | b for a, b in parts]
+        # the same for single look-ups; no key stands for a pair with -1
+        self.of = dict(zip((a * (size + 1) + b for a, b in parts), to, strict=True))
         order = np.argsort(np.array(keys, np.int64))
         self.keys = np.append(np.array(keys, np.int64)[order], np.iinfo(np.int64).max)
         self.to = np.append(np.array(to, np.int32)[order], -1).astype(np.int32)
@@ -135,10 +146,12 @@ class Numbers(dict):
     def __init__(self):
         super().__init__()
         self.fresh: list[str] = []
+        self.chars = 0
 
     def __missing__(self, piece: str) -> int:
         self[piece] = n = len(self)
         self.fresh.append(piece)
+        self.chars += len(piece)
         return n
 
 
@@ -172,30 +185,26 @@ class Coder:
         before[0] = n
         pair = np.append(self.pairs.rank(token[:-1], token[after[:-1]]), np.int32(-1))
         queue, rank_of = RankQueue(self.size), self.pairs.rank
+        views = tuple(map(memoryview, (token, after, before, pair)))
         first = np.flatnonzero(pair >= 0)
         queue.push(pair[first], first.astype(np.int32))
         while (got := queue.pop()) is not None:
             rank, at = got
             at = at[pair[at] == rank]  # others are stale
-            if len(at) > 1:
-                at = np.unique(at)
-                if self.pairs.back[rank]:
-                    # one in each piece: what it brings up may come before the next
-                    _, lead = np.unique(np.searchsorted(ends, at, "right"), return_index=True)
-                    rest = np.delete(at, lead)
-                    queue.push(np.full(len(rest), rank), rest)
-                    at = at[lead]
-                else:
-                    # of pairs in a row every second one falls to the one before it
-                    row = np.append(False, after[at[:-1]] == at[1:])
-                    place = np.arange(len(at))
-                    at = at[(place - np.maximum.accumulate(np.where(row, 0, place))) % 2 == 0]
             if not len(at):
                 continue
-            gone = after[at]
-            ahead = after[gone]
-            token[at], token[gone], pair[gone] = rank, -1, -1
-            after[at], before[ahead] = ahead, at
+            at = np.unique(at)
+            if self.pairs.back[rank] or len(at) <= FEW:
+                at = np.array(self._one_by_one(rank, at.tolist(), *views), np.int32)
+            else:
+                # of pairs in a row every second one falls to the one before it
+                row = np.append(False, after[at[:-1]] == at[1:])
+                place = np.arange(len(at))
+                at = at[(place - np.maximum.accumulate(np.where(row, 0, place))) % 2 == 0]
+                gone = after[at]
+                ahead = after[gone]
+                token[at], token[gone], pair[gone] = rank, -1, -1
+                after[at], before[ahead] = ahead, at
             touched = np.concatenate([at, before[at]])
             touched = touched[touched < n]
             new = rank_of(token[touched], token[after[touched]])
@@ -205,6 +214,32 @@ class Coder:
         left = np.flatnonzero(token[:n] >= 0)
         return token[left], np.searchsorted(left, ends)
 
+    def _one_by_one(self, rank: int, at: list[int], token, after, before, pair) -> list[int]:
+        """Merge the pairs at the ascending places ``at`` and what that brings up below or at ``rank``.
+
+        Gives the places of the new tokens, whose pairs and whose neighbours' are still to be found.
+        """
+        of, stride, grown = self.pairs.of.get, self.size + 1, {}
+        for p in at:
+            if pair[p] != rank:  # one before it has taken a part
+                continue
+            right = True
+            new = rank
+            while True:
+                if not right:
+                    p = before[p]
+                gone = after[p]
+                ahead = after[gone]
+                token[p], token[gone], pair[p], pair[gone] = new, -1, -1, -1
+                after[p], before[ahead] = ahead, p
+                a = of(token[before[p]] * stride + new, stride)
+                b = of(new * stride + token[ahead], stride)
+                new, right = min(a, b), b < a  # of equal ranks the left one comes first
+                if new > rank:
+                    break
+            grown[p] = None
+        return list(grown)
+
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends) of the texts, one after the other. About SLICE characters at a time, or one text."""
         parts, at = [], 0
@@ -221,7 +256,7 @@ class Coder:
         return ids, np.append(0, np.cumsum(np.concatenate([np.diff(p[1]) for p in parts])) if parts else [])
 
     def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.number) >= MEMORY:
+        if len(self.number) >= MEMORY or self.number.chars >= MEMORY_CHARS:
             self.forget()
         number, split, met, sizes = self.number, self.split, array("i"), [0]
         for text in texts:
