@@ -2,22 +2,31 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
+from contextlib import suppress
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+TASK_BYTES = 1 << 25
+_MADE: list[str] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, named by ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine) a temporary folder is
-    made and set as the checkpoint folder.
+    Where the session names none, a temporary folder is made and set as the
+    checkpoint folder if the master is local (tests on one machine); on a
+    cluster that raises, as executors would not see each other's files.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tesserae-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -31,14 +40,57 @@ def new_folder(spark: SparkSession, name: str) -> str:
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet below the shared folder and read it again.
 
-    This cuts the lineage; the copy outlives lost executors.
+    This cuts the lineage; the copy outlives lost executors. ``made`` and
+    ``release`` remove copies that are no longer wanted; what is left goes when
+    the program ends.
     """
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
+    _MADE.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def made() -> list[str]:
+    """The folders of the stored copies so far."""
+    return list(_MADE)
+
+
+def release(paths: list[str]) -> None:
+    """Remove stored copies that nothing will read again."""
+    for path in paths:
+        with suppress(OSError, ValueError):  # a copy that can't be removed is only left over
+            store, at = filesystem(path)
+            store.delete_dir(at)
+        if path in _MADE:
+            _MADE.remove(path)
+
+
+@atexit.register
+def _release_all() -> None:
+    release(made())
+
+
+def dealt(rows: DataFrame, file: str, place: str, size: Column, each: int = TASK_BYTES) -> DataFrame:
+    """``rows`` in tasks of about ``each`` bytes of payload, in the order of (file, place).
+
+    The bytes before a row are those of earlier files, from a table with a row
+    a file, and those of its file's earlier rows. Tasks are cut by these bytes,
+    so none has more than a task's share and one row. Small inputs are cut
+    finer, into as many tasks as shuffles have, down to a sixteenth of ``each``.
+    """
+    spark = rows.sparkSession
+    before = lambda w, x: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    files = stored(
+        rows.groupBy(file).agg(F.sum(size).alias("_n")).select(file, "_n", before(Window.orderBy(file), "_n").alias("_base")), "files")
+    total = files.agg(F.sum("_n")).head()[0] or 0
+    tasks = max(1, -(-total // each), min(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // (each // 16))))
+    at = F.col("_base") + before(Window.partitionBy(file).orderBy(place), size)
+    task = F.least(F.floor(at * tasks / max(1, total)), F.lit(tasks - 1)).cast("int")
+    placed = rows.join(files.select(file, "_base"), file).withColumn("_task", task)
+    return placed.repartitionById(tasks, "_task").sortWithinPartitions(file, place).select(*rows.columns)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

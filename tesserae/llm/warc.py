@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import filesystem, new_folder, stored
+from .common import TASK_BYTES, dealt, filesystem, new_folder, stored
 
 INDEX = (
     "page_id long, archive string, offset long, length long, url string, payload_digest string, "
@@ -134,13 +134,17 @@ def write(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, date:
 _READ = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
 
 
-def read(index: DataFrame, gap: int = 1 << 16, most: int = 1 << 23, payloads: bool = True) -> DataFrame:
+def read(index: DataFrame, gap: int = 1 << 16, most: int = 1 << 23, payloads: bool = True, each: int = TASK_BYTES) -> DataFrame:
     """The records that the index rows (archive, offset, length) name.
 
-    Byte ranges of an archive up to ``gap`` bytes apart are read together, up
-    to ``most`` bytes at a time or a whole record. payload_bytes and digest are of the full
-    payload, for revisits from their headers; a response whose payload doesn't
-    have its digest raises.
+    The rows are dealt to tasks by the bytes they stand for (about ``each`` a
+    task), not by their number. Byte ranges of an archive up to ``gap`` bytes
+    apart are read together, up to ``most`` bytes at a time or a whole record.
+    payload_bytes and digest are of the full payload, for revisits from their
+    headers; a response whose payload doesn't have its digest raises. A record
+    without a number or target has nulls there; a row that is selected twice is
+    read twice; an empty selection gives no rows. Other columns of the index
+    are not looked at.
     """
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -174,7 +178,4 @@ def read(index: DataFrame, gap: int = 1 << 16, most: int = 1 << 23, payloads: bo
         if data is not None:
             data.close()
 
-    return (
-        index.select("archive", "offset", "length").repartitionByRange("archive", "offset")
-        .sortWithinPartitions("archive", "offset").mapInPandas(fetch, _READ)
-    )
+    return dealt(index.select("archive", "offset", "length"), "archive", "offset", F.col("length"), each).mapInPandas(fetch, _READ)
