@@ -11,8 +11,8 @@ Files, all little-endian, in one folder:
   minimal perfect hash: at each level a key has one bit, which is set if no
   other key of that level has the same; keys that clash go to the next level.
   The rank of a key's bit is its slot. A slot holds a fingerprint of its key,
-  the shard, the number of the document in it, and how many documents follow
-  that have this key too. A lookup touches a few bits, a slot, two offsets and
+  shard and number in it of the first and of the last document that has the
+  key, and how many ids these documents have. A lookup touches a few bits, a slot, two offsets and
   one range of ids, however large the corpus; an unknown key is told by its
   fingerprint (a chance of 2**-32 to be taken for a known one).
 
@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import _ODD, _SIMPLE
-from .common import filesystem, new_folder, write_whole
+from .common import TASK_BYTES, dealt, filesystem, new_folder, write_whole
 
 END_ID = 2
 KEYS_A_PART = 1 << 16
@@ -49,17 +49,19 @@ class Encoder:
 
     For a byte-level vocabulary without a normaliser the library splits a text
     and merges each piece by itself. Pieces recur, so the library's model is
-    asked once a piece; texts with characters beyond the simple ones go through
-    the library whole. Other kinds of vocabulary always do.
+    asked once a piece; texts with characters beyond the simple ones or with
+    the name of an added token go through the library whole. Other kinds of
+    vocabulary always do. Names of added tokens get those tokens' ids, as the
+    library does by default; ``plain`` makes them ordinary text.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain: bool = False):
         import json
 
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = True
+        self.whole.encode_special_tokens = plain
         self.bytes = 2 if self.whole.get_vocab_size() <= 1 << 16 else 4
         self.kind = np.dtype("<u2" if self.bytes == 2 else "<u4")
         with open(path, encoding="utf-8") as f:
@@ -68,6 +70,7 @@ class Encoder:
         self.by_piece = (
             plan["normalizer"] is None and split.get("type") == "ByteLevel"
             and split.get("use_regex") and not split.get("add_prefix_space") and plan["model"]["type"] == "BPE")
+        self.added = [t["content"] for t in plan["added_tokens"]]
         self.model, self.memory = self.whole.model, {}
         self.table = str.maketrans({b: chr(c) for b, c in _byte_letters().items()})
 
@@ -76,7 +79,7 @@ class Encoder:
         return np.array([t.id for t in self.model.tokenize(letters)], self.kind).tobytes()
 
     def encode(self, text: str) -> bytes:
-        if not self.by_piece or _ODD.search(text):
+        if not self.by_piece or any(a in text for a in self.added) or _ODD.search(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, self.kind).tobytes()
         memory, out = self.memory, []
         add, get = out.append, memory.get
@@ -114,6 +117,7 @@ def _encoder(source: str) -> Encoder:
 
 _KEY_TEXT = "if(doc_id is null, '', concat('k', doc_id))"
 _FROM_KEY = "if(key = '', null, cast(substr(key, 2) as bigint)) as doc_id"
+_PLACE = ("shard", "number", "last_shard", "last_number", "tokens")
 _KEYS = "part int, file string, keys long, parts int"
 
 
@@ -181,10 +185,12 @@ def write(docs: DataFrame, folder: str | None = None, source: str = "byte_bpe_50
           keys_a_part: int = KEYS_A_PART) -> str:
     """Write shards and index of ``docs`` (doc_id, text); gives the folder.
 
-    Documents lie in ascending order of doc_id (then text); null ids come first
-    and share one key. A null text is an empty one, of which only the end id is
-    written. Repeats of an id are all written; the index finds them together.
-    Other columns are not looked at. An empty table gives no shards.
+    Documents lie in ascending order of doc_id, those of one id by a hash of
+    the text (and then the text), so that an id with very many rows is cut into
+    several shards; null ids come first and share one key. A null text is an
+    empty one, of which only the end id is written. Repeats of an id are all
+    written; the index finds them together. Other columns are not looked at. An
+    empty table gives no shards.
     """
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
@@ -214,8 +220,9 @@ def write(docs: DataFrame, folder: str | None = None, source: str = "byte_bpe_50
             out.close()
             write_whole(f"{folder}/{name}.idx", np.array([*starts, at], "<i8").tobytes())
 
-    ordered = docs.select("doc_id", "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    ordered.mapInArrow(write_shard, _DOC).write.parquet(f"{folder}/documents")
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("nth"))
+    ordered = keyed.repartitionByRange("doc_id", "nth").sortWithinPartitions("doc_id", "nth", "text")
+    ordered.select("doc_id", "text").mapInArrow(write_shard, _DOC).write.parquet(f"{folder}/documents")
     written = spark.read.schema(_DOC).parquet(f"{folder}/documents")
     totals = written.groupBy("shard", "file").agg(F.sum("n").alias("tokens"), F.count("*").alias("documents"))
     base = F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # a row a shard
@@ -229,7 +236,7 @@ def write(docs: DataFrame, folder: str | None = None, source: str = "byte_bpe_50
         perfect = PerfectHash.build(h)
         order = np.argsort(perfect.slots(h))
         levels = {f"level{i}": np.packbits(b) for i, b in enumerate(perfect.bits)}
-        columns = {c: pdf[c].to_numpy()[order] for c in ("shard", "number", "count")}
+        columns = {c: pdf[c].to_numpy()[order] for c in _PLACE}
         data = io.BytesIO()
         np.savez(data, sizes=np.array(perfect.sizes, np.int64), fingerprint=_fingerprint(h)[order], **columns, **levels)
         name = f"keys-{pdf['part'].iloc[0]}-{uuid.uuid4().hex}.npz"
@@ -237,8 +244,11 @@ def write(docs: DataFrame, folder: str | None = None, source: str = "byte_bpe_50
         return pd.DataFrame({"part": [int(pdf["part"].iloc[0])], "file": [name], "keys": [len(pdf)], "parts": [parts]})
 
     keys = (
-        written.groupBy("doc_id").agg(F.min(F.struct("shard", "number")).alias("at"), F.count("*").alias("count"))
-        .select(F.expr(_KEY_TEXT).alias("key"), "at.shard", "at.number", "count", _part(parts).alias("part"))
+        written.groupBy("doc_id").agg(
+            F.min(F.struct("shard", "number")).alias("at"), F.max(F.struct("shard", "number")).alias("upto"), F.sum("n").alias("tokens"))
+        .select(
+            F.expr(_KEY_TEXT).alias("key"), "at.shard", "at.number", F.col("upto.shard").alias("last_shard"),
+            F.col("upto.number").alias("last_number"), "tokens", _part(parts).alias("part"))
     )
     keys.groupBy("part").applyInPandas(write_keys, _KEYS).write.parquet(f"{folder}/keys")
     return folder
@@ -246,11 +256,18 @@ def write(docs: DataFrame, folder: str | None = None, source: str = "byte_bpe_50
 
 # ---- reading
 
-def lookup(keys: DataFrame, folder: str) -> DataFrame:
-    """(doc_id, shard, number, count) of each key in ``keys`` (doc_id) that the index has."""
+def lookup(keys: DataFrame, folder: str, each: int = KEYS_A_PART) -> DataFrame:
+    """(doc_id, shard, number, last_shard, last_number, tokens) of each distinct key in ``keys`` (doc_id) that the index has.
+
+    A task takes neighbouring parts of the index, with about ``each`` keys asked
+    for; a key's part follows from its hash, so that is even. Null ids are a
+    key like others; keys that the index doesn't have give no row.
+    """
     spark = keys.sparkSession
     index = spark.read.schema(_KEYS).parquet(f"{folder}/keys")
     parts = (index.select("parts").head() or [1])[0]
+    wanted = keys.select("doc_id").distinct()
+    tasks = min(parts, max(-(-wanted.count() // each), int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
     def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         have, perfect, slot = None, None, None
@@ -267,25 +284,28 @@ def lookup(keys: DataFrame, folder: str) -> DataFrame:
                 at = perfect.slots(h)
                 ok = (at >= 0) & (slot["fingerprint"][at] == _fingerprint(h))
                 at, rows = at[ok], rows[ok]
-                yield pd.DataFrame({"key": rows["key"], **{c: slot[c][at] for c in ("shard", "number", "count")}})
+                yield pd.DataFrame({"key": rows["key"], **{c: slot[c][at] for c in _PLACE}})
 
-    asked = keys.select(F.expr(_KEY_TEXT).alias("key"), _part(parts).alias("part")).join(
+    asked = wanted.select(F.expr(_KEY_TEXT).alias("key"), _part(parts).alias("part")).join(
         index.select("part", "file"), "part")
     return (
-        asked.select("key", "file").repartition("file").sortWithinPartitions("file")
-        .mapInPandas(find, "key string, shard int, number long, count long")
-        .selectExpr(_FROM_KEY, "shard", "number", "count")
+        asked.select("key", "file", F.floor(F.col("part").cast("long") * tasks / parts).cast("int").alias("task"))
+        .repartitionById(tasks, "task").sortWithinPartitions("file").select("key", "file")
+        .mapInPandas(find, "key string, shard int, number long, last_shard int, last_number long, tokens long")
+        .selectExpr(_FROM_KEY, *_PLACE)
     )
 
 
-def read(places: DataFrame, folder: str, gap: int = 1 << 16, most: int = 1 << 23) -> DataFrame:
+def read(places: DataFrame, folder: str, gap: int = 1 << 16, most: int = 1 << 23, each: int = TASK_BYTES) -> DataFrame:
     """The documents at ``places`` (from lookup): doc_id, start, n, ids (32-bit little-endian bytes).
 
-    ``start`` counts the ids of all documents before it. Places of a shard are
-    read in order, near ones (``gap`` bytes) in one go of ``most`` bytes or a document.
+    ``start`` counts the ids of all documents before it. Places are dealt to
+    tasks by the bytes they stand for (about ``each`` a task, at 4 an id);
+    those of a shard are read in order, near ones (``gap`` bytes) in one go of
+    ``most`` bytes or a document. A place that is asked for twice is read once.
     """
     spark = places.sparkSession
-    shards = spark.read.schema("shard int, file string, base long").parquet(f"{folder}/shards")
+    shards = spark.read.schema("shard int, file string, documents long, base long").parquet(f"{folder}/shards")
 
     def fetch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         have = offsets = data = None
@@ -317,11 +337,16 @@ def read(places: DataFrame, folder: str, gap: int = 1 << 16, most: int = 1 << 23
         if data is not None:
             data.close()
 
-    # distinct: a key that is asked for twice and its repeats are read once
-    return (
-        places.dropDuplicates(["shard", "number"]).join(shards, "shard")
-        .select(F.expr(_KEY_TEXT).alias("key"), "file", "base", "number", "count")
-        .repartition("file").sortWithinPartitions("file", "number")
-        .mapInPandas(fetch, "key string, start long, n long, ids binary")
-        .selectExpr(_FROM_KEY, "start", "n", "ids")
+    # a key's documents lie one after the other; a row for each shard they lie in
+    found = (
+        places.dropDuplicates(["shard", "number"])
+        .select(F.expr(_KEY_TEXT).alias("key"), F.struct(*_PLACE).alias("p"), F.explode(F.sequence("shard", "last_shard")).alias("shard"))
+        .join(shards, "shard")
+        .withColumn("number", F.when(F.col("shard") == F.col("p.shard"), F.col("p.number")).otherwise(0))
+        .withColumn("count", F.when(F.col("shard") == F.col("p.last_shard"), F.col("p.last_number") + 1).otherwise(F.col("documents")) - F.col("number"))
+        .select("key", "file", "base", "number", "count", F.when(F.col("p.shard") == F.col("p.last_shard"), F.col("p.tokens")).alias("tokens"), "documents")
     )
+    # of a key in several shards the part of each isn't known: a middling document for each
+    size = 4 * F.coalesce("tokens", F.col("count") * 512)
+    return dealt(found, "file", "number", size, each).mapInPandas(
+        fetch, "key string, start long, n long, ids binary").selectExpr(_FROM_KEY, "start", "n", "ids")

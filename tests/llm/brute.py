@@ -29,7 +29,6 @@ def op3(docs):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     out, start = {}, 0
     for doc, text in sorted(docs):
         ids = t.encode(text or "", add_special_tokens=False).ids + [2]
