@@ -4,8 +4,10 @@ A rolling hash of the last seven bytes decides where chunks end: a chunk ends
 where the hash is block size - 1 modulo the block size. Each chunk gives one
 letter from a hash of its bytes. A fingerprint is ``block:letters:letters``,
 with the letters at the block size and at twice of it. The block size is the
-smallest of 3, 6, 12, ... at which about LETTERS letters are enough for the
-text, and is halved while it gives fewer than half of those.
+smallest of 3, 6, 12, ... at which the text has at most LETTERS chunks, so
+every letter stands for one chunk and no part of a text goes uncounted. (The
+ends of chunks at a block size are among those at half of it, so there are
+fewer at each step.)
 
 Two fingerprints are compared at the block sizes that both have (equal ones,
 or one twice the other): likeness is 1 - edit distance / total letters, with
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import TASK_BYTES, stored
 
 LETTERS = 64
 LEAST_BLOCK = 3
@@ -37,6 +39,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PIECE = 1 << 20
 TURN = 256
+RANGES = 10_000
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -54,7 +57,7 @@ def _rolling(data: np.ndarray) -> np.ndarray:
     h = np.zeros(len(data), np.uint64)
     for back in range(min(WINDOW, len(data))):
         h[back:] += data[: len(data) - back].astype(np.uint64) * np.uint64(pow(31, back * 3 + 1, 1 << 32))
-    return ((h * _MIX) >> np.uint64(32)).astype(np.int64)
+    return ((h * _MIX) >> np.uint64(32)).astype(np.uint32)
 
 
 def _chunk_hashes(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
@@ -78,29 +81,31 @@ def _chunk_hashes(data: np.ndarray, ends: np.ndarray) -> np.ndarray:
     return out
 
 
-def _letters(data: np.ndarray, rolled: np.ndarray, block: int) -> bytes:
-    ends = np.flatnonzero(rolled % block == block - 1) + 1
-    if not len(ends) or ends[-1] != len(data):
-        ends = np.append(ends, len(data))
-    if len(ends) > LETTERS:  # what is left over is one chunk
-        ends = np.append(ends[: LETTERS - 1], len(data))
-    h = _chunk_hashes(data, ends)
-    return _ALPHABET[((h ^ (h >> np.uint64(29))) * _MIX >> np.uint64(58)).astype(np.int64)].tobytes()
+def _letters(data: np.ndarray, ends: np.ndarray) -> str:
+    h = _chunk_hashes(data, ends if len(ends) and ends[-1] == len(data) else np.append(ends, len(data)))
+    return _ALPHABET[((h ^ (h >> np.uint64(29))) * _MIX >> np.uint64(58)).astype(np.int64)].tobytes().decode()
 
 
 def fingerprint(text: str | None) -> str:
     """``block:letters:letters``; of null and empty texts ``3::``."""
     data = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
-    block = LEAST_BLOCK
-    if not len(data):
+    size, block = len(data), LEAST_BLOCK
+    if not size:
         return f"{block}::"
-    while block * LETTERS < len(data):
-        block *= 2
     rolled = _rolling(data)
-    # chunks per block size, the leftover included
-    while block > LEAST_BLOCK and np.count_nonzero(rolled % block == block - 1) + 1 < LETTERS // 2:
+    marks = lambda at, block: at[rolled[at - 1] % np.uint32(block) == block - 1]
+    many = lambda ends: len(ends) + (not len(ends) or int(ends[-1]) != size) > LETTERS
+    while block * LETTERS * 2 < size:  # chunks are as long as a block on average: about where to begin
+        block *= 2
+    everywhere = lambda block: np.flatnonzero(rolled % np.uint32(block) == block - 1) + 1
+    ends = everywhere(block)
+    while block > LEAST_BLOCK and not many(ends):
         block //= 2
-    return f"{block}:{_letters(data, rolled, block).decode()}:{_letters(data, rolled, 2 * block).decode()}"
+        ends = everywhere(block)
+    while many(ends):
+        block *= 2
+        ends = marks(ends, block)
+    return f"{block}:{_letters(data, ends)}:{_letters(data, marks(ends, 2 * block))}"
 
 
 def _alike(a: str, b: str) -> float:
@@ -154,41 +159,58 @@ def compare(a, b):
 def _in_turn(docs: DataFrame, each: int) -> DataFrame:
     """(key, text, part, tail) in ranges of descending ids, each sorted in one task.
 
-    The ids are cut into ranges of about ``each`` rows (the ends come from
-    quantiles, one number a range). The first row of a range also goes to the
-    end of the range before it (tail 1), as what comes next there; that of the
-    first range goes to the last. So each text is dealt once, and one row of
-    each range twice. Keys are ids as text, empty for null.
+    The ids are cut into ranges of about ``each`` bytes of text, at most
+    ``RANGES`` of them (they grow beyond): every text gives its id once for
+    each multiple of a unit of bytes that falls into it, so that quantiles of
+    these ids are quantiles of bytes, whose number depends on the ranges only.
+    A range is a task. The first row of a range also goes to the end of the
+    range before it (tail 1), as what comes next there; that of the first range
+    goes to the last. So each text is dealt once, and one row of each range
+    twice. Rows that share an id stand in the order of a hash of their text
+    (then of the text); null ids come last and are cut by that hash. Keys are
+    ids as text, empty for null.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
-    ids = docs.select("doc_id")
-    rows = ids.count()
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
-    wanted = [i / parts for i in range(1, parts)]
-    cuts = ids.stat.approxQuantile("doc_id", wanted, 0.25 / parts) if wanted and rows else []
+    docs = docs.withColumn("nth", F.xxhash64("text"))
+    sizes = stored(docs.select("doc_id", "nth", F.octet_length("text").cast("long").alias("bytes")), "sizes")
+    have = sizes.agg(F.sum("bytes").alias("all"), F.sum(F.when(F.col("doc_id").isNull(), F.col("bytes"))).alias("none")).head()
+    total = max(1, have["all"] or 0)
+    ranges = min(RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // each)))
+    loose = max(1, (have["none"] or 0) * ranges // total)  # ranges of null ids
+    unit = max(1, total // (ranges * 256))
+    phase = F.pmod(F.xxhash64("doc_id", "nth"), F.lit(unit))
+    marks = sizes.where("doc_id is not null").select(
+        F.explode(F.array_repeat("doc_id", F.floor((F.col("bytes") + phase) / unit).cast("int"))).alias("id"))
+    wanted = [i / ranges for i in range(1, ranges)]
+    cuts = marks.stat.approxQuantile("id", wanted, 0.25 / ranges) if wanted else []
     edges = np.array(sorted({int(c) for c in cuts}), np.int64)
+    ranges = len(edges) + 1 + loose
 
     @F.pandas_udf("int")
-    def part_of(ids: pd.Series) -> pd.Series:
-        """0 for the largest ids; null ids in a range of their own."""
-        have = ids.notna().to_numpy()
-        at = np.full(len(ids), len(edges) + 1, np.int32)
-        at[have] = len(edges) - np.searchsorted(edges, ids[have].astype("int64").to_numpy(), "left")
-        return pd.Series(at)
-
-    dealt = docs.withColumn("part", part_of("doc_id"))
-    # the first row of each range that has rows: its id, and the range before it (of the first: the last)
-    firsts = dealt.groupBy("part").agg(F.max("doc_id").alias("top"))
+    def part_of(ids: pd.Series, nth: pd.Series) -> pd.Series:
+        """0 for the largest ids; null ids in ranges of their own."""
+        known = ids.notna().to_numpy()
+        at = (len(edges) + 1 + np.floor((nth.to_numpy() / 2.0**64 + 0.5) * loose)).astype(np.int32)
+        at[known] = len(edges) - np.searchsorted(edges, ids[known].astype("int64").to_numpy(), "left")
+        return pd.Series(np.minimum(at, ranges - 1), dtype="int32")
+
+    # the first row of each range that has rows, and the range before it (of the first: the last)
+    first = F.min_by(F.struct("doc_id", "nth"), F.struct(F.col("doc_id").isNull(), -F.col("doc_id"), "nth"))
+    firsts = sizes.groupBy(part_of("doc_id", "nth").alias("part")).agg(first.alias("top"))
     around = Window.orderBy("part")  # a row a range
     everything = around.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = stored(firsts.select(
         "part", "top", F.coalesce(F.lag("part").over(around), F.max("part").over(everything)).alias("before")), "heads")
     own = F.struct("part", F.lit(0).alias("tail"))
-    copies = F.when(F.col("doc_id").eqNullSafe(F.col("top")), F.array(own, F.struct(F.col("before").alias("part"), F.lit(1).alias("tail")))).otherwise(F.array(own))
-    spread = dealt.join(heads, "part").select("doc_id", "text", F.explode(copies).alias("to")).select("doc_id", "text", "to.part", "to.tail")
+    is_top = F.struct("doc_id", "nth").eqNullSafe(F.col("top"))
+    copies = F.when(is_top, F.array(own, F.struct(F.col("before").alias("part"), F.lit(1).alias("tail")))).otherwise(F.array(own))
+    spread = docs.withColumn("part", part_of("doc_id", "nth")).join(heads, "part").select(
+        "doc_id", "nth", "text", F.explode(copies).alias("to")).select("doc_id", "nth", "text", "to.part", "to.tail")
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("key")
-    return spread.repartition(parts, "part").sortWithinPartitions("part", "tail", F.desc_nulls_last("doc_id"), "text").select(key, "text", "part", "tail")
+    return (
+        spread.repartitionById(ranges, "part")
+        .sortWithinPartitions("part", "tail", F.desc_nulls_last("doc_id"), "nth", "text").select(key, "text", "part", "tail"))
 
 
 def _follow(batches: Iterator[pa.RecordBatch], take) -> Iterator[pa.RecordBatch]:
@@ -210,12 +232,14 @@ def _follow(batches: Iterator[pa.RecordBatch], take) -> Iterator[pa.RecordBatch]
 _ID = "if(key = '', null, cast(key as bigint)) as doc_id"
 
 
-def with_next(docs: DataFrame, each: int = 4096) -> DataFrame:
+def with_next(docs: DataFrame, each: int = TASK_BYTES) -> DataFrame:
     """Each row of (doc_id, text) beside the next one's text, in descending order of doc_id.
 
     Rows: doc_id, text, next_text; the last has the first's, a single row its
-    own. Repeated ids are ordered by text; null ids come last; null texts are
-    empty ones.
+    own. Repeated ids stand in the order of a hash of their text (then of the
+    text), null ids behind all others likewise; null texts are empty ones;
+    repeated rows follow each other. ``each`` is the bytes of text a task
+    takes. An empty table gives no rows; other columns are not looked at.
     """
 
     def pairs(met):
@@ -235,12 +259,14 @@ def edited(text: str | None, following: str | None) -> str:
     return text[: len(text) - n] + (following or "")[:n]
 
 
-def edit_study(docs: DataFrame, each: int = 4096) -> DataFrame:
+def edit_study(docs: DataFrame, each: int = TASK_BYTES) -> DataFrame:
     """Fingerprints of each text and of its edited text, and their likeness; also the likeness to the next text's.
 
     Rows: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint,
-    near_edited, near_next. Order and nulls are as in with_next. Texts stay in
-    the task that sorts them, only the results leave it.
+    near_edited, near_next. Order, nulls, repeats and the empty table are as in
+    with_next; a single row's next is itself; the last row's is the first. Texts
+    of any length are taken whole and stay in the task that sorts them, only
+    the results leave it.
     """
     schema = pa.schema([("key", pa.string()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()),
                         ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64())])

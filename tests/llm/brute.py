@@ -117,3 +117,113 @@ def op9(docs):
     for d, f in prints.items():
         least[root(f)] = min(least.get(root(f), d), d)
     return {d: (f"{f:016x}", least[root(f)]) for d, f in prints.items()}
+
+
+def fuzzy(text):
+    """Chunk by chunk, byte by byte; constants as in the module's description."""
+    data, mix, base, full = (text or "").encode(), 0xD6E8FEB86659FD93, 0x9E3779B97F4A7C15, (1 << 64) - 1
+    if not data:
+        return "3::"
+    weight = [pow(31, 3 * back + 1, 1 << 32) for back in range(7)]
+    rolled = [(sum(data[i - back] * weight[back] for back in range(min(7, i + 1))) * mix & full) >> 32 for i in range(len(data))]
+
+    def chunks(block):
+        out, chunk = [], b""
+        for x, r in zip(data, rolled):
+            chunk += bytes([x])
+            if r % block == block - 1:
+                out.append(chunk)
+                chunk = b""
+        return out + [chunk] * bool(chunk)
+
+    def letters(block):
+        out = ""
+        for c in chunks(block):
+            h, power = 0, 1
+            for x in c:
+                h, power = h + (x + 1) * power & full, power * base & full
+            h = (h ^ h >> 29) * mix & full
+            out += "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"[h >> 58]
+        return out
+
+    block = 3
+    while len(chunks(block)) > 64:
+        block *= 2
+    return f"{block}:{letters(block)}:{letters(2 * block)}"
+
+
+def edit_share(a, b):
+    """1 - insertions and deletions by total length."""
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a):
+        new = [i + 1]
+        for j, y in enumerate(b):
+            new.append(row[j] if x == y else 1 + min(row[j + 1], new[j]))
+        row = new
+    return 1 - row[-1] / (len(a) + len(b)) if a or b else 1.0
+
+
+def fuzzy_likeness(a, b):
+    (x, x1, x2), (y, y1, y2) = a.split(":"), b.split(":")
+    x, y = int(x), int(y)
+    out = 1.0 if a == b else 0.0
+    if x == y:
+        out = max(out, edit_share(x1, y1), edit_share(x2, y2))
+    if x == 2 * y:
+        out = max(out, edit_share(x1, y2))
+    if y == 2 * x:
+        out = max(out, edit_share(x2, y1))
+    return out
+
+
+def op6(docs):
+    """{doc_id: (n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next)}"""
+    docs = sorted(docs, reverse=True)
+    known, out = {}, {}
+
+    def fp(t):
+        if t not in known:
+            known[t] = fuzzy(t)
+        return known[t]
+
+    for i, (doc, text) in enumerate(docs):
+        text, then = text or "", docs[(i + 1) % len(docs)][1] or ""
+        n = len(text) // 3
+        new = text[: len(text) - n] + then[:n]
+        out[doc] = (len(text), sha(new), fp(text), fp(new), fuzzy_likeness(fp(text), fp(new)), fuzzy_likeness(fp(text), fp(then)))
+    return out
+
+
+def quality_features(text, n_chars=None):
+    """{bucket: value} of the words, and the list of statistics and metadata, one thing at a time."""
+    import math
+    from collections import Counter
+
+    words, total = Counter(text.split()), max(1, len(text.split()))
+    by_bucket = Counter()
+    for w, c in words.items():
+        by_bucket[zlib.crc32(w.lower().encode()) % 8192] += c
+    norm = math.sqrt(sum(math.log(1 + c) ** 2 for c in by_bucket.values())) or 1
+    n, lines, ascii_marks = max(1, len(text)), text.split("\n"), set("!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~")
+    share = lambda ok: sum(map(ok, text)) / n
+    stats = [
+        share(lambda c: "A" <= c <= "Z"), share(lambda c: "0" <= c <= "9"), share(lambda c: c in ascii_marks), share(lambda c: c == " "),
+        share(lambda c: ord(c) >= 128), math.log(1 + n / total) / 3, len(words) / total, max(words.values(), default=0) / total,
+        len(set(lines)) / len(lines), math.log(1 + n / len(lines)) / 8, text.count("|") / total,
+        len(re.findall(r"([!?*#$%&|+=~^<>_-])\1", text)) / total, sum(text.count(c) for c in "!.?") / total, math.log(1 + n) / 10, 1 / (1 + total)]
+    meta = len(text) if n_chars is None else n_chars
+    return {b: math.log(1 + c) / norm for b, c in by_bucket.items()}, [*stats, math.log(1 + meta) / 10, math.log((1 + meta) / (1 + len(text)))]
+
+
+def machine_raw(m, pairs):
+    """Score of [(place, value)] with every pair written out."""
+    out = m.bias + sum(m.linear[i] * x for i, x in pairs)
+    for k, (i, x) in enumerate(pairs):
+        for j, y in pairs[:k]:
+            out += float(m.factors[i] @ m.factors[j]) * x * y
+    return out
+
+
+def toxic_ngrams(text):
+    t = f" {(text or '').lower()} "
+    return {t[i : i + n] for n in (3, 4, 5, 6) for i in range(len(t) - n + 1)}
