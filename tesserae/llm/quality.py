@@ -1,8 +1,8 @@
 """Text quality by a factorisation machine.
 
 Features of a text are its hashed words (each with log(1 + count), scaled so
-that a text's words have length 1), statistics of its structure, and its
-length. The machine adds to a linear score the interactions of all pairs of
+that a text's words have length 1), statistics of its structure, and the
+table's n_chars as metadata, by itself and against the text's own length. The machine adds to a linear score the interactions of all pairs of
 features, each the product of the two features' vectors of FACTORS numbers.
 By the identity sum of pairs = (square of sum - sum of squares) / 2 that takes
 time in proportion to the text's features, not their pairs.
@@ -32,6 +32,8 @@ MAX_TRAIN = 6000
 THRESHOLD = 0.3
 FOLD, FOLDS = 0, 5
 MEMORY = 400_000
+METADATA = 2
+SLICE = 1 << 19
 
 STATS = (
     "upper", "digits", "marks", "spaces", "other", "word_length", "distinct_words", "top_word", "distinct_lines",
@@ -53,8 +55,8 @@ def _bucket(word: str) -> int:
 def stats(text: str, words: Counter) -> list[float]:
     """Shares and logarithms of the text's structure, about 0 to 2 each."""
     n, total = max(1, len(text)), max(1, sum(words.values()))
-    raw = np.frombuffer(text.encode("latin-1", "replace"), np.uint8)
-    kinds = np.bincount(raw, minlength=256)
+    codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds = np.bincount(np.minimum(codes, 128), minlength=129)  # 128: everything beyond ASCII
     lines = text.split("\n")
     return [
         float(kinds[65:91].sum()) / n, float(kinds[48:58].sum()) / n,
@@ -81,7 +83,7 @@ def features(text: str | None, n_chars: float | None = None) -> tuple[np.ndarray
     x = np.log1p(np.fromiter(count.values(), np.float64, len(count)))
     x /= max(1e-9, np.sqrt((x * x).sum()))
     meta = len(text) if n_chars is None or n_chars != n_chars else max(0.0, n_chars)
-    rest = np.array([*stats(text, words), np.log1p(meta) / 10])
+    rest = np.array([*stats(text, words), np.log1p(meta) / 10, np.log((1 + meta) / (1 + len(text)))])
     return np.concatenate([at, BUCKETS + np.arange(len(rest))]), np.concatenate([x, rest])
 
 
@@ -91,19 +93,48 @@ class Machine:
     linear: np.ndarray
     factors: np.ndarray
 
-    def raw(self, at: np.ndarray, x: np.ndarray) -> float:
+    def raw(self, rows: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """Scores of a batch before the logistic function, about SLICE features at a time."""
+        out, sizes = np.empty(len(rows)), np.array([len(r[0]) for r in rows])
+        cuts = np.searchsorted(np.cumsum(sizes), np.arange(0, sizes.sum() + SLICE, SLICE), "left")
+        for a, b in zip(cuts, [*cuts[1:], len(rows)], strict=True):
+            if a < b:
+                out[a:b] = self._batch(rows[a:b])[0]
+        return out
+
+    def _batch(self, rows):
+        """(scores, places, values, begins, v * x of each feature, their sums a row)."""
+        at, x = np.concatenate([r[0] for r in rows]), np.concatenate([r[1] for r in rows])
+        begins = np.cumsum([0, *[len(r[0]) for r in rows[:-1]]])
         v = self.factors[at] * x[:, None]
-        s = v.sum(0)
-        return float(self.bias + self.linear[at] @ x + 0.5 * (s @ s - (v * v).sum()))
+        s = np.add.reduceat(v, begins)
+        z = self.bias + np.add.reduceat(self.linear[at] * x, begins) + 0.5 * ((s * s).sum(1) - np.add.reduceat((v * v).sum(1), begins))
+        return z, at, x, begins, v, s
 
-    def score(self, text: str | None, n_chars: float | None = None) -> float:
-        return float(1 / (1 + np.exp(-np.clip(self.raw(*features(text, n_chars)), -30, 30))))
+    def gradient(self, rows, y: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """(places, linear, factors, bias): of the mean log loss of the batch, at the places it has."""
+        z, at, x, begins, v, s = self._batch(rows)
+        err = (logistic(z) - y) / len(y)
+        sizes = np.diff(np.append(begins, len(at)))
+        e = np.repeat(err, sizes)
+        places, inverse = np.unique(at, return_inverse=True)
+        # d pairs / d factor = x * (sum of all v * x - own v * x)
+        each = (e * x)[:, None] * (np.repeat(s, sizes, axis=0) - v)
+        factors = np.stack([np.bincount(inverse, each[:, f]) for f in range(FACTORS)], 1)
+        return places, np.bincount(inverse, e * x), factors, float(err.sum())
+
+    def score(self, texts: list[str | None], n_chars: list[float | None]) -> np.ndarray:
+        return logistic(self.raw([features(t, n) for t, n in zip(texts, n_chars, strict=True)]))
+
+
+def logistic(z: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
 def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.05,
         l2: float = 1e-5, seed: int = 7) -> Machine:
     """Adagrad on mini-batches; without both classes, the machine is the smoothed base rate."""
-    size, rng = BUCKETS + len(STATS) + 1, np.random.default_rng(seed)
+    size, rng = BUCKETS + len(STATS) + METADATA, np.random.default_rng(seed)
     y = np.asarray(y, np.float64)
     base = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5))) if len(y) else 0.0
     m = Machine(base, np.zeros(size), rng.normal(0, 0.05, (size, FACTORS)))
@@ -115,25 +146,14 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, epochs: int =
         order = rng.permutation(len(y))
         for k in range(0, len(order), batch):
             part = order[k : k + batch]
-            at = np.concatenate([rows[i][0] for i in part])
-            x = np.concatenate([rows[i][1] for i in part])
-            ends = np.cumsum([len(rows[i][0]) for i in part])
-            starts = np.concatenate([[0], ends[:-1]])
-            v = m.factors[at] * x[:, None]
-            s = np.add.reduceat(v, starts)
-            z = m.bias + np.add.reduceat(m.linear[at] * x, starts) + 0.5 * ((s * s).sum(1) - np.add.reduceat((v * v).sum(1), starts))
-            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[part]) / len(part)
-            e = np.repeat(err, ends - starts)
-            uniq, inverse = np.unique(at, return_inverse=True)
-            dw = np.bincount(inverse, e * x) + l2 * m.linear[uniq]
-            each = (e * x)[:, None] * (np.repeat(s, ends - starts, axis=0) - v)
-            dv = np.stack([np.bincount(inverse, each[:, f]) for f in range(FACTORS)], 1) + l2 * m.factors[uniq]
-            gw[uniq] += dw * dw
-            gv[uniq] += dv * dv
-            gb += err.sum() ** 2
-            m.linear[uniq] -= rate * dw / np.sqrt(gw[uniq])
-            m.factors[uniq] -= rate * dv / np.sqrt(gv[uniq])
-            m.bias -= rate * err.sum() / gb**0.5
+            at, dw, dv, db = m.gradient([rows[i] for i in part], y[part])
+            dw, dv = dw + l2 * m.linear[at], dv + l2 * m.factors[at]
+            gw[at] += dw * dw
+            gv[at] += dv * dv
+            gb += db * db
+            m.linear[at] -= rate * dw / np.sqrt(gw[at])
+            m.factors[at] -= rate * dv / np.sqrt(gv[at])
+            m.bias -= rate * db / gb**0.5
     return m
 
 
@@ -141,18 +161,22 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mac
     """Fit on at most ``max_train`` labelled documents outside the held-out fold.
 
     Only text and n_chars make features; lang, source, ids and labels don't.
+    The sample is taken and sorted by hashes and ids, so the machine is the
+    same in each run. Null texts are empty ones; labels without an id, without
+    a value or without a document don't count; without both classes (so for
+    empty tables) the machine gives the base rate.
     """
     chosen = bounded_labels(labels, "quality", FOLD, FOLDS, max_train)
 
     def made(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             got = [features(t, n) for t, n in zip(pdf["text"], pdf["n_chars"], strict=True)]
-            yield pd.DataFrame({"y": pdf["y"], "at": [a.astype(np.int32).tobytes() for a, _ in got],
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "at": [a.astype(np.int32).tobytes() for a, _ in got],
                                 "x": [x.astype(np.float32).tobytes() for _, x in got]})
 
     got = (
         docs.select("doc_id", "text", F.col("n_chars").cast("double")).join(F.broadcast(chosen), "doc_id")
-        .mapInPandas(made, "y int, at binary, x binary").limit(max_train)
+        .mapInPandas(made, "doc_id long, y int, at binary, x binary").orderBy("doc_id", "at", "x").limit(max_train)
     )
     rows, y = [], []
     for r in got.toLocalIterator():
@@ -171,8 +195,7 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
 
     @F.pandas_udf("double")
     def quality(texts: pd.Series, n_chars: pd.Series) -> pd.Series:
-        m = shared.value
-        return pd.Series([m.score(t, n) for t, n in zip(texts, n_chars, strict=True)], dtype="float64")
+        return pd.Series(shared.value.score(texts.tolist(), n_chars.tolist()), dtype="float64")
 
     out = docs.withColumn("score", quality("text", F.col("n_chars").cast("double")))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))
