@@ -114,10 +114,12 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
     The labels' side has at most ``max_train`` rows, which bounds the broadcast.
     N-grams are counted where the texts are and summed by Spark; the driver
     gets the chosen ones (at most 2**BITS) and, in a second pass over the
-    sample, which of them each document has. A null text is an empty one.
+    sample, which of them each document has. A null text is an empty one;
+    labels without an id, a value or a document don't count; without both
+    classes (so for empty tables) the model gives the base rate.
     """
     chosen = bounded_labels(labels, "toxic", FOLD, FOLDS, max_train)
-    sample = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("y", "text").limit(max_train), "sample")
+    sample = stored(docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").limit(max_train), "sample")
     sizes = sample.agg(F.sum("y").alias("pos"), F.count("*").alias("all")).head()
     n_pos, n_all = int(sizes["pos"] or 0), int(sizes["all"])
 
@@ -144,9 +146,10 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = MAX_TRAIN) -> Mod
 
     def chosen_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            yield pd.DataFrame({"y": pdf["y"], "x": [np.intersect1d(features(t), shared.value, True).astype(np.int32).tobytes() for t in pdf["text"]]})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "y": pdf["y"], "x": [np.intersect1d(features(t), shared.value, True).astype(np.int32).tobytes() for t in pdf["text"]]})
 
-    rows = spread.mapInPandas(chosen_of, "y int, x binary").toArrow()
+    # sorted, so that sums are made in the same order in each run
+    rows = spread.mapInPandas(chosen_of, "doc_id long, y int, x binary").toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])
     return fit([np.frombuffer(x.as_py(), np.int32) for x in rows.column("x")], rows.column("y").to_numpy(), buckets, ratios)
 
 
@@ -173,6 +176,10 @@ def held_out() -> Column:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier doesn't call toxic, with their own columns."""
+    """The documents that the classifier doesn't call toxic, with their own columns.
+
+    Each row is judged by itself: repeats go or stay together, a null text is
+    an empty one, columns of any names stay as they are, an empty table stays so.
+    """
     scored = score(docs.select(F.struct(*docs.columns).alias("row"), "text"), train(docs, labels))
     return scored.where("predicted = 0").select("row.*")

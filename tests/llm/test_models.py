@@ -1,6 +1,7 @@
 """Classifiers by held-out accuracy, licences by SQL, the pipeline by its stages."""
 
 import sys
+import zlib
 from pathlib import Path
 
 import duckdb
@@ -44,12 +45,109 @@ def test_classifier_odd(spark, module):
     assert module.score(docs.limit(0), model).count() == 0
 
 
+def some_texts(spark, sf, n):
+    return [r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").orderBy("doc_id").limit(n).collect()]
+
+
+def test_quality_features_plain(spark, small):
+    russian = "Мы видим большой город. Он стоит у реки! Где он?"
+    for text in [*some_texts(spark, small, 60), "", russian, "word " * 5000, "a|b\na|b\n!!??"]:
+        for n in (None, 17.0):
+            at, x = quality.features(text, n)
+            words, rest = brute.quality_features(text, n)
+            assert {int(i): v for i, v in zip(at, x) if i < quality.BUCKETS} == pytest.approx(words)
+            assert list(x[at >= quality.BUCKETS]) == pytest.approx(rest) and len(rest) == len(quality.STATS) + quality.METADATA
+    got = dict(zip(quality.STATS, quality.features(russian)[1][-len(quality.STATS) - quality.METADATA :], strict=False))
+    assert got["other"] > 0.7 and got["marks"] < 0.1 and got["sentence_ends"] < 1
+
+
 def test_machine_sums_pairs():
     rng = np.random.default_rng(1)
     m = quality.Machine(0.3, rng.normal(size=50), rng.normal(size=(50, quality.FACTORS)))
-    at, x = np.array([3, 7, 20, 41]), rng.normal(size=4)
-    slow = 0.3 + m.linear[at] @ x + sum(m.factors[at[i]] @ m.factors[at[j]] * x[i] * x[j] for i in range(4) for j in range(i))
-    assert abs(m.raw(at, x) - slow) < 1e-9
+    rows = [(at, rng.normal(size=len(at))) for at in (np.array([3, 7, 20, 41]), np.array([7]), np.array([49, 0, 3]))]
+    slow = [brute.machine_raw(m, list(zip(*r, strict=True))) for r in rows]
+    assert np.allclose(m.raw(rows), slow)
+    quality_slice, quality.SLICE = quality.SLICE, 2
+    try:
+        assert np.allclose(m.raw(rows), slow)
+    finally:
+        quality.SLICE = quality_slice
+
+
+def test_machine_gradient_is_the_slope():
+    """Each part of the gradient against the loss a little to either side."""
+    rng = np.random.default_rng(4)
+    m = quality.Machine(0.1, rng.normal(size=12), rng.normal(size=(12, quality.FACTORS)))
+    rows, y = [(np.array([1, 4, 9]), rng.normal(size=3)), (np.array([4, 5]), rng.normal(size=2))], np.array([1.0, 0.0])
+
+    def loss():
+        p = [1 / (1 + np.exp(-brute.machine_raw(m, list(zip(*r, strict=True))))) for r in rows]
+        return -sum(b * np.log(a) + (1 - b) * np.log(1 - a) for a, b in zip(p, y, strict=True)) / len(y)
+
+    def slope(array, i):
+        kept, h = array[i], 1e-5
+        array[i] = kept + h
+        up = loss()
+        array[i] = kept - h
+        down = loss()
+        array[i] = kept
+        return (up - down) / (2 * h)
+
+    at, linear, factors, _ = m.gradient(rows, y)
+    assert at.tolist() == [1, 4, 5, 9]
+    assert np.allclose(linear, [slope(m.linear, i) for i in at], atol=1e-6)
+    assert np.allclose(factors, [[slope(m.factors, (i, f)) for f in range(quality.FACTORS)] for i in at], atol=1e-6)
+
+
+def bucket_of(gram):
+    """The bucket of one n-gram by itself."""
+    h, mix, full = ord(gram[0]), 0x9E3779B97F4A7C15, (1 << 64) - 1
+    for c in gram[1:]:
+        h = (h * mix & full) ^ (h >> 29) ^ ord(c)
+    return (h * mix & full) >> (64 - toxicity.BITS)
+
+
+def test_toxic_ngrams_plain(spark, small):
+    for text in [*some_texts(spark, small, 40), "", "Größe ßß", "x"]:
+        assert set(toxicity.features(text).tolist()) == {bucket_of(g) for g in brute.toxic_ngrams(text)}
+    long = "ab c" * (toxicity.SLICE // 2)
+    assert len(toxicity.features(long)) == len(brute.toxic_ngrams("ab c" * 20))
+
+
+def test_toxic_ratios_plain(spark):
+    """Counts, ratios and the choice of n-grams against plain ones, on texts of few letters."""
+    texts = [("bad bad word", 1), ("a bad day", 1), ("so bad", 1), ("good day", 0), ("a good word", 0), ("good", 0)] * 4
+    known = [(t, y) for i, (t, y) in enumerate(texts) if zlib.crc32(str(i).encode()) % 4 != 2]
+    pos, neg = {}, {}
+    for t, y in known:
+        for g in brute.toxic_ngrams(t):
+            (pos if y else neg)[g] = (pos if y else neg).get(g, 0) + 1
+    n_pos = sum(y for _, y in known)
+    n_neg = len(known) - n_pos
+    want = set()
+    for g in pos.keys() | neg.keys():
+        p, q = pos.get(g, 0), neg.get(g, 0)
+        ratio = np.log((p + 1) / (n_pos + 2)) - np.log((q + 1) / (n_neg + 2))
+        if p + q >= toxicity.MIN_DOCS and abs(ratio) >= toxicity.MIN_RATIO:
+            want.add(bucket_of(g))
+            assert toxicity.chosen_buckets(np.array([p]), np.array([q]), n_pos, n_neg)[1][0] == pytest.approx(ratio)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(texts)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(texts)], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels)
+    assert set(np.flatnonzero(model.weights).tolist()) == want
+    # a score is the sum of the weights of the n-grams that a text has
+    for t in ("very bad", "very good", "bad good"):
+        z = model.bias + sum(float(model.weights[b]) for b in {bucket_of(g) for g in brute.toxic_ngrams(t)})
+        assert model.score(t) == pytest.approx(1 / (1 + np.exp(-z)))
+    assert model.score("very bad") > 0.5 > model.score("very good")
+
+
+def test_models_are_reproducible(spark, small):
+    docs, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels"))
+    for module in (toxicity, quality):
+        a = module.train(docs, labels)
+        b = module.train(docs.repartition(7), labels.repartition(3))
+        assert all(np.array_equal(x, y) for x, y in zip(vars(a).values(), vars(b).values(), strict=True))
 
 
 def test_licences_sql(spark, small):
