@@ -3,8 +3,10 @@
 Every version of a text is content-addressed (SHA-256 of its UTF-8). The
 ledger, two Parquet tables in one folder, remembers which (blob, rule, rule
 version) have been scanned and what was found. A run looks up all blobs of its
-input, scans each blob once under those rules only that the ledger hasn't seen
-for it, appends to the ledger, and joins the findings back to all paths.
+input by their digests alone, takes the texts of those only that the ledger
+hasn't seen under some rule, scans each of them once under these rules, appends
+to the ledger, and joins the findings back to all paths. A run that meets
+nothing new moves no text.
 
 A run writes its findings before its marks in the ledger, so a run that dies
 between leaves findings only, which the next run writes again and readers drop
@@ -26,6 +28,7 @@ from pyspark.sql import functions as F
 from .common import new_folder, stored
 
 SCANNED = "blob string, rule string, version int"
+BROADCAST_BLOBS = 100_000
 FOUND = "blob string, rule string, version int, start long, end long"
 
 
@@ -141,8 +144,12 @@ def scan(versions: DataFrame, ledger: str | None = None, path: str = "doc_id", t
     ``spans`` is an array of (start, no, end, rule), sorted, with ``no`` the
     place of the rule in ``rules``; empty where nothing is found. A null text
     is an empty blob. Repeated rows and null paths each keep their row; other
-    columns are not looked at. Without a ``ledger`` folder the run has one of
-    its own.
+    columns are not looked at; an empty table has no findings. Without a
+    ``ledger`` folder the run has one of its own.
+
+    Up to BROADCAST_BLOBS unseen blobs (about 15 MB of digests) go to the
+    texts, so that only unseen texts are shuffled. Beyond, the texts' first
+    copies go to the digests.
     """
     spark = versions.sparkSession
     ledger = ledger or new_folder(spark, "ledger")
@@ -155,12 +162,16 @@ def scan(versions: DataFrame, ledger: str | None = None, path: str = "doc_id", t
         _read(spark, f"{ledger}/scanned", SCANNED)
         .groupBy("blob").agg(F.collect_set(F.struct("rule", "version")).alias("done"))  # at most as many as rule versions
     )
-    pending = (
-        content.select(blob, "text").groupBy("blob").agg(F.first("text").alias("text"))
-        .join(done, "blob", "left")
+    pending = stored(
+        paths.select("blob").distinct().join(done, "blob", "left")
         .withColumn("todo", F.array_except(asked, F.coalesce("done", F.array().cast("array<struct<rule:string,version:int>>"))))
-        .where(F.size("todo") > 0)
-    )
+        .where(F.size("todo") > 0).select("blob", "todo"), "pending")
+    unseen = pending.count()
+    texts, first = content.select(blob, "text"), F.first("text").alias("text")
+    if unseen <= BROADCAST_BLOBS:
+        fresh = texts.join(F.broadcast(pending), "blob").groupBy("blob").agg(first, F.first("todo").alias("todo"))
+    else:
+        fresh = texts.groupBy("blob").agg(first).join(pending, "blob")
 
     def scan_blobs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known = {(r.name, r.version): r for r in rules}
@@ -173,15 +184,16 @@ def scan(versions: DataFrame, ledger: str | None = None, path: str = "doc_id", t
                             [(n, versions_of[n], a, z) for n, a, z in find(t, tuple(known[k] for k in todo))]))
             yield pd.DataFrame(out, columns=["blob", "rules", "versions", "found"])
 
-    scanned = stored(
-        pending.select("blob", "text", "todo").mapInPandas(
-            scan_blobs,
-            "blob string, rules array<string>, versions array<int>, "
-            "found array<struct<rule: string, version: int, start: long, end: long>>"), "scanned")
-    scanned.select("blob", F.explode("found").alias("f")).select("blob", "f.*").write.mode("append").parquet(f"{ledger}/found")
-    scanned.select("blob", F.explode(F.arrays_zip("rules", "versions")).alias("r")).select(
-        "blob", F.col("r.rules").alias("rule"), F.col("r.versions").alias("version")
-    ).write.mode("append").parquet(f"{ledger}/scanned")
+    if unseen:
+        scanned = stored(
+            fresh.select("blob", "text", "todo").mapInPandas(
+                scan_blobs,
+                "blob string, rules array<string>, versions array<int>, "
+                "found array<struct<rule: string, version: int, start: long, end: long>>"), "scanned")
+        scanned.select("blob", F.explode("found").alias("f")).select("blob", "f.*").write.mode("append").parquet(f"{ledger}/found")
+        scanned.select("blob", F.explode(F.arrays_zip("rules", "versions")).alias("r")).select(
+            "blob", F.col("r.rules").alias("rule"), F.col("r.versions").alias("version")
+        ).write.mode("append").parquet(f"{ledger}/scanned")
 
     number = F.create_map(*[x for i, r in enumerate(rules) for x in (F.lit(r.name), F.lit(i))])
     current = F.exists(asked, lambda a: (a["rule"] == F.col("rule")) & (a["version"] == F.col("version")))
@@ -197,16 +209,18 @@ def scan(versions: DataFrame, ledger: str | None = None, path: str = "doc_id", t
 def redact(docs: DataFrame, mask: str = "[REDACTED]", rules: tuple[Rule, ...] = RULES) -> DataFrame:
     """``docs`` with each stretch of secrets in ``text`` replaced by ``mask``.
 
-    Overlapping findings are masked as one. ``n_chars`` follows the new text;
-    texts without findings, null ones too, stay as they are. All rows stay.
-    Only rows whose text may have a finding by some rule meet the findings in a
-    join; the others don't leave their task.
+    Overlapping findings are masked as one. ``n_chars``, where there is such a
+    column, follows the new text; texts without findings, null ones too, stay
+    as they are. All rows and columns stay, in no set order; rows are told by
+    their text only, so ids may be null, repeated or missing. Only rows whose
+    text may have a finding by some rule meet the findings in a join; the
+    others don't leave their task. An empty table stays one.
     """
-    found = scan(docs, rules=rules).where(F.size("spans") > 0)
+    own = docs.columns
+    found = scan(docs.select(F.lit(None).cast("long").alias("doc_id"), "text"), rules=rules).where(F.size("spans") > 0)
     spans = stored(found.groupBy("blob").agg(F.first("spans").alias("spans")), "spans")
-    text = F.coalesce("text", F.lit(""))
-    blob = F.sha2(text, 256)
-    may = reduce(or_, [r.may(text) if r.may else F.lit(True) for r in rules])
+    row = docs.select(F.struct(*own).alias("row"), F.coalesce("text", F.lit("")).alias("text"))
+    may = reduce(or_, [r.may(F.col("text")) if r.may else F.lit(True) for r in rules])
 
     @F.pandas_udf("string")
     def masked(texts: pd.Series, spans: pd.Series) -> pd.Series:
@@ -222,9 +236,9 @@ def redact(docs: DataFrame, mask: str = "[REDACTED]", rules: tuple[Rule, ...] =
 
         return pd.Series([one(t, s) for t, s in zip(texts, spans, strict=True)], dtype=object)
 
-    n = F.char_length("_masked").cast(docs.schema["n_chars"].dataType)
-    changed = {"text": F.col("_masked"), "n_chars": n}
-    row = docs.where(may).withColumn("_blob", blob).join(
-        spans.select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")), "_blob", "left").withColumn("_masked", masked("text", "_spans"))
-    return docs.where(~may).unionByName(row.select(*[
-        F.when(F.col("_spans").isNotNull(), changed[c]).otherwise(F.col(c)).alias(c) if c in changed else F.col(c) for c in docs.columns]))
+    hit = row.where(may).withColumn("blob", F.sha2("text", 256)).join(spans, "blob", "left").withColumn("masked", masked("text", "spans"))
+    changed = {"text": F.col("masked")}
+    if "n_chars" in own:
+        changed["n_chars"] = F.char_length("masked").cast(docs.schema["n_chars"].dataType)
+    new = [F.when(F.col("spans").isNotNull(), changed[c]).otherwise(F.col(f"row.{c}")).alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in own]
+    return row.where(~may).select("row.*").unionByName(hit.select(*new))
