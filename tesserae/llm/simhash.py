@@ -6,26 +6,30 @@ shingles' XXH64 values. Fingerprints link at ``MAX_BITS`` or fewer differing
 bits.
 
 Index. Two linked fingerprints differ in at most ``MAX_BITS`` of their eight
-bytes, so at least 8 - MAX_BITS bytes are equal at equal positions: the
-guaranteed minimum. The eight positions form four blocks of two bytes; by
-pigeonhole two blocks at least are shared whole, so a posting list is kept for
-each pair of blocks and its four positional bytes. Pairs that meet in a list
-are tallied (equal bytes over all eight positions), kept from the minimum on,
-and verified by counting differing bits. A pair is reported by the first list
-that both are in.
+bytes, so at least 8 - MAX_BITS bytes are equal at equal positions. A posting
+list is kept for each SHARED byte positions and the bytes there (single
+positional bytes would have lists of n/256 members). A pair with e equal bytes
+meets in C(e, SHARED) lists, so a linked pair in at least
+C(8 - MAX_BITS, SHARED) of them: the guaranteed minimum. Lists that each pair
+shares are tallied, pairs below the minimum (those with just SHARED equal
+bytes) go, and the others are verified by counting differing bits.
 
 Skew. Copies fall together first: the index holds distinct fingerprints. A
-posting list longer than ``LIST_LIMIT`` emits no pairs: its members differ in
-the four other bytes only, so each of them is filed under every way to blank
-``MAX_BITS`` of those 32 bits, and members filed alike are tied to the
-smallest of them. Two members are linked exactly if they are filed alike at
-least once or twice removed by links, so components stay exact, at a cost
-linear in the list's length.
+posting list longer than ``LIST_LIMIT`` emits no pairs; its members are heavy.
+A linked pair either shares short lists only, where its tally is whole, or a
+long one, so that both are heavy. Heavy ones are tied through six lists of
+four positional bytes (two of four blocks of two; by pigeonhole a linked pair
+shares one): such a list's members differ in the four other bytes only, so
+each of them is filed under every way to blank ``MAX_BITS`` of those 32 bits,
+and members filed alike are tied to the smallest of them. Two members are
+linked exactly if they are filed alike at least once or twice removed by
+links, so components stay exact, at a cost linear in the list's length.
 """
 
 from __future__ import annotations
 
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
@@ -38,7 +42,8 @@ from .common import stored
 WORDS = 3
 MAX_BITS = 2
 SEED = 42
-LIST_LIMIT = 512
+SHARED = 5
+LIST_LIMIT = 64
 CHUNK = 1 << 16
 
 
@@ -67,57 +72,60 @@ def fingerprints(docs: DataFrame, text: str = "text", words: int = WORDS) -> Dat
     return docs.withColumn("fp", fp(text)).drop(text)
 
 
-#: Bits of the four blocks of two positional bytes, and the pairs of blocks.
-_BLOCKS = [0xFFFF << (16 * i) for i in range(4)]
-_LISTS = [a | b for a, b in combinations(_BLOCKS, 2)]
+#: Masks of every SHARED of the eight bytes, and of every two of the four blocks of two bytes.
+_LISTS = [sum(0xFF << 8 * i for i in c) for c in combinations(range(8), SHARED)]
+_BLOCKS = [sum(0xFFFF << 16 * i for i in c) for c in combinations(range(4), 2)]
 
 
 def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def _keyed(fps: DataFrame) -> DataFrame:
-    """(fp, list, key): the six posting lists of each fingerprint."""
-    at = [
-        F.struct(F.lit(i).alias("list"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key"))
-        for i, m in enumerate(_LISTS)
-    ]
-    return fps.select("fp", F.explode(F.array(*at)).alias("at")).select("fp", "at.list", "at.key")
+def _keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
+    """(fp, list, key): the posting lists of each fingerprint, one for each mask."""
+    at = F.posexplode(F.lit(np.array([_signed(m) for m in masks], np.int64))).alias("list", "mask")
+    return fps.select("fp", at).select("fp", "list", F.col("fp").bitwiseAND(F.col("mask")).alias("key"))
+
+
+def tallies(fps: DataFrame, list_limit: int = LIST_LIMIT) -> tuple[DataFrame, DataFrame]:
+    """(a, b, tally) of the pairs that meet in short lists, and the fingerprints (fp) in long ones."""
+    keyed = _keyed(fps, _LISTS)
+    # stored, so that both sides of the join are dealt anew
+    sizes = stored(keyed.groupBy("list", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
+    posted = stored(keyed.join(sizes, ["list", "key"]).select("fp", "list", "key", "n"), "postings")
+    short = posted.where(F.col("n") <= list_limit)
+    # at most list_limit members: a list is one group
+    members = short.groupBy("list", "key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
+    pairs = members.select(F.explode(F.flatten(F.transform("fps", lambda a, i: F.transform(
+        F.slice("fps", i + 2, F.size("fps")), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.*")
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("tally")), posted.where(F.col("n") > list_limit).select("fp").distinct()
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, list_limit: int = LIST_LIMIT) -> DataFrame:
     """Links (a, b) with a < b that join the linked of the distinct ``fps`` (column fp).
 
-    Short lists give each link; a long list gives the ties that connect the
-    same fingerprints, and no other.
+    Which links come back depends on the lengths of lists: pairs that share
+    short lists only are all there, those in long lists are tied by as few
+    links as connect the same fingerprints, and no other. Null fingerprints
+    have no links; an empty table gives none.
     """
     if not 0 <= max_bits <= 2:
         raise ValueError("four blocks guarantee two shared ones for up to 2 bits only")
-    keyed = _keyed(fps)
-    # stored, so that both sides of the join are dealt anew and a long list can be split
-    sizes = stored(keyed.groupBy("list", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    posted = stored(keyed.join(sizes, ["list", "key"]).select("fp", "list", "key", "n"), "postings")
-
-    short = posted.where(F.col("n") <= list_limit)
-    left = short.select(F.col("fp").alias("a"), "list", "key")
-    right = short.select(F.col("fp").alias("b"), "list", "key")
-    diff = F.col("a").bitwiseXOR(F.col("b"))
-    tally = sum(((diff.bitwiseAND(F.lit(_signed(0xFF << (8 * i))))) == 0).cast("int") for i in range(8))
-    first = F.coalesce(*[F.when(diff.bitwiseAND(F.lit(_signed(m))) == 0, F.lit(i)) for i, m in enumerate(_LISTS)])
-    pairs = (
-        left.join(right, ["list", "key"]).where("a < b")
-        .where((tally >= 8 - max_bits) & (F.bit_count(diff) <= max_bits) & (first == F.col("list")))
-        .select("a", "b")
-    )
-
-    # long lists: blank max_bits of the bits outside the list's own
+    tallied, long = tallies(fps, list_limit)
+    least = comb(8 - max_bits, SHARED)
+    pairs = tallied.where(F.col("tally") >= least).where(
+        F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= max_bits).select("a", "b")
+
+    # heavy ones: blank max_bits of the bits outside the list's own
+    posted = _keyed(stored(long, "heavy"), _BLOCKS)
+    crowded = stored(posted.groupBy("list", "key").agg(F.count("*").alias("n")).where("n > 1"), "crowded")
     blanks = F.lit(None).cast("array<bigint>")
-    for i, m in enumerate(_LISTS):
+    for i, m in enumerate(_BLOCKS):
         free = [b for b in range(64) if not m >> b & 1]
         masks = [_signed(~sum(1 << b for b in c) & (1 << 64) - 1) for c in combinations(free, max_bits)]
         blanks = F.when(F.col("list") == i, F.lit(np.array(masks, np.int64))).otherwise(blanks)
     filed = (
-        posted.where(F.col("n") > list_limit).select("fp", "list", "key", F.explode(blanks).alias("mask"))
+        posted.join(crowded, ["list", "key"]).select("fp", "list", F.explode(blanks).alias("mask"))
         .select("fp", "list", "mask", F.col("fp").bitwiseAND(F.col("mask")).alias("rest"))
     )
     heads = filed.groupBy("list", "mask", "rest").agg(F.min("fp").alias("a"), F.max("fp").alias("z")).where("a < z")
@@ -192,14 +200,24 @@ def one_of_each(docs: DataFrame, words: int = WORDS, max_bits: int = MAX_BITS) -
     """The rows of ``docs`` that stay: one of each near-duplicate group.
 
     The row with the smallest doc_id of its group stays; of rows that repeat
-    that id, the first by the other columns. Of groups of null ids only, one
-    row for each fingerprint stays.
+    that id, the first by a hash of the text, then by the row as JSON. Of
+    groups of null ids only, one row for each fingerprint stays. Columns of any
+    name and type come back as they are; an empty table stays one.
     """
     prints, named = groups(docs, words=words, max_bits=max_bits)
-    rest = [c for c in docs.columns if c != "doc_id"]
-    heads = named.select(F.col("component").alias("doc_id")).where("doc_id is not null").distinct()
-    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy(*[F.col(c) for c in rest]))
-    kept = docs.join(heads, "doc_id", "left_semi").withColumn("_nth", nth).where("_nth = 1").select(*docs.columns)
-    loose = fingerprints(docs.where("doc_id is null").withColumn("_text", F.col("text")), "_text", words)
-    lone = loose.join(named.where("component is null").select("fp"), "fp", "left_semi").dropDuplicates(["fp"])
-    return kept.unionByName(lone.select(*docs.columns))
+    return kept_rows(docs, named.select(F.col("component").alias("key")), fingerprints(
+        docs.where("doc_id is null").select(F.struct(*docs.columns).alias("row"), "text"), "text", words).join(
+            named.where("component is null").select("fp"), "fp", "left_semi").dropDuplicates(["fp"]))
+
+
+def kept_rows(docs: DataFrame, heads: DataFrame, loose: DataFrame) -> DataFrame:
+    """The rows of ``docs`` whose id is a ``key`` of ``heads``, one for each id, and the ``row``s of ``loose``.
+
+    Of rows that repeat an id, the one whose text has the smallest hash stays
+    (then the smallest JSON form of the row). Columns may have any name or type.
+    """
+    own = F.struct(*docs.columns)
+    rows = docs.where("doc_id is not null").select(own.alias("row"), F.col("doc_id").alias("key"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row.text"), F.to_json("row")))
+    kept = rows.join(heads.where("key is not null").distinct(), "key", "left_semi").withColumn("nth", nth).where("nth = 1")
+    return kept.select("row.*").unionByName(loose.select("row.*"))

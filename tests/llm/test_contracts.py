@@ -350,11 +350,11 @@ def test_simhash_long_lists(spark):
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     nodes = spark.createDataFrame([(f, i) for i, f in enumerate(sorted(signed))], "fp long, rep long")
     label = {}
-    for limit in (512, 2):
+    for limit in (512, 5, 2):
         edges = simhash.links(nodes.select("fp"), list_limit=limit)
         got = {r.fp: r.label for r in simhash.components(nodes, edges).collect()}
         label[limit] = got
-    assert label[512] == label[2]
+    assert label[512] == label[5] == label[2]
     parent = {f: f for f in signed}
 
     def root(x):
@@ -372,3 +372,42 @@ def test_simhash_long_lists(spark):
     at = {f: i for i, f in enumerate(sorted(signed))}
     want = {f: min(at[g] for g in group) for group in size.values() if len(group) > 1 for f in group}
     assert label[512] == want
+
+
+def test_tally_is_of_shared_lists(spark):
+    """Each pair's tally is the number of byte choices that it shares, and the filter rejects pairs below the minimum."""
+    import random
+    from math import comb
+
+    rng = random.Random(8)
+    base = [rng.getrandbits(64) for _ in range(40)]
+    fps = {*base}
+    for x in base:
+        for k in range(1, 5):  # k bytes changed
+            y = x
+            for i in rng.sample(range(8), k):
+                y ^= rng.randrange(1, 256) << 8 * i
+            fps.add(y)
+    signed = [x - (1 << 64) if x >> 63 else x for x in fps]
+    pairs, long = simhash.tallies(spark.createDataFrame([(x,) for x in signed], "fp long"))
+    got = {(r.a, r.b): r.tally for r in pairs.collect()}
+    want = {}
+    for a in signed:
+        for b in signed:
+            equal = sum((a ^ b) >> 8 * i & 0xFF == 0 for i in range(8))
+            if a < b and equal >= simhash.SHARED:
+                want[a, b] = comb(equal, simhash.SHARED)
+    assert got == want and long.count() == 0
+    assert any(n < comb(6, simhash.SHARED) for n in got.values())
+
+
+def test_one_of_each_any_columns(spark):
+    rows = [(1, "a b c d", {"k": 1}, 5), (1, "a b c d", {"k": 2}, 6), (None, "q r s t", {}, 7), (None, "q r s t", None, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, fp map<string,int>, _nth int")
+    from tesserae.llm import nearcopies
+
+    for module in (simhash, nearcopies):
+        kept = module.one_of_each(docs)
+        assert kept.columns == docs.columns
+        assert sorted((r.doc_id or 0, r.text) for r in kept.collect()) == [(0, "q r s t"), (1, "a b c d")]
+        assert {r._nth for r in kept.collect()} <= {5, 6, 7, 8}
