@@ -16,7 +16,7 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op2_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = licences.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    listed = F.transform("licences", lambda x: F.concat_ws(":", x["line"], x["licence"]))
+    listed = F.transform("licences", lambda x: F.concat_ws(":", x["word"], x["licence"]))
     return found.select(
         "doc_id", F.size("licences").cast("long").alias("n_licences"), F.array_join(listed, ",").alias("licences"),
         F.coalesce(F.round(F.array_max("licences.dice"), 6), F.lit(0.0)).alias("best_dice"))

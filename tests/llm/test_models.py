@@ -159,15 +159,62 @@ def test_licences_sql(spark, small):
 
 
 def test_licences_odd(spark):
+    filler = "some words that stand around it " * 30
+    mit = next(t for n, t in licences.TEMPLATES if n == "MIT" and len(t) > 400)
     text = ["Licensed under the Apache License, Version 2.0.", "  LICENSED under the (apache) License -- version 2.0", "This work is licensed under the GNU Public License, version 3.",
-            "nothing", None, "", "x y z\nReleased under the MIT License.\nmore", "Released under\nthe MIT License.", "word " * 40000]
-    docs = spark.createDataFrame([(i, t, "k") for i, t in enumerate(text)], "doc_id long, text string, licences string")
-    got = {r.doc_id: [(x["line"], x["licence"]) for x in r.licences] for r in licences.scan(docs).collect()}
-    assert got[0] == got[1] == [(1, "Apache-2.0")] and got[2][0][1] == "GPL-3.0" and got[6] == [(2, "MIT")] and got[7] == [(0, "MIT")]
-    assert all(got[i] == [] for i in (3, 4, 5, 8))
+            "nothing", None, "", "x y z\nReleased under the MIT License.\nmore", "Released under\nthe MIT License.", "word " * 40000,
+            f"{filler}\nThis work is licensed under the GNU General\n * Public License, version 3.\n{filler}",
+            f"Released under the MIT License. {filler}", "Copyright 2020 X\n\n" + " ".join(mit.split()[:70]), f"{filler} {mit.upper()} {filler}",
+            "licence", f"{filler} This work is licensed under the GNU Lesser General Public License, version 3. {filler} Licensed under CC BY-NC 4.0."]
+    docs = spark.createDataFrame([(i, t, "k", "l") for i, t in enumerate(text)], "doc_id long, text string, licences string, _lines string")
+    found = licences.scan(docs)
+    assert found.columns == ["doc_id", "text", "licences", "_lines"] and found.where("_lines = 'l'").count() == len(text)
+    got = {r.doc_id: [(x["word"], x["licence"]) for x in r.licences] for r in found.collect()}
+    assert got[0] == got[1] == [(1, "Apache-2.0")] and got[2][0][1] == "GPL-3.0" and got[6] == [(4, "MIT")] and got[7] == [(1, "MIT")]
+    n = len(filler.split())
+    assert got[9] == [(n + 1, "GPL-3.0")] and got[10] == [(1, "MIT")] and got[11][0][1] == "MIT" and [x[1] for x in got[12]] == ["MIT"]
+    assert [x[1] for x in got[14]] == ["LGPL-3.0", "CC-BY-NC-4.0"]
+    assert all(got[i] == [] for i in (3, 4, 5, 8, 13))
     assert licences.scan(docs.limit(0)).count() == 0 and licences.scan(docs, {}).head().licences == []
     with pytest.raises(ValueError):
-        licences.scan(docs, {"bad": "a b a b"})
+        licences.scan(docs, {"bad": "a"})
+
+
+def dice_windows(text, templates, threshold):
+    """{template: best (dice, -start)} over every text and template, without any pruning."""
+    def grams(t):
+        w = licences.normalised(t or "").split()
+        return [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+
+    g, out = grams(text), {}
+    for nr, (_, body) in enumerate(templates):
+        own = grams(body)
+        n = min(len(own), len(g))
+        starts = sorted({*range(0, len(g) - n + 1, max(1, len(own) // 8)), len(g) - n})
+        dice = [(2 * len({*g[s : s + n]} & {*own}) / max(1, len({*g[s : s + n]}) + len({*own})), -s) for s in starts]
+        if max(dice)[0] >= threshold - 1e-12:
+            out[nr] = max(dice)
+    return out
+
+
+def test_licences_plain(spark, small):
+    """Nothing is lost by pruning: texts cut, mixed and shortened, against every window of every template."""
+    import random
+
+    rng, bodies = random.Random(3), [" ".join(t.split()) for _, t in licences.TEMPLATES]
+    texts = some_texts(spark, small, 30)
+    for b in bodies:
+        w = b.split()
+        texts += [b, " ".join(x for x in w if rng.random() > 0.1), f"before it {b} after it", " ".join(w[: len(w) * 3 // 4]), " ".join([*w[::-1], *w])]
+    for threshold in (0.8, 0.5):
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        for r in licences.scan(docs, threshold=threshold).collect():
+            want = dice_windows(r.text, licences.TEMPLATES, threshold)
+            span = {nr: (-s, -s + min(len(licences.normalised(bodies[nr]).split()), len(licences.normalised(r.text).split()))) for nr, (_, s) in want.items()}
+            kept = [nr for nr in want if not any(
+                span[nr][0] < span[o][1] and span[o][0] < span[nr][1] and (want[o][0], -o) > (want[nr][0], -nr) for o in want if o != nr)]
+            assert sorted((x["word"], x["licence"], round(x["dice"], 9)) for x in r.licences) == sorted(
+                (span[nr][0] + 1, licences.TEMPLATES[nr][0], round(want[nr][0], 9)) for nr in kept)
 
 
 def test_no_python_in_licence_plan(spark, small):
