@@ -10,13 +10,16 @@ where it lies.
 
 Words that no item has can't be part of a match: they get code 0, and only
 positions with enough known words ahead go into the suffix array. That loses
-no match. Nothing is shuffled; what goes to the tasks is a block of the
-benchmark of at most ``BLOCK_CHARS`` characters, and a larger benchmark is
-taken in several blocks.
+no match. The benchmark is written to the shared folder in blocks of at most
+``BLOCK_CHARS`` characters (or one item); a task reads one block at a time and
+takes its texts through all of them, so neither the driver nor a task holds
+more of the benchmark than a block. Texts are read once and not shuffled.
 """
 
 from __future__ import annotations
 
+import pickle
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import filesystem, new_folder, stored, write_whole
+
 WORDS = 10
 SHARD_WORDS = 1 << 20
 BLOCK_CHARS = 8_000_000
@@ -218,34 +223,83 @@ def _shards(texts: pd.Series) -> Iterator[list[str | None]]:
         yield part
 
 
-def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", most: int = BLOCK_CHARS) -> Iterator[list[tuple[str, str]]]:
-    """The benchmark in blocks of at most ``most`` characters (or one item)."""
-    part, size = [], 0
+def blocks(benchmark: DataFrame, item: str = "item_id", text: str = "text", most: int = BLOCK_CHARS) -> list[str]:
+    """Files of the benchmark's (item, text) pairs, of at most ``most`` characters each (or one item).
+
+    Tasks write them below the shared folder; only their names come to the
+    driver. Items with a null id or text are left out.
+    """
     rows = benchmark.where(F.col(item).isNotNull() & F.col(text).isNotNull()).select(
         F.col(item).cast("string").alias("item"), F.col(text).alias("text"))
-    for r in rows.toLocalIterator():
-        if part and size + len(r.text) > most:
-            yield part
-            part, size = [], 0
-        part.append((r.item, r.text))
-        size += len(r.text)
-    if part:
-        yield part
-
-
-_KIND = "n_words long, spans array<long>, items array<string>, longest int, longest_at long, longest_item string"
-
-
-def _matcher(shared, words: int):
-    """The UDF for one block; each task makes the block's windows once."""
-    held: dict = {}
+    total = rows.agg(F.sum(F.char_length("text"))).head()[0] or 0
+    folder = new_folder(benchmark.sparkSession, "benchmark")
+
+    def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        def written(part):
+            name = f"{folder}/block-{uuid.uuid4().hex}"
+            write_whole(name, pickle.dumps(part))
+            return pd.DataFrame({"block": [name]})
+
+        part, size = [], 0
+        for pdf in batches:
+            for row in zip(pdf["item"], pdf["text"], strict=True):
+                if part and size + len(row[1]) > most:
+                    yield written(part)
+                    part, size = [], 0
+                part.append(row)
+                size += len(row[1])
+        if part:
+            yield written(part)
+
+    # stored: a task that runs again writes another file, and the row says which one counts
+    names = stored(rows.repartition(max(1, -(-total // most))).mapInPandas(cut, "block string"), "blocks")
+    return sorted(r.block for r in names.collect())
+
+
+_KIND = "n_words long, n_hit long, spans array<long>, items array<string>, longest int, longest_at long, longest_item string"
+
+
+class Blocks:
+    """The items of block files, one block held at a time."""
+
+    def __init__(self, names: list[str], words: int):
+        self.names, self.words, self.held, self.items = names, words, None, None
+
+    def __iter__(self) -> Iterator[Items]:
+        for name in self.names or [None]:
+            if self.items is None or name != self.held:
+                self.items, rows = None, []
+                if name is not None:
+                    store, path = filesystem(name)
+                    with store.open_input_file(path) as f:
+                        rows = pickle.loads(f.read())
+                self.held, self.items = name, Items(rows, self.words)
+            yield self.items
+
+
+def _joined(parts: list[dict]) -> dict:
+    """One text's matches with all blocks: spans merged, each word counted once."""
+    out = max(parts, key=lambda p: p["longest"]) if len(parts) > 1 else parts[0]
+    spans: list[int] = []
+    for a, b in sorted(s for p in parts for s in zip(p["spans"][::2], p["spans"][1::2], strict=True)):
+        if spans and a <= spans[-1]:
+            spans[-1] = max(b, spans[-1])
+        else:
+            spans += [a, b]
+    items = sorted({i for p in parts for i in p["items"]})
+    return out | {"spans": spans, "items": items, "n_hit": sum(spans[1::2]) - sum(spans[::2])}
+
+
+def _matcher(names: list[str], words: int):
+    """The UDF; a task cuts its texts into shards and takes each through all blocks."""
+    blocks_of = Blocks(names, words)
 
     @F.pandas_udf(_KIND)
     def match(texts: pd.Series) -> pd.DataFrame:
-        if not held:
-            held["items"] = Items(shared.value, words)
-        found = [x for s in _shards(texts) for x in match_shard(s, held["items"])]
-        return pd.DataFrame(found, columns=["n_words", "spans", "items", "longest", "longest_at", "longest_item"]).astype({"longest_at": "Int64"})
+        found = []
+        for shard in _shards(texts):
+            found += [_joined(list(p)) for p in zip(*(match_shard(shard, items) for items in blocks_of), strict=True)]
+        return pd.DataFrame(found, columns=[c.split()[0] for c in _KIND.split(", ")]).astype({"longest_at": "Int64"})
 
     return match
 
@@ -262,35 +316,27 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", words: in
     """``docs`` with a struct column ``match``: n_words, n_hit, spans, items,
     longest, longest_at, longest_item.
 
-    spans are word ranges (start, end exclusive), merged within a block, inside
-    occurrences of a window: ``words`` consecutive words of an item, or a shorter item as a
+    spans are word ranges (start, end exclusive), merged, inside occurrences of
+    a window: ``words`` consecutive words of an item, or a shorter item as a
     whole. items are the ids, as strings, of the items with a window there,
     sorted. Null texts have no words; items with a null id or without words
     are left out; repeated items and documents count as they stand. An empty
-    benchmark hits nothing.
+    benchmark hits nothing. A column named match is replaced, others stay,
+    whatever they are called.
     """
-    names = []
-    for part in [*blocks(benchmark, "item_id", "text", block_chars)] or [[]]:
-        names.append(f"_match{len(names)}")
-        docs = docs.withColumn(names[-1], _matcher(docs.sparkSession.sparkContext.broadcast(part), words)(text))
-    best = [F.struct(*[F.col(f"{n}.{c}").alias(c) for c in ("longest", "longest_at", "longest_item")]) for n in names]
-    best = F.greatest(*best) if len(names) > 1 else best[0]
-    spans = F.array_sort(F.flatten(F.array(*[_pairs(F.col(f"{n}.spans")) for n in names])))
-    # words hit: each span adds what lies behind the furthest end so far
-    hit = F.aggregate(
-        spans, F.struct(F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("end")),
-        lambda acc, s: F.struct(
-            (acc["n"] + F.greatest(F.lit(0).cast("long"), s["end"] - F.greatest(acc["end"], s["start"]))).alias("n"),
-            F.greatest(acc["end"], s["end"]).alias("end")))["n"]
-    items = F.array_sort(F.array_distinct(F.flatten(F.array(*[F.col(f"{n}.items") for n in names]))))
-    return docs.withColumn("match", F.struct(
-        F.col(f"{names[0]}.n_words").alias("n_words"), hit.alias("n_hit"), spans.alias("spans"), items.alias("items"),
-        best["longest"].alias("longest"), best["longest_at"].alias("longest_at"), best["longest_item"].alias("longest_item"),
-    )).drop(*names)
+    own = [c for c in docs.columns if c != "match"]
+    found = _matcher(blocks(benchmark, "item_id", "text", block_chars), words)
+    rows = docs.select(F.struct(*own).alias("row"), found(text).alias("m"))
+    match = F.struct("m.n_words", "m.n_hit", _pairs(F.col("m.spans")).alias("spans"), "m.items", "m.longest", "m.longest_at", "m.longest_item")
+    return rows.select("row.*", match.alias("match"))
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The documents without any word inside an occurrence of a window."""
+    """The documents without any word inside an occurrence of a window.
+
+    Null and empty texts stay, repeats stay or go together, all columns stay
+    whatever they are called; an empty benchmark or table changes nothing.
+    """
     own = docs.columns
     row = docs.select(F.struct(*own).alias("row"), "text")
     return matches(row, benchmark).where("match.n_hit = 0").select("row.*")
