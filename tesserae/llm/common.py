@@ -66,6 +66,12 @@ def release(paths: list[str]) -> None:
             _MADE.remove(path)
 
 
+def release_since(begun: list[str], *keep: str) -> None:
+    """Remove the stored copies made after ``begun``, but for those in ``keep``."""
+    held = {*begun, *keep}
+    release([p for p in made() if p not in held])
+
+
 @atexit.register
 def _release_all() -> None:
     release(made())

@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import new_folder, stored
+from .common import made, new_folder, release_since, stored
 
 SCANNED = "blob string, rule string, version int"
 BROADCAST_BLOBS = 100_000
@@ -155,7 +155,9 @@ def scan(versions: DataFrame, ledger: str | None = None, path: str = "doc_id", t
     ledger = ledger or new_folder(spark, "ledger")
     content = versions.select(F.col(path).alias("path"), F.coalesce(F.col(text), F.lit("")).alias("text"))
     blob = F.sha2(F.col("text"), 256).alias("blob")
+    begun = made()
     paths = stored(content.select("path", blob), "paths")
+    paths_at = made()[-1]
 
     asked = F.array(*[F.struct(F.lit(r.name).alias("rule"), F.lit(r.version).alias("version")) for r in rules])
     done = (
@@ -201,6 +203,7 @@ def scan(versions: DataFrame, ledger: str | None = None, path: str = "doc_id", t
         _read(spark, f"{ledger}/found", FOUND).where(current)
         .groupBy("blob").agg(F.array_sort(F.collect_set(
             F.struct("start", number[F.col("rule")].alias("no"), "end", "rule"))).alias("spans")), "found")
+    release_since(begun, paths_at, made()[-1])
     empty = F.array().cast("array<struct<start:bigint,no:int,end:bigint,rule:string>>")
     return paths.join(found, "blob", "left").select(
         F.col("path").alias(path), "blob", F.coalesce("spans", empty).alias("spans"))

@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import made, release_since, stored
 
 WORDS = 3
 MAX_BITS = 2
@@ -147,6 +147,7 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
     both = stored(edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))), "edges")
     ends = both.select(F.col("a").alias("fp")).distinct()
     state = stored(nodes.join(ends, "fp").select("fp", F.col("rep").alias("label"), F.col("fp").alias("root")), "labels")
+    begun = made()
     # root: the fingerprint whose rep the label is
     for _ in range(most):
         best = F.min(F.struct("label", "root"))
@@ -163,6 +164,7 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
             "fp", "was", F.least(F.struct("label", "root"), F.col("u")).alias("m")
         ).select("fp", "was", "m.label", "m.root")
         new = stored(new, "labels")
+        release_since(begun, made()[-1])
         if new.where("label < was").limit(1).count() == 0:
             return new.select("fp", "label")
         state = new.drop("was")
@@ -172,7 +174,9 @@ def components(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
 def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int = WORDS,
            max_bits: int = MAX_BITS) -> tuple[DataFrame, DataFrame]:
     """(key, fp) of each row, and (fp, component) of each distinct fingerprint."""
+    begun = made()
     prints = stored(fingerprints(docs.select(F.col(key).alias("key"), F.col(text).alias("text")), "text", words), "prints")
+    prints_at = made()[-1]
     classes = stored(prints.groupBy("fp").agg(F.min("key").alias("rep")), "classes")
     # a class of null keys only stands behind all others
     nodes = classes.select("fp", F.struct(F.col("rep").isNull().alias("none"), "rep").alias("rep"))
@@ -180,6 +184,7 @@ def groups(docs: DataFrame, key: str = "doc_id", text: str = "text", words: int
     named = stored(
         classes.join(labels, "fp", "left")
         .select("fp", F.coalesce(F.col("label.rep"), F.col("rep")).alias("component")), "named")
+    release_since(begun, prints_at, made()[-1])
     return prints, named
 
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TASK_BYTES, dealt, filesystem, new_folder, stored
+from .common import TASK_BYTES, dealt, filesystem, made, new_folder, release_since, stored
 
 INDEX = (
     "page_id long, archive string, offset long, length long, url string, payload_digest string, "
@@ -127,8 +127,11 @@ def write(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, date:
         if out is not None:
             out.close()
 
+    begun = made()
     rows = first_of_payload(pages.select("page_id", "url", "html"), min_bytes)
-    return stored(rows.select("page_id", "url", "html", "refers_to").mapInArrow(archive, INDEX), "warc-index")
+    index = stored(rows.select("page_id", "url", "html", "refers_to").mapInArrow(archive, INDEX), "warc-index")
+    release_since(begun, made()[-1])
+    return index
 
 
 _READ = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"

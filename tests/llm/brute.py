@@ -227,3 +227,24 @@ def machine_raw(m, pairs):
 def toxic_ngrams(text):
     t = f" {(text or '').lower()} "
     return {t[i : i + n] for n in (3, 4, 5, 6) for i in range(len(t) - n + 1)}
+
+
+def near_copies(docs, words=5, likeness=0.8):
+    """{doc_id: smallest id of its group}: every pair of distinct texts compared by their shingle sets."""
+    sets = {}
+    for doc, text in docs:
+        w = (text or "").encode().lower().split()
+        sets[doc] = {tuple(w[i : i + words]) for i in range(max(1, len(w) - words + 1))}
+    parent = {d: d for d in sets}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in combinations(sets, 2):
+        if min(len(sets[a]), len(sets[b])) >= likeness * max(len(sets[a]), len(sets[b])) - 1e-9:
+            both = len(sets[a] & sets[b])
+            if both / (len(sets[a]) + len(sets[b]) - both) >= likeness - 1e-12:
+                parent[max(root(a), root(b))] = min(root(a), root(b))
+    return {d: root(d) for d in sets}

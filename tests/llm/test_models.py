@@ -233,7 +233,7 @@ def test_pipeline(spark, small):
     model = toxicity.train(docs, spark.read.parquet(f"{small}/labels.parquet"))
     assert ids[1] == {r.doc_id for r in toxicity.score(docs, model).where("predicted = 0").collect()}
     texts = [[(r.doc_id, r.text) for r in d.select("doc_id", "text").collect()] for d in seen[:-1]]
-    assert ids[2] == {c for _, c in brute.op9(texts[1]).values()}
+    assert ids[2] == {*brute.near_copies(texts[1]).values()}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{small}/benchmark.parquet").collect()]
     assert ids[3] == {d for d, v in brute.op7(texts[2], items).items() if not v[4]}
     assert ids[4] == ids[3] and all(v[:3] == (0, 0, 0) for v in brute.op8(texts[4]).values())
@@ -241,4 +241,8 @@ def test_pipeline(spark, small):
     assert {d: t for d, t in texts[4] if d in clean} == {d: t for d, t in texts[3] if d in clean}
     e = brute.tiktoken_encoding()
     assert {r.doc_id: r.ids for r in seen[-1].collect()} == {d: e.encode_ordinary(t or "") for d, t in texts[4]}
+    from tesserae.llm import common
+
+    begun = common.made()
     assert {r.doc_id for r in pipeline.run(spark, small).select("doc_id").collect()} == ids[5]
+    assert len(common.made()) == len(begun) + 1  # only the last stage's rows are left
