@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import product
+from operator import and_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import attach, clamp, count_if, mean_or_zero, share
-from .metrics import per_case, within
+from ..sources.storage import read_blocks, stored
+from .metrics import per_list, within
 
 
 def ablation_impact(variants: DataFrame, weights: dict[str, float], inverted: tuple[str, ...], baseline: str, slack: float = 0.05) -> DataFrame:
@@ -57,12 +61,23 @@ def strategy_delta(rows: DataFrame, baseline: str = "full") -> DataFrame:
 GRID = {"sbfl": (0.20, 0.30, 0.40), "graph": (0.15, 0.25, 0.35), "static": (0.10, 0.15, 0.20), "semantic": (0.05, 0.10), "llm": (0.10, 0.15), "risk": (0.0, 0.05, 0.10)}
 
 
-def weight_grid(spark: SparkSession, grid: dict[str, tuple[float, ...]] = GRID, default: dict[str, float] | None = None) -> DataFrame:
-    """(profile, weights...): every combination; the default profile takes the place of the equal one."""
-    rows = []
+#: The repair grid's weights, and the judge's weights tried beside the default.
+REPAIR_GRID = {"feedback": (0.0, 0.04, 0.08, 0.12, 0.16), "diff": (0.03, 0.06, 0.10), "risk": (0.0, 0.03, 0.06)}
+JUDGE_WEIGHTS = (0.04, 0.08, 0.12)
+
+
+def grid_profiles(grid: dict[str, tuple[float, ...]] = GRID, default: dict[str, float] | None = None) -> list[dict]:
+    """Every combination as {profile, weights}; the default profile takes the place of the equal one."""
+    out = []
     for i, values in enumerate(product(*grid.values())):
         w = dict(zip(grid, values, strict=True))
-        rows.append(("default" if w == default else f"grid_{i:03d}", *values))
+        out.append({"profile": "default" if w == default else f"grid_{i:03d}", **w})
+    return out
+
+
+def weight_grid(spark: SparkSession, grid: dict[str, tuple[float, ...]] = GRID, default: dict[str, float] | None = None) -> DataFrame:
+    """(profile, weights...) of grid_profiles."""
+    rows = [tuple(p.values()) for p in grid_profiles(grid, default)]
     return spark.createDataFrame(rows, ", ".join(["profile string", *[f"{k} double" for k in grid]]))
 
 
@@ -70,10 +85,13 @@ def rerank(lists: DataFrame, profiles: list[dict], signals: list[str]) -> DataFr
     """(profile, case_id, item, relevant, rank): each list under each profile, by score and then the old rank.
 
     Profiles are a bounded grid (hundreds): they are literals of the plan, one
-    array of scores a row, so each list is read once; the window's key has the profile.
+    array of scores a row. Lists are dealt by case before they are multiplied,
+    so what is shuffled doesn't grow with the profiles: the windows and sums by
+    (profile, case) find their rows in place.
     """
     scores = F.array(*[F.struct(F.lit(p["profile"]).alias("profile"), sum(((-1 if s == "risk" else 1) * p[s] * F.col(s) for s in signals), F.lit(0.0)).alias("s")) for p in profiles])
-    rows = lists.select("case_id", "grp", "item", "relevant", F.col("rank").alias("old"), F.explode(scores).alias("p")).select("*", "p.*").drop("p")
+    dealt = lists.select("case_id", "grp", "item", "relevant", F.col("rank").alias("old"), *signals).repartition("case_id")
+    rows = dealt.select("case_id", "grp", "item", "relevant", "old", F.explode(scores).alias("p")).select("*", "p.*").drop("p")
     w = Window.partitionBy("profile", "case_id").orderBy(F.desc(F.round("s", 9)), "old")
     return rows.withColumn("rank", F.row_number().over(w)).drop("s", "old")
 
@@ -83,30 +101,41 @@ VALIDATION = {"map": 0.25, "mrr": 0.25, "ndcg": 0.20, "top1": 0.15, "top3": 0.10
 
 def profile_metrics(ranked: DataFrame, *by: str) -> DataFrame:
     """Means of the ranking metrics and the validation score of each profile."""
-    r = ranked.withColumn("_c", F.col("case_id")).withColumn("case_id", F.struct("profile", "_c"))
-    sizes = r.groupBy("case_id", "profile", *by).agg(count_if("relevant").alias("n_truth"))
-    m = per_case(r, sizes).groupBy("profile", *by).agg(
+    m = per_list(ranked, ["profile", "case_id", *by]).groupBy("profile", *by).agg(
         F.count("*").alias("cases"), mean_or_zero(within(1)).alias("top1"), mean_or_zero(within(3)).alias("top3"), mean_or_zero("reciprocal").alias("mrr"),
         mean_or_zero("ap").alias("map"), mean_or_zero("ndcg").alias("ndcg"), mean_or_zero("exam").alias("exam"))
     return m.withColumn("validation", sum((F.col(c) * w for c, w in VALIDATION.items()), 0.05 * (1 - F.col("exam"))))
 
 
-def pareto(rows: DataFrame, key: str, most: list[str], least: list[str], slack: float = 1e-9, limit: int = 4096) -> DataFrame:
-    """(key, dominates, dominated_by, optimal) among the rows of a bounded study.
+def pareto(rows: DataFrame, key: str, most: list[str], least: list[str], slack: float = 1e-9, block: int = 4096) -> DataFrame:
+    """(key, dominates, dominated_by, optimal) among the rows.
 
     One row dominates another if it is no worse in any field and better in one.
-    All pairs are compared, so more than ``limit`` rows raise.
+    Rows with equal fields are counted together first. Each distinct point is
+    then compared with all of them, ``block`` at a time: tasks read the points
+    as a stored table, so no pairs are made and a task holds one block.
     """
-    n = rows.count()
-    if n > limit:
-        raise ValueError(f"{n} rows: the frontier compares all pairs of at most {limit}")
-    a, b = rows.alias("a"), F.broadcast(rows.alias("b"))
-    up = [F.col(f"a.{c}") - F.col(f"b.{c}") for c in most] + [F.col(f"b.{c}") - F.col(f"a.{c}") for c in least]
-    better = lambda d: (F.greatest(*d) > slack) & (F.least(*d) >= -slack)
-    p = a.join(b, F.col(f"a.{key}") != F.col(f"b.{key}"), "left")
-    return p.groupBy(F.col(f"a.{key}").alias(key)).agg(
-        count_if(F.coalesce(better(up), F.lit(False))).alias("dominates"), count_if(F.coalesce(better([-d for d in up]), F.lit(False))).alias("dominated_by")).withColumn(
-        "optimal", F.col("dominated_by") == 0)
+    fields = [*most, *least]
+    points = stored(rows.groupBy(*fields).agg(F.count("*").cast("double").alias("_n")), "points")
+    files, signs = points.inputFiles(), np.array([1.0] * len(most) + [-1.0] * len(least))
+
+    def counted(batches):
+        for pdf in batches:
+            own, up, down = pdf[fields].to_numpy() * signs, np.zeros(len(pdf)), np.zeros(len(pdf))
+            for other in read_blocks(files, block):
+                n, there = other["_n"].to_numpy(), other[fields].to_numpy() * signs
+                for at in range(0, len(own), 256):
+                    d = own[at : at + 256, None, :] - there[None, :, :]
+                    high, low = d.max(2), d.min(2)
+                    up[at : at + 256] += ((high > slack) & (low >= -slack)) @ n
+                    down[at : at + 256] += ((low < -slack) & (high <= slack)) @ n
+            yield pdf[fields].assign(dominates=up.astype("int64"), dominated_by=down.astype("int64"))
+
+    schema = ", ".join([*[f"{c} double" for c in fields], "dominates long", "dominated_by long"])
+    counts = points.repartition(points.sparkSession.sparkContext.defaultParallelism).mapInPandas(counted, schema)
+    same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in fields]
+    return rows.alias("r").join(counts.alias("c"), reduce(and_, same)).select(
+        F.col(f"r.{key}").alias(key), "dominates", "dominated_by", (F.col("dominated_by") == 0).alias("optimal"))
 
 
 def holdout_robustness(groups: DataFrame) -> DataFrame:

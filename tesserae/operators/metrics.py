@@ -18,6 +18,29 @@ def judged(lists: DataFrame, truth: DataFrame) -> DataFrame:
         "relevant", F.coalesce("relevant", F.lit(False)))
 
 
+def _places(lists: DataFrame, keys: list[str]) -> DataFrame:
+    """Lists with again (a repeated item), hits and place (fresh hits and items so far)."""
+    rows = lists.withColumn("again", F.row_number().over(Window.partitionBy(*keys, "item").orderBy("rank")) > 1)
+    running = Window.partitionBy(*keys).orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    fresh_hit = F.col("relevant") & ~F.col("again")
+    return rows.withColumn("hits", F.sum(fresh_hit.cast("int")).over(running)).withColumn("place", F.sum((~F.col("again")).cast("int")).over(running))
+
+
+def _sums(k: int) -> list[Column]:
+    fresh_hit = F.col("relevant") & ~F.col("again")
+    return [
+        F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first"),
+        F.sum(F.when(fresh_hit, F.col("hits") / F.col("rank")).otherwise(0.0)).alias("precisions"),
+        F.sum(F.when(F.col("relevant") & (F.col("rank") <= k), 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"),
+        F.min(F.when(fresh_hit, F.col("place"))).alias("first_place"), F.max("place").alias("n")]
+
+
+def _measures(k: int) -> list[Column]:
+    ideal = F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.lit(0.0), lambda acc, i: acc + F.when(i <= F.col("n_truth"), 1 / F.log2(i + 1.0)).otherwise(0.0))
+    return [F.col("first"), share(F.lit(1), "first").alias("reciprocal"), share("precisions", "n_truth").alias("ap"),
+            share("dcg", ideal).alias("ndcg"), F.coalesce((F.col("first_place") - 1) / F.col("n"), F.lit(1.0)).alias("exam")]
+
+
 def per_case(lists: DataFrame, sizes: DataFrame, k: int = 3) -> DataFrame:
     """One row a case: first (rank of the first relevant item), reciprocal, ap, ndcg, exam.
 
@@ -25,20 +48,13 @@ def per_case(lists: DataFrame, sizes: DataFrame, k: int = 3) -> DataFrame:
     case. Positions count repeats, but a repeated item counts as a hit once in
     AP; EXAM looks at the list without repeats; nDCG counts each position.
     """
-    by_item = Window.partitionBy("case_id", "item").orderBy("rank")
-    rows = lists.withColumn("again", F.row_number().over(by_item) > 1)
-    running = Window.partitionBy("case_id").orderBy("rank").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    fresh_hit = F.col("relevant") & ~F.col("again")
-    rows = rows.withColumn("hits", F.sum(fresh_hit.cast("int")).over(running)).withColumn("place", F.sum((~F.col("again")).cast("int")).over(running))
-    sums = rows.groupBy("case_id").agg(
-        F.min(F.when(F.col("relevant"), F.col("rank"))).alias("first"),
-        F.sum(F.when(fresh_hit, F.col("hits") / F.col("rank")).otherwise(0.0)).alias("precisions"),
-        F.sum(F.when(F.col("relevant") & (F.col("rank") <= k), 1 / F.log2(F.col("rank") + 1.0)).otherwise(0.0)).alias("dcg"),
-        F.min(F.when(fresh_hit, F.col("place"))).alias("first_place"), F.max("place").alias("n"))
-    ideal = F.aggregate(F.sequence(F.lit(1), F.lit(k)), F.lit(0.0), lambda acc, i: acc + F.when(i <= F.col("n_truth"), 1 / F.log2(i + 1.0)).otherwise(0.0))
-    return sizes.join(sums, "case_id", "left").select(
-        *sizes.columns, "first", share(F.lit(1), "first").alias("reciprocal"), share("precisions", "n_truth").alias("ap"),
-        share("dcg", ideal).alias("ndcg"), F.coalesce((F.col("first_place") - 1) / F.col("n"), F.lit(1.0)).alias("exam"))
+    sums = _places(lists, ["case_id"]).groupBy("case_id").agg(*_sums(k))
+    return sizes.join(sums, "case_id", "left").select(*sizes.columns, *_measures(k))
+
+
+def per_list(lists: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
+    """As per_case for many lists of a case (``keys``), whose truth is what is relevant in them."""
+    return _places(lists, keys).groupBy(*keys).agg(*_sums(k), count_if("relevant").alias("n_truth")).select(*keys, *_measures(k))
 
 
 def within(k: int) -> Column:

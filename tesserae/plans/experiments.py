@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..functions import rounded
+from ..functions import clamp, rounded
 from ..operators import calibration as K
 from ..operators import experiments as E
-from ..operators.scoring import rank_within
+from ..operators.scoring import ATTEMPT_WEIGHTS, judge_blend, rank_within
 from ..sources.storage import stored
 from ..tables import VIEWS, table
 from .base import query
@@ -87,37 +88,32 @@ def strategy_delta(spark, sf):
 
 # ---- weight grid
 
-def grid(spark):
-    return E.weight_grid(spark, default={**{c: abs(w) for c, w in WEIGHTS.items()}})
+DEFAULT = {c: abs(w) for c, w in WEIGHTS.items()}
+PROFILES = E.grid_profiles(default=DEFAULT)
+_GRID_SQL = ("g AS (SELECT CASE WHEN sbfl = 0.3 AND graph = 0.25 AND static = 0.15 AND semantic = 0.1 AND llm = 0.15 AND risk = 0.05 THEN 'default' "
+             "ELSE 'grid_' || lpad(CAST(row_number() OVER (ORDER BY sbfl, graph, static, semantic, llm, risk) - 1 AS VARCHAR), 3, '0') END AS profile, * FROM "
+             "(SELECT unnest([0.2, 0.3, 0.4]::DOUBLE[]) AS sbfl), (SELECT unnest([0.15, 0.25, 0.35]::DOUBLE[]) AS graph), (SELECT unnest([0.1, 0.15, 0.2]::DOUBLE[]) AS static), "
+             "(SELECT unnest([0.05, 0.1]::DOUBLE[]) AS semantic), (SELECT unnest([0.1, 0.15]::DOUBLE[]) AS llm), (SELECT unnest([0.0, 0.05, 0.1]::DOUBLE[]) AS risk))")
 
 
-_GRID_SQL = ("g AS (SELECT row_number() OVER (ORDER BY sbfl, graph, static, semantic, llm, risk) - 1 AS i, * FROM " + ", ".join(f"(SELECT unnest(CAST({list(v)} AS DOUBLE[])) AS {k})" for k, v in E.GRID.items()) + ")")
-
-
-@query(f"""WITH {_GRID_SQL}, c AS (SELECT count(*) AS customers FROM customer) SELECT CASE WHEN sbfl = 0.3 AND graph = 0.25 AND static = 0.15 AND semantic = 0.1 AND llm = 0.15 AND risk = 0.05 THEN 'default'
-ELSE 'grid_' || lpad(CAST(i AS VARCHAR), 3, '0') END AS profile, sbfl, graph, static, semantic, llm, risk, customers FROM g, c""")
+@query(SIGNALS_SQL + f""", {_GRID_SQL}, a AS (SELECT count(DISTINCT case_id) AS cases, count(*) AS items, avg(sbfl) AS m1, avg(graph) AS m2, avg(static) AS m3, avg(semantic) AS m4, avg(llm) AS m5, avg(risk) AS m6 FROM r)
+SELECT profile, sbfl, graph, static, semantic, llm, risk, cases, items, round(sbfl * m1 + graph * m2 + static * m3 + semantic * m4 + llm * m5 - risk * m6, 6) AS mean_score FROM g, a""", "ranked")
 def weight_grid(spark, sf):
-    """The grid beside the number of customers it would be tried on."""
+    """The grid with the lists it is tried on: their number, their items and the items' mean score under each profile."""
     from ..functions import attach
 
-    return attach(grid(spark), table(spark, sf, "customer").agg(F.count("*").alias("customers")), [])
-
-
-#: A coarse grid of 12 profiles for the study queries.
-_FEW = {"sbfl": (0.20, 0.40), "graph": (0.15, 0.35), "static": (0.10, 0.15, 0.20), "semantic": (0.10,), "llm": (0.15,), "risk": (0.05,)}
-PROFILES = [{"profile": f"p{i:02d}", **dict(zip(_FEW, v, strict=True))} for i, v in enumerate(E.product(*_FEW.values()))]
+    lists = signals(spark, sf).agg(F.countDistinct("case_id").alias("cases"), F.count("*").alias("items"), *[F.avg(c).alias(f"_{c}") for c in DEFAULT])
+    score = sum(((-1 if c == "risk" else 1) * F.col(c) * F.col(f"_{c}") for c in DEFAULT), F.lit(0.0))
+    return attach(E.weight_grid(spark, default=DEFAULT), lists, []).select("profile", *DEFAULT, "cases", "items", rounded(score).alias("mean_score"))
 
 
-def _weighted(p):
-    return " + ".join(f"{-p[c] if c == 'risk' else p[c]} * {c}" for c in _FEW)
-
-
-_PROF = SIGNALS_SQL + ", v AS (" + " UNION ALL ".join(f"SELECT case_id, grp, item, relevant, rank AS old, '{p['profile']}' AS variant, round({_weighted(p)}, 9) AS s FROM r" for p in PROFILES) + "), " + _VARIANTS.split("),\nq AS ", 1)[1].join(["q AS ", ""])
+_PROF = SIGNALS_SQL + f""", {_GRID_SQL}, v AS (SELECT case_id, grp, item, relevant, rank AS old, profile AS variant,
+  round(g.sbfl * r.sbfl + g.graph * r.graph + g.static * r.static + g.semantic * r.semantic + g.llm * r.llm - g.risk * r.risk, 9) AS s FROM r, g), """ + _VARIANTS.split("),\nq AS ", 1)[1].join(["q AS ", ""])
 _VAL = "0.25 * map + 0.25 * mrr + 0.20 * ndcg + 0.15 * top1 + 0.10 * top3 + 0.05 * (1 - exam)"
 
 
 def _profiled(spark, sf, *by):
-    return E.profile_metrics(E.rerank(signals(spark, sf), PROFILES, list(_FEW)), *by)
+    return E.profile_metrics(E.rerank(signals(spark, sf), PROFILES, list(DEFAULT)), *by)
 
 
 @query(_PROF + f" SELECT variant AS profile, cases, {', '.join(f'round({c}, 6) AS {c}' for c in _SIX)}, round({_VAL}, 6) AS validation FROM ab", "ranked")
@@ -143,21 +139,36 @@ def robust_score(spark, sf):
     return r.select("profile", *[rounded(c).alias(c) for c in ("validation", "gap_top1", "gap_map", "robust")])
 
 
-# ---- repair profiles: weights of score, k and variant, some with the judge
+# ---- repair profiles: the attempt score under 45 weightings, and the default one with a judge at three weights
 
-REPAIR = [(f"r{i}", a, b, c, c > 0) for i, (a, b, c) in enumerate(E.product((0.4, 0.8), (0.1, 0.3), (0.0, 0.2)))]
-_REP = ", e AS (SELECT *, k / 99.0 AS ratio, variant / 5.0 AS risk FROM attempts), v AS (" + " UNION ALL ".join(
-    f"SELECT case_id, grp, id, success, '{p}' AS profile, {str(j).lower()} AS judged, round({a} * score + {b} * ratio + {c} * (1 - risk), 9) AS s FROM e" for p, a, b, c, j in REPAIR) + """),
-q AS (SELECT *, row_number() OVER (PARTITION BY profile, case_id ORDER BY s DESC, id) AS rnk FROM v),
+REPAIR = [(p["profile"] if p["profile"] != "default" else "default", p["feedback"], p["diff"], p["risk"], 0.0)
+          for p in E.grid_profiles(E.REPAIR_GRID, {"feedback": 0.08, "diff": 0.06, "risk": 0.03})]
+REPAIR += [(f"default_judge{round(w * 100):02d}", 0.08, 0.06, 0.03, w) for w in E.JUDGE_WEIGHTS]
+_FIXED = {c: w for c, w in ATTEMPT_WEIGHTS.items() if c not in E.REPAIR_GRID}
+_REP = """, rg AS (SELECT * FROM (SELECT CASE WHEN f = 0.08 AND d = 0.06 AND k = 0.03 THEN 'default' ELSE 'grid_' || lpad(CAST(row_number() OVER (ORDER BY f, d, k) - 1 AS VARCHAR), 3, '0') END AS profile, f, d, k, 0.0::DOUBLE AS j
+  FROM (SELECT unnest([0, 0.04, 0.08, 0.12, 0.16]::DOUBLE[]) AS f), (SELECT unnest([0.03, 0.06, 0.10]::DOUBLE[]) AS d), (SELECT unnest([0, 0.03, 0.06]::DOUBLE[]) AS k))
+  UNION ALL SELECT 'default_judge' || n, 0.08, 0.06, 0.03, w FROM (VALUES ('04', 0.04::DOUBLE), ('08', 0.08), ('12', 0.12)) AS y(n, w)),
+e AS (SELECT *, rule / 6.0 AS feedback, k / 99.0 AS ratio, variant / 5.0 AS risk, (id % 11) / 10.0 AS judge FROM attempts),
+bs AS (SELECT *, 0.60 * ratio + 0.20 * score + 0.10 * CASE WHEN variant <> 4 THEN 1 ELSE 0 END - 0.01 * CASE WHEN variant = 3 THEN 1 ELSE 0 END + 0.12 * CASE WHEN success THEN 1 ELSE 0 END AS fixed FROM e),
+v AS (SELECT case_id, grp, id, success, rank, feedback, profile, j > 0 AS judged, round((1 - j) * greatest(0.0, least(1.0, fixed + f * feedback - d * (1 - ratio) - rg.k * risk)) + j * judge, 9) AS s FROM bs, rg),
+q AS (SELECT *, row_number() OVER (PARTITION BY profile, case_id ORDER BY s DESC, feedback DESC, rank) AS rnk FROM v),
 c AS (SELECT profile, judged, grp, case_id, min(CASE WHEN success THEN rnk END) AS first, max(CASE WHEN success THEN s END) AS good, max(CASE WHEN NOT success THEN s END) AS bad FROM q GROUP BY 1, 2, 3, 4),
 x AS (SELECT *, CASE WHEN good IS NULL THEN 0.0 ELSE greatest(0.0, good - coalesce(bad, 0)) END AS margin FROM c)"""
 
 
-def _repair(spark, sf, *by):
-    a = VIEWS["attempts"](spark, sf).withColumn("ratio", F.col("k") / 99.0).withColumn("risk", F.col("variant") / 5.0)
-    each = F.array(*[F.struct(F.lit(p).alias("profile"), F.lit(j).alias("judged"), F.round(x * F.col("score") + y * F.col("ratio") + z * (1 - F.col("risk")), 9).alias("s")) for p, x, y, z, j in REPAIR])
-    r = a.select("case_id", "id", "success", "grp", F.explode(each).alias("p")).select("case_id", "id", "success", "grp", "p.*").withColumnRenamed("s", "score")
-    return rank_within(r, ["profile", "case_id"], "score", ["id"])
+def _repair(spark, sf):
+    """Attempts under each repair profile: score, then feedback, then the old rank."""
+    a = VIEWS["attempts"](spark, sf)
+    a = a.select("case_id", "id", "success", "grp", "rank", (F.col("k") / 99.0).alias("pass_ratio"), F.col("score").alias("localisation"), (F.col("variant") != 4).cast("double").alias("static_ok"),
+                 F.lit(0.0).alias("prior"), (F.col("rule") / 6.0).alias("feedback"), (1 - F.col("k") / 99.0).alias("diff"), (F.col("variant") / 5.0).alias("risk"),
+                 (F.col("variant") == 3).cast("double").alias("warning"), (F.col("id") % 11 / 10.0).alias("judge"))
+    a = a.withColumn("fixed", sum((F.col(c) * w if c != "success" else F.col("success").cast("double") * w for c, w in _FIXED.items()), F.lit(0.0)))
+    each = F.array(*[F.struct(F.lit(p).alias("profile"), F.round(
+        judge_blend(clamp(F.col("fixed") + f * F.col("feedback") - d * F.col("diff") - r * F.col("risk")), F.col("judge"), F.col("judge"), j), 9).alias("score")) for p, f, d, r, j in REPAIR])
+    # dealt by case before the profiles multiply the rows
+    rows = a.repartition("case_id").select("case_id", "id", "success", "grp", "rank", "feedback", F.explode(each).alias("p")).select("*", "p.*").drop("p")
+    w = Window.partitionBy("profile", "case_id").orderBy(F.desc("score"), F.desc("feedback"), "rank")
+    return rows.withColumn("rank", F.row_number().over(w))
 
 
 @query(_REP + """ SELECT profile, count(*) AS cases, round(avg(CASE WHEN first = 1 THEN 1.0 ELSE 0 END), 6) AS top1, round(avg(coalesce(1.0 / first, 0)), 6) AS mrr, round(avg(first), 6) AS mean_rank,
@@ -171,7 +182,7 @@ def patch_weight_search(spark, sf):
 b AS (SELECT max(ROW(score, profile)) FILTER (NOT judged) AS a, max(ROW(score, profile)) FILTER (judged) AS b FROM m)
 SELECT a[2] AS plain, b[2] AS judged, round(b[1] - a[1], 6) AS gain, CASE WHEN b[1] - a[1] IS NULL THEN 'not_evaluated' WHEN b[1] - a[1] > 1e-9 THEN 'improved' ELSE 'no_gain' END AS status FROM b""", "attempts")
 def judge_fusion(spark, sf):
-    m = E.repair_metrics(_repair(spark, sf)).join(spark.createDataFrame([(p, j) for p, *_, j in REPAIR], "profile string, judged boolean"), "profile")
+    m = E.repair_metrics(_repair(spark, sf)).join(spark.createDataFrame([(p, j) for p, *_, j in [(*x[:4], x[4] > 0) for x in REPAIR]], "profile string, judged boolean"), "profile")
     return E.judge_gain(m, []).withColumn("gain", rounded("gain"))
 
 

@@ -2,16 +2,30 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import suppress
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
+_MADE: list[str] = []
+
 
 def shared_folder(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir`` of the session; a temporary one is set where it names none (tests on one machine)."""
+    """``spark.checkpoint.dir`` of the session.
+
+    Where it names none, a temporary folder is set if the master is local
+    (tests on one machine); on a cluster that raises, as executors would not
+    see each other's files.
+    """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         named = "file://" + tempfile.mkdtemp(prefix="tesserae-")
         spark.sparkContext.setCheckpointDir(named)
     return named.rstrip("/")
@@ -21,9 +35,50 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """A copy of ``df`` in the shared folder; cuts the lineage and outlives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _MADE.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def made() -> list[str]:
+    """The folders of the stored copies so far."""
+    return list(_MADE)
+
+
+def release_since(begun: list[str], *keep: str) -> None:
+    """Remove the copies stored after ``begun``, but for those in ``keep``; nothing may read them again."""
+    held = {*begun, *keep}
+    for path in [p for p in _MADE if p not in held]:
+        with suppress(OSError, ValueError):  # a copy that can't be removed is only left over
+            store, at = filesystem(path)
+            store.delete_dir(at)
+        _MADE.remove(path)
+
+
+@atexit.register
+def _release_all() -> None:
+    release_since([])
+
+
+def filesystem(uri: str):
+    """(pyarrow file system, path) of a URI; a bare path is local."""
+    from pyarrow import fs
+
+    if uri.startswith("file:"):
+        return fs.LocalFileSystem(), "/" + uri[len("file:"):].lstrip("/")
+    return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
+
+
+def read_blocks(files: list[str], rows: int) -> Iterator[pd.DataFrame]:
+    """Stored Parquet files, a block of at most ``rows`` rows at a time; for use in tasks."""
+    import pyarrow.parquet as pq
+
+    for uri in files:
+        store, path = filesystem(uri)
+        with store.open_input_file(path) as f:
+            for batch in pq.ParquetFile(f).iter_batches(rows):
+                yield batch.to_pandas()
+
+
 def sink(df: DataFrame, path: str, kind: str = "parquet", by: list[str] | None = None, mode: str = "errorifexists") -> None:
     """Write a result as Parquet or JSON, in a folder for each value of ``by``."""
     w = df.write.mode(mode).format(kind)

@@ -59,8 +59,17 @@ def test_pareto(spark):
     p = spark.createDataFrame([("static_only", 1.0, 0.0), ("graph_only", 0.0, 0.5), ("other", 1.0, 0.0)], "profile string, top1 double, exam double")
     got = {r.profile: (r.dominates, r.dominated_by, r.optimal) for r in experiments.pareto(p, "profile", ["top1"], ["exam"]).collect()}
     assert got == {"static_only": (1, 0, True), "other": (1, 0, True), "graph_only": (0, 2, False)}
-    with pytest.raises(ValueError):
-        experiments.pareto(p, "profile", ["top1"], ["exam"], limit=2)
+
+    import random
+
+    rng = random.Random(3)
+    rows = [(f"p{i}", float(rng.randrange(6)), float(rng.randrange(6)), float(rng.randrange(6))) for i in range(150)]
+    better = lambda a, b: all(x >= y for x, y in zip(a, b, strict=True)) and a != b
+    point = {r[0]: (r[1], r[2], -r[3]) for r in rows}
+    want = {k: (sum(better(v, o) for o in point.values()), sum(better(o, v) for o in point.values())) for k, v in point.items()}
+    frame = spark.createDataFrame(rows, "profile string, a double, b double, c double")
+    got = {r.profile: (r.dominates, r.dominated_by) for r in experiments.pareto(frame, "profile", ["a", "b"], ["c"], block=7).collect()}
+    assert got == want
 
 
 def test_generalisation(spark):
