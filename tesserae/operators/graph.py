@@ -262,33 +262,64 @@ def callers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
         F.countDistinct("src").alias("callers"), F.countDistinct(F.when(F.col("src_file") != F.col("dst_file"), F.col("src"))).alias("cross_file"))
 
 
-def dependency_fanout(edges: DataFrame, changed: DataFrame, depth: int = 8) -> DataFrame:
-    """(source, fanout): nodes that data reaches from a changed one, without itself."""
-    reach = bfs(edges.where("kind = 'data_flow'"), changed, depth)
-    return reach.groupBy("source").agg((F.count("*") - 1).alias("fanout"))
+def dependency_fanout(edges: DataFrame, changed: DataFrame, key_flow: str = "control_flow", depth: int | None = None) -> DataFrame:
+    """(source, fanout): what a change of each source touches.
 
-
-def pair_links(pairs: DataFrame, edges: DataFrame) -> DataFrame:
-    """Pairs (a, b) with counts of direct edges by kind either way, connected, and a bonus of .20 at most."""
-    either = edges.select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"), "kind", "distance")
+    Nodes that data or key flow (``key_flow``: that kind of edge) reaches from
+    it, and its direct neighbours either way, without itself; and its key-flow
+    edges. The walk ends where nothing new is reached, or at ``depth``.
+    """
+    e = edges.where(F.col("kind").isin("data_flow", key_flow))
+    reach = bfs(e, changed, depth or 1 << 20)
+    s = changed.select("source").distinct()
+    ends = e.select("src", "dst", "kind")
+    touched = s.join(ends, F.col("source") == F.col("src")).select("source", F.col("dst").alias("id"), "kind").unionByName(
+        s.join(ends, F.col("source") == F.col("dst")).select("source", F.col("src").alias("id"), "kind"))
+    nodes = reach.select("source", "id").unionByName(touched.select("source", "id")).distinct().where("id <> source")
+    counts = nodes.groupBy("source").agg(F.count("*").alias("n"))
+    keys = touched.where(F.col("kind") == key_flow).groupBy("source").agg(F.count("*").alias("k"))
+    return s.join(counts, "source", "left").join(keys, "source", "left").select("source", (F.coalesce("n", F.lit(0)) + F.coalesce("k", F.lit(0))).alias("fanout"))
+
+
+def pair_links(pairs: DataFrame, edges: DataFrame, hops: int = 4) -> DataFrame:
+    """Pairs (a, b) with counts of direct edges by kind either way, hops, connected, and a bonus of .20 at most.
+
+    ``hops`` is the length of the shortest way along calls from a to b or from
+    b to a, up to the given number (null beyond). Half of it is walked from
+    either end, so nodes meet in the middle and the far half is never built.
+    """
+    either = edges.where("src <> dst").select(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y"), "kind", "distance")
     p = pairs.select("a", "b", F.least("a", "b").alias("x"), F.greatest("a", "b").alias("y"))
     got = p.join(either, ["x", "y"], "left").groupBy("a", "b").agg(
         *[count_if(F.col("kind") == k).alias(k) for k in ("calls", "data_flow", "control_flow")], F.coalesce(F.sum("distance"), F.lit(0)).alias("distance"),
         F.coalesce(F.max("distance"), F.lit(0)).alias("max_distance"))
-    bonus = F.least(F.lit(0.20), 0.10 * F.least("calls", F.lit(1)) + 0.06 * F.least("data_flow", F.lit(1)) + 0.04 * F.least("control_flow", F.lit(1)))
-    return got.withColumn("connected", F.col("calls") + F.col("data_flow") + F.col("control_flow") > 0).withColumn("bonus", bonus)
+    calls = edges.where("kind = 'calls'")
+    ends = stored(pairs.select(F.explode(F.array("a", "b")).alias("source")).distinct(), "ends")
+    forward = stored(bfs(calls, ends, hops - hops // 2), "forward")
+    back = stored(bfs(calls.select(F.col("dst").alias("src"), F.col("src").alias("dst")), ends, hops // 2), "back")
+    both = pairs.select("a", "b", F.explode(F.array(F.struct(F.col("a").alias("s"), F.col("b").alias("t")), F.struct(F.col("b").alias("s"), F.col("a").alias("t")))).alias("w")).select("a", "b", "w.*")
+    out = both.join(forward.select(F.col("source").alias("s"), "id", F.col("distance").alias("d1")), "s")
+    ways = out.join(back.select(F.col("source").alias("t"), "id", F.col("distance").alias("d2")), ["t", "id"]).groupBy("a", "b").agg(F.min(F.col("d1") + F.col("d2")).alias("hops"))
+    got = got.join(ways, ["a", "b"], "left")
+    bonus = F.least(F.lit(0.20), 0.08 * F.least("calls", F.lit(1)) + 0.06 * F.least("data_flow", F.lit(1)) + 0.04 * F.least("control_flow", F.lit(1))
+                    + 0.04 * F.col("hops").isNotNull().cast("int"))
+    return got.withColumn("connected", F.col("hops").isNotNull()).withColumn("bonus", bonus)
 
 
 def top_neighbours(edges: DataFrame, k: int = 4) -> DataFrame:
-    """The k first neighbours of each node: other files first, then awaited, distance, number of edge kinds, id.
+    """(id, way, kind, other, ...): the k first neighbours of each node, way (in or out) and kind of edge.
 
-    ``edges`` has src_file, dst_file and distance; parallel edges are one neighbour with its set of kinds.
+    Other files first, then relative imports, distance, number of edge kinds
+    between the two, id. ``edges`` has src_file, dst_file, relative and
+    distance; parallel edges are one neighbour with what they have together.
     """
     merged = edges.groupBy("src", "dst").agg(
-        F.max((F.col("src_file") != F.col("dst_file")).cast("int")).alias("cross"), F.max(F.col("awaited").cast("int")).alias("awaited"),
+        F.max((F.col("src_file") != F.col("dst_file")).cast("int")).alias("cross"), F.max(F.col("relative").cast("int")).alias("relative"),
         F.max("distance").alias("distance"), F.array_sort(F.collect_set("kind")).alias("kinds"))
-    w = Window.partitionBy("src").orderBy(F.desc("cross"), F.desc("awaited"), F.desc("distance"), F.desc(F.size("kinds")), "dst")
-    return merged.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    ways = F.array(F.struct(F.col("src").alias("id"), F.lit("out").alias("way"), F.col("dst").alias("other")), F.struct(F.col("dst").alias("id"), F.lit("in").alias("way"), F.col("src").alias("other")))
+    rows = merged.select("cross", "relative", "distance", "kinds", F.explode(ways).alias("w")).select("w.*", "cross", "relative", "distance", "kinds", F.explode("kinds").alias("kind"))
+    w = Window.partitionBy("id", "way", "kind").orderBy(F.desc("cross"), F.desc("relative"), F.desc("distance"), F.desc(F.size("kinds")), "other")
+    return rows.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def node_rank(nodes: DataFrame, edges: DataFrame) -> DataFrame:

@@ -215,7 +215,8 @@ def role_ranking(rows: DataFrame, by: str, path: str) -> DataFrame:
 # Words of a path that hint at code worth repairing.
 PATH_HINTS = {
     "cipher": 16, "crypt": 16, "decrypt": 16, "encrypt": 16, "parser": 14, "validator": 14, "normalizer": 14, "index": 12, "iterator": 12,
-    "counter": 12, "lookup": 12, "dict": 12, "mapping": 12, "cache": 12, "window": 12, "token": 10}
+    "counter": 12, "lookup": 12, "dict": 12, "mapping": 12, "cache": 12, "window": 12, "token": 10, "score": 10, "format": 10, "sort": 10,
+    "search": 10, "average": 5, "mean": 5, "median": 5, "mode": 5}
 
 
 def path_priority(path: str, hints: dict[str, int] = PATH_HINTS) -> Column:
@@ -235,8 +236,8 @@ def target_priority(rows: DataFrame, signals: DataFrame, key: str) -> DataFrame:
     comes from failure types, 2 from the signal in the name, and the wanted group 50 or -5.
     """
     s = signals.withColumnRenamed("rules", "want_rules").withColumnRenamed("grp", "want_grp").withColumn("rule", F.explode("want_rules"))
-    met = rows.withColumn("rule", F.explode("rules")).join(F.broadcast(s), "rule").groupBy(key, "signal").agg(F.countDistinct("rule").alias("shared"))
-    full = met.join(rows, key).join(F.broadcast(signals.select("signal", "kinds", F.col("grp").alias("want_grp"))), "signal")
+    met = rows.withColumn("rule", F.explode("rules")).join(s, "rule").groupBy(key, "signal").agg(F.countDistinct("rule").alias("shared"))
+    full = met.join(rows, key).join(signals.select("signal", "kinds", F.col("grp").alias("want_grp")), "signal")
     score = (
         F.when(F.col("shared") > 0, 10 + F.col("shared")).otherwise(-5) + F.when(F.array_contains("kinds", F.col("kind")), 3).otherwise(0)
         + F.least(F.lit(3.0), 0.5 * F.size("failures")) + F.when(F.col("name").contains(F.col("signal")), 2).otherwise(0)
@@ -287,11 +288,18 @@ def bundles(members: DataFrame) -> DataFrame:
     return p.select("case_id", F.col("a_function").alias("a"), F.col("b_function").alias("b"), rules.alias("rules"), risk.alias("risk"), priority.alias("priority"))
 
 
-def token_overlap(entities: DataFrame, context: DataFrame, by: str) -> DataFrame:
-    """Entities with ``semantic``: set cosine of their text's tokens and their case's context tokens."""
-    c = context.select(by, tokens("text").alias("_c")).groupBy(by).agg(F.array_distinct(F.flatten(F.collect_list("_c"))).alias("_c"))
-    e = entities.withColumn("_e", tokens("text")).join(c, by, "left")
-    return e.withColumn("semantic", F.coalesce(set_cosine(F.col("_e"), F.col("_c")), F.lit(0.0))).drop("_e", "_c")
+def token_overlap(entities: DataFrame, context: DataFrame, by: str, key: str) -> DataFrame:
+    """Entities with ``semantic``: set cosine of their text's tokens and their case's context tokens.
+
+    Tokens meet as rows, so neither a case's context nor its entities are
+    gathered in one place. ``key`` tells the entities apart.
+    """
+    c = context.select(by, F.explode(tokens("text")).alias("_t")).distinct()
+    n = c.groupBy(by).agg(F.count("*").alias("_nc"))
+    e = entities.withColumn("_e", tokens("text"))
+    shared = e.select(key, by, F.explode("_e").alias("_t")).join(c, [by, "_t"], "left_semi").groupBy(key).agg(F.count("*").alias("_both"))
+    both = e.withColumn("_ne", F.size("_e")).drop("_e").join(shared, key, "left").join(n, by, "left")
+    return both.withColumn("semantic", share(F.coalesce("_both", F.lit(0)), F.sqrt(F.col("_ne").cast("double") * F.col("_nc")))).drop("_both", "_ne", "_nc")
 
 
 def role_audit(rows: DataFrame, by: str) -> DataFrame:

@@ -128,34 +128,59 @@ _TESTS = ", t AS (SELECT DISTINCT element AS id FROM cov WHERE run_id IN (SELECT
 _ARCS = ", arcs AS (SELECT DISTINCT src, dst FROM edges WHERE kind = 'calls')"
 
 
-@query(_ARCS + """, r AS (SELECT id AS source FROM nodes WHERE is_test), h1 AS (SELECT DISTINCT source, dst AS id FROM r JOIN arcs ON source = src),
-h2 AS (SELECT DISTINCT source, dst AS id FROM h1 JOIN arcs ON id = src), h3 AS (SELECT DISTINCT source, dst AS id FROM h2 JOIN arcs ON id = src),
-a AS (SELECT source, source AS id, 0 AS distance FROM r UNION ALL SELECT source, id, 1 FROM h1 UNION ALL SELECT source, id, 2 FROM h2 UNION ALL SELECT source, id, 3 FROM h3),
-m AS (SELECT source, id, min(distance) AS distance FROM a GROUP BY 1, 2) SELECT source, distance, count(*) AS reached FROM m GROUP BY 1, 2""", "edges", "nodes")
+def levels(start: str, arcs: str, depth: int, keys: str = "source", extra: str = "") -> str:
+    """SQL of a walk, a table a step: l0 is ``start`` ({keys}, id, distance), ``reached`` all steps."""
+    lead = f"{keys}, " if keys else ""
+    own = f"f.{keys}, " if keys else ""
+    same = f"s.{keys} = f.{keys} AND " if keys else ""
+    out = [f"l0 AS MATERIALIZED (SELECT DISTINCT {lead}id, 0 AS distance FROM ({start})), s0 AS MATERIALIZED (SELECT * FROM l0)"]
+    for d in range(1, depth + 1):
+        out.append(f"l{d} AS MATERIALIZED (SELECT DISTINCT {own}x.dst AS id, {d} AS distance FROM l{d - 1} f JOIN {arcs} x ON f.id = x.src WHERE NOT EXISTS (SELECT 1 FROM s{d - 1} s WHERE {same}s.id = x.dst))")
+        out.append(f"s{d} AS MATERIALIZED (SELECT * FROM s{d - 1} UNION ALL SELECT * FROM l{d})")
+    return ", " + ", ".join(out) + f", reached AS (SELECT * FROM s{depth})"
+
+
+@query(_ARCS + levels("SELECT id AS source, id FROM nodes WHERE is_test", "arcs", 8) + " SELECT source, distance, count(*) AS reached FROM reached GROUP BY 1, 2", "edges", "nodes")
 def bfs_distance(spark, sf):
-    """From every test part along calls, to depth 3."""
+    """From every test part along calls, to depth 8."""
     sources = nodes(spark, sf).where("is_test").select(F.col("id").alias("source"))
-    d = G.bfs(edges(spark, sf).where("kind = 'calls'"), sources, 3)
+    d = G.bfs(edges(spark, sf).where("kind = 'calls'"), sources)
     return d.groupBy("source", "distance").agg(F.count("*").alias("reached"))
 
 
-@query()
+def _path_levels(depth: int) -> str:
+    """As levels, with the smallest of the shortest paths to each node."""
+    out = ["p0 AS MATERIALIZED (SELECT DISTINCT source, source AS id, [source] AS path FROM pairs), q0 AS MATERIALIZED (SELECT * FROM p0)"]
+    for d in range(1, depth + 1):
+        out.append(f"""p{d} AS MATERIALIZED (SELECT f.source, x.dst AS id, min(list_append(f.path, x.dst)) AS path FROM p{d - 1} f JOIN both_ x ON f.id = x.src
+          WHERE NOT EXISTS (SELECT 1 FROM q{d - 1} s WHERE s.source = f.source AND s.id = x.dst) GROUP BY 1, 2), q{d} AS MATERIALIZED (SELECT * FROM q{d - 1} UNION ALL SELECT * FROM p{d})""")
+    return ", " + ", ".join(out)
+
+
+@query(""", ends AS (SELECT run_id, arg_max(part, seq) AS target FROM steps WHERE run_id IN (SELECT run_id FROM runs WHERE failed) GROUP BY 1),
+pairs AS MATERIALIZED (SELECT DISTINCT part AS source, target FROM steps JOIN ends USING (run_id) WHERE part IN (SELECT id FROM nodes WHERE is_test) AND part <> target), both_ AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges)"""
+       + _path_levels(8) + " SELECT p.source, p.target, array_to_string(q.path, '>') AS path FROM pairs p JOIN q8 q ON p.source = q.source AND p.target = q.id", "runs", "steps", "edges", "nodes")
 def bfs_path(spark, sf):
-    """Shortest paths from test parts to the parts that failed orders end with."""
-    last = VIEWS["steps"](spark, sf).groupBy("run_id").agg(F.max_by("part", "seq").alias("target"))
-    ends = last.join(VIEWS["runs"](spark, sf).where("failed").select("run_id"), "run_id", "left_semi").select("target").distinct()
-    starts = nodes(spark, sf).where("is_test").select(F.col("id").alias("source"), F.col("file"))
-    pairs = starts.join(ends.join(nodes(spark, sf).select(F.col("id").alias("target"), "file"), "target"), "file").select("source", "target")
-    return G.bfs_paths(edges(spark, sf), pairs, 8)
+    """Shortest paths from test parts to the parts with which the failed orders end that they are in."""
+    w = VIEWS["steps"](spark, sf).join(VIEWS["runs"](spark, sf).where("failed").select("run_id"), "run_id", "left_semi")
+    last = w.groupBy("run_id").agg(F.max_by("part", "seq").alias("target"))
+    starts = w.join(nodes(spark, sf).where("is_test").select(F.col("id").alias("part")), "part", "left_semi").select("run_id", F.col("part").alias("source"))
+    pairs = starts.join(last, "run_id").where("source <> target").select("source", "target").distinct()
+    return G.bfs_paths(edges(spark, sf), pairs, 8).withColumn("path", F.array_join(F.col("path").cast("array<string>"), ">"))
+
 
+_ALL_ARCS = ", arcs AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges)"
+_NEAR = _TESTS + _ALL_ARCS + levels("SELECT id FROM t", "arcs", 8, "")
 
-@query()
+
+@query(_NEAR + " SELECT id, round(1.0 / (1 + distance), 6) AS proximity FROM reached", "runs", "cov", "edges", "nodes")
 def proximity(spark, sf):
     """Of every part to the failing test parts."""
     return G.proximity(edges(spark, sf), tests(spark, sf)).select("id", rounded("proximity").alias("proximity"))
 
 
-@query()
+@query(_NEAR + """, c AS (SELECT DISTINCT element AS id FROM cov WHERE run_id IN (SELECT run_id FROM runs WHERE failed) AND run_id IN (SELECT run_id FROM cov WHERE element IN (SELECT id FROM t)))
+SELECT coalesce(r.id, c.id) AS id, CASE WHEN c.id IS NOT NULL THEN 1.0 ELSE round(1.0 / (1 + distance), 6) END AS evidence FROM reached r FULL JOIN c ON r.id = c.id""", "runs", "cov", "edges", "nodes")
 def dyn_evidence(spark, sf):
     """1 for parts in a failed order that has a test part, else the proximity."""
     near = G.proximity(edges(spark, sf), tests(spark, sf))
@@ -169,16 +194,27 @@ def dyn_evidence(spark, sf):
 @query(""", c AS (SELECT src, dst, bool_or(awaited) AS aw FROM edges WHERE kind = 'calls' AND src IN (SELECT id FROM nodes WHERE NOT is_test) GROUP BY 1, 2),
 h1 AS (SELECT dst AS target, src AS id, aw AS waits FROM c), 
 h2 AS (SELECT target, c.src AS id, bool_or(waits OR aw) AS waits FROM h1 JOIN c ON h1.id = c.dst WHERE c.src <> target GROUP BY 1, 2),
-n2 AS (SELECT * FROM h2 WHERE (target, id) NOT IN (SELECT (target, id) FROM h1)),
-w AS (SELECT *, 1.0 AS f FROM h1 UNION ALL SELECT *, 0.5 FROM n2)
+n2 AS MATERIALIZED (SELECT * FROM h2 WHERE NOT EXISTS (SELECT 1 FROM h1 s WHERE s.target = h2.target AND s.id = h2.id)),
+h3 AS (SELECT target, c.src AS id, bool_or(waits OR aw) AS waits FROM n2 JOIN c ON n2.id = c.dst WHERE c.src <> target GROUP BY 1, 2),
+n3 AS (SELECT * FROM h3 WHERE NOT EXISTS (SELECT 1 FROM h1 s WHERE s.target = h3.target AND s.id = h3.id) AND NOT EXISTS (SELECT 1 FROM n2 s WHERE s.target = h3.target AND s.id = h3.id)),
+w AS (SELECT *, 1.0 AS f FROM h1 UNION ALL SELECT *, 0.5 FROM n2 UNION ALL SELECT *, 0.25 FROM n3)
 SELECT target AS id, CAST(round(sum(f * (1 + CASE WHEN a.file <> b.file THEN 0.5 ELSE 0 END + CASE WHEN waits THEN 0.15 ELSE 0 END)), 6) AS DOUBLE) AS impact
 FROM w JOIN nodes a ON w.id = a.id JOIN nodes b ON w.target = b.id GROUP BY target""", "edges", "nodes")
 def caller_impact(spark, sf):
-    """To depth 2: in this dense graph the third step reaches nearly everything."""
-    return G.caller_impact(edges(spark, sf), nodes(spark, sf), 2).select("id", rounded("impact").alias("impact"))
+    return G.caller_impact(edges(spark, sf), nodes(spark, sf)).select("id", rounded("impact").alias("impact"))
+
 
+def _rank_levels(rounds: int) -> str:
+    out = ["r0 AS MATERIALIZED (SELECT id, outs, 1.0 / nn AS rank FROM base)"]
+    for i in range(1, rounds + 1):
+        out.append(f"""r{i} AS MATERIALIZED (SELECT b.id, b.outs, 0.15 / nn + 0.85 * (coalesce(got, 0) + mass / nn) AS rank FROM base b
+          LEFT JOIN (SELECT dst AS id, sum(rank / outs) AS got FROM arcs JOIN r{i - 1} p ON arcs.src = p.id GROUP BY 1) g ON b.id = g.id, (SELECT coalesce(sum(rank), 0) AS mass FROM r{i - 1} WHERE outs IS NULL))""")
+    return ", " + ", ".join(out)
 
-@query()
+
+@query(""", arcs AS MATERIALIZED (SELECT DISTINCT src, dst FROM edges WHERE src IN (SELECT id FROM nodes) AND dst IN (SELECT id FROM nodes)),
+base AS MATERIALIZED (SELECT n.id, o.outs, count(*) OVER ()::DOUBLE AS nn FROM (SELECT DISTINCT id FROM nodes) n LEFT JOIN (SELECT src AS id, count(*) AS outs FROM arcs GROUP BY 1) o USING (id))"""
+       + _rank_levels(30) + " SELECT id, round(rank, 9) AS rank FROM r30", "edges", "nodes")
 def pagerank(spark, sf):
     return G.pagerank(edges(spark, sf), nodes(spark, sf)).select("id", F.round("rank", 9).alias("rank"))
 
@@ -196,14 +232,14 @@ def async_score(spark, sf):
 
 
 @query(""", b AS (SELECT DISTINCT src AS a, dst AS b FROM edges UNION SELECT DISTINCT dst, src FROM edges), t AS (SELECT id AS target FROM nodes WHERE is_test),
-s AS (SELECT target, target AS id FROM t UNION SELECT target, b FROM t JOIN b ON target = a),
+s1 AS (SELECT target, target AS id FROM t UNION SELECT target, b FROM t JOIN b ON target = a), s AS MATERIALIZED (SELECT * FROM s1 UNION SELECT s1.target, b.b FROM s1 JOIN b ON s1.id = b.a),
 i AS (SELECT s.target, e.kind FROM edges e JOIN s ON e.src = s.id JOIN s s2 ON e.dst = s2.id AND s2.target = s.target),
 e AS (SELECT target, count(*) AS edges, count(*) FILTER (kind = 'calls') AS calls, count(*) FILTER (kind = 'data_flow') AS data_flow, count(*) FILTER (kind = 'control_flow') AS control_flow FROM i GROUP BY 1)
 SELECT n.target, n.nodes, coalesce(edges, 0) AS edges, coalesce(calls, 0) AS calls, coalesce(data_flow, 0) AS data_flow, coalesce(control_flow, 0) AS control_flow
 FROM (SELECT target, count(*) AS nodes FROM s GROUP BY 1) n LEFT JOIN e USING (target)""", "edges", "nodes")
 def slice_khop(spark, sf):
-    """Depth 1 around every test part."""
-    return G.slice_summary(edges(spark, sf), nodes(spark, sf).where("is_test").select(F.col("id").alias("target")), 1)
+    """Depth 2 around every test part."""
+    return G.slice_summary(edges(spark, sf), nodes(spark, sf).where("is_test").select(F.col("id").alias("target")))
 
 
 def _listed(condition: str) -> str:
@@ -239,26 +275,36 @@ def callers(spark, sf):
     return G.callers(edges(spark, sf), nodes(spark, sf))
 
 
-@query()
+@query(""", e AS MATERIALIZED (SELECT * FROM edges WHERE kind IN ('data_flow', 'control_flow')), a AS MATERIALIZED (SELECT DISTINCT src, dst FROM e), c AS (SELECT id AS source FROM nodes WHERE is_test)"""
+       + levels("SELECT source, source AS id FROM c", "a", 16) + """, t AS (SELECT source, dst AS id, kind FROM c JOIN e ON source = src UNION ALL SELECT source, src, kind FROM c JOIN e ON source = dst),
+n AS (SELECT source, count(*) AS n FROM (SELECT source, id FROM reached UNION SELECT source, id FROM t) WHERE id <> source GROUP BY 1), k AS (SELECT source, count(*) AS k FROM t WHERE kind = 'control_flow' GROUP BY 1)
+SELECT source, coalesce(n, 0) + coalesce(k, 0) AS fanout FROM c LEFT JOIN n USING (source) LEFT JOIN k USING (source)""", "edges", "nodes")
 def dep_fanout(spark, sf):
-    """Of every test part, along data edges to depth 4."""
-    return G.dependency_fanout(edges(spark, sf), nodes(spark, sf).where("is_test").select(F.col("id").alias("source")), 4)
-
-
-@query(FULL + """, p AS (SELECT DISTINCT least(src, dst) AS a, greatest(src, dst) AS b FROM x WHERE awaited), y AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, kind, distance FROM x),
-g AS (SELECT a, b, count(*) FILTER (kind = 'calls') AS calls, count(*) FILTER (kind = 'data_flow') AS data_flow, count(*) FILTER (kind = 'control_flow') AS control_flow,
-  CAST(sum(distance) AS BIGINT) AS distance, max(distance) AS max_distance FROM p JOIN y USING (a, b) GROUP BY 1, 2)
-SELECT *, calls + data_flow + control_flow > 0 AS connected, CAST(round(least(0.20, 0.10 * least(calls, 1) + 0.06 * least(data_flow, 1) + 0.04 * least(control_flow, 1)), 6) AS DOUBLE) AS bonus FROM g""", "edges", "nodes")
+    """Of every test part, along data and control edges as far as they go."""
+    return G.dependency_fanout(edges(spark, sf), nodes(spark, sf).where("is_test").select(F.col("id").alias("source")))
+
+
+@query(FULL + """, st AS (SELECT run_id, arg_min(part, seq) AS f, arg_max(part, seq) AS l FROM steps WHERE run_id IN (SELECT run_id FROM runs WHERE failed) GROUP BY 1),
+p AS MATERIALIZED (SELECT DISTINCT least(f, l) AS a, greatest(f, l) AS b FROM st WHERE f <> l), y AS (SELECT least(src, dst) AS a, greatest(src, dst) AS b, kind, distance FROM x),
+g AS (SELECT p.a, p.b, count(*) FILTER (kind = 'calls') AS calls, count(*) FILTER (kind = 'data_flow') AS data_flow, count(*) FILTER (kind = 'control_flow') AS control_flow,
+  CAST(coalesce(sum(distance), 0) AS BIGINT) AS distance, coalesce(max(distance), 0) AS max_distance FROM p LEFT JOIN y ON p.a = y.a AND p.b = y.b GROUP BY 1, 2),
+arcs AS MATERIALIZED (SELECT DISTINCT src, dst FROM x WHERE kind = 'calls'), m AS (SELECT DISTINCT unnest([a, b]) AS source FROM p)""" + levels("SELECT source, source AS id FROM m", "arcs", 4) + """,
+w AS (SELECT p.a, p.b, min(distance) AS hops FROM p JOIN reached r ON (r.source = p.a AND r.id = p.b) OR (r.source = p.b AND r.id = p.a) GROUP BY 1, 2)
+SELECT g.*, hops, hops IS NOT NULL AS connected, CAST(round(least(0.20, 0.08 * least(calls, 1) + 0.06 * least(data_flow, 1) + 0.04 * least(control_flow, 1) + CASE WHEN hops IS NULL THEN 0 ELSE 0.04 END), 6) AS DOUBLE) AS bonus
+FROM g LEFT JOIN w ON g.a = w.a AND g.b = w.b""", "runs", "steps", "edges", "nodes")
 def bundle_graph(spark, sf):
-    e = full_edges(spark, sf)
-    pairs = e.where("awaited").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    return G.pair_links(pairs, e).withColumn("bonus", rounded("bonus"))
-
-
-@query(FULL + """, m AS (SELECT src, dst, max(CASE WHEN src_file <> dst_file THEN 1 ELSE 0 END) AS c, max(CASE WHEN awaited THEN 1 ELSE 0 END) AS w, max(distance) AS distance,
-  list_sort(list(DISTINCT kind)) AS kinds FROM x GROUP BY 1, 2)
-SELECT src, dst, c AS cross, w AS awaited, distance, array_to_string(kinds, ',') AS kinds, CAST(row_number() OVER (PARTITION BY src ORDER BY c DESC, w DESC, distance DESC, len(kinds) DESC, dst) AS INTEGER) AS rank
-FROM m QUALIFY rank <= 4""", "edges", "nodes")
+    """The first and the last part of each failed order as a pair."""
+    w = VIEWS["steps"](spark, sf).join(VIEWS["runs"](spark, sf).where("failed").select("run_id"), "run_id", "left_semi")
+    ends = w.groupBy("run_id").agg(F.min_by("part", "seq").alias("f"), F.max_by("part", "seq").alias("l")).where("f <> l")
+    pairs = ends.select(F.least("f", "l").alias("a"), F.greatest("f", "l").alias("b")).distinct()
+    return G.pair_links(pairs, full_edges(spark, sf)).withColumn("bonus", rounded("bonus"))
+
+
+@query(FULL + """, m AS (SELECT src, dst, max(CASE WHEN src_file <> dst_file THEN 1 ELSE 0 END) AS c, max(CASE WHEN relative THEN 1 ELSE 0 END) AS rel, max(distance) AS distance,
+  list_sort(list(DISTINCT kind)) AS kinds FROM x GROUP BY 1, 2),
+u AS (SELECT id, way, other, c, rel, distance, kinds, unnest(kinds) AS kind FROM (SELECT src AS id, 'out' AS way, dst AS other, * FROM m UNION ALL SELECT dst, 'in', src, * FROM m))
+SELECT id, way, kind, other, c AS cross, rel AS relative, distance, array_to_string(kinds, ',') AS kinds,
+  CAST(row_number() OVER (PARTITION BY id, way, kind ORDER BY c DESC, rel DESC, distance DESC, len(kinds) DESC, other) AS INTEGER) AS rank FROM u QUALIFY rank <= 4""", "edges", "nodes")
 def neighbours_top(spark, sf):
     return G.top_neighbours(full_edges(spark, sf)).withColumn("kinds", F.array_join("kinds", ","))
 

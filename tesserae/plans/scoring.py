@@ -61,14 +61,14 @@ def tokens_of_text(spark, sf):
     return table(spark, sf, "benchmark").select("item_id", F.array_join(F.array_sort(tokens("text")), " ").alias("words"))
 
 
-@query(f""", b AS (SELECT 1 AS one) , c AS (SELECT turn % 7 AS k, list_distinct(flatten(list({tokens_sql('text')}))) AS words FROM conversations WHERE turn < 7 AND text IS NOT NULL GROUP BY 1),
+@query(f""", b AS (SELECT 1 AS one) , c AS (SELECT turn % 7 AS k, list_distinct(flatten(list({tokens_sql('text')}))) AS words FROM conversations WHERE text IS NOT NULL GROUP BY 1),
 e AS (SELECT doc_id, doc_id % 7 AS k, {tokens_sql('text')} AS words FROM documents)
 SELECT e.doc_id, round(coalesce(len(list_intersect(e.words, c.words)) / nullif(sqrt(len(e.words)::DOUBLE * len(c.words)), 0), 0), 6) AS semantic
 FROM e LEFT JOIN c ON e.k = c.k""".replace(", b AS (SELECT 1 AS one) ,", "WITH"))
 def set_cosine(spark, sf):
-    context = table(spark, sf, "conversations").where("turn < 7").select((F.col("turn") % 7).alias("k"), "text")
+    context = table(spark, sf, "conversations").select((F.col("turn") % 7).alias("k"), "text")
     docs = table(spark, sf, "documents").select("doc_id", (F.col("doc_id") % 7).alias("k"), "text")
-    return S.token_overlap(docs, context, "k").select("doc_id", rounded("semantic").alias("semantic"))
+    return S.token_overlap(docs, context, "k", "doc_id").select("doc_id", rounded("semantic").alias("semantic"))
 
 
 _GRAPH = list(S.GRAPH_WEIGHTS)
@@ -298,17 +298,18 @@ def trigger_score(spark, sf):
     return changes(spark, sf).select(*_KEY.split(", "), rounded(x).alias("score"))
 
 
-_PATHS = ["src/app/core.py", "tests/test_app.py", "conftest.py", "setup.py", "tools/run.py", "lib/parser.py", "pkg/cache/index.py", "pkg/__init__.py", "docs/conf.py", "x_test.py"]
+_PATHS = ["src/app/core.py", "tests/test_app.py", "conftest.py", "setup.py", "tools/run.py", "lib/parser.py", "pkg/cache/index.py", "pkg/__init__.py", "docs/conf.py", "x_test.py",
+          "lib/sort_search.py", "stats/mean_mode.py", "fmt/format_score.py", "stats/median_average.py", "src/encrypt_validator.py", "src/counter_iterator.py"]
 _PATHS_SQL = "[" + ", ".join(f"'{p}'" for p in _PATHS) + "]"
 _ROLE = """CASE WHEN regexp_matches(path, '(^|/)test_[^/]*$|_test[.]py$|(^|/)tests?/') THEN 'test' WHEN path = 'conftest.py' THEN 'test_automation'
 WHEN path = 'setup.py' THEN 'project_automation' WHEN regexp_matches(path, '(^|/)(scripts|tools|examples|docs|doc)/') THEN 'support' ELSE 'application' END"""
 
 
 def part_paths(spark, sf):
-    return table(spark, sf, "part").withColumn("path", F.get(F.array(*map(F.lit, _PATHS)), (F.col("p_partkey") % 10).cast("int")))
+    return table(spark, sf, "part").withColumn("path", F.get(F.array(*map(F.lit, _PATHS)), (F.col("p_partkey") % len(_PATHS)).cast("int")))
 
 
-@query(f"""WITH p AS (SELECT *, {_PATHS_SQL}[p_partkey % 10 + 1] AS path FROM part), r AS (SELECT p_brand AS brand, p_partkey AS id, {_ROLE} AS role,
+@query(f"""WITH p AS (SELECT *, {_PATHS_SQL}[p_partkey % {len(_PATHS)} + 1] AS path FROM part), r AS (SELECT p_brand AS brand, p_partkey AS id, {_ROLE} AS role,
   p_size % 7 + 0.5 * (p_size % 4) + 0.25 * (p_size % 3) AS raw, p_retailprice AS graph FROM p),
 m AS (SELECT *, raw / nullif(max(raw) OVER (PARTITION BY brand), 0) AS s, graph / max(graph) OVER (PARTITION BY brand) AS g FROM r)
 SELECT brand, id, role, round(0.55 * coalesce(s, 0) + 0.30 * g + 0.15 * {case_sql('role', S.ROLE_WEIGHTS, 0.8)}, 6) AS final FROM m""")
@@ -319,10 +320,13 @@ def source_role(spark, sf):
     return S.role_ranking(p, "brand", "path").select("brand", "id", "role", rounded("final").alias("final"))
 
 
-_HINT = " + ".join(f"CASE WHEN contains(path, '{w}') THEN {n} ELSE 0 END" for w, n in S.PATH_HINTS.items())
+# the weights again, by hand, so that a wrong one above shows
+_BY_WEIGHT = {16: "cipher crypt decrypt encrypt", 14: "parser validator normalizer", 12: "index iterator counter lookup dict mapping cache window",
+              10: "token score format sort search", 5: "average mean median mode"}
+_HINT = " + ".join(f"{n} * (" + " + ".join(f"CAST(contains(path, '{w}') AS INTEGER)" for w in words.split()) + ")" for n, words in _BY_WEIGHT.items())
 
 
-@query(f"""WITH p AS (SELECT p_partkey AS id, {_PATHS_SQL}[p_partkey % 10 + 1] AS path FROM part)
+@query(f"""WITH p AS (SELECT p_partkey AS id, {_PATHS_SQL}[p_partkey % {len(_PATHS)} + 1] AS path FROM part)
 SELECT id, CAST(CASE WHEN regexp_matches(path, '(^|/)test_[^/]*$|_test[.]py$|(^|/)tests?/') THEN 0 ELSE 20 END + {_HINT} - CASE WHEN regexp_matches(path, '(^|/)__init__[.]py$') THEN 10 ELSE 0 END AS INTEGER) AS priority FROM p""")
 def path_priority(spark, sf):
     return part_paths(spark, sf).select(F.col("p_partkey").alias("id"), S.path_priority("path").cast("int").alias("priority"))
