@@ -107,12 +107,16 @@ def verdict_outcomes(rows: DataFrame, *by: str) -> DataFrame:
 def bootstrap(rows: DataFrame, metrics: list[str], by: list[str], samples: int = 1000, level: float = 0.95, seed: int = 17) -> DataFrame:
     """(by, metric, mean, low, high): percentile intervals of the mean over resamples.
 
-    Each row gets, for each resample, a Poisson(1) weight drawn from a hash of
-    the row, the resample and the seed; sums are combined map-side, so a task
+    Each row gets, for each resample, a Poisson(1) weight drawn from a number
+    that the row's id, the resample and the seed give (squared twice modulo a
+    prime, which any engine can do alike); sums are combined map-side, so a task
     sends one row for each group, metric and resample. Rows: an ``id`` and the
     metrics. A single row gives its own value as both ends.
     """
-    draw = F.pmod(F.xxhash64("id", "b", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
+    prime = F.lit((1 << 31) - 1).cast("long")
+    mixed = F.pmod(F.col("id") * 48271 + F.col("b").cast("long") * 69621 + seed, prime)
+    mixed = F.pmod(mixed * mixed + F.col("b"), prime)
+    draw = F.pmod(mixed * mixed + F.col("id"), prime) / prime.cast("double")
     # Poisson(1): its distribution function at 0, 1, 2, ...
     steps = (0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183)
     weight = sum((draw >= p).cast("int") for p in steps)

@@ -1,19 +1,56 @@
 """Selection under diversity.
 
-Greedy choices look at what was chosen before, so they run as grouped pandas
-on one case at a time. A case is one search: its candidates are bounded by the
-search's budget, and many cases run side by side.
+Greedy choices look at what was chosen before, so they walk through one case at
+a time, as grouped pandas. What a walk holds is bounded first, without changing
+its result: rows that are alike in all features a choice looks at can only be
+chosen best first, so of each such kind the k best are enough where k rows are
+wanted. Where all rows are ranked, a step looks at the best row left of each
+kind, not at all rows. Selections that need no memory of earlier choices but a
+running number are windows, which spill.
 """
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Callable, Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import count_if, share
 
 
+def _best_of_kind(rows: DataFrame, case: str, kind: list, order: list, k: int) -> DataFrame:
+    """The first k rows of each case and kind."""
+    w = Window.partitionBy(case, *kind).orderBy(*order)
+    return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
+
+
+def _walk(records: list[dict], kinds: list[str], value: Callable[[dict, list[set]], tuple], steps: int | None = None) -> Iterator[tuple[dict, list[set]]]:
+    """Take the row of greatest ``value`` again and again; of equal ones the first in ``records``.
+
+    ``value`` sees a row and the sets of each kind's values so far and is the
+    same for rows of equal kinds but for their order in ``records``, which must
+    be from the greatest on. So each step looks at the head of each combination.
+    """
+    heads: dict[tuple, deque] = {}
+    for i, r in enumerate(records):
+        heads.setdefault(tuple(r[k] for k in kinds), deque()).append((i, r))
+    seen: list[set] = [set() for _ in kinds]
+    taken = 0
+    while heads and (steps is None or taken < steps):
+        key = max(heads, key=lambda h: (value(heads[h][0][1], seen), -heads[h][0][0]))
+        _, row = heads[key].popleft()
+        if not heads[key]:
+            del heads[key]
+        yield row, seen
+        taken += 1
+        for k, s in zip(kinds, seen, strict=True):
+            s.add(row[k])
+
+
 def diversity_rerank(rows: DataFrame, case: str = "case_id", weight: float = 0.06) -> DataFrame:
     """(case, id, prior, base_rank, bonus, rank): take again and again the best of prior + weight * bonus.
 
@@ -21,22 +58,18 @@ def diversity_rerank(rows: DataFrame, case: str = "case_id", weight: float = 0.0
     variant and .10 for a new risk bucket; ties go to the prior, then the base rank.
     """
     schema = f"{case} {dict(rows.dtypes)[case]}, id long, prior double, base_rank int, bonus double, rank int"
+    kinds = (("function", 0.35), ("rule", 0.35), ("variant", 0.20), ("risk_bucket", 0.10))
+
+    def bonus(r, seen):
+        return sum(w for (k, w), s in zip(kinds, seen, strict=True) if r[k] not in s)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, seen, out = pdf.sort_values("base_rank").to_dict("records"), [set() for _ in range(4)], []
-        kinds = (("function", 0.35), ("rule", 0.35), ("variant", 0.20), ("risk_bucket", 0.10))
-        while left:
-            def bonus(r):
-                return sum(w for (k, w), s in zip(kinds, seen, strict=True) if r[k] not in s)
-
-            best = max(left, key=lambda r: (r["prior"] + weight * bonus(r), r["prior"], -r["base_rank"]))
-            out.append((best[case], best["id"], best["prior"], best["base_rank"], bonus(best), len(out) + 1))
-            left.remove(best)
-            for (k, _), s in zip(kinds, seen, strict=True):
-                s.add(best[k])
+        ordered = pdf.sort_values(["prior", "base_rank"], ascending=[False, True]).to_dict("records")
+        walk = _walk(ordered, [k for k, _ in kinds], lambda r, seen: (r["prior"] + weight * bonus(r, seen), r["prior"]))
+        out = [(r[case], r["id"], r["prior"], r["base_rank"], bonus(r, seen), i) for i, (r, seen) in enumerate(walk, 1)]
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return rows.groupBy(case).applyInPandas(choose, schema)
+    return rows.select(case, "id", "prior", "base_rank", *[k for k, _ in kinds]).groupBy(case).applyInPandas(choose, schema)
 
 
 def gain_subset(rows: DataFrame, k: int, case: str = "case_id") -> DataFrame:
@@ -45,37 +78,40 @@ def gain_subset(rows: DataFrame, k: int, case: str = "case_id") -> DataFrame:
     ``rows``: id, rules (array), kind, source.
     """
     schema = f"{case} {dict(rows.dtypes)[case]}, id long, gain long, place int"
+    rows = rows.select(case, "id", "kind", "source", F.array_sort(F.array_distinct("rules")).alias("rules"))
+    few = _best_of_kind(rows, case, ["rules", "kind", "source"], ["id"], k)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         left, rules, kinds, sources, out = pdf.sort_values("id").to_dict("records"), set(), set(), set(), []
         while left and len(out) < k:
-            gain = lambda r: 100 * len(set(r["rules"]) - rules) + 30 * (r["kind"] not in kinds) + 10 * (r["source"] not in sources)
-            best = max(left, key=gain)
-            out.append((best[case], best["id"], gain(best), len(out) + 1))
-            left.remove(best)
+            gains = [100 * len(set(r["rules"]) - rules) + 30 * (r["kind"] not in kinds) + 10 * (r["source"] not in sources) for r in left]
+            at = gains.index(max(gains))
+            best = left.pop(at)
+            out.append((best[case], best["id"], gains[at], len(out) + 1))
             rules |= set(best["rules"])
             kinds.add(best["kind"])
             sources.add(best["source"])
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return rows.groupBy(case).applyInPandas(choose, schema)
+    return few.groupBy(case).applyInPandas(choose, schema)
 
 
 def score_diverse_subset(rows: DataFrame, k: int, case: str = "case_id") -> DataFrame:
     """(case, id, score, place): k rows by score, then new group and folder, then the smaller index."""
     schema = f"{case} {dict(rows.dtypes)[case]}, id long, score double, place int"
+    few = _best_of_kind(rows.select(case, "id", "score", "grp", "folder"), case, ["grp", "folder"], [F.desc("score"), "id"], k)
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         left, groups, folders, out = pdf.sort_values("id").to_dict("records"), set(), set(), []
         while left and len(out) < k:
-            best = max(left, key=lambda r: (r["score"], (r["grp"] not in groups) + (r["folder"] not in folders)))
+            worth = [(r["score"], (r["grp"] not in groups) + (r["folder"] not in folders)) for r in left]
+            best = left.pop(worth.index(max(worth)))
             out.append((best[case], best["id"], best["score"], len(out) + 1))
-            left.remove(best)
             groups.add(best["grp"])
             folders.add(best["folder"])
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return rows.groupBy(case).applyInPandas(choose, schema)
+    return few.groupBy(case).applyInPandas(choose, schema)
 
 
 def first_per_key_fill(rows: DataFrame, by: str, key: str, score: str, tie: str, k: int) -> DataFrame:
@@ -86,25 +122,23 @@ def first_per_key_fill(rows: DataFrame, by: str, key: str, score: str, tie: str,
     return rows.withColumn("tier", tier).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
 
 
-def tiered_retention(rows: DataFrame, k: int, case: str = "case_id") -> DataFrame:
-    """(case, id, tier, place): successes; then unseen (function, rule, failure, bucket) that aren't hard failures; then any unseen; then the rest, to k."""
-    schema = f"{case} {dict(rows.dtypes)[case]}, id long, tier int, place int"
-    hard = {"patch_apply_error", "syntax_error", "import_error", "safety_gate_blocked", "timeout"}
+#: Failures that are kept last.
+HARD_FAILURES = ("patch_apply_error", "syntax_error", "import_error", "safety_gate_blocked", "timeout")
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows_ = pdf.sort_values(["score", "id"], ascending=[False, True]).to_dict("records")
-        out, seen, taken = [], set(), set()
-        for tier in range(4):
-            for r in rows_:
-                key = (r["function"], r["rule"], r["failure_type"], r["bucket"])
-                fits = (r["success"], key not in seen and r["failure_type"] not in hard, key not in seen, True)[tier]
-                if len(out) < k and r["id"] not in taken and fits:
-                    out.append((r[case], r["id"], tier, len(out) + 1))
-                    taken.add(r["id"])
-                    seen.add(key)
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return rows.groupBy(case).applyInPandas(choose, schema)
+def tiered_retention(rows: DataFrame, k: int, case: str = "case_id") -> DataFrame:
+    """(case, id, tier, place): successes; then unseen (function, rule, failure, bucket) that aren't hard failures; then any unseen; then the rest, to k.
+
+    A key is unseen where no success has it and no better row of the case has
+    it. By windows: what comes into a tier doesn't depend on k.
+    """
+    key = ["function", "rule", "failure_type", "bucket"]
+    best = Window.partitionBy(case, *key).orderBy(F.col("success").cast("int").desc(), F.desc("score"), "id")
+    fresh = F.row_number().over(best) == 1  # a success of the key would come first
+    hard = F.coalesce(F.col("failure_type").isin(*HARD_FAILURES), F.lit(False))
+    tier = F.when(F.col("success"), 0).when(fresh & ~hard, 1).when(fresh, 2).otherwise(3)
+    place = F.row_number().over(Window.partitionBy(case).orderBy("tier", F.desc("score"), "id"))
+    return rows.withColumn("tier", tier).withColumn("place", place).where(F.col("place") <= k).select(case, "id", "tier", "place")
 
 
 def feature_rerank(rows: DataFrame, case: str = "case_id") -> DataFrame:
@@ -112,18 +146,16 @@ def feature_rerank(rows: DataFrame, case: str = "case_id") -> DataFrame:
     schema = f"{case} {dict(rows.dtypes)[case]}, id long, bonus double, rank int"
     kinds = (("rule", 3.0), ("kind", 2.0), ("upstream", 2.0), ("function", 1.5), ("source", 1.0))
 
+    def bonus(r, seen):
+        return min(8.0, sum(w for (k, w), s in zip(kinds, seen, strict=True) if r[k] not in s)) if seen[0] else 0.0
+
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        left, seen, out = pdf.sort_values(["score", "id"], ascending=[False, True]).to_dict("records"), {k: set() for k, _ in kinds}, []
-        while left:
-            bonus = lambda r: min(8.0, sum(w for k, w in kinds if r[k] not in seen[k])) if out else 0.0
-            best = max(left, key=lambda r: r["score"] + bonus(r))
-            out.append((best[case], best["id"], bonus(best), len(out) + 1))
-            left.remove(best)
-            for k, _ in kinds:
-                seen[k].add(best[k])
+        ordered = pdf.sort_values(["score", "id"], ascending=[False, True]).to_dict("records")
+        walk = _walk(ordered, [k for k, _ in kinds], lambda r, seen: (r["score"] + bonus(r, seen),))
+        out = [(r[case], r["id"], bonus(r, seen), i) for i, (r, seen) in enumerate(walk, 1)]
         return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
 
-    return rows.groupBy(case).applyInPandas(choose, schema)
+    return rows.select(case, "id", "score", *[k for k, _ in kinds]).groupBy(case).applyInPandas(choose, schema)
 
 
 def best_match(seeds: DataFrame, catalogue: DataFrame) -> DataFrame:
@@ -165,22 +197,28 @@ def infer_failures(rows: DataFrame) -> DataFrame:
 
 
 def distinct_batches(rows: DataFrame, size: int, wanted: list[int], case: str = "case_id") -> DataFrame:
-    """(case, batch, id): walk in order of id over rows of a wanted rule, skip a function that the open batch has, keep full batches only."""
-    schema = f"{case} {dict(rows.dtypes)[case]}, batch int, id long"
+    """(case, batch, id): walk in order of id over rows of a wanted rule, skip a function that the open batch has, keep full batches only.
 
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, open_, functions, n = [], [], set(), 0
-        for r in pdf.sort_values("id").to_dict("records"):
-            if r["function"] not in functions:
-                open_.append(r)
-                functions.add(r["function"])
-            if len(open_) == size:
-                n += 1
-                out += [(x[case], n, x["id"]) for x in open_]
-                open_, functions = [], set()
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return rows.where(F.col("rule").isin(*wanted)).groupBy(case).applyInPandas(choose, schema)
+    A task goes through its sorted rows and holds the open batch only, however long a case is.
+    """
+    schema = pa.schema([(case, pa.int64()), ("batch", pa.int32()), ("id", pa.int64())])
+
+    def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, open_, n = None, {}, 0
+        for batch in batches:
+            out = []
+            for c, i, f in zip(*(batch.column(x).to_pylist() for x in ("case", "id", "function")), strict=True):
+                if c != at:
+                    at, open_, n = c, {}, 0
+                open_.setdefault(f, i)
+                if len(open_) == size:
+                    n += 1
+                    out += [(c, n, x) for x in open_.values()]
+                    open_ = {}
+            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(zip(*out, strict=True) if out else [[]] * 3, schema, strict=True)], schema=schema)
+
+    chosen = rows.where(F.col("rule").isin(*wanted)).select(F.col(case).cast("long").alias("case"), "id", "function")
+    return chosen.repartition("case").sortWithinPartitions("case", "id").mapInArrow(walk, f"{case} long, batch int, id long")
 
 
 def selection_audit(rows: DataFrame, chosen: DataFrame, key: str, *by: str) -> DataFrame:

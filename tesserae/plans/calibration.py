@@ -113,11 +113,17 @@ def judge_confusion(spark, sf):
     return K.verdict_outcomes(VIEWS["attempts"](spark, sf).withColumn("verdict", F.get(names, F.col("rule"))), "grp")
 
 
-@query()
+@query(""", c AS (SELECT id, grp, confidence, CASE WHEN hit THEN 1.0::DOUBLE ELSE 0 END AS accuracy FROM conf), b AS (SELECT *, unnest(range(1, 1001)) AS b FROM c),
+m AS (SELECT *, (id * 48271 + b * 69621 + 17) % 2147483647 AS m1 FROM b), n AS (SELECT *, (m1 * m1 + b) % 2147483647 AS m2 FROM m), o AS (SELECT *, ((m2 * m2 + id) % 2147483647) / 2147483647.0::DOUBLE AS draw FROM n),
+w AS (SELECT *, len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]::DOUBLE[], lambda p: draw >= p)) AS w FROM o),
+s AS (SELECT grp, b, sum(w)::DOUBLE AS n, sum(w * confidence) AS c, sum(w * accuracy) AS a FROM w GROUP BY 1, 2 HAVING sum(w) > 0),
+u AS (SELECT grp, 'confidence' AS metric, c / n AS x FROM s UNION ALL SELECT grp, 'accuracy', a / n FROM s), r AS (SELECT grp, 'confidence' AS metric, avg(confidence) AS mean FROM c GROUP BY 1 UNION ALL SELECT grp, 'accuracy', avg(accuracy) FROM c GROUP BY 1)
+SELECT grp, metric, round(max(mean), 6) AS mean, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM u JOIN r USING (grp, metric) GROUP BY 1, 2""", "conf")
 def bootstrap_ci(spark, sf):
-    """Intervals of the mean confidence and accuracy in each group; random, so without an oracle."""
+    """Intervals of the mean confidence and accuracy in each group."""
     rows = VIEWS["conf"](spark, sf).select("id", "grp", "confidence", F.col("hit").cast("double").alias("accuracy"))
-    return K.bootstrap(rows, ["confidence", "accuracy"], ["grp"], samples=1000)
+    found = K.bootstrap(rows, ["confidence", "accuracy"], ["grp"], samples=1000)
+    return found.select("grp", "metric", *[rounded(c).alias(c) for c in ("mean", "low", "high")])
 
 
 WEIGHTS = {"sbfl": 0.30, "graph": 0.25, "static": 0.15, "semantic": 0.10, "llm": 0.15, "risk": -0.05}
