@@ -11,14 +11,18 @@ def _group(pattern: str, n: int, text: str = "text") -> Column:
     return F.nullif(F.regexp_extract(text, pattern, n), F.lit(""))
 
 
-_NODE = r"[^\s:]+\.py(?:::[^\s\[]+)+(?:\[[^\]]*\])?"
+# parameters in brackets may hold blanks, dashes and brackets of their own
+_NODE = r"[^\s:]+\.py(?:::[^\s\[]+)+(?:\[(?:[^\[\]]|\[[^\[\]]*\])*\])?"
+_SOURCE = r"^\[(stdout|stderr)\]\s+"
 _UNITTEST = r"^(FAIL|ERROR):\s+([A-Za-z_]\w*)\s+\(([A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+)\)"
 
 
 def failing_tests(lines: DataFrame) -> DataFrame:
     """(run_id, line_no, nodeid, path, test): of three shapes the first that a line has.
 
-    ``FAILED <node>``, ``<node> FAILED`` and ``FAIL: method (module.Class.method)``.
+    ``FAILED <node>`` (with a reason or a note that a command was scoped to the
+    node), ``<node> FAILED`` and ``FAIL: method (module.Class.method)``. A
+    source in brackets before the line doesn't count.
     """
     dotted, method = _group(_UNITTEST, 3), _group(_UNITTEST, 2)
     parts = F.split(dotted, r"\.")
@@ -26,9 +30,9 @@ def failing_tests(lines: DataFrame) -> DataFrame:
     in_class = (n >= 3) & F.get(parts, n - 2).rlike("^[A-Z]")
     module = F.array_join(F.slice(parts, 1, F.greatest(F.lit(0), n - F.when(in_class, 2).otherwise(1))), "/")
     unit = F.when(F.get(parts, n - 1) == method, F.concat(module, F.lit(".py::"), F.when(in_class, F.concat(F.get(parts, n - 2), F.lit("::"))).otherwise(""), method))
-    node = F.coalesce(_group(rf"^FAILED ({_NODE})(?: - .*)?$", 1), _group(rf"^({_NODE}) FAILED", 1), unit)
+    node = F.coalesce(_group(rf"^FAILED ({_NODE})(?: - .*| \(nodeid-scoped [^()]*\))?$", 1), _group(rf"^({_NODE}) FAILED", 1), unit)
     some = F.col("text").contains("FAILED") | F.col("text").startswith("FAIL:") | F.col("text").startswith("ERROR:")
-    rows = lines.withColumn("text", F.trim("text")).where(some).withColumn("nodeid", node).where("nodeid is not null")
+    rows = lines.withColumn("text", F.regexp_replace(F.trim("text"), _SOURCE, "")).where(some).withColumn("nodeid", node).where("nodeid is not null")
     return rows.select("run_id", "line_no", "nodeid", F.substring_index("nodeid", "::", 1).alias("path"), F.regexp_replace(F.substring_index("nodeid", "::", -1), r"\[.*$", "").alias("test"))
 
 
@@ -38,7 +42,7 @@ _PYTEST = r"^([^:\s][^:]*\.py):(\d+):\s+in\s+([A-Za-z_]\w*)"
 
 def frames(lines: DataFrame) -> DataFrame:
     """(run_id, line_no, path, line, function, format) of traceback lines of two shapes."""
-    rows = lines.withColumn("text", F.trim("text")).where(F.col("text").contains(".py") & F.col("text").contains("in "))
+    rows = lines.withColumn("text", F.regexp_replace(F.trim("text"), _SOURCE, "")).where(F.col("text").contains(".py") & F.col("text").contains("in "))
     pick = lambda n: F.coalesce(_group(_PYTHON, n), _group(_PYTEST, n))
     return rows.select("run_id", "line_no", pick(1).alias("path"), pick(2).cast("int").alias("line"), pick(3).alias("function"),
                        F.when(F.col("text").rlike(_PYTHON), "python_traceback").otherwise("pytest").alias("format")).where("path is not null")
@@ -128,35 +132,93 @@ def best_execution(rows: DataFrame, by: str) -> DataFrame:
     return rows.withColumn("_tier", tier).withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n", "_tier")
 
 
-def match_tests(tests: DataFrame, entities: DataFrame) -> DataFrame:
+def _base(path: str) -> Column:
+    return F.element_at(F.split(path, "/"), -1)
+
+
+def _ends(x: str, by: str) -> Column:
+    """All ends of a text that begin behind ``by``, and the text itself."""
+    parts = F.split(x, f"[{by}]")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), by))
+
+
+def _met(left: DataFrame, right: DataFrame, keys: list[tuple], by: list[str]) -> DataFrame:
+    """Pairs of rows that share a (kind, value) of ``keys``: (kind, array of left, array of right)."""
+    def named(kind: str, values: Column) -> Column:
+        return F.transform(values, lambda v: F.struct(F.lit(kind).alias("kind"), v.alias("value")))
+
+    def filed(rows: DataFrame, side: int) -> DataFrame:
+        return rows.withColumn("_k", F.explode(F.flatten(F.array(*[named(k[0], k[side]) for k in keys])))).select("*", "_k.*").drop("_k")
+
+    return filed(left, 1).join(filed(right, 2), ["kind", "value", *by]).drop("kind", "value")
+
+
+def match_tests(tests: DataFrame, entities: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:
     """(nodeid, entity, score): best entity of a test in a file of the same base name.
 
     4 for the qualified name, 3 for its end, 2 for the leaf name, 1 for the path; ties by entity.
-    ``tests``: nodeid, path, test, qualified; ``entities``: entity, path, name, qualified.
+    ``tests``: nodeid, path, test, qualified; ``entities``: entity, path, name, qualified;
+    ``by`` names columns of both that must agree, such as a repository.
+
+    A base name such as __init__.py is shared by very many files, so rows meet
+    by base name and what gives points. Of a file whose path alone matches only
+    the first entity can be the answer, so one row a file stands for it.
     """
-    base = lambda c: F.element_at(F.split(c, "/"), -1)
-    t = tests.select("nodeid", F.col("path").alias("t_path"), "test", F.col("qualified").alias("t_qualified"), base(F.col("path")).alias("base")).distinct()
-    e = entities.withColumn("base", base(F.col("path")))
+    keys = list(by)
+    t = tests.select(*keys, "nodeid", F.col("path").alias("t_path"), "test", F.col("qualified").alias("t_qualified")).distinct()
+    e = entities.select(*keys, "entity", "path", "name", "qualified")
+    first = e.groupBy(*keys, "path").agg(F.min_by(F.struct("entity", "name", "qualified"), "entity").alias("_f")).select(*keys, "path", "_f.*")
+    at = lambda base, values: F.transform(values, lambda v: F.concat(base, F.lit("\n"), v))
+    t_base, base = _base("t_path"), _base("path")
+    named = _met(t, e, [
+        ("name", at(t_base, F.array("test")), at(base, F.array("name"))),
+        ("qualified", at(t_base, F.array("t_qualified")), at(base, _ends("qualified", ".")))], keys)
+    filed = _met(t, first, [("in", _ends("t_path", "/"), F.array("path")), ("out", F.array("t_path"), _ends("path", "/"))], keys)
     same = (F.col("t_path") == F.col("path")) | F.col("t_path").endswith(F.concat(F.lit("/"), F.col("path"))) | F.col("path").endswith(F.concat(F.lit("/"), F.col("t_path")))
     score = (F.when(F.col("qualified") == F.col("t_qualified"), 4).otherwise(0) + F.when(F.col("qualified").endswith(F.concat(F.lit("."), F.col("t_qualified"))), 3).otherwise(0)
              + F.when(F.col("name") == F.col("test"), 2).otherwise(0) + F.when(same, 1).otherwise(0))
-    m = t.join(e, "base").withColumn("score", score).where("score > 0")
-    return m.groupBy("nodeid").agg(F.max("score").alias("score"), F.min_by("entity", F.struct(-F.col("score"), F.col("entity"))).alias("entity"))
+    m = named.unionByName(filed).where(_base("t_path") == _base("path")).withColumn("score", score).where("score > 0")
+    return m.groupBy(*keys, "nodeid").agg(F.max("score").alias("score"), F.min_by("entity", F.struct(-F.col("score"), F.col("entity"))).alias("entity"))
 
 
-def match_frames(frames_: DataFrame, entities: DataFrame) -> DataFrame:
+def match_frames(frames_: DataFrame, entities: DataFrame, by: tuple[str, ...] = (), lines: int = 64) -> DataFrame:
     """(path, line, function, entity, score): best entity of a frame in a file of the same base name, with more than 1 point.
 
     8 for the line inside, 4 for the name, 2 for the end of the qualified name, 1 for the path; ties by entity.
+    ``by`` names columns of both that must agree, such as a repository.
+
+    Rows meet by base name and name, or base name and end of the qualified
+    name. Where only the line (or the line and the path) gives points, the
+    first entity around the line is the answer, so it is found once for each
+    distinct line of a base name (or of a path), by blocks of lines.
     """
-    base = lambda c: F.element_at(F.split(c, "/"), -1)
-    f = frames_.select("path", "line", "function").distinct().withColumn("base", base(F.col("path")))
-    e = entities.select("entity", F.col("path").alias("e_path"), "name", "qualified", "start_line", "end_line").withColumn("base", base(F.col("e_path")))
+    keys = list(by)
+    f = frames_.select(*keys, F.col("path").alias("f_path"), "line", "function").distinct()
+    e = entities.select(*keys, "entity", F.col("path").alias("e_path"), "name", "qualified", "start_line", "end_line")
+    at = lambda base, values: F.transform(values, lambda v: F.concat(base, F.lit("\n"), v))
+    named = _met(f, e, [
+        ("name", at(_base("f_path"), F.array("function")), at(_base("e_path"), F.array("name"))),
+        ("qualified", at(_base("f_path"), F.array("function")), at(_base("e_path"), _ends("qualified", ".")))], keys)
+
+    def around(spots: DataFrame, where: list[str], place: Column) -> DataFrame:
+        """The first entity around each spot (where, line), with its columns."""
+        block = F.sequence(F.floor(F.col("start_line") / lines), F.floor(F.col("end_line") / lines))
+        filed = e.where("start_line <= end_line").withColumn("_w", place).select("*", F.explode(block).alias("_b"))
+        met = spots.withColumn("_b", F.floor(F.col("line") / lines)).join(filed.withColumnRenamed("_w", where[-1]), [*where, "_b"]).where(F.col("line").between(F.col("start_line"), F.col("end_line")))
+        own = ["entity", "e_path", "name", "qualified", "start_line", "end_line"]
+        return met.groupBy(*where, "line").agg(F.min_by(F.struct(*own), "entity").alias("_e")).select(*where, "line", "_e.*")
+
+    by_base = f.withColumn("_base", _base("f_path"))
+    spots = by_base.select(*keys, "_base", "line").distinct()
+    in_base = by_base.join(around(spots, [*keys, "_base"], _base("e_path")), [*keys, "_base", "line"]).drop("_base")
+    # the ends of a frame's path, one of which is the entity's path
+    ended = f.withColumn("_end", F.explode(_ends("f_path", "/")))
+    in_path = ended.join(around(ended.select(*keys, "_end", "line").distinct(), [*keys, "_end"], F.col("e_path")), [*keys, "_end", "line"]).drop("_end")
     score = (F.when(F.col("line").between(F.col("start_line"), F.col("end_line")), 8).otherwise(0) + F.when(F.col("name") == F.col("function"), 4).otherwise(0)
              + F.when(F.col("qualified").endswith(F.concat(F.lit("."), F.col("function"))), 2).otherwise(0)
-             + F.when((F.col("path") == F.col("e_path")) | F.col("path").endswith(F.concat(F.lit("/"), F.col("e_path"))), 1).otherwise(0))
-    m = f.join(e, "base").withColumn("score", score).where("score > 1")
-    return m.groupBy("path", "line", "function").agg(F.max("score").alias("score"), F.min_by("entity", F.struct(-F.col("score"), F.col("entity"))).alias("entity"))
+             + F.when((F.col("f_path") == F.col("e_path")) | F.col("f_path").endswith(F.concat(F.lit("/"), F.col("e_path"))), 1).otherwise(0))
+    m = named.unionByName(in_base).unionByName(in_path).withColumn("score", score).where("score > 1").withColumnRenamed("f_path", "path")
+    return m.groupBy(*keys, "path", "line", "function").agg(F.max("score").alias("score"), F.min_by("entity", F.struct(-F.col("score"), F.col("entity"))).alias("entity"))
 
 
 def evidence_spectrum(tests: DataFrame, matches: DataFrame, framed: DataFrame) -> DataFrame:

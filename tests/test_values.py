@@ -110,6 +110,48 @@ def test_logs(spark):
     assert (f.path, f.line, f.function, f.format) == ("a/b.py", 3, "fn", "python_traceback")
 
 
+def test_log_lines_with_sources_brackets_and_notes(spark):
+    text = ["FAILED tests/test_large.py::test_parse[empty value] - AssertionError", "tests/test_large.py::test_render[case with spaces] FAILED [100%]",
+            "[stdout] FAILED tests/t.py::test_a", "[stderr]   FAIL: test_x (pkg.test_a.TestA.test_x)", "FAILED tests/t.py::test_b[a - b] - x - y",
+            "FAILED tests/test_retry.py::TestRetry::test_guard (nodeid-scoped pytest command)", "FAILED tests/t.py::test_c[x[0]] - boom", "FAILED something else",
+            '[stdout] File "a/b.py", line 3, in fn']
+    lines = spark.createDataFrame([(1, i, t) for i, t in enumerate(text)], "run_id int, line_no int, text string")
+    got = {r.line_no: r.nodeid for r in logs.failing_tests(lines).collect()}
+    assert got == {0: "tests/test_large.py::test_parse[empty value]", 1: "tests/test_large.py::test_render[case with spaces]", 2: "tests/t.py::test_a", 3: "pkg/test_a.py::TestA::test_x",
+                   4: "tests/t.py::test_b[a - b]", 5: "tests/test_retry.py::TestRetry::test_guard", 6: "tests/t.py::test_c[x[0]]"}
+    assert logs.frames(lines).head().path == "a/b.py"
+
+
+def test_matches_against_every_pair(spark):
+    import random
+
+    rng = random.Random(4)
+    paths = ["a/__init__.py", "b/__init__.py", "__init__.py", "x/a/__init__.py", "a/m.py", "m.py", "b/m.py"]
+    names = ["f", "g", "test_x", "T.test_x", "pkg.f", "q.pkg.f"]
+    entities = [(f"e{i:02d}", rng.choice(paths), n.split(".")[-1], rng.choice(["", "k.", "q."]) + n, a := rng.randrange(1, 150), a + rng.randrange(0, 80)) for i in range(40) for n in [rng.choice(names)]]
+    tests = [(f"n{i}", rng.choice(paths), rng.choice(["f", "test_x", "z"]), rng.choice(names)) for i in range(60)]
+    frames = [(rng.choice(paths), rng.randrange(1, 220), rng.choice(["f", "test_x", "z"])) for _ in range(60)]
+    base = lambda p: p.split("/")[-1]
+    under = lambda p, q: p == q or p.endswith("/" + q)
+    e = spark.createDataFrame(entities, "entity string, path string, name string, qualified string, start_line int, end_line int")
+    want = {}
+    for n, p, t, q in tests:
+        for x, xp, xn, xq, *_ in entities:
+            score = 4 * (q == xq) + 3 * xq.endswith("." + q) + 2 * (t == xn) + (under(p, xp) or under(xp, p))
+            if base(p) == base(xp) and score > 0:
+                want[n] = max(want.get(n, (0, "")), (score, x), key=lambda s: (s[0], [-ord(c) for c in s[1]]))
+    t = spark.createDataFrame(tests, "nodeid string, path string, test string, qualified string")
+    assert {r.nodeid: (r.score, r.entity) for r in logs.match_tests(t, e).collect()} == want
+    want = {}
+    for p, line, fn in frames:
+        for x, xp, xn, xq, a, z in entities:
+            score = 8 * (a <= line <= z) + 4 * (fn == xn) + 2 * xq.endswith("." + fn) + under(p, xp)
+            if base(p) == base(xp) and score > 1:
+                want[p, line, fn] = max(want.get((p, line, fn), (0, "")), (score, x), key=lambda s: (s[0], [-ord(c) for c in s[1]]))
+    f = spark.createDataFrame(frames, "path string, line int, function string")
+    assert {(r.path, r.line, r.function): (r.score, r.entity) for r in logs.match_frames(f, e, lines=16).collect()} == want
+
+
 def test_counts_and_score(spark):
     t = spark.createDataFrame([("1 passed, 2 failed, 1 error, 3 skipped in 1s\n4 passed",), ("Ran 3 tests in 0.1s",), ("",), (None,)], "output string")
     got = [(r.passed, r.failed, r.skipped, r.total) for r in t.select(*logs.test_counts()).collect()]
