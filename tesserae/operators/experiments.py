@@ -275,17 +275,26 @@ def cluster_focus() -> Column:
             .when(F.col("failure_type") == "test_failure", "near-miss semantic repair").otherwise("execution-evidence calibration"))
 
 
-# How many cases of each difficulty label are wanted.
+# How many cases of each difficulty label and bucket are wanted, how many source groups, and how many cases of each.
 LABEL_TARGETS = {"multi_ground_truth": 2, "multi_patch_bundle": 2, "wide_beam_search": 2, "failed_before_success": 2, "reflection_depth": 2, "cross_file_patch": 3,
                  "patch_candidate_competition": 8, "cross_function_trace": 8}
+BUCKET_TARGETS = {"hard": 5}
+MIN_GROUPS, MIN_CASES_A_GROUP = 4, 5
 
 
-def target_gaps(counts: DataFrame, targets: dict[str, int], scale: int = 1) -> DataFrame:
-    """(label, wanted, have, gap, priority): wanted labels against counts (label, n); absent ones count 0; no gap is not listed."""
-    spark = counts.sparkSession
-    t = spark.createDataFrame([(k, v * scale) for k, v in targets.items()], "label string, wanted long")
-    j = t.join(counts, "label", "left").withColumn("have", F.coalesce("n", F.lit(0))).withColumn("gap", F.col("wanted") - F.col("have")).where("gap > 0")
-    return j.select("label", "wanted", "have", "gap", F.when((F.col("have") == 0) | (F.col("gap") >= 3), "high").when(F.col("gap") >= 2, "medium").otherwise("low").alias("priority"))
+def target_gaps(counts: DataFrame, targets: DataFrame) -> DataFrame:
+    """(source, signal, wanted, have, gap, priority, place) of targets that aren't reached.
+
+    ``targets``: source, signal, wanted, ordinal; of repeated ones of a source
+    and signal the last counts. ``counts``: source, signal, n; absent ones are
+    0. Placed by priority, gap, source and signal, the greatest first.
+    """
+    last = targets.groupBy("source", "signal").agg(F.max_by("wanted", "ordinal").alias("wanted"))
+    j = last.join(counts, ["source", "signal"], "left").withColumn("have", F.coalesce("n", F.lit(0))).withColumn("gap", F.col("wanted") - F.col("have")).where("gap > 0")
+    rank = F.when((F.col("have") == 0) | (F.col("gap") >= 3), 3).when(F.col("gap") >= 2, 2).otherwise(1)
+    j = j.withColumn("_r", rank)
+    place = F.row_number().over(Window.orderBy(F.desc("_r"), F.desc("gap"), F.desc("source"), F.desc("signal")))  # a row a target
+    return j.select("source", "signal", "wanted", "have", "gap", F.element_at(F.array(*map(F.lit, ("low", "medium", "high"))), F.col("_r")).alias("priority"), place.alias("place"))
 
 
 def stable_ref(ref: str) -> Column:
@@ -331,13 +340,27 @@ SIGNAL_LINKS = {
     "search_failure_pressure": ("without_beam_search", "without_reflection", "without_diversity_reranking", "without_patch_prior"),
     "reflection_depth": ("without_reflection", "without_beam_search"),
     "search_diversity_reranking": ("without_diversity_reranking", "without_beam_search", "without_patch_prior"),
-    "candidate_deduplication_pressure": ("without_candidate_deduplication", "without_beam_search")}
+    "candidate_deduplication_pressure": ("without_candidate_deduplication", "without_beam_search"),
+    "weak_slice_grounding": ("without_data_dependency", "without_control_flow", "without_caller_impact", "without_module_dependency", "without_line_coverage", "without_path_coverage", "without_branch_coverage"),
+    "weak_slice_support": ("without_data_dependency", "without_control_flow", "without_caller_impact", "without_module_dependency", "without_line_coverage", "without_path_coverage"),
+    "weak_failed_test_reachability": ("without_test_signals", "without_line_coverage", "without_branch_coverage", "without_path_coverage", "without_caller_impact"),
+    "weak_call_chain_coverage": ("without_caller_impact", "without_module_dependency", "without_async_call_graph", "without_pagerank"),
+    "fragile_top1_margin": ("without_data_dependency", "without_control_flow", "without_test_signals", "without_semantic_similarity", "without_pagerank", "without_static_rules"),
+    "cross_function_data_flow": ("without_data_dependency",), "subscript_key_flow": ("without_data_dependency",), "without_data_dependency": ("without_data_dependency",),
+    "without_graph_bundle_search": ("without_graph_bundle_search",), "without_multi_patch_repair": ("without_multi_patch_repair",), "without_static_rules": ("without_static_rules",),
+    "without_rule_precision_filter": ("without_rule_precision_filter",), "without_beam_search": ("without_beam_search",), "without_reflection": ("without_reflection",),
+    "without_patch_prior": ("without_patch_prior",), "without_diversity_reranking": ("without_diversity_reranking",), "without_candidate_deduplication": ("without_candidate_deduplication",)}
 
 
 def signal_links(rows: DataFrame, signal: str) -> DataFrame:
-    """Rows with ``variant`` and ``priority`` (1 first) for each link of their signal."""
-    table = [(s, v, i + 1) for s, vs in SIGNAL_LINKS.items() for i, v in enumerate(vs)]
-    return rows.join(F.broadcast(rows.sparkSession.createDataFrame(table, f"{signal} string, variant string, priority int")), signal)
+    """Rows with ``variant``, ``place`` (from 1) and ``priority`` for each link of their signal; unknown signals have none.
+
+    Priority is 1 for the link of diversity reranking to its own ablation, else 0.
+    """
+    links = F.create_map(*[x for s, vs in SIGNAL_LINKS.items() for x in (F.lit(s), F.array(*map(F.lit, vs)))])
+    out = rows.select("*", F.posexplode(F.element_at(links, F.col(signal))).alias("_at", "variant"))
+    own = (F.col(signal) == "search_diversity_reranking") & (F.col("variant") == "without_diversity_reranking")
+    return out.withColumn("place", F.col("_at") + 1).withColumn("priority", own.cast("int")).drop("_at")
 
 
 def seed_rows(clusters: DataFrame, n: int, labels: dict[str, tuple[str, str]]) -> DataFrame:

@@ -297,12 +297,32 @@ def cluster_priority(spark, sf):
     return c.select("failure_type", F.col("short").alias("agreement"), "rule", E.cluster_priority().alias("priority"), E.cluster_focus().alias("focus"))
 
 
-@query("WITH" + _DIFF[1:] + ", n AS (SELECT label, count(*) AS n FROM (SELECT unnest(labels) AS label FROM d) GROUP BY 1), t AS (SELECT * FROM (VALUES " + ", ".join(f"('{k}', {v * 2000})" for k, v in E.LABEL_TARGETS.items()) +
-       """) v(label, wanted)) SELECT t.label, CAST(wanted AS BIGINT) AS wanted, coalesce(n, 0) AS have, wanted - coalesce(n, 0) AS gap, CASE WHEN coalesce(n, 0) = 0 OR wanted - coalesce(n, 0) >= 3 THEN 'high'
-WHEN wanted - coalesce(n, 0) >= 2 THEN 'medium' ELSE 'low' END AS priority FROM t LEFT JOIN n ON t.label = n.label WHERE wanted > coalesce(n, 0)""")
+_TARGETS = [("difficulty_bucket", "hard", 5 * 2000), *[("difficulty_label", k, v * 2000) for k, v in E.LABEL_TARGETS.items()], ("generalization_source_groups", "source_group_count", E.MIN_GROUPS * 2),
+            ("difficulty_label", "cross_file_patch", 3 * 2000)]
+
+
+@query("WITH" + _DIFF[1:] + """, n AS (SELECT 'difficulty_label' AS source, label AS signal, count(*) AS n FROM (SELECT unnest(labels) AS label FROM d) GROUP BY 2
+  UNION ALL SELECT 'difficulty_bucket', bucket, count(*) FROM d GROUP BY 2 UNION ALL SELECT 'generalization_source_groups', 'source_group_count', count(DISTINCT o_custkey % 4) FROM orders
+  UNION ALL SELECT 'generalization_source_group_balance', CAST(o_custkey % 4 AS VARCHAR), count(*) FROM orders GROUP BY 2),
+t AS (SELECT * FROM (VALUES ('difficulty_bucket', 'hard', 10000), ('difficulty_label', 'multi_ground_truth', 4000), ('difficulty_label', 'multi_patch_bundle', 4000), ('difficulty_label', 'wide_beam_search', 4000),
+  ('difficulty_label', 'failed_before_success', 4000), ('difficulty_label', 'reflection_depth', 4000), ('difficulty_label', 'cross_file_patch', 6000), ('difficulty_label', 'patch_candidate_competition', 16000),
+  ('difficulty_label', 'cross_function_trace', 16000), ('generalization_source_groups', 'source_group_count', 8)) v(source, signal, wanted)
+  UNION ALL SELECT DISTINCT 'generalization_source_group_balance', CAST(o_custkey % 4 AS VARCHAR), 1000000 FROM orders),
+j AS (SELECT t.source, t.signal, wanted, coalesce(n, 0) AS have, wanted - coalesce(n, 0) AS gap, CASE WHEN coalesce(n, 0) = 0 OR wanted - coalesce(n, 0) >= 3 THEN 3 WHEN wanted - coalesce(n, 0) >= 2 THEN 2 ELSE 1 END AS r
+  FROM t LEFT JOIN n ON t.source = n.source AND t.signal = n.signal WHERE wanted > coalesce(n, 0))
+SELECT source, signal, CAST(wanted AS BIGINT) AS wanted, have, gap, ['low', 'medium', 'high'][r] AS priority, CAST(row_number() OVER (ORDER BY r DESC, gap DESC, source DESC, signal DESC) AS INTEGER) AS place FROM j""")
 def target_gaps(spark, sf):
-    counts = _difficulty(spark, sf).select(F.explode("labels").alias("label")).groupBy("label").agg(F.count("*").alias("n"))
-    return E.target_gaps(counts, E.LABEL_TARGETS, 2000)
+    """Of difficulty labels and buckets, the number of source groups and the cases of each group."""
+    d = _difficulty(spark, sf)
+    orders = table(spark, sf, "orders").select((F.col("o_custkey") % 4).cast("string").alias("signal"))
+    named = lambda rows, source: rows.select(F.lit(source).alias("source"), "signal", "n")
+    counts = named(d.select(F.explode("labels").alias("signal")).groupBy("signal").agg(F.count("*").alias("n")), "difficulty_label").unionByName(
+        named(d.groupBy(F.col("bucket").alias("signal")).agg(F.count("*").alias("n")), "difficulty_bucket")).unionByName(
+        named(orders.agg(F.countDistinct("signal").alias("n")).withColumn("signal", F.lit("source_group_count")), "generalization_source_groups")).unionByName(
+        named(orders.groupBy("signal").agg(F.count("*").alias("n")), "generalization_source_group_balance"))
+    fixed = spark.createDataFrame([(*t, i) for i, t in enumerate(_TARGETS)], "source string, signal string, wanted long, ordinal int")
+    groups = orders.distinct().select(F.lit("generalization_source_group_balance").alias("source"), "signal", F.lit(E.MIN_CASES_A_GROUP * 200_000).cast("long").alias("wanted"), F.lit(0).alias("ordinal"))
+    return E.target_gaps(counts, fixed.unionByName(groups))
 
 
 _PROV = """p AS (SELECT p_brand AS grp, p_partkey AS case_id, CASE p_size % 6 WHEN 0 THEN 'main' WHEN 1 THEN 'v1.2.3' WHEN 2 THEN 'refs/heads/x' WHEN 3 THEN 'refs/tags/y' WHEN 4 THEN sha1(p_name) ELSE '' END AS ref,
@@ -341,15 +361,15 @@ def mining_quality(spark, sf):
     return E.mining_quality(_provenance(spark, sf).join(x, "grp"), "grp").withColumn("quality", rounded("quality"))
 
 
-_SIGNALS = list(E.SIGNAL_LINKS)
+_SIGNALS = [*E.SIGNAL_LINKS, "other"]
 _LINKS = ", ".join(f"('{s}', '{v}', {i + 1})" for s, vs in E.SIGNAL_LINKS.items() for i, v in enumerate(vs))
 
 
-@query("WITH l AS (SELECT * FROM (VALUES " + _LINKS + ") v(signal, variant, priority)), a AS (SELECT [" + ", ".join(f"'{s}'" for s in _SIGNALS) + "][event_id % 7 + 1] AS signal FROM events) "
-       "SELECT variant, priority, count(*) AS n FROM a JOIN l USING (signal) GROUP BY 1, 2")
+@query("WITH l AS (SELECT * FROM (VALUES " + _LINKS + ") v(signal, variant, place)), a AS (SELECT [" + ", ".join(f"'{s}'" for s in _SIGNALS) + f"][event_id % {len(_SIGNALS)} + 1] AS signal FROM events) "
+       "SELECT signal, variant, place, CASE WHEN signal = 'search_diversity_reranking' AND variant = 'without_diversity_reranking' THEN 1 ELSE 0 END AS priority, count(*) AS n FROM a JOIN l USING (signal) GROUP BY 1, 2, 3")
 def signal_links(spark, sf):
-    a = table(spark, sf, "events").select(F.get(F.array(*map(F.lit, _SIGNALS)), (F.col("event_id") % 7).cast("int")).alias("signal"))
-    return E.signal_links(a, "signal").groupBy("variant", "priority").agg(F.count("*").alias("n"))
+    a = table(spark, sf, "events").select(F.get(F.array(*map(F.lit, _SIGNALS)), (F.col("event_id") % len(_SIGNALS)).cast("int")).alias("signal"))
+    return E.signal_links(a, "signal").groupBy("signal", "variant", "place", "priority").agg(F.count("*").alias("n"))
 
 
 _LABELS = {"error": ("broad_exception_pass", "exception"), "view": ("dict_missing_key_guard", "key access"), "click": ("possible_index_overrun", "boundary")}

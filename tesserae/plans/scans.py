@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
-from ..functions import rounded
+from ..functions import count_if, rounded
 from ..sources import manifests as S
+from ..sources.storage import shared_folder, sink
 from ..tables import VIEWS, table
 from .base import query
 
@@ -94,3 +97,14 @@ def prefix_pick(spark, sf):
     k = F.col("s_suppkey")
     root = F.when(k % 4 == 0, "tests").when((k % 4 == 1) | (k % 4 == 2), "core").otherwise(F.concat(F.lit("lib"), k % 2))
     return S.prefix_pick(table(spark, sf, "supplier").select(F.col("s_nationkey").alias("repo"), root.alias("root"), (k % 7 == 0).alias("src_layout")).distinct())
+
+
+@query(" SELECT suite, name, count(*) AS runs, count(*) FILTER (failed) AS failed FROM suites GROUP BY 1, 2", "suites")
+def result_sink(spark, sf):
+    """Failures by suite and name, written as Parquet and as JSON in a folder a suite, and read back from the JSON."""
+    result = VIEWS["suites"](spark, sf).groupBy("suite", "name").agg(F.count("*").alias("runs"), count_if("failed").alias("failed"))
+    folder = f"{shared_folder(spark)}/result-{uuid.uuid4().hex}"
+    sink(result, f"{folder}/parquet")
+    kept = spark.read.parquet(f"{folder}/parquet")
+    sink(kept, f"{folder}/json", "json", ["suite"])
+    return spark.read.schema("name string, runs long, failed long, suite int").json(f"{folder}/json").select("suite", "name", "runs", "failed")
