@@ -17,19 +17,27 @@ def containing(places: DataFrame, functions: DataFrame, span: int = SPAN) -> Dat
 
     ``functions``: file, function, start_line, end_line; a function holds the
     lines start_line < line <= end_line. An equi join on file and a bucket of
-    ``span`` lines narrows the range comparison; a function is filed under each
-    bucket it reaches, and a line is in one, so no pair comes twice.
+    lines narrows the range comparison. Buckets have three sizes, ``span``
+    lines and its next powers; a function is filed under those buckets that it
+    reaches of the size that fits its length, so under few of them however long
+    it is, and a line is in one bucket of each size, so no pair comes twice.
     """
-    bucket = lambda c: F.floor(F.col(c) / span)
-    f = functions.where("end_line > start_line").withColumn("bucket", F.explode(F.sequence(bucket("start_line"), bucket("end_line"))))
-    p = places.select("file", "line").distinct().withColumn("bucket", bucket("line"))
-    return p.join(f, ["file", "bucket"]).where("line > start_line and line <= end_line").drop("bucket")
+    sizes = [span, span**2, span**3]
+    length = F.col("end_line") - F.col("start_line")
+    level = F.when(length <= sizes[1], 0).when(length <= sizes[2], 1).otherwise(2)
+    width = F.element_at(F.array(*map(F.lit, sizes)), level + 1)
+    f = functions.where("end_line > start_line").withColumn("level", level).withColumn(
+        "bucket", F.explode(F.sequence(F.floor(F.col("start_line") / width), F.floor(F.col("end_line") / width))))
+    at = F.array(*[F.struct(F.lit(i).alias("level"), F.floor(F.col("line") / n).alias("bucket")) for i, n in enumerate(sizes)])
+    p = places.select("file", "line").distinct().select("file", "line", F.explode(at).alias("_at")).select("file", "line", "_at.*")
+    return p.join(f, ["file", "level", "bucket"]).where("line > start_line and line <= end_line").drop("level", "bucket")
 
 
 def covered_functions(hits: DataFrame, functions: DataFrame) -> DataFrame:
     """Distinct (test, function) with a covered line inside; test functions (is_test) don't count."""
     inside = containing(hits, functions.where("not is_test")).select("file", "line", "function")
-    return hits.join(inside, ["file", "line"]).select("test", "function").distinct()
+    # a line that a test hits again and again counts once before it meets its functions
+    return hits.select("test", "file", "line").distinct().join(inside, ["file", "line"]).select("test", "function").distinct()
 
 
 def innermost_function(hits: DataFrame, functions: DataFrame) -> DataFrame:

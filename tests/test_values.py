@@ -101,6 +101,20 @@ def test_flips(spark):
     assert got == {("flip", "sbfl"): True, ("flip", "graph"): False, ("stable", "sbfl"): False, ("stable", "graph"): False}
 
 
+def test_lines_in_functions_of_any_length(spark):
+    import random
+
+    from tesserae.operators import coverage
+
+    rng = random.Random(6)
+    functions = [("f", i, a := rng.randrange(0, 5000), a + rng.choice([0, 1, 3, 20, 300, 5000])) for i in range(60)]
+    places = [("f", rng.randrange(0, 9000)) for _ in range(200)]
+    want = {(line, i) for _, line in places for _, i, a, z in functions if a < line <= z}
+    got = coverage.containing(spark.createDataFrame(places, "file string, line int"), spark.createDataFrame(functions, "file string, function int, start_line int, end_line int"), span=4)
+    rows = [(r.line, r.function) for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want)
+
+
 def test_logs(spark):
     lines = spark.createDataFrame([(1, 1, "FAILED tests/test_math.py::test_average - AssertionError"), (1, 2, "tests/test_more.py::TestStats::test_mean FAILED [100%]"), (1, 3, "FAIL: test_x (pkg.test_a.TestA.test_x)"),
                                    (1, 4, "ERROR: other (pkg.mod.test_y)"), (1, 5, None), (1, 6, '  File "a/b.py", line 3, in fn')], "run_id int, line_no int, text string")
