@@ -88,17 +88,20 @@ def _keyed(fps: DataFrame, masks: list[int]) -> DataFrame:
 
 
 def tallies(fps: DataFrame, list_limit: int = LIST_LIMIT) -> tuple[DataFrame, DataFrame]:
-    """(a, b, tally) of the pairs that meet in short lists, and the fingerprints (fp) in long ones."""
-    keyed = _keyed(fps, _LISTS)
-    # stored, so that both sides of the join are dealt anew
-    sizes = stored(keyed.groupBy("list", "key").agg(F.count("*").alias("n")).where("n > 1"), "sizes")
-    posted = stored(keyed.join(sizes, ["list", "key"]).select("fp", "list", "key", "n"), "postings")
-    short = posted.where(F.col("n") <= list_limit)
-    # at most list_limit members: a list is one group
-    members = short.groupBy("list", "key").agg(F.array_sort(F.collect_list("fp")).alias("fps"))
+    """(a, b, tally) of the pairs that meet in short lists, and the fingerprints (fp) in long ones.
+
+    A list is named by a hash of its positions and bytes. Two lists under one
+    name could only add pairs or make a list long, and both are seen through
+    further on. Sizes are summed before they are shuffled, so a long list is
+    never in one task; a short one has at most ``list_limit`` members.
+    """
+    keyed = _keyed(fps, _LISTS).select("fp", F.xxhash64("list", "key").alias("slot"))
+    long = stored(keyed.groupBy("slot").agg(F.count("*").alias("n")).where(F.col("n") > list_limit).select("slot"), "long")
+    members = keyed.join(long, "slot", "left_anti").groupBy("slot").agg(F.collect_list("fp").alias("fps")).where(F.size("fps") > 1)
+    members = members.select(F.array_sort("fps").alias("fps"))
     pairs = members.select(F.explode(F.flatten(F.transform("fps", lambda a, i: F.transform(
         F.slice("fps", i + 2, F.size("fps")), lambda b: F.struct(a.alias("a"), b.alias("b")))))).alias("p")).select("p.*")
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("tally")), posted.where(F.col("n") > list_limit).select("fp").distinct()
+    return pairs.groupBy("a", "b").agg(F.count("*").alias("tally")), keyed.join(long, "slot", "left_semi").select("fp").distinct()
 
 
 def links(fps: DataFrame, max_bits: int = MAX_BITS, list_limit: int = LIST_LIMIT) -> DataFrame:
