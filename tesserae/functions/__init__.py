@@ -50,8 +50,10 @@ def squeeze(x: str | Column) -> Column:
 
 
 # Words that say nothing about the code they name.
-STOP_WORDS = tuple("""and any are arg args assert bool call case class code def else error except false for from has if import in is
-len line list none not or pass possible range return self test the to true try value values with""".split())
+STOP_WORDS = (
+    "and", "any", "are", "arg", "args", "assert", "bool", "call", "case", "class", "code", "def", "else", "error",
+    "except", "false", "for", "from", "has", "if", "import", "in", "is", "len", "line", "list", "none", "not", "or",
+    "pass", "possible", "range", "return", "self", "test", "the", "to", "true", "try", "value", "values", "with")
 
 
 def tokens(x: str | Column, stop: tuple[str, ...] = STOP_WORDS) -> Column:

@@ -81,30 +81,54 @@ def weight_grid(spark: SparkSession, grid: dict[str, tuple[float, ...]] = GRID,
     return spark.createDataFrame(rows, ", ".join(["profile string", *[f"{k} double" for k in grid]]))
 
 
-def rerank(lists: DataFrame, profiles: list[dict], signals: list[str]) -> DataFrame:
-    """(profile, case_id, item, relevant, rank): each list under each profile, by score and then the old rank.
+def shuffle_tasks(rows: DataFrame) -> int:
+    return int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    Profiles are a bounded grid (hundreds): they are literals of the plan, one
-    array of scores a row. Lists are dealt by case before they are multiplied,
-    so what is shuffled doesn't grow with the profiles: the windows and sums by
-    (profile, case) find their rows in place.
+
+def profile_rows(profiles: list[dict]) -> Column:
+    """The profiles as one constant array of structs, to be exploded beside each row."""
+    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in p.items()]) for p in profiles])
+
+
+def rerank(lists: DataFrame, profiles: list[dict], signals: list[str], repeats: bool = True) -> DataFrame:
+    """(profile, case_id, item, relevant, rank): each list under each profile (by number), by score and then the old rank.
+
+    Where no case repeats an item (``repeats`` false), hits so far come from the same sort.
+
+    Profiles are a bounded grid (hundreds): they are a constant of the plan.
+    Lists are dealt by case (and its group) before they are multiplied, so what
+    is shuffled doesn't grow with the profiles: the windows and sums by
+    (profile, case) find their rows in place. The number of tasks is given, as
+    adaptive execution would size them by what there is before the rows are
+    multiplied.
     """
-    scores = F.array(*[F.struct(F.lit(p["profile"]).alias("profile"), sum(((-1 if s == "risk" else 1) * p[s] * F.col(s) for s in signals), F.lit(0.0)).alias("s")) for p in profiles])
-    dealt = lists.select("case_id", "grp", "item", "relevant", F.col("rank").alias("old"), *signals).repartition("case_id")
-    rows = dealt.select("case_id", "grp", "item", "relevant", "old", F.explode(scores).alias("p")).select("*", "p.*").drop("p")
-    w = Window.partitionBy("profile", "case_id").orderBy(F.desc(F.round("s", 9)), "old")
-    return rows.withColumn("rank", F.row_number().over(w)).drop("s", "old")
+    dealt = lists.select("case_id", "grp", "item", "relevant", F.col("rank").alias("old"), *signals).repartition(shuffle_tasks(lists), "case_id", "grp")
+    numbered = [{"profile": i, **{s: p[s] for s in signals}} for i, p in enumerate(profiles)]
+    score = sum(((-1 if s == "risk" else 1) * F.col(f"p.{s}") * F.col(s) for s in signals), F.lit(0.0))
+    rows = dealt.withColumn("p", F.explode(profile_rows(numbered))).select("case_id", "grp", "item", "relevant", "old", "p.profile", F.round(score, 9).alias("s"))
+    w = Window.partitionBy("profile", "case_id", "grp").orderBy(F.desc("s"), "old")
+    out = rows.withColumn("rank", F.row_number().over(w))
+    if not repeats:
+        out = out.withColumn("hits", F.sum(F.col("relevant").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    return out.drop("s", "old")
+
+
+def has_repeats(lists: DataFrame) -> bool:
+    """Whether a case lists an item twice."""
+    return not lists.groupBy("case_id", "item").count().where("count > 1").isEmpty()
 
 
 VALIDATION = {"map": 0.25, "mrr": 0.25, "ndcg": 0.20, "top1": 0.15, "top3": 0.10}
 
 
-def profile_metrics(ranked: DataFrame, *by: str) -> DataFrame:
-    """Means of the ranking metrics and the validation score of each profile."""
-    m = per_list(ranked, ["profile", "case_id", *by]).groupBy("profile", *by).agg(
+def profile_metrics(ranked: DataFrame, profiles: list[dict], *by: str) -> DataFrame:
+    """Means of the ranking metrics and the validation score of each profile, by its name."""
+    m = per_list(ranked, ["profile", "case_id", "grp"]).groupBy("profile", *by).agg(
         F.count("*").alias("cases"), mean_or_zero(within(1)).alias("top1"), mean_or_zero(within(3)).alias("top3"), mean_or_zero("reciprocal").alias("mrr"),
         mean_or_zero("ap").alias("map"), mean_or_zero("ndcg").alias("ndcg"), mean_or_zero("exam").alias("exam"))
-    return m.withColumn("validation", sum((F.col(c) * w for c, w in VALIDATION.items()), 0.05 * (1 - F.col("exam"))))
+    names = F.array(*[F.lit(p["profile"]) for p in profiles])
+    return m.withColumn("profile", F.get(names, F.col("profile"))).withColumn(
+        "validation", sum((F.col(c) * w for c, w in VALIDATION.items()), 0.05 * (1 - F.col("exam"))))
 
 
 def pareto(rows: DataFrame, key: str, most: list[str], least: list[str], slack: float = 1e-9, block: int = 4096) -> DataFrame:

@@ -53,8 +53,15 @@ def per_case(lists: DataFrame, sizes: DataFrame, k: int = 3) -> DataFrame:
 
 
 def per_list(lists: DataFrame, keys: list[str], k: int = 3) -> DataFrame:
-    """As per_case for many lists of a case (``keys``), whose truth is what is relevant in them."""
-    return _places(lists, keys).groupBy(*keys).agg(*_sums(k), count_if("relevant").alias("n_truth")).select(*keys, *_measures(k))
+    """As per_case for many lists of a case (``keys``), whose truth is what is relevant in them.
+
+    Lists that come with ``hits`` (relevant items so far) have no repeated items; then nothing is sorted again.
+    """
+    if "hits" in lists.columns:
+        rows = lists.withColumn("again", F.lit(False)).withColumn("place", F.col("rank"))
+    else:
+        rows = _places(lists, keys)
+    return rows.groupBy(*keys).agg(*_sums(k), count_if("relevant").alias("n_truth")).select(*keys, *_measures(k))
 
 
 def within(k: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import count_if, rounded
 from ..operators import calibration as K
+from ..operators.scoring import COVERAGE_WEIGHTS
 from ..tables import VIEWS, table
 from .base import query
 
@@ -118,15 +119,15 @@ m AS (SELECT *, (id * 48271 + b * 69621 + 17) % 2147483647 AS m1 FROM b), n AS (
 w AS (SELECT *, len(list_filter([0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]::DOUBLE[], lambda p: draw >= p)) AS w FROM o),
 s AS (SELECT grp, b, sum(w)::DOUBLE AS n, sum(w * confidence) AS c, sum(w * accuracy) AS a FROM w GROUP BY 1, 2 HAVING sum(w) > 0),
 u AS (SELECT grp, 'confidence' AS metric, c / n AS x FROM s UNION ALL SELECT grp, 'accuracy', a / n FROM s), r AS (SELECT grp, 'confidence' AS metric, avg(confidence) AS mean FROM c GROUP BY 1 UNION ALL SELECT grp, 'accuracy', avg(accuracy) FROM c GROUP BY 1)
-SELECT grp, metric, round(max(mean), 6) AS mean, round(quantile_cont(x, 0.025), 6) AS low, round(quantile_cont(x, 0.975), 6) AS high FROM u JOIN r USING (grp, metric) GROUP BY 1, 2""", "conf")
+SELECT grp, metric, round(max(mean) + 1e-9, 6) AS mean, round(quantile_cont(x, 0.025) + 1e-9, 6) AS low, round(quantile_cont(x, 0.975) + 1e-9, 6) AS high FROM u JOIN r USING (grp, metric) GROUP BY 1, 2""", "conf")
 def bootstrap_ci(spark, sf):
     """Intervals of the mean confidence and accuracy in each group."""
     rows = VIEWS["conf"](spark, sf).select("id", "grp", "confidence", F.col("hit").cast("double").alias("accuracy"))
     found = K.bootstrap(rows, ["confidence", "accuracy"], ["grp"], samples=1000)
-    return found.select("grp", "metric", *[rounded(c).alias(c) for c in ("mean", "low", "high")])
+    return found.select("grp", "metric", *[rounded(F.col(c) + 1e-9).alias(c) for c in ("mean", "low", "high")])
 
 
-WEIGHTS = {"sbfl": 0.30, "graph": 0.25, "static": 0.15, "semantic": 0.10, "llm": 0.15, "risk": -0.05}
+WEIGHTS = COVERAGE_WEIGHTS
 SIGNALS_SQL = """, f AS (SELECT case_id, item, score, (item * 7919 % 101) / 100.0 AS sbfl, (item * 104729 % 103) / 102.0 AS graph, (item * 1299709 % 107) / 106.0 AS static,
   (item * 15485863 % 109) / 108.0 AS semantic, (item * 32452843 % 113) / 112.0 AS llm, (item * 49979687 % 127) / 126.0 AS risk, relevant, grp FROM ranked),
 x AS (SELECT *, greatest(0.0, least(1.0, 0.30 * sbfl + 0.25 * graph + 0.15 * static + 0.10 * semantic + 0.15 * llm + -0.05 * risk)) AS fused FROM f),

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import clamp, rounded
 from ..operators import calibration as K
 from ..operators import experiments as E
-from ..operators.scoring import ATTEMPT_WEIGHTS, judge_blend, rank_within
+from ..operators.scoring import ATTEMPT_WEIGHTS, rank_within
 from ..sources.storage import stored
 from ..tables import VIEWS, table
 from .base import query
@@ -31,7 +31,8 @@ ab AS (SELECT variant, count(*) AS cases, avg(top1) AS top1, avg(top3) AS top3,
 
 def _ablation(spark, sf):
     profiles = [{"profile": v, **{c: (0.0 if c in off else abs(w)) for c, w in WEIGHTS.items()}} for v, off in ABLATED.items()]
-    m = E.profile_metrics(E.rerank(signals(spark, sf), profiles, list(WEIGHTS)))
+    lists = signals(spark, sf)
+    m = E.profile_metrics(E.rerank(lists, profiles, list(WEIGHTS), E.has_repeats(lists)), profiles)
     return m.withColumnRenamed("profile", "variant")
 
 
@@ -113,7 +114,8 @@ _VAL = "0.25 * map + 0.25 * mrr + 0.20 * ndcg + 0.15 * top1 + 0.10 * top3 + 0.05
 
 
 def _profiled(spark, sf, *by):
-    return E.profile_metrics(E.rerank(signals(spark, sf), PROFILES, list(DEFAULT)), *by)
+    lists = signals(spark, sf)
+    return E.profile_metrics(E.rerank(lists, PROFILES, list(DEFAULT), E.has_repeats(lists)), PROFILES, *by)
 
 
 @query(_PROF + f" SELECT variant AS profile, cases, {', '.join(f'round({c}, 6) AS {c}' for c in _SIX)}, round({_VAL}, 6) AS validation FROM ab", "ranked")
@@ -163,11 +165,12 @@ def _repair(spark, sf):
                  F.lit(0.0).alias("prior"), (F.col("rule") / 6.0).alias("feedback"), (1 - F.col("k") / 99.0).alias("diff"), (F.col("variant") / 5.0).alias("risk"),
                  (F.col("variant") == 3).cast("double").alias("warning"), (F.col("id") % 11 / 10.0).alias("judge"))
     a = a.withColumn("fixed", sum((F.col(c) * w if c != "success" else F.col("success").cast("double") * w for c, w in _FIXED.items()), F.lit(0.0)))
-    each = F.array(*[F.struct(F.lit(p).alias("profile"), F.round(
-        judge_blend(clamp(F.col("fixed") + f * F.col("feedback") - d * F.col("diff") - r * F.col("risk")), F.col("judge"), F.col("judge"), j), 9).alias("score")) for p, f, d, r, j in REPAIR])
     # dealt by case before the profiles multiply the rows
-    rows = a.repartition("case_id").select("case_id", "id", "success", "grp", "rank", "feedback", F.explode(each).alias("p")).select("*", "p.*").drop("p")
-    w = Window.partitionBy("profile", "case_id").orderBy(F.desc("score"), F.desc("feedback"), "rank")
+    tried = E.profile_rows([dict(zip(("profile", "f", "d", "r", "j"), x, strict=True)) for x in REPAIR])
+    base = clamp(F.col("fixed") + F.col("p.f") * F.col("feedback") - F.col("p.d") * F.col("diff") - F.col("p.r") * F.col("risk"))
+    rows = a.repartition(E.shuffle_tasks(a), "case_id", "grp").withColumn("p", F.explode(tried)).select(
+        "case_id", "id", "success", "grp", "rank", "feedback", "p.profile", F.round((1 - F.col("p.j")) * base + F.col("p.j") * F.col("judge"), 9).alias("score"))
+    w = Window.partitionBy("profile", "case_id", "grp").orderBy(F.desc("score"), F.desc("feedback"), "rank")
     return rows.withColumn("rank", F.row_number().over(w))
 
 
