@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 from itertools import product
 from operator import and_
@@ -86,8 +87,13 @@ def shuffle_tasks(rows: DataFrame) -> int:
 
 
 def profile_rows(profiles: list[dict]) -> Column:
-    """The profiles as one constant array of structs, to be exploded beside each row."""
-    return F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in p.items()]) for p in profiles])
+    """The profiles as one constant array of structs, to be exploded beside each row.
+
+    From JSON, so that a grid is one small expression and planning doesn't grow with it.
+    """
+    kind = {str: "string", int: "int", float: "double"}
+    fields = ", ".join(f"{k}: {kind[type(v)]}" for k, v in profiles[0].items())
+    return F.from_json(F.lit(json.dumps(profiles)), f"array<struct<{fields}>>")
 
 
 def rerank(lists: DataFrame, profiles: list[dict], signals: list[str], repeats: bool = True) -> DataFrame:
@@ -126,7 +132,7 @@ def profile_metrics(ranked: DataFrame, profiles: list[dict], *by: str) -> DataFr
     m = per_list(ranked, ["profile", "case_id", "grp"]).groupBy("profile", *by).agg(
         F.count("*").alias("cases"), mean_or_zero(within(1)).alias("top1"), mean_or_zero(within(3)).alias("top3"), mean_or_zero("reciprocal").alias("mrr"),
         mean_or_zero("ap").alias("map"), mean_or_zero("ndcg").alias("ndcg"), mean_or_zero("exam").alias("exam"))
-    names = F.array(*[F.lit(p["profile"]) for p in profiles])
+    names = F.split(F.lit(",".join(p["profile"] for p in profiles)), ",")
     return m.withColumn("profile", F.get(names, F.col("profile"))).withColumn(
         "validation", sum((F.col(c) * w for c, w in VALIDATION.items()), 0.05 * (1 - F.col("exam"))))
 
