@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import attach, count_if, share
-from ..sources.storage import stored
+from ..sources.storage import made, release_since, stored
 
 
 def resolve(refs: DataFrame, entities: DataFrame) -> DataFrame:
@@ -164,7 +164,9 @@ def caller_impact(edges: DataFrame, nodes: DataFrame, depth: int = 3) -> DataFra
     """(id, impact): each transitive caller adds .5**(hops - 1), half more from another file, .15 more over an awaited path.
 
     Tests don't call. A caller counts at its first visit; of its ways there at
-    that distance one over an awaited edge counts before others.
+    that distance one over an awaited edge counts before others. Kept are pairs
+    of a node and its callers within ``depth``, so they grow with the nodes as
+    long as their callers don't.
     """
     calls = with_ends(edges.where("kind = 'calls'"), nodes, "is_test").where("not src_is_test").groupBy("src", "dst").agg(F.max("awaited").alias("awaited"))
     calls = stored(calls, "calls")
@@ -191,13 +193,15 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, rounds:
     if not n:
         return ids.withColumn("rank", F.lit(0.0))
     ranks = stored(ids.join(out, F.col("id") == F.col("src"), "left").select("id", F.col("out").isNull().alias("sink"), F.lit(1.0 / n).alias("rank")), "ranks")
-    for i in range(rounds):
+    begun = made()[:-1]
+    for _ in range(rounds):
         sink = ranks.where("sink").agg(F.coalesce(F.sum("rank"), F.lit(0.0)).alias("mass"))
         given = arcs.join(ranks.select(F.col("id").alias("src"), "rank"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("rank") / F.col("out")).alias("got"))
         mass = sink.head()["mass"]  # one number
         ranks = ranks.select("id", "sink").join(given, "id", "left").select(
             "id", "sink", ((1 - damping) / n + damping * (F.coalesce("got", F.lit(0.0)) + mass / n)).alias("rank"))
         ranks = stored(ranks, "ranks")
+        release_since(begun, made()[-1])
     return ranks.select("id", "rank")
 
 
