@@ -355,12 +355,14 @@ def tokenize(docs: DataFrame, source: str = "byte_bpe_multi_50k.tiktoken", patte
     """``docs`` with ``ids`` (array<int>) and ``decoded`` (binary, from the ids).
 
     Null and empty texts have no ids and decode to no bytes. Each row is coded
-    by itself; columns of these names are replaced, others stay.
+    by itself, whole, so repeats get equal ids; columns of these names are
+    replaced, others stay, whatever they are called. An empty table stays one.
     """
     import public_tokenizers
 
-    coded = docs.withColumn("_coded", round_trip(source, pattern or public_tokenizers.PATTERN)(text))
-    return coded.withColumn("ids", F.col("_coded.ids")).withColumn("decoded", F.col("_coded.decoded")).drop("_coded")
+    own = [c for c in docs.columns if c not in ("ids", "decoded")]
+    coded = docs.select(F.struct(*own).alias("row"), round_trip(source, pattern or public_tokenizers.PATTERN)(text).alias("coded"))
+    return coded.select("row.*", "coded.ids", "coded.decoded")
 
 
 def digests(tokens: DataFrame) -> DataFrame:
@@ -373,9 +375,12 @@ def digests(tokens: DataFrame) -> DataFrame:
 
 
 def encoded(docs: DataFrame, source: str = "byte_bpe_multi_50k.tiktoken", pattern: str | None = None) -> DataFrame:
-    """Training rows: doc_id, lang, source, n_tokens and ids of each document."""
+    """Training rows: doc_id, lang, source, n_tokens and ids of each document.
+
+    Null and empty texts have no ids; every row gives one, repeats and null ids
+    too; other columns are not looked at. An empty table gives no rows.
+    """
     import public_tokenizers
 
-    ids = encoder(source, pattern or public_tokenizers.PATTERN)("text")
-    return docs.withColumn("_ids", ids).select(
-        "doc_id", "lang", "source", F.size("_ids").cast("long").alias("n_tokens"), F.col("_ids").alias("ids"))
+    coded = docs.select("doc_id", "lang", "source", encoder(source, pattern or public_tokenizers.PATTERN)("text").alias("ids"))
+    return coded.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")

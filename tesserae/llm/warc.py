@@ -75,21 +75,20 @@ def digest_of(payload: bytes) -> str:
 
 
 def first_of_payload(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
-    """``pages`` with ``refers_to``: the smallest page_id with an equal payload, null where
+    """``pages`` with ``refers_to`` (a column of that name is replaced): the smallest page_id with an equal payload, null where
     that is the page itself, the payload is shorter than ``min_bytes`` or the page has no id.
 
     Counts are made before anything is dealt by payload; the copies' heads are
     a stored table, so that a payload with very many copies can be split.
     """
-    sha = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
-    rows = pages.withColumn("_sha", sha)
-    long = F.octet_length(F.coalesce("html", F.lit(""))) >= min_bytes
+    html = F.coalesce("html", F.lit(""))
+    rows = pages.select(F.struct(*pages.columns).alias("row"), "page_id", F.sha1(html.cast("binary")).alias("sha"), (F.octet_length(html) >= min_bytes).alias("long"))
     heads = stored(
-        rows.where(long).groupBy("_sha").agg(F.min("page_id").alias("_first"), F.count("page_id").alias("_n"))
-        .where("_n > 1").select("_sha", "_first"), "heads")
-    own = F.col("page_id") == F.col("_first")
-    return rows.join(heads, "_sha", "left").withColumn(
-        "refers_to", F.when(long & ~own, F.col("_first"))).drop("_sha", "_first")
+        rows.where("long").groupBy("sha").agg(F.min("page_id").alias("first"), F.count("page_id").alias("n"))
+        .where("n > 1").select("sha", "first"), "heads")
+    refers = F.when(F.col("long") & (F.col("page_id") != F.col("first")), F.col("first"))
+    own = [F.col(f"row.`{c}`") for c in pages.columns if c != "refers_to"]
+    return rows.join(heads, "sha", "left").select(*own, refers.alias("refers_to"))
 
 
 def write(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, date: str = DATE) -> DataFrame:
