@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import tempfile
+import threading
 import uuid
 from collections.abc import Iterator
 from contextlib import suppress
@@ -11,7 +12,18 @@ from contextlib import suppress
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
-_MADE: list[str] = []
+
+
+class _Made(threading.local):
+    """The stored copies of a thread; queries that run side by side don't see each other's."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+        _ALL.append(self.paths)
+
+
+_ALL: list[list[str]] = []
+_MADE = _Made()
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -35,28 +47,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     """A copy of ``df`` in the shared folder; cuts the lineage and outlives lost executors."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _MADE.append(path)
+    _MADE.paths.append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def made() -> list[str]:
-    """The folders of the stored copies so far."""
-    return list(_MADE)
+    """The folders of the stored copies of this thread so far."""
+    return list(_MADE.paths)
 
 
 def release_since(begun: list[str], *keep: str) -> None:
-    """Remove the copies stored after ``begun``, but for those in ``keep``; nothing may read them again."""
+    """Remove this thread's copies stored after ``begun``, but for those in ``keep``; nothing may read them again."""
     held = {*begun, *keep}
-    for path in [p for p in _MADE if p not in held]:
+    _remove([p for p in made() if p not in held])
+
+
+def _remove(paths: list[str]) -> None:
+    for path in paths:
         with suppress(OSError, ValueError):  # a copy that can't be removed is only left over
             store, at = filesystem(path)
             store.delete_dir(at)
-        _MADE.remove(path)
+        if path in _MADE.paths:
+            _MADE.paths.remove(path)
 
 
 @atexit.register
 def _release_all() -> None:
-    release_since([])
+    _remove([path for paths in _ALL for path in paths])
 
 
 def filesystem(uri: str):
