@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import tempfile
+import threading
 import uuid
 from contextlib import suppress
 
@@ -12,7 +13,18 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TASK_BYTES = 1 << 25
-_MADE: list[str] = []
+
+
+class _Made(threading.local):
+    """The stored copies of a thread; queries that run side by side don't see each other's."""
+
+    def __init__(self):
+        self.paths: list[str] = []
+        _ALL.append(self.paths)
+
+
+_ALL: list[list[str]] = []
+_MADE = _Made()
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -47,13 +59,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = new_folder(spark, name)
     df.write.parquet(path)
-    _MADE.append(path)
+    _MADE.paths.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def made() -> list[str]:
-    """The folders of the stored copies so far."""
-    return list(_MADE)
+    """The folders of the stored copies of this thread so far."""
+    return list(_MADE.paths)
 
 
 def release(paths: list[str]) -> None:
@@ -62,8 +74,8 @@ def release(paths: list[str]) -> None:
         with suppress(OSError, ValueError):  # a copy that can't be removed is only left over
             store, at = filesystem(path)
             store.delete_dir(at)
-        if path in _MADE:
-            _MADE.remove(path)
+        if path in _MADE.paths:
+            _MADE.paths.remove(path)
 
 
 def release_since(begun: list[str], *keep: str) -> None:
@@ -74,7 +86,7 @@ def release_since(begun: list[str], *keep: str) -> None:
 
 @atexit.register
 def _release_all() -> None:
-    release(made())
+    release([path for paths in _ALL for path in paths])
 
 
 def dealt(rows: DataFrame, file: str, place: str, size: Column, each: int = TASK_BYTES) -> DataFrame:
