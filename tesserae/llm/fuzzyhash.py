@@ -86,26 +86,40 @@ def _letters(data: np.ndarray, ends: np.ndarray) -> str:
     return _ALPHABET[((h ^ (h >> np.uint64(29))) * _MIX >> np.uint64(58)).astype(np.int64)].tobytes().decode()
 
 
+def _marks(data: np.ndarray, block: int) -> tuple[np.ndarray, np.ndarray]:
+    """Where chunks end at a block size, and the rolling hashes there. Long texts are gone through in pieces."""
+    at, values = [], []
+    for start in range(0, len(data), _PIECE):
+        begin = max(0, start - WINDOW + 1)
+        rolled = _rolling(data[begin : start + _PIECE])[start - begin :]
+        hit = np.flatnonzero(rolled % np.uint32(block) == block - 1)
+        at.append(hit + (start + 1))
+        values.append(rolled[hit])
+    return np.concatenate(at), np.concatenate(values)
+
+
 def fingerprint(text: str | None) -> str:
     """``block:letters:letters``; of null and empty texts ``3::``."""
     data = np.frombuffer((text or "").encode("utf-8", "replace"), np.uint8)
     size, block = len(data), LEAST_BLOCK
     if not size:
         return f"{block}::"
-    rolled = _rolling(data)
-    marks = lambda at, block: at[rolled[at - 1] % np.uint32(block) == block - 1]
     many = lambda ends: len(ends) + (not len(ends) or int(ends[-1]) != size) > LETTERS
     while block * LETTERS * 2 < size:  # chunks are as long as a block on average: about where to begin
         block *= 2
-    everywhere = lambda block: np.flatnonzero(rolled % np.uint32(block) == block - 1) + 1
-    ends = everywhere(block)
+    ends, rolled = _marks(data, block)
     while block > LEAST_BLOCK and not many(ends):
         block //= 2
-        ends = everywhere(block)
+        ends, rolled = _marks(data, block)
+
+    def doubled(block):
+        keep = rolled % np.uint32(block) == block - 1 if block < 1 << 32 else np.zeros(len(rolled), bool)
+        return ends[keep], rolled[keep]
+
     while many(ends):
         block *= 2
-        ends = marks(ends, block)
-    return f"{block}:{_letters(data, ends)}:{_letters(data, marks(ends, 2 * block))}"
+        ends, rolled = doubled(block)
+    return f"{block}:{_letters(data, ends)}:{_letters(data, doubled(2 * block)[0])}"
 
 
 def _alike(a: str, b: str) -> float:

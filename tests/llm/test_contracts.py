@@ -37,9 +37,10 @@ def test_warc(spark, small):
 
 
 def test_warc_odd(spark):
-    pages = [(5, "u\nv", "same"), (3, None, "same"), (4, "w", None), (9, "w", ""), (7, "é", "ü" * 9), (8, "z", "same")]
+    long = "<p>x</p>" * 1_500_000  # more than a read takes at a time
+    pages = [(5, "u\nv", "same"), (3, None, "same"), (4, "w", None), (9, "w", ""), (7, "é", "ü" * 9), (8, "z", "same"), (11, "l", long)]
     index = warc.write(spark.createDataFrame([(*p, "more") for p in pages], "page_id long, url string, html string, payload string"))
-    assert index.count() == 6
+    assert index.count() == 7
     got = {r.page_id: (r.payload_bytes, r.payload_digest, r.record_type, r.refers_to) for r in warc.read(index).collect()}
     assert got == brute.op1([(p[0], p[2]) for p in pages])
     one = warc.read(index.where("page_id = 7")).head()
@@ -106,6 +107,9 @@ def test_bpe(spark, small):
 def test_bpe_odd(spark, odd):
     assert by_first(bpe.digests(bpe.tokenize(odd)), 3) == brute.op4(ODD)
     assert bpe.tokenize(odd.limit(0)).count() == 0
+    clash = spark.createDataFrame([(None, "a b", 1, 2), (None, "a b", 1, 2)], "doc_id long, text string, _coded int, coded int")
+    got = bpe.tokenize(clash)
+    assert got.columns == [*clash.columns, "ids", "decoded"] and got.distinct().count() == 1 and got.count() == 2
     import public_tokenizers as p
 
     ids = bpe.tokenize(odd).select("text", "ids")
@@ -178,6 +182,18 @@ def test_repetitive_text_has_all_its_letters(spark):
     assert fuzzyhash.likeness(x, y) < 0.95
 
 
+def test_fingerprint_in_pieces(monkeypatch):
+    """A text that is gone through in pieces has the fingerprint of the whole."""
+    import random
+
+    rng = random.Random(9)
+    texts = ["".join(rng.choices("abcdef \n", k=k)) for k in (1, 6, 7, 99, 100, 101, 850, 3000)] + ["é日" * 700, "a" * 500]
+    whole = [fuzzyhash.fingerprint(t) for t in texts]
+    assert whole == [brute.fuzzy(t) for t in texts]
+    monkeypatch.setattr(fuzzyhash, "_PIECE", 100)
+    assert [fuzzyhash.fingerprint(t) for t in texts] == whole
+
+
 def test_edit_study_null_ids_in_many_ranges(spark):
     from pyspark.sql import functions as F
 
