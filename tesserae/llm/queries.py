@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fuzzyhash, licences, quality, secrets, simhash, tokenfiles, toxicity, warc
+from . import bpe, decontaminate, fuzzyhash, licences, quality, secrets, simhash, tokenfiles, toxicity, urlfilters, warc
 from .common import table
 
 
@@ -77,9 +77,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model).select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted")
 
 
+#: The rules of op11, and the words that put a host's addresses on its list.
+URL_RULES = [
+    urlfilters.Rule("allow", "com", "/"), urlfilters.Rule("block", "example.com", "/en/"),
+    urlfilters.Rule("allow", "www.example.com", "/en/"), urlfilters.Rule("block", "net", "/es/"), urlfilters.Rule("block", "net", "/fr/")]
+LISTED_WORDS = ["ads", "adult", "bets", "casino", "pills", "spam"]
+
+
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    listed = urlfilters.addresses_with_words(pages, LISTED_WORDS)
+    return urlfilters.judge(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_licences, op3_token_files, op4_bpe, op5_quality, op6_fuzzy_hash, op7_decontaminate, op8_secrets,
-    op9_simhash, op10_toxicity)}
+    op9_simhash, op10_toxicity, op11_url_filters)}
 
 #: Base32 of a SHA-1: five hex digits at a time are four letters.
 _BASE32 = """list_reduce(list_transform(range(0, 8), lambda i: list_reduce(list_transform([15, 10, 5, 0],
@@ -110,4 +123,15 @@ h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(rang
 t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT CAST(item_id AS VARCHAR), ',' ORDER BY CAST(item_id AS VARCHAR)) AS s FROM m GROUP BY 1)
 SELECT d.doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)""",
+    "op11_url_filters": f"""
+WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+u AS (SELECT page_id, translate(regexp_extract(rest, '^[^/?#]*'), '{_UPPER}', '{_UPPER.lower()}') AS host,
+  regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) AS path FROM r),
+f AS (SELECT *, CASE
+    {" ".join(f"WHEN (host = '{r.host}' OR ends_with(host, '.{r.host}')) AND starts_with(path, '{r.path}') THEN '{r.verdict} {r.host}{r.path}'"
+              for r in sorted(URL_RULES, key=lambda r: (-len(r.host) - len(r.path), -len(r.host))))} END AS fits FROM u)
+SELECT page_id, host, path, split_part(fits, ' ', 2) AS rule,
+  CASE WHEN fits IS NOT NULL THEN split_part(fits, ' ', 1)
+    WHEN regexp_matches(host, '(^|[.-])({"|".join(LISTED_WORDS)})([.-]|$)') THEN 'block' ELSE 'allow' END AS verdict
+FROM f""",
 }
