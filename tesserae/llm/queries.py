@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fuzzyhash, licences, quality, secrets, simhash, tokenfiles, toxicity, urlfilters, warc
+from . import bpe, decontaminate, fuzzyhash, licences, quality, secrets, simhash, spelling, tokenfiles, toxicity, urlfilters, warc
 from .common import table
 
 
@@ -90,9 +90,13 @@ def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilters.judge(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_licences, op3_token_files, op4_bpe, op5_quality, op6_fuzzy_hash, op7_decontaminate, op8_secrets,
-    op9_simhash, op10_toxicity, op11_url_filters)}
+    op9_simhash, op10_toxicity, op11_url_filters, op13_spelling_variants)}
 
 #: Base32 of a SHA-1: five hex digits at a time are four letters.
 _BASE32 = """list_reduce(list_transform(range(0, 8), lambda i: list_reduce(list_transform([15, 10, 5, 0],
@@ -134,4 +138,23 @@ SELECT page_id, host, path, split_part(fits, ' ', 2) AS rule,
   CASE WHEN fits IS NOT NULL THEN split_part(fits, ' ', 1)
     WHEN regexp_matches(host, '(^|[.-])({"|".join(LISTED_WORDS)})([.-]|$)') THEN 'block' ELSE 'allow' END AS verdict
 FROM f""",
+    "op13_spelling_variants": f"""
+WITH RECURSIVE t AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(CAST(i AS UBIGINT), [CAST(3988292384 AS UBIGINT) for k in range(0, 8)]),
+  lambda c, p: CASE WHEN c & 1 = 1 THEN xor(c >> 1, p) ELSE c >> 1 END)) AS crc),
+o AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, '{_UPPER}', '{_UPPER.lower()}'), '[a-z\u00C0-\u00FF]+')) AS run FROM documents),
+r AS (SELECT doc_id, run, count(*) AS n, hex(encode(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || run)) AS x FROM o WHERE length(run) >= {spelling.LEAST_CHARS} GROUP BY 1, 2),
+h AS (SELECT run, n, xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS UBIGINT),
+    list_transform(range(0, length(x) // 2), lambda i: CAST(CAST('0x' || substr(x, CAST(2 * i + 1 AS INTEGER), 2) AS INTEGER) AS UBIGINT))),
+  lambda c, b: xor(c >> 8, crc[CAST(xor(c & 255, b) AS INTEGER) + 1]))) AS h FROM r, t),
+w AS (SELECT CASE WHEN h % {spelling.DELETE_ONE_IN} = 0 THEN substr(run, 1, CAST(h % length(run) AS INTEGER)) || substr(run, CAST(h % length(run) AS INTEGER) + 2) ELSE run END AS word, n FROM h),
+v AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM w WHERE length(word) >= {spelling.LEAST_CHARS} GROUP BY 1 HAVING sum(n) >= {spelling.LEAST_COUNT}),
+g AS (SELECT word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) AS rest FROM (SELECT word, n, CAST(unnest(range(1, length(word) + 1)) AS INTEGER) AS i FROM v)),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM g a JOIN g b ON a.i = b.i AND a.rest = b.rest AND a.word <> b.word
+  UNION SELECT g.word, v.word, v.n FROM g JOIN v ON g.rest = v.word UNION SELECT v.word, g.word, g.n FROM g JOIN v ON g.rest = v.word),
+b AS (SELECT word, near, near_n, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS k FROM p),
+f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= {spelling.TIMES} * v.n THEN near END AS form, CASE WHEN near_n >= {spelling.TIMES} * v.n THEN near_n END AS form_n
+  FROM v LEFT JOIN b ON v.word = b.word AND k = 1),
+steps AS (SELECT word, form, word AS root, n, n_near, form_n, 0 AS k FROM f UNION ALL
+  SELECT s.word, s.form, f.form, s.n, s.n_near, s.form_n, k + 1 FROM steps s JOIN f ON s.root = f.word WHERE f.form IS NOT NULL)
+SELECT word, any_value(form) AS form, arg_max(root, k) AS root, any_value(n) AS n, any_value(n_near) AS n_near, any_value(form_n) AS form_n FROM steps GROUP BY word""",
 }
