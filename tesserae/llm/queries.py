@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, fuzzyhash, licences, quality, secrets, simhash, spelling, tokenfiles, toxicity, urlfilters, warc
+from . import bpe, decontaminate, fuzzyhash, k2treap, licences, quality, secrets, simhash, spelling, tokenfiles, toxicity, urlfilters, warc
 from .common import table
 
 
@@ -90,13 +90,18 @@ def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilters.judge(pages, URL_RULES, listed).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = k2treap.build(table(spark, sf_dir, "documents"))
+    return k2treap.search(index, table(spark, sf_dir, "benchmark")).select("item_id", "rank", "doc_id", "score")
+
+
 def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_variants(table(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: f for f in (
     op1_warc, op2_licences, op3_token_files, op4_bpe, op5_quality, op6_fuzzy_hash, op7_decontaminate, op8_secrets,
-    op9_simhash, op10_toxicity, op11_url_filters, op13_spelling_variants)}
+    op9_simhash, op10_toxicity, op11_url_filters, op12_lexical_search, op13_spelling_variants)}
 
 #: Base32 of a SHA-1: five hex digits at a time are four letters.
 _BASE32 = """list_reduce(list_transform(range(0, 8), lambda i: list_reduce(list_transform([15, 10, 5, 0],
@@ -105,6 +110,7 @@ _BASE32 = """list_reduce(list_transform(range(0, 8), lambda i: list_reduce(list_
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _WORDS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_TERMS = rf"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_UPPER.lower()}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
 _N = f"least({decontaminate.WORDS}, len(ws))"
 
 #: Queries that SQL can express; the others are held against brute force in tests/llm.
@@ -138,6 +144,17 @@ SELECT page_id, host, path, split_part(fits, ' ', 2) AS rule,
   CASE WHEN fits IS NOT NULL THEN split_part(fits, ' ', 1)
     WHEN regexp_matches(host, '(^|[.-])({"|".join(LISTED_WORDS)})([.-]|$)') THEN 'block' ELSE 'allow' END AS verdict
 FROM f""",
+    "op12_lexical_search": f"""
+WITH d AS (SELECT doc_id, {_TERMS} AS ts FROM documents),
+f AS (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(ts) AS term FROM d) GROUP BY 1, 2),
+n AS (SELECT doc_id, len(ts) AS n FROM d WHERE len(ts) > 0),
+a AS (SELECT count(*) AS all_n, CAST(sum(n) AS BIGINT) AS all_l FROM n),
+q AS (SELECT DISTINCT item_id, unnest({_TERMS}) AS term FROM benchmark),
+w AS (SELECT term, CAST(floor(1000 * ln((2.0 * any_value(all_n) + 2) / (2.0 * count(*) + 1))) AS BIGINT) AS w FROM f, a WHERE term IN (SELECT term FROM q) GROUP BY 1),
+s AS (SELECT item_id, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * all_n) // all_l)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN f USING (term) JOIN n USING (doc_id), a GROUP BY 1, 2),
+r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM r WHERE rank <= {k2treap.K}""",
     "op13_spelling_variants": f"""
 WITH RECURSIVE t AS (SELECT list_transform(range(0, 256), lambda i: list_reduce(list_prepend(CAST(i AS UBIGINT), [CAST(3988292384 AS UBIGINT) for k in range(0, 8)]),
   lambda c, p: CASE WHEN c & 1 = 1 THEN xor(c >> 1, p) ELSE c >> 1 END)) AS crc),
