@@ -246,7 +246,7 @@ def best_of(treap: Treap, queries: _Queries, rank: np.ndarray, best: np.ndarray,
     height, n_items = treap.height, 1 + max(int(queries.item.max(initial=-1)), int(best[:, 0].max(initial=-1)))
     # the smallest rank in each range of columns, a level each
     low = [np.full(1 << height, np.iinfo(np.int64).max >> 1)]
-    low[0][: len(rank)] = 2 * rank + 1
+    low[0][: len(rank)] = 2 * rank[: 1 << height] + 1  # documents without cells may lie outside
     for _ in range(height):
         low.append(low[-1].reshape(-1, 2).min(axis=1))
     starts = np.concatenate([[0], np.cumsum([len(x) for x in reversed(low)])])[:-1]

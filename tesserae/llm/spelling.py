@@ -35,6 +35,8 @@ LEAST_COUNT = 5
 TIMES = 5
 DELETE_ONE_IN = 199
 BLOCK = 512
+#: A block of very long words has fewer of them.
+BLOCK_BYTES = 1 << 24
 HELD_WORDS = 1 << 19
 
 #: Latin-1 bytes: A-Z become a-z, what is no letter of the runs becomes a blank.
@@ -96,7 +98,7 @@ def _matrices(words: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
 def _run(a: np.ndarray, b: np.ndarray, columns: range) -> np.ndarray:
     """How many columns from the first on are equal, for each row of ``a`` against each of ``b``."""
     alive = np.ones((len(a), len(b)), bool)
-    length = np.zeros((len(a), len(b)), np.uint16)
+    length = np.zeros((len(a), len(b)), np.uint32)
     for c in columns:
         alive &= a[:, c][:, None] == b[:, c][None, :]
         length += alive
@@ -127,7 +129,8 @@ def near_pairs(words: DataFrame, least: int = LEAST_CHARS, block: int = BLOCK) -
         F.explode(F.array(F.struct(F.lit(0).alias("side"), F.left("word", half).alias("key")),
                           F.struct(F.lit(1).alias("side"), F.right("word", half).alias("key")))).alias("at")).select("word", "n", "width", "at.*")
     by = ["width", "side", "key"]
-    sizes = filed.groupBy(*by).agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
+    a_block = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(F.lit(BLOCK_BYTES) / F.col("width"))))
+    sizes = filed.groupBy(*by).agg(F.count("*").alias("size")).where("size > 1").withColumn("blocks", F.ceil(F.col("size") / a_block).cast("int"))
     placed = filed.join(sizes, by).withColumn("block", F.pmod(F.xxhash64("word"), F.col("blocks")).cast("int"))
     tiles = placed.select("word", "n", "blocks", *by, "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
     tiles = tiles.select(
@@ -162,9 +165,9 @@ def _blocks(batches: Iterator[pd.DataFrame], own: list[str], block: int) -> Iter
         bounds, at = [*starts[starts < stop], stop], 0
         kinds = rest[["width", "side", "blocks"]].to_numpy()
         while at < len(bounds) - 1:
-            to = at + 1
+            to, most = at + 1, min(block, BLOCK_BYTES // int(kinds[bounds[at]][0]))
             # files of one block each may be looked at together
-            while (to < len(bounds) - 1 and bounds[to + 1] - bounds[at] <= block and kinds[bounds[at]][2] == 1
+            while (to < len(bounds) - 1 and bounds[to + 1] - bounds[at] <= most and kinds[bounds[at]][2] == 1
                    and (kinds[bounds[to]] == kinds[bounds[at]]).all()):
                 to += 1
             yield int(kinds[bounds[at]][0]), int(kinds[bounds[at]][1]), rest.iloc[bounds[at]:bounds[to]]

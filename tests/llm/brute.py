@@ -248,3 +248,83 @@ def near_copies(docs, words=5, likeness=0.8):
             if both / (len(sets[a]) + len(sets[b]) - both) >= likeness - 1e-12:
                 parent[max(root(a), root(b))] = min(root(a), root(b))
     return {d: root(d) for d in sets}
+
+
+def host_path(url):
+    """(host, path) of a URL."""
+    _, there, rest = (url or "").partition("://")
+    host = re.match(r"[^/?#]*", rest).group() if there else ""
+    path = re.match(r"[^?#]*", rest[len(host):]).group() if there else ""
+    return "".join(c.lower() if c.isascii() else c for c in host), path
+
+
+def op11(url, rules, listed):
+    """(host, path, rule, verdict)"""
+    host, path = host_path(url)
+    fits = [(len(h) + len(p), len(h), h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+    _, _, rule, verdict = max(fits, default=(0, 0, None, "block" if host + path in listed else "allow"))
+    return host, path, rule, verdict
+
+
+def _folded(text):
+    return "".join(c.lower() if c.isascii() else c for c in text or "")
+
+
+def op12(docs, items, k):
+    """Sorted (item, rank, doc_id, score); items that share an id are one."""
+    import math
+    from collections import Counter
+
+    term = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+    bags = [(d, Counter(term.findall(_folded(t)))) for d, t in docs]
+    bags = [(d, b, sum(b.values())) for d, b in bags if b]
+    all_n, all_l = len(bags), sum(n for *_, n in bags)
+    wanted = {}
+    for i, t in items:
+        wanted.setdefault(i, set()).update(term.findall(_folded(t)))
+    out = []
+    for i, terms in wanted.items():
+        found = []
+        weight = {t: df and math.floor(1000 * math.log((2 * all_n + 2) / (2 * df + 1))) for t in terms for df in [sum(t in b for _, b, _ in bags)]}
+        for d, b, n in bags:
+            m = 100 - 50 + 50 * n * all_n // all_l
+            score = sum(w * (1000000000 * b[t] // (1000 * b[t] + 20 * m)) for t, w in weight.items())
+            if score > 0:
+                found.append((-score, d is None, d or 0))
+        out += [(i, r, None if null else d, -s) for r, (s, null, d) in enumerate(sorted(found)[:k], 1)]
+    return out if any(i is None for i in wanted) else sorted(out)
+
+
+def one_edit(a, b):
+    """Whether one inserted, deleted or replaced symbol makes ``b`` of ``a``."""
+    if abs(len(a) - len(b)) > 1 or a == b:
+        return False
+    if len(a) == len(b):
+        return sum(x != y for x, y in zip(a, b, strict=True)) == 1
+    short, long = sorted((a, b), key=len)
+    return any(long[:i] + long[i + 1:] == short for i in range(len(long)))
+
+
+def variants(words):
+    """Sorted (word, form, root, n, n_near, form_n) of {word: n}."""
+    form, n_near = {}, {}
+    for w, n in words.items():
+        near = [v for v in words if one_edit(w, v)]
+        best = min(near, key=lambda v: (-words[v], v), default=None)
+        n_near[w], form[w] = len(near), best if best is not None and words[best] >= 5 * n else None
+    def root(w):
+        return w if form[w] is None else root(form[w])
+    return sorted((w, form[w], root(w), n, n_near[w], words.get(form[w])) for w, n in words.items())
+
+
+def op13(docs):
+    from collections import Counter
+
+    counts = Counter()
+    for d, t in docs:
+        for run in re.findall("[a-z\u00c0-\u00ff]+", _folded(t)):
+            h = zlib.crc32(f"{'' if d is None else d}:{run}".encode())
+            if h % 199 == 0:
+                run = run[: h % len(run)] + run[h % len(run) + 1:]
+            counts[run] += 1
+    return variants({w: n for w, n in counts.items() if len(w) >= 6 and n >= 5})
