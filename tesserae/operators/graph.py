@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import attach, count_if, share
 from ..sources.storage import made, release_since, stored
+from .walks import bits_by_source, both_ends, fanout_counts, reach_bits, reach_counts
 
 
 def resolve(refs: DataFrame, entities: DataFrame) -> DataFrame:
@@ -219,27 +220,23 @@ def async_score(edges: DataFrame) -> DataFrame:
     return came.unionByName(went).groupBy("id").agg(F.sum("s").alias("score"))
 
 
-def slice_nodes(edges: DataFrame, targets: DataFrame, depth: int = 2) -> DataFrame:
-    """(target, id, hops): nodes within ``depth`` of each target (column target), edges taken both ways."""
-    both = edges.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
-    both = stored(both, "both")
-    seen = targets.select("target", F.col("target").alias("id"), F.lit(0).alias("hops")).distinct()
-    front = seen
-    for d in range(1, depth + 1):
-        step = front.join(both, F.col("id") == F.col("a")).select("target", F.col("b").alias("id")).distinct()
-        front = stored(step.join(seen.select("target", "id"), ["target", "id"], "left_anti").withColumn("hops", F.lit(d)), "front")
-        seen = seen.unionByName(front)
-    return seen
-
-
 def slice_summary(edges: DataFrame, targets: DataFrame, depth: int = 2) -> DataFrame:
-    """Per target: nodes within reach, edges among them, and edges by kind (calls, data_flow, control_flow)."""
-    near = stored(slice_nodes(edges, targets, depth).select("target", "id"), "slice")
-    inside = edges.join(near.withColumnRenamed("id", "src"), "src").join(near.withColumnRenamed("id", "dst"), ["target", "dst"], "left_semi")
-    n = near.groupBy("target").agg(F.count("*").alias("nodes"))
-    e = inside.groupBy("target").agg(
-        F.count("*").alias("edges"), *[count_if(F.col("kind") == k).alias(k) for k in ("calls", "data_flow", "control_flow")])
-    return n.join(e, "target", "left").na.fill(0)
+    """Per target: nodes within ``depth`` of it, taking edges both ways, edges among them, and edges by kind (calls, data_flow, control_flow).
+
+    An edge is inside a target's slice if the target's bit is set at both of its ends.
+    """
+    begun = made()
+    sources = targets.select(F.col("target").alias("source"))
+    near, placed = reach_bits(
+        edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct(), sources, depth)
+    n = bits_by_source(near, placed).withColumnRenamed("n", "nodes")
+    merged = edges.groupBy("src", "dst", "kind").agg(F.count("*").alias("times"))
+    inside = bits_by_source(both_ends(merged, near), placed, F.col("times"), "kind")
+    e = inside.groupBy("source").agg(
+        F.sum("n").alias("edges"), *[F.coalesce(F.sum(F.when(F.col("kind") == k, F.col("n"))), F.lit(0)).alias(k) for k in ("calls", "data_flow", "control_flow")])
+    out = stored(n.join(e, "source", "left").na.fill(0).withColumnRenamed("source", "target"), "slices")
+    release_since(begun, made()[-1])
+    return out
 
 
 def neighbour_lists(edges: DataFrame, targets: DataFrame) -> DataFrame:
@@ -274,14 +271,16 @@ def dependency_fanout(edges: DataFrame, changed: DataFrame, key_flow: str = "con
     edges. The walk ends where nothing new is reached, or at ``depth``.
     """
     e = edges.where(F.col("kind").isin("data_flow", key_flow))
-    reach = bfs(e, changed, depth or 1 << 20)
     s = changed.select("source").distinct()
     ends = e.select("src", "dst", "kind")
     touched = s.join(ends, F.col("source") == F.col("src")).select("source", F.col("dst").alias("id"), "kind").unionByName(
         s.join(ends, F.col("source") == F.col("dst")).select("source", F.col("src").alias("id"), "kind"))
-    nodes = reach.select("source", "id").unionByName(touched.select("source", "id")).distinct().where("id <> source")
-    counts = nodes.groupBy("source").agg(F.count("*").alias("n"))
     keys = touched.where(F.col("kind") == key_flow).groupBy("source").agg(F.count("*").alias("k"))
+    if depth is None:
+        counts = fanout_counts(e, s, touched.select("source", "id"))
+    else:
+        nodes = bfs(e, s, depth).select("source", "id").unionByName(touched.select("source", "id")).distinct().where("id <> source")
+        counts = nodes.groupBy("source").agg(F.count("*").alias("n"))
     return s.join(counts, "source", "left").join(keys, "source", "left").select("source", (F.coalesce("n", F.lit(0)) + F.coalesce("k", F.lit(0))).alias("fanout"))
 
 

@@ -144,8 +144,7 @@ def levels(start: str, arcs: str, depth: int, keys: str = "source", extra: str =
 def bfs_distance(spark, sf):
     """From every test part along calls, to depth 8."""
     sources = nodes(spark, sf).where("is_test").select(F.col("id").alias("source"))
-    d = G.bfs(edges(spark, sf).where("kind = 'calls'"), sources)
-    return d.groupBy("source", "distance").agg(F.count("*").alias("reached"))
+    return G.reach_counts(edges(spark, sf).where("kind = 'calls'"), sources)
 
 
 def _path_levels(depth: int) -> str:
