@@ -33,6 +33,8 @@ WORDS = 10
 SHARD_WORDS = 1 << 20
 BLOCK_CHARS = 8_000_000
 CHAIN_ROWS = 1 << 20
+#: Characters of text that each block is taken over, where there are several blocks.
+HELD_CHARS = 1 << 26
 
 #: A-Z to a-z; 0-9, a-z and all bytes of other characters stay; the rest are gaps.
 _GAPS = bytes(
@@ -97,7 +99,7 @@ def suffix_array(codes: np.ndarray, depth: int, least: int) -> np.ndarray:
     while length < depth:
         step = min(length, depth - length)
         nxt = np.zeros(m, np.int64)
-        nxt[: m - step] = rank[step:]
+        nxt[: max(0, m - step)] = rank[step:]
         _, rank = np.unique(rank * (int(rank.max()) + 1) + nxt, return_inverse=True)
         rank = rank.astype(np.int64) + 1
         length += step
@@ -291,15 +293,34 @@ def _joined(parts: list[dict]) -> dict:
 
 
 def _matcher(names: list[str], words: int):
-    """The UDF; a task cuts its texts into shards and takes each through all blocks."""
+    """The UDF; a task cuts its texts into shards and takes each block over all of them.
+
+    Where there are several blocks, batches are held up to HELD_CHARS, so that
+    a block is read once for as much text.
+    """
     blocks_of = Blocks(names, words)
+    most = HELD_CHARS if len(names) > 1 else 0
+
+    def matched(held: list[pd.Series]) -> Iterator[pd.DataFrame]:
+        shards = [shard for texts in held for shard in _shards(texts)]
+        found: list[list[list[dict]]] = [[] for _ in shards]
+        for items in blocks_of:
+            for at, shard in enumerate(shards):
+                found[at].append(match_shard(shard, items))
+        rows = [_joined(list(p)) for parts in found for p in zip(*parts, strict=True)]
+        yield pd.DataFrame(rows, columns=[c.split()[0] for c in _KIND.split(", ")]).astype({"longest_at": "Int64"})
 
     @F.pandas_udf(_KIND)
-    def match(texts: pd.Series) -> pd.DataFrame:
-        found = []
-        for shard in _shards(texts):
-            found += [_joined(list(p)) for p in zip(*(match_shard(shard, items) for items in blocks_of), strict=True)]
-        return pd.DataFrame(found, columns=[c.split()[0] for c in _KIND.split(", ")]).astype({"longest_at": "Int64"})
+    def match(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        held, size = [], 0
+        for texts in batches:
+            held.append(texts)
+            size += sum(len(t or "") for t in texts)
+            if size >= most:
+                yield from matched(held)
+                held, size = [], 0
+        if held:
+            yield from matched(held)
 
     return match
 

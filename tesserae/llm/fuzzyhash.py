@@ -38,8 +38,10 @@ _ALPHABET = np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _PIECE = 1 << 20
-TURN = 256
-RANGES = 10_000
+#: Characters of text that are gathered before they are worked on.
+TURN_CHARS = 1 << 22
+#: A task takes about TASK_BYTES of text up to so many ranges (3 TB), and as much more beyond (1 GB at 100 TB), a row at a time.
+RANGES = 100_000
 
 
 def _powers(base: int, n: int) -> np.ndarray:
@@ -181,8 +183,8 @@ def _in_turn(docs: DataFrame, each: int) -> DataFrame:
     range before it (tail 1), as what comes next there; that of the first range
     goes to the last. So each text is dealt once, and one row of each range
     twice. Rows that share an id stand in the order of a hash of their text
-    (then of the text); null ids come last and are cut by that hash. Keys are
-    ids as text, empty for null.
+    (then of the text); an id with more bytes than a range is cut by that hash,
+    and so are null ids, which come last. Keys are ids as text, empty for null.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
@@ -198,15 +200,29 @@ def _in_turn(docs: DataFrame, each: int) -> DataFrame:
         F.explode(F.array_repeat("doc_id", F.floor((F.col("bytes") + phase) / unit).cast("int"))).alias("id"))
     wanted = [i / ranges for i in range(1, ranges)]
     cuts = marks.stat.approxQuantile("id", wanted, 0.25 / ranges) if wanted else []
-    edges = np.array(sorted({int(c) for c in cuts}), np.int64)
-    ranges = len(edges) + 1 + loose
+    # (~id, hash): where a range begins, in descending order of ids
+    starts = {(~int(c), -(1 << 63)) for c in cuts}
+    share = total // ranges + 1
+    large = sizes.where("doc_id is not null").groupBy("doc_id").agg(F.sum("bytes").alias("bytes")).where(F.col("bytes") > share)
+    for r in large.collect():  # fewer than ranges
+        pieces = -(-r.bytes // share)
+        starts |= {(~r.doc_id, (i << 64) // pieces - (1 << 63)) for i in range(pieces)}
+    starts = sorted(starts)
+    by_id, by_hash = (np.array([s[c] for s in starts], np.int64) for c in (0, 1))
+    ranges = len(starts) + 1 + loose
 
     @F.pandas_udf("int")
     def part_of(ids: pd.Series, nth: pd.Series) -> pd.Series:
         """0 for the largest ids; null ids in ranges of their own."""
-        known = ids.notna().to_numpy()
-        at = (len(edges) + 1 + np.floor((nth.to_numpy() / 2.0**64 + 0.5) * loose)).astype(np.int32)
-        at[known] = len(edges) - np.searchsorted(edges, ids[known].astype("int64").to_numpy(), "left")
+        known, nth = ids.notna().to_numpy(), nth.to_numpy()
+        at = (len(starts) + 1 + np.floor((nth / 2.0**64 + 0.5) * loose)).astype(np.int32)
+        turned = ~ids[known].astype("int64").to_numpy()
+        lo, hi = np.searchsorted(by_id, turned, "left"), np.searchsorted(by_id, turned, "right")
+        part, hashed = hi.copy(), nth[known]
+        for a in np.unique(lo[hi > lo + 1]):  # an id with several ranges
+            b, rows = int(np.searchsorted(by_id, by_id[a], "right")), (lo == a) & (hi > lo)
+            part[rows] = a + np.searchsorted(by_hash[a:b], hashed[rows], "right")
+        at[known] = part
         return pd.Series(np.minimum(at, ranges - 1), dtype="int32")
 
     # the first row of each range that has rows, and the range before it (of the first: the last)
@@ -231,15 +247,16 @@ def _follow(batches: Iterator[pa.RecordBatch], take) -> Iterator[pa.RecordBatch]
     """``take`` of lists of (key, text, next text), a list for each batch of rows in turn."""
     last = None  # (key, text, part) of the row that waits for its next
     for batch in batches:
-        met = []
+        met, held = [], 0
         for key, text, part, tail in zip(*(batch.column(c) for c in ("key", "text", "part", "tail")), strict=True):
             key, text, part = key.as_py(), text.as_py(), part.as_py()
             if last is not None and last[2] == part:
                 met.append((last[0], last[1], text))
+                held += len(text)
             last = None if tail.as_py() else (key, text, part)
-            if len(met) >= TURN:
+            if held >= TURN_CHARS:
                 yield take(met)
-                met = []
+                met, held = [], 0
         yield take(met)
 
 
