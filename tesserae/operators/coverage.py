@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import attach, count_if, share
+from ..sources.storage import made, release_since, stored
+from .sequences import PART, cut, numbered, with_neighbours
 
 SPAN = 64
 
@@ -77,19 +79,31 @@ def loop_state(hits: DataFrame, bodies: DataFrame) -> DataFrame:
         "test", "loop", F.when(n == 0, "zero").when(n == 1, "single").otherwise("multi").alias("state"))
 
 
-def collapse_runs(seq: DataFrame, by: str, order: str, value: str) -> DataFrame:
-    """Rows whose value differs from the one before; they are numbered anew in ``at``."""
-    w = Window.partitionBy(by).orderBy(order)
-    kept = seq.withColumn("_before", F.lag(value).over(w)).where(~F.col(value).eqNullSafe(F.col("_before")) | F.col("_before").isNull())
-    return kept.drop("_before").withColumn("at", F.row_number().over(w))
+def collapse_runs(seq: DataFrame, by: str, order: str, value: str, keep_parts: bool = False) -> DataFrame:
+    """Rows whose value differs from the one before; they are numbered anew in ``at``.
+
+    A sequence may have any share of all rows: it is cut into ranges.
+    ``keep_parts`` leaves the ranges for what follows.
+    """
+    begun = made()
+    near = with_neighbours(cut(seq, by, order), by, order, [value], back=1)
+    kept = near.where(~F.col(value).eqNullSafe(F.col(f"_prev1_{value}")) | F.col(f"_prev1_{value}").isNull()).drop(f"_prev1_{value}")
+    kept = stored(kept, "collapsed")
+    release_since(begun, made()[-1])
+    out = numbered(kept, by, order, "at")
+    return out if keep_parts else out.drop(PART)
 
 
 def ngram_fragments(seq: DataFrame, by: str, order: str, value: str, prefix: str, sizes: tuple[int, ...] = (2, 3),
                     flag: str | None = None) -> DataFrame:
     """(by, member, fragment): runs of values of the given sizes with two or more
     distinct members, given to each distinct member. With ``flag`` a member must have it."""
-    w, far = Window.partitionBy(by).orderBy(order), max(sizes)
-    ahead = seq.withColumns({f"_v{i}": F.lead(value, i).over(w) for i in range(far)} | {f"_f{i}": F.lead(flag, i).over(w) for i in range(far if flag else 0)})
+    far = max(sizes)
+    placed = seq if PART in seq.columns else cut(seq, by, order)
+    columns = [value, flag] if flag else [value]
+    named = lambda i, c, short: F.col(f"_next{i}_{c}" if i else c).alias(f"_{short}{i}")
+    ahead = with_neighbours(placed, by, order, columns, ahead=far - 1).select(
+        by, *[named(i, value, "v") for i in range(far)], *[named(i, flag, "f") for i in range(far if flag else 0)])
     none = F.array().cast("array<boolean>")
     cut = [F.struct(F.array(*[f"_v{i}" for i in range(n)]).alias("window"), (F.array(*[f"_f{i}" for i in range(n)]) if flag else none).alias("flags")) for n in sizes]
     rows = ahead.select(by, F.explode(F.array(*cut)).alias("w")).select(by, "w.*")

@@ -88,9 +88,9 @@ _COLLAPSED = """, c AS (SELECT run_id, seq, component % 8 AS value, status, lag(
 k AS (SELECT run_id, value, status = 'F' AS flagged, seq, row_number() OVER (PARTITION BY run_id ORDER BY seq) AS pos FROM c WHERE before IS NULL OR before <> value)"""
 
 
-def _collapsed(spark, sf):
+def _collapsed(spark, sf, keep_parts=False):
     s = VIEWS["steps"](spark, sf).select("run_id", "seq", (F.col("component") % 8).alias("value"), (F.col("status") == "F").alias("flagged"))
-    return C.collapse_runs(s, "run_id", "seq", "value")
+    return C.collapse_runs(s, "run_id", "seq", "value", keep_parts)
 
 
 @query(_COLLAPSED + " SELECT run_id, CAST(seq AS INTEGER) AS seq, value, CAST(pos AS INTEGER) AS at FROM k", "steps")
@@ -107,13 +107,13 @@ f AS (SELECT run_id, unnest(list_distinct(win)) AS member, array_to_string(win,
 
 @query(_NGRAMS + " SELECT member, 'path:' || path AS fragment, count(DISTINCT run_id) AS runs FROM f GROUP BY 1, 2", "steps")
 def seq_ngrams(spark, sf):
-    f = C.ngram_fragments(_collapsed(spark, sf), "run_id", "at", "value", "path:")
+    f = C.ngram_fragments(_collapsed(spark, sf, True), "run_id", "at", "value", "path:")
     return f.groupBy("member", "fragment").agg(F.count("*").alias("runs"))
 
 
 @query(_NGRAMS + " SELECT member, 'async:' || path AS fragment, count(DISTINCT run_id) AS runs FROM f WHERE flag GROUP BY 1, 2", "steps")
 def seq_ngrams_flag(spark, sf):
-    f = C.ngram_fragments(_collapsed(spark, sf), "run_id", "at", "value", "async:", flag="flagged")
+    f = C.ngram_fragments(_collapsed(spark, sf, True), "run_id", "at", "value", "async:", flag="flagged")
     return f.groupBy("member", "fragment").agg(F.count("*").alias("runs"))
 
 
@@ -182,7 +182,7 @@ s AS (SELECT case_id, member AS component, path, sum(CASE WHEN failed THEN 1 ELS
 SELECT case_id, component, round(max(coalesce(ef / nullif(sqrt(tf * n), 0), 0)), 6) AS score, count(*) AS elements
 FROM s JOIN t USING (case_id) GROUP BY case_id, component""", "runs", "steps")
 def ochiai_path(spark, sf):
-    f = C.ngram_fragments(_collapsed(spark, sf), "run_id", "at", "value", "path:").withColumnRenamed("member", "component")
+    f = C.ngram_fragments(_collapsed(spark, sf, True), "run_id", "at", "value", "path:").withColumnRenamed("member", "component")
     s = C.ochiai_by_element(f, VIEWS["runs"](spark, sf), ["case_id"], "component", "fragment")
     return s.withColumn("score", rounded("score"))
 
