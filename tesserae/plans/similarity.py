@@ -4,11 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import rounded, tokens
+from ..functions import rounded
 from ..operators import similarity as U
 from ..tables import VIEWS, table
 from .base import query
-from .scoring import tokens_sql
 
 _WS = r"[ \t\r\n\f\x0b]+"
 _NORMAL = rf"array_to_string(list_transform(string_split(regexp_replace(text, '^{_WS}|{_WS}$', '', 'g'), chr(10)), lambda x: regexp_replace(x, '[ \t\r\f\x0b]+$', '')), chr(10))"
@@ -42,15 +41,33 @@ def changed_lines(spark, sf):
     return c.select("conv_id", "turn", F.size(U.changed_lines("old", "text")).cast("long").alias("n"))
 
 
-@query(f"""WITH r AS (SELECT conv_id, turn, {tokens_sql('text')} AS t, role <> 'user' AS ok FROM conversations WHERE text IS NOT NULL),
-p AS (SELECT a.conv_id, a.turn, max(len(list_intersect(a.t, b.t)) / (len(a.t) + len(b.t) - len(list_intersect(a.t, b.t)))) AS j, count(b.turn) AS n
-  FROM r a LEFT JOIN r b ON a.conv_id = b.conv_id AND b.ok AND b.turn < a.turn AND len(a.t) > 0 AND len(b.t) > 0 GROUP BY 1, 2),
-f AS (SELECT conv_id, min(turn) AS first FROM r WHERE ok GROUP BY 1)
-SELECT r.conv_id, r.turn, round(CASE WHEN first IS NULL OR first >= r.turn THEN 1.0 WHEN len(t) = 0 THEN 0.0 ELSE 1 - coalesce(j, 0) END, 6) AS novelty
-FROM r JOIN p ON r.conv_id = p.conv_id AND r.turn = p.turn LEFT JOIN f ON r.conv_id = f.conv_id""")
+def _code_sql(text: str) -> str:
+    return f"list_distinct(regexp_extract_all({text}, '{U.CODE_TOKEN}'))"
+
+
+_EDIT = "array_to_string(list_filter(string_split(text, chr(10)), lambda x: trim(x) <> '' AND NOT list_contains(string_split(old, chr(10)), x)), chr(10))"
+
+
+def _novelty_sql(t: str) -> str:
+    return f"""(SELECT a.conv_id, a.turn, CASE WHEN count(b.turn) = 0 THEN 1.0 WHEN len(any_value(a.{t})) = 0 THEN 0.0
+  ELSE 1 - max(coalesce(len(list_intersect(a.{t}, b.{t})) / nullif(len(a.{t}) + len(b.{t}) - len(list_intersect(a.{t}, b.{t})), 0), 0)) END AS v
+  FROM r a LEFT JOIN r b ON a.conv_id = b.conv_id AND b.ok AND b.turn < a.turn GROUP BY 1, 2)"""
+
+
+@query(f"""WITH o AS (SELECT conv_id, arg_min(text, turn) AS old FROM conversations WHERE text IS NOT NULL GROUP BY 1),
+r AS (SELECT conv_id, turn, role <> 'user' AS ok, {_code_sql('text')} AS s, {_code_sql(_EDIT)} AS e FROM conversations JOIN o USING (conv_id) WHERE text IS NOT NULL),
+f AS (SELECT conv_id, min(turn) AS first FROM r WHERE ok GROUP BY 1),
+n AS (SELECT x.conv_id, x.turn, x.v AS sv, y.v AS ev, round(0.45 * x.v + 0.55 * y.v, 4) AS v, coalesce(first >= x.turn, true) AS alone
+  FROM {_novelty_sql('s')} x JOIN {_novelty_sql('e')} y ON x.conv_id = y.conv_id AND x.turn = y.turn LEFT JOIN f ON x.conv_id = f.conv_id)
+SELECT conv_id, turn, round(sv, 4) AS source_novelty, round(ev, 4) AS edit_novelty, v AS novelty, alone OR v >= 0.08 AS accepted,
+CASE WHEN alone OR v >= 0.08 THEN 'accepted' ELSE 'low_novelty_against_batch' END AS reason FROM n""")
 def jaccard_novelty(spark, sf):
-    r = table(spark, sf, "conversations").where("text is not null").select("conv_id", "turn", tokens("text").alias("t"), (F.col("role") != "user").alias("ok"))
-    return U.jaccard_novelty(r, "conv_id", "turn", "t", "ok").withColumn("novelty", rounded("novelty"))
+    """Turns as candidates against the first turn's text as the old source; the assistant's turns count as accepted."""
+    c = table(spark, sf, "conversations").where("text is not null")
+    old = c.groupBy("conv_id").agg(F.min_by("text", "turn").alias("old"))
+    r = c.join(old, "conv_id").select(
+        "conv_id", "turn", U.code_tokens("text").alias("s"), U.code_tokens(F.array_join(U.changed_lines("old", "text"), "\n")).alias("e"), (F.col("role") != "user").alias("ok"))
+    return U.candidate_novelty(r, "conv_id", "turn", "s", "e", "ok")
 
 
 @query(f"""WITH d AS (SELECT doc_id, source, {_FP} AS fp FROM documents WHERE text IS NOT NULL), f AS (SELECT DISTINCT fp FROM d WHERE source = 'src1')

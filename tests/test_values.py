@@ -2,6 +2,7 @@
 
 import math
 import os
+import random
 import shutil
 import subprocess
 import sys
@@ -189,6 +190,31 @@ def test_novelty(spark):
     assert got == {(1, 1): 1.0, (1, 2): 0.0, (1, 3): pytest.approx(2 / 3), (1, 4): 0.0, (2, 1): 1.0}
 
 
+@pytest.mark.parametrize("levels", [(), (0.5,), (0.8, 0.3)])
+def test_novelty_levels(spark, levels):
+    """Whatever the levels, the nearest accepted row before is found."""
+    chance = random.Random(4)
+    rows = []
+    for c in range(4):
+        for i in range(25):
+            near = rows[-1][2] if rows and chance.random() < 0.5 else []
+            rows.append((c, i, [*near[: len(near) - chance.randrange(3)], *chance.choices("abcdefghijklmnop", k=chance.randrange(5))], chance.random() < 0.5))
+    got = {(r.c, r.i): r.novelty for r in similarity.jaccard_novelty(spark.createDataFrame(rows, "c int, i int, t array<string>, ok boolean"), "c", "i", "t", "ok", levels).collect()}
+    for c, i, t, _ in rows:
+        known = [set(o) for d, j, o, ok in rows if d == c and j < i and ok]
+        want = 1.0 if not known else 0.0 if not t else 1 - max(len(set(t) & o) / len(set(t) | o) for o in known)
+        assert got[c, i] == pytest.approx(want), (c, i)
+
+
+def test_candidate_novelty(spark):
+    text = spark.createDataFrame([("x_1 != y2 + 10 <= Foo",)], "t string").select(similarity.code_tokens("t").alias("t")).head().t
+    assert text == ["x_1", "!=", "y2", "10", "<=", "Foo"]
+    rows = spark.createDataFrame([(1, 1, ["a", "b"], ["a"], True), (1, 2, ["a", "b"], ["a"], False), (1, 3, ["a", "b"], ["z"], False), (1, 4, [], [], True)],
+                                 "c int, i int, s array<string>, e array<string>, ok boolean")
+    got = {r.i: (r.novelty, r.accepted, r.reason) for r in similarity.candidate_novelty(rows, "c", "i", "s", "e", "ok").collect()}
+    assert got == {1: (1.0, True, "accepted"), 2: (0.0, False, "low_novelty_against_batch"), 3: (0.55, True, "accepted"), 4: (0.0, False, "low_novelty_against_batch")}
+
+
 def test_graph_walks(spark):
     e = spark.createDataFrame([("a", "b", "calls", True), ("b", "c", "calls", False), ("a", "c", "calls", False), ("c", "c", "calls", False)], "src string, dst string, kind string, awaited boolean")
     n = spark.createDataFrame([("a", "f", False), ("b", "f", False), ("c", "g", False), ("z", "g", False)], "id string, file string, is_test boolean")
