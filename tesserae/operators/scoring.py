@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import heapq
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import clamp, count_if, share, tokens
+from ..sources.storage import stored
 
 # Weights with and without coverage.
 COVERAGE_WEIGHTS = {"sbfl": 0.30, "graph": 0.25, "static": 0.15, "semantic": 0.10, "llm": 0.15, "risk": -0.05}
@@ -273,19 +278,121 @@ def hypotheses(functions: DataFrame, findings: DataFrame, candidates: DataFrame,
     return rank_within(rows, ["case_id"], "score", ["function"], width)
 
 
-def bundles(members: DataFrame) -> DataFrame:
-    """Pairs of a case's few chosen functions (a < b): localisation, rules, risk, size and priority.
+# What bundles of changes are worth.
+RULE_BONUS, RISK_COST, SIZE_COST, LINK_CAP = 0.08, 0.08, 0.02, 0.20
+LINK_BONUS = {"calls": 0.08, "data_flow": 0.06, "control_flow": 0.04, "connected": 0.04}
+
+
+def bundles(members: DataFrame, links: DataFrame, k: int = 8, most: int = 3, variants: int = 2) -> DataFrame:
+    """The ``k`` best bundles of two up to ``most`` functions of each case, a variant each.
+
+    ``members``: case_id, function, variant, localisation, rule, risk, size;
+    ``links``: a, b (functions, a < b), calls, data_flow, control_flow,
+    connected. Rows: case_id, rank, members (array of function and variant, in
+    order of functions), rules, risk, bonus, priority; equal priorities go by members.
 
-    ``members``: case_id, function, localisation, rule, risk, size; the caller
-    keeps a bounded beam of functions a case (rank_within with k).
+    Each function gives its best ``variants``. A member without a link stays
+    only if it may stand in one of the k best: where enough functions with
+    the same rule are better by more than sizes can make up for, it can't. What
+    is left of a case is enumerated best first under upper bounds: of bundles
+    without a link by their members' worth, of those with one from the linked
+    pairs on; so the product of all members is never made.
     """
-    a = members.select("case_id", *[F.col(c).alias(f"a_{c}") for c in ("function", "localisation", "rule", "risk", "size")])
-    b = members.select("case_id", *[F.col(c).alias(f"b_{c}") for c in ("function", "localisation", "rule", "risk", "size")])
-    p = a.join(b, "case_id").where("a_function < b_function")
-    rules = F.when(F.col("a_rule") == F.col("b_rule"), 1).otherwise(2)
-    risk = (F.col("a_risk") + F.col("b_risk")) / 2
-    priority = (F.col("a_localisation") + F.col("b_localisation")) / 2 + 0.08 * rules - 0.08 * risk - 0.02 * F.least(F.lit(1.0), (F.col("a_size") + F.col("b_size")) / 40.0)
-    return p.select("case_id", F.col("a_function").alias("a"), F.col("b_function").alias("b"), rules.alias("rules"), risk.alias("risk"), priority.alias("priority"))
+    own = F.col("localisation") + 0.10 * (1 - F.least(F.lit(1.0), F.col("risk"))) - 0.03 * F.col("variant") - 0.02 * F.least(F.lit(1.0), F.col("size") / 20.0)
+    few = rank_within(members.withColumn("_own", own), ["case_id", "function"], "_own", ["variant"], variants).drop("rank", "_own")
+    functions = few.select("case_id", "function").distinct()
+    here = functions.select("case_id", F.col("function").alias("a")).join(links, "a").join(functions.select("case_id", F.col("function").alias("b")), ["case_id", "b"])
+    here = stored(here, "links")
+    linked = here.select("case_id", F.explode(F.array("a", "b")).alias("function")).distinct().withColumn("_linked", F.lit(True))
+    worth = F.col("localisation") - RISK_COST * F.col("risk")
+    ranked = few.withColumn("_worth", worth).join(linked, ["case_id", "function"], "left").withColumn(
+        "_nth", F.row_number().over(Window.partitionBy("case_id", "rule").orderBy(F.desc("_worth"), "function", "variant")))
+    enough = variants * (k + most - 1)
+    least = ranked.where(F.col("_nth") == enough).select("case_id", "rule", F.col("_worth").alias("_least"))
+    kept = ranked.join(least, ["case_id", "rule"], "left").where(
+        F.col("_linked") | F.col("_least").isNull() | (F.col("_worth") >= F.col("_least") - most * SIZE_COST - 1e-9))
+    kinds = {f.name: f.dataType.simpleString() for f in few.schema.fields}
+    schema = (f"case_id {kinds['case_id']}, rank int, members array<struct<function: {kinds['function']}, variant: {kinds['variant']}>>, "
+              "rules int, risk double, bonus double, priority double")
+
+    def best(one: pd.DataFrame, two: pd.DataFrame) -> pd.DataFrame:
+        rows = _best_bundles(one, two, k, most)
+        return pd.DataFrame([(one["case_id"].iloc[0], n, *r) for n, r in enumerate(rows, 1)], columns=["case_id", "rank", "members", "rules", "risk", "bonus", "priority"])
+
+    columns = ["case_id", "function", "variant", "rule", "risk", "size", "_worth"]
+    return kept.select(*columns).groupBy("case_id").cogroup(here.groupBy("case_id")).applyInPandas(best, schema)
+
+
+def _best_bundles(members: pd.DataFrame, links: pd.DataFrame, k: int, most: int) -> list[tuple]:
+    """(members, rules, risk, bonus, priority) of the k best bundles of one case, best first."""
+    m = members.sort_values(["_worth", "function", "variant"], ascending=[False, True, True]).to_dict("records")
+    pair = {(r["a"], r["b"]): r for r in links.to_dict("records")}
+    found: dict[tuple, tuple] = {}
+    heap: list[float] = []  # the k best priorities so far
+
+    def add(chosen: tuple[int, ...]) -> None:
+        names = sorted((m[i]["function"], m[i]["variant"]) for i in chosen)
+        key = tuple(names)
+        if key in found or len({f for f, _ in names}) < len(names):
+            return
+        rules = len({m[i]["rule"] for i in chosen})
+        risk = sum(m[i]["risk"] for i in chosen) / len(chosen)
+        ties = [pair[f, g] for n, (f, _) in enumerate(names) for g, _ in names[n + 1:] if (f, g) in pair]
+        pairs = len(names) * (len(names) - 1) / 2
+        bonus = sum(LINK_BONUS[c] for c in ("calls", "data_flow", "control_flow") if any(t[c] for t in ties))
+        bonus = min(LINK_CAP, bonus + LINK_BONUS["connected"] * sum(bool(t["connected"]) for t in ties) / pairs)
+        worth = sum(m[i]["_worth"] for i in chosen) / len(chosen)
+        priority = worth + RULE_BONUS * rules + bonus - SIZE_COST * min(1.0, sum(m[i]["size"] for i in chosen) / 40.0)
+        found[key] = (round(-priority, 9), names, rules, risk, bonus, priority)
+        heapq.heappush(heap, priority)
+        if len(heap) > k:
+            heapq.heappop(heap)
+
+    def closed(worth: float, size: int, bonus: float) -> bool:
+        """Whether bundles of such a mean worth can't be among the k best."""
+        return len(heap) == k and worth + RULE_BONUS * size + bonus < heap[0] - 1e-9
+
+    at: dict = {}
+    for i, x in enumerate(m):
+        at.setdefault(x["function"], []).append(i)
+    # with a link: from each linked pair on, the third and further ones by worth
+    for f, g in pair:
+        for i in at.get(f, ()):
+            for j in at.get(g, ()):
+                add((i, j))
+    for size in range(3, most + 1):
+        for f, g in pair:
+            for i in at.get(f, ()):
+                for j in at.get(g, ()):
+                    base = m[i]["_worth"] + m[j]["_worth"]
+                    for rest in _by_worth(m, size - 2, lambda w, b=base, s=size: closed((b + w) / s, s, LINK_CAP)):
+                        add((i, j, *rest))
+    # without one: all by worth, as far as the rules alone may lift them
+    for size in range(2, most + 1):
+        for chosen in _by_worth(m, size, lambda w, s=size: closed(w / s, s, 0.0)):
+            add(chosen)
+    return [(names, rules, risk, bonus, priority) for _, names, rules, risk, bonus, priority in sorted(found.values(), key=lambda x: x[:2])[:k]]
+
+
+def _by_worth(m: list[dict], size: int, closed: Callable[[float], bool]) -> Iterator[tuple[int, ...]]:
+    """Combinations of places in the sorted ``m``, largest sum of worths first, until ``closed`` for their sum."""
+    if len(m) < size:
+        return
+    total = lambda c: sum(m[i]["_worth"] for i in c)
+    first = tuple(range(size))
+    heap, seen = [(-total(first), first)], {first}
+    while heap:
+        worth, c = heapq.heappop(heap)
+        if closed(-worth):
+            return
+        yield c
+        for n in range(size):
+            nxt = c[n] + 1
+            if nxt < (c[n + 1] if n + 1 < size else len(m)):
+                new = (*c[:n], nxt, *c[n + 1:])
+                if new not in seen:
+                    seen.add(new)
+                    heapq.heappush(heap, (-total(new), new))
 
 
 def token_overlap(entities: DataFrame, context: DataFrame, by: str, key: str) -> DataFrame:

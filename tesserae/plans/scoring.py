@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import STOP_WORDS, rounded, tokens
+from ..functions import STOP_WORDS, count_if, rounded, tokens
 from ..operators import scoring as S
 from ..tables import VIEWS, table
 from .base import query
@@ -280,14 +280,38 @@ def hypotheses(spark, sf):
     return S.hypotheses(functions, findings, found).withColumn("score", rounded("score"))
 
 
-@query(SIGNALS_SQL + """, m AS (SELECT case_id, item AS function, fused AS localisation, item % 12 AS rule, risk, item % 30 AS size FROM r WHERE rank <= 4)
-SELECT a.case_id, a.function AS a, b.function AS b, CASE WHEN a.rule = b.rule THEN 1 ELSE 2 END AS rules, round((a.risk + b.risk) / 2, 6) AS risk,
-round((a.localisation + b.localisation) / 2 + 0.08 * CASE WHEN a.rule = b.rule THEN 1 ELSE 2 END - 0.08 * (a.risk + b.risk) / 2 - 0.02 * least(1.0, (a.size + b.size) / 40.0), 6) AS priority
-FROM m a JOIN m b ON a.case_id = b.case_id AND a.function < b.function""", "ranked")
+@query(SIGNALS_SQL + """, m0 AS (SELECT case_id, item AS function, fused AS localisation, (item + v) % 12 AS rule, risk + 0.05 * (v % 2) AS risk, (item * 7 + v * 11) % 30 AS size, v AS variant
+  FROM r, (SELECT unnest(range(0, 3)) AS v) WHERE rank <= 10),
+m1 AS (SELECT *, row_number() OVER (PARTITION BY case_id, function ORDER BY localisation + 0.10 * (1 - least(1.0, risk)) - 0.03 * variant - 0.02 * least(1.0, size / 20.0) DESC, variant) AS n FROM m0),
+m AS MATERIALIZED (SELECT case_id, function, variant, localisation, rule, risk, size FROM m1 WHERE n <= 2),
+g AS (SELECT least(src, dst) AS x, greatest(src, dst) AS y, count(*) FILTER (kind = 'calls') > 0 AS c, count(*) FILTER (kind = 'data_flow') > 0 AS d, count(*) FILTER (kind = 'control_flow') > 0 AS t FROM edges GROUP BY 1, 2),
+h AS (SELECT DISTINCT a.function AS a, b.function AS b, least(a.function % 2000 + 1, b.function % 2000 + 1) AS x, greatest(a.function % 2000 + 1, b.function % 2000 + 1) AS y FROM m a JOIN m b ON a.case_id = b.case_id AND a.function < b.function),
+l AS MATERIALIZED (SELECT a, b, c, d, t FROM h JOIN g USING (x, y)),
+p AS (SELECT a.case_id, [{'function': a.function, 'variant': a.variant}, {'function': b.function, 'variant': b.variant}] AS members, len(list_distinct([a.rule, b.rule])) AS rules, (a.risk + b.risk) / 2 AS risk,
+  (a.localisation + b.localisation) / 2 AS loc, a.size + b.size AS size, coalesce(l.c, false) AS c, coalesce(l.d, false) AS d, coalesce(l.t, false) AS t, CASE WHEN l.c THEN 1.0 ELSE 0.0 END AS share
+  FROM m a JOIN m b ON a.case_id = b.case_id AND a.function < b.function LEFT JOIN l ON l.a = a.function AND l.b = b.function
+UNION ALL SELECT a.case_id, [{'function': a.function, 'variant': a.variant}, {'function': b.function, 'variant': b.variant}, {'function': e.function, 'variant': e.variant}],
+  len(list_distinct([a.rule, b.rule, e.rule])), (a.risk + b.risk + e.risk) / 3, (a.localisation + b.localisation + e.localisation) / 3, a.size + b.size + e.size,
+  coalesce(l.c, false) OR coalesce(n.c, false) OR coalesce(o.c, false), coalesce(l.d, false) OR coalesce(n.d, false) OR coalesce(o.d, false), coalesce(l.t, false) OR coalesce(n.t, false) OR coalesce(o.t, false),
+  (CASE WHEN l.c THEN 1 ELSE 0 END + CASE WHEN n.c THEN 1 ELSE 0 END + CASE WHEN o.c THEN 1 ELSE 0 END) / 3.0
+  FROM m a JOIN m b ON a.case_id = b.case_id AND a.function < b.function JOIN m e ON a.case_id = e.case_id AND b.function < e.function LEFT JOIN l ON l.a = a.function AND l.b = b.function
+  LEFT JOIN l n ON n.a = a.function AND n.b = e.function LEFT JOIN l o ON o.a = b.function AND o.b = e.function),
+q AS (SELECT *, least(0.20, 0.08 * CASE WHEN c THEN 1 ELSE 0 END + 0.06 * CASE WHEN d THEN 1 ELSE 0 END + 0.04 * CASE WHEN t THEN 1 ELSE 0 END + 0.04 * share) AS bonus FROM p),
+z AS (SELECT *, CAST(loc + 0.08 * rules + bonus - 0.08 * risk - 0.02 * least(1.0, size / 40.0) AS DOUBLE) AS priority FROM q)
+SELECT case_id, CAST(row_number() OVER (PARTITION BY case_id ORDER BY round(priority, 9) DESC, members) AS INTEGER) AS rank, array_to_string(list_transform(members, lambda x: x.function || ':' || x.variant), ',') AS members,
+  CAST(rules AS INTEGER) AS rules, CAST(round(risk, 6) AS DOUBLE) AS risk, CAST(round(bonus, 6) AS DOUBLE) AS bonus, round(priority, 6) AS priority FROM z QUALIFY rank <= 8""", "ranked", "edges")
 def bundles(spark, sf):
-    m = signals(spark, sf).where("rank <= 4").select(
-        "case_id", F.col("item").alias("function"), F.col("score").alias("localisation"), (F.col("item") % 12).alias("rule"), "risk", (F.col("item") % 30).alias("size"))
-    return S.bundles(m).withColumn("risk", rounded("risk")).withColumn("priority", rounded("priority"))
+    """Pairs and triples of a case's ten best items, with the edges between parts of the same number as links; a direct call connects."""
+    m = signals(spark, sf).where("rank <= 10").withColumn("variant", F.explode(F.array(*map(F.lit, range(3))))).selectExpr(
+        "case_id", "item as function", "variant", "score as localisation", "(item + variant) % 12 as rule", "risk + 0.05D * (variant % 2) as risk", "(item * 7 + variant * 11) % 30 as size")
+    e = VIEWS["edges"](spark, sf).groupBy(F.least("src", "dst").alias("x"), F.greatest("src", "dst").alias("y")).agg(
+        *[count_if(F.col("kind") == k).alias(k) for k in ("calls", "data_flow", "control_flow")]).withColumn("connected", F.col("calls") > 0)
+    f = m.select("case_id", "function").distinct()
+    pairs = f.withColumnRenamed("function", "a").join(f.withColumnRenamed("function", "b"), "case_id").where("a < b").selectExpr(
+        "a", "b", "least(a % 2000, b % 2000) + 1 as x", "greatest(a % 2000, b % 2000) + 1 as y").distinct()
+    links = pairs.join(e, ["x", "y"]).drop("x", "y")
+    found = S.bundles(m, links).withColumn("members", F.array_join(F.transform("members", lambda x: F.concat_ws(":", x["function"], x["variant"])), ","))
+    return found.select("case_id", "rank", "members", "rules", *[rounded(c).alias(c) for c in ("risk", "bonus", "priority")])
 
 
 @query(f"""WITH {_CHANGE} SELECT {_KEY}, round(least(1.0, 0.55 * ratio + 0.25 * {case_sql(rule_sql('function'), S.TRIGGER_PRIORS, 0.5)}
