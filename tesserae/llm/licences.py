@@ -3,14 +3,17 @@
 A text is normalised (lower case, letters and digits, single spaces) and
 compared to licence templates, notices as well as whole texts, by the Dice
 coefficient over word bigrams: twice the distinct bigrams in both, by those of
-the unit plus those of the template. Units are windows of as many bigrams as
-the template has, moved on by an eighth of it (one by one for short templates)
-over the words of the whole text, so that what stands around a notice, or how
-its lines are wrapped, doesn't matter; a text that is shorter is one unit.
+the unit plus those of the template. Units are all windows of as many bigrams
+as the template has, over the words of the whole text, so that what stands
+around a notice, or how its lines are wrapped, doesn't matter; a text that is
+shorter is one unit. A text that has a notice more than once has it reported
+as often.
 
 Size bounds prune templates. A coefficient of t needs t / (2 - t) of the
 template's distinct bigrams at least, so a text with fewer bigrams, or with
-fewer of the template's, never meets its windows. Before that, texts are let go
+fewer of the template's, never meets its windows. Neither does a window with
+fewer of them: starts are taken from the places of the template's bigrams only,
+a range for each run of so many of them that fits a window. Before that, texts are let go
 that have none of a few telling words (chosen so that too few of a template's
 bigrams are left without one), which is a search for plain strings: most texts
 are never taken apart. None of this loses a match. Nothing is shuffled or
@@ -29,7 +32,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
-STEPS = 8
 
 # Usual notices and texts of public licences.
 TEMPLATES = (
@@ -143,14 +145,15 @@ def telling_words(templates: list[Template]) -> list[str]:
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, text: str = "text") -> DataFrame:
     """``docs`` with ``licences``: an array of (word, words, licence, dice), sorted.
 
-    ``templates`` are (licence, text) pairs or a mapping. For each template the
-    best window counts, the first of equal ones, if it reaches the threshold;
-    word is its first word (from 1) and words its length. Of windows that
-    overlap, those stay that no other one surpasses (ties go to the template
-    that comes first). Null and empty texts and texts of one word have none.
-    Rows are looked at one by one, so repeats stay; a column of that name is
-    replaced, all others stay, whatever they are called. An empty template set
-    or table finds nothing.
+    ``templates`` are (licence, text) pairs or a mapping. Of a template's
+    windows that reach the threshold, those stay that no window which overlaps
+    surpasses (of equal ones the first does); then, of different templates'
+    windows that overlap, those that no other one surpasses (ties go to the
+    template that comes first). word is a window's first word (from 1) and
+    words its length. Null and empty texts and texts of one word have none.
+    Rows are looked at one by one, so repeats stay; texts of any length are
+    taken whole; a column of that name is replaced, all others stay, whatever
+    they are called. An empty template set or table finds nothing.
     """
     kind = "array<struct<word:int,words:int,licence:string,dice:double>>"
     pairs = templates.items() if isinstance(templates, dict) else templates
@@ -163,18 +166,37 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, tex
         """``body`` of a value that is worked out once."""
         return F.transform(F.array(value), body)[0]
 
-    def best(x: Column, nr: int, t: Template) -> Column:
-        own = F.array(*map(F.lit, t.grams))
+    def starts(hits: Column, last: Column, size: Column, least: int) -> Column:
+        """The starts, in order, of windows with ``least`` of the places ``hits``; no start comes twice."""
+        def upto(i: Column) -> Column:
+            low = F.greatest(F.get(hits, i + (least - 1)) - size + 1, F.coalesce(F.get(hits, i - 1) + 1, F.lit(0)), F.lit(0))
+            high = F.least(F.get(hits, i), last)
+            return F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), F.size(hits) - least), upto))
+
+    def windows(x: Column, nr: int, t: Template) -> Column:
+        """A template's windows that reach the threshold and that none of its own that overlaps surpasses."""
+        own, none_ = F.array(*map(F.lit, t.grams)), F.array().cast("array<struct<word:int,words:int,licence:string,dice:double,nr:int>>")
         size = F.least(F.lit(t.size), F.size(x["grams"]))
-        last = F.size(x["grams"]) - size
-        starts = F.array_union(F.sequence(F.lit(0), last, F.lit(max(1, t.size // STEPS))), F.array(last))
-        units = F.transform(starts, lambda s: F.struct(s.alias("start"), F.array_distinct(F.slice(x["grams"], s + 1, size)).alias("unit")))
-        # negative, so that the greatest coefficient and then the first place is the smallest
-        scored = F.transform(units, lambda u: F.struct(
-            (F.size(F.array_intersect(u["unit"], own)) * -2.0 / (F.size(u["unit"]) + len(t.grams))).alias("less"), u["start"].alias("start")))
-        found = let(F.array_min(scored), lambda m: F.struct(
-            (m["start"] + 1).alias("word"), (size + 1).alias("words"), F.lit(t.licence).alias("licence"), (-m["less"]).alias("dice"), F.lit(nr).alias("nr")))
-        return F.when(F.size(F.array_intersect(x["distinct"], own)) >= t.least, found)
+        places = F.filter(F.transform(x["grams"], lambda g, i: F.when(F.array_contains(own, g), i)), lambda i: i.isNotNull())
+
+        def scored(hits: Column) -> Column:
+            units = F.transform(starts(hits, F.size(x["grams"]) - size, size, t.least), lambda s: F.struct(
+                s.alias("start"), F.array_distinct(F.slice(x["grams"], s + 1, size)).alias("unit")))
+            every = F.transform(units, lambda u: F.struct(
+                (u["start"] + 1).alias("word"), (size + 1).alias("words"), F.lit(t.licence).alias("licence"),
+                (F.size(F.array_intersect(u["unit"], own)) * 2.0 / (F.size(u["unit"]) + len(t.grams))).alias("dice"), F.lit(nr).alias("nr")))
+            return F.filter(every, lambda f: f["dice"] >= threshold - 1e-12)
+
+        def first(found: Column) -> Column:
+            # in order of starts, and no start twice: those that overlap are near
+            near = lambda i: F.slice(found, F.greatest(i + 1 - size, F.lit(1)), 2 * size + 1)
+            over = lambda a, b: (b["dice"] > a["dice"]) | ((b["dice"] == a["dice"]) & (b["word"] < a["word"]))
+            return F.filter(found, lambda a, i: ~F.exists(near(i), lambda b: (F.abs(a["word"] - b["word"]) <= size) & over(a, b)))
+
+        enough = F.size(F.array_intersect(x["distinct"], own)) >= t.least
+        return F.when(enough, let(let(places, scored), first)).otherwise(none_)
 
     def kept(found: Column) -> Column:
         """Those that no other one surpasses where they are."""
@@ -186,8 +208,7 @@ def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, tex
     words = F.split(F.trim(F.regexp_replace(body, "[^a-z0-9]+", " ")), " ")
     grams = let(words, lambda w: F.zip_with(F.slice(w, 1, F.size(w) - 1), F.slice(w, 2, F.size(w)), lambda a, b: F.concat_ws(" ", a, b)))
     parts = let(grams, lambda g: F.struct(g.alias("grams"), F.array_distinct(g).alias("distinct")))
-    found = let(parts, lambda x: F.filter(
-        F.array(*[best(x, nr, t) for nr, t in enumerate(known)]), lambda f: f.isNotNull() & (f["dice"] >= threshold - 1e-12)))
+    found = let(parts, lambda x: F.flatten(F.array(*[windows(x, nr, t) for nr, t in enumerate(known)])))
     listed = F.transform(F.array_sort(let(found, kept)), lambda f: F.struct(f["word"], f["words"], f["licence"], f["dice"]))
     may = reduce(or_, [F.contains(body, F.lit(w)) for w in telling_words(known)])
     return docs.withColumn("licences", F.when(may, listed.cast(kind)).otherwise(none))
@@ -207,15 +228,16 @@ c AS (
   SELECT doc_id, nr FROM (SELECT DISTINCT doc_id, unnest(g) AS x FROM dg) JOIN (SELECT nr, d, unnest(b) AS x FROM tp) USING (x)
   GROUP BY doc_id, nr, d HAVING count(*) >= d * {threshold} / (2 - {threshold}) - 1e-9),
 u AS (
-  SELECT doc_id, nr, licence, g, b, d, least(m, len(g)) AS n, greatest(1, m // {STEPS}) AS hop
+  SELECT doc_id, nr, licence, g, b, d, least(m, len(g)) AS n
   FROM c JOIN tp USING (nr) JOIN dg USING (doc_id)),
 s AS (
   SELECT doc_id, nr, licence, b, d, n, s, list_distinct(list_slice(g, s + 1, s + n)) AS unit
-  FROM (SELECT *, unnest(list_distinct(list_concat(range(0, len(g) - n + 1, hop), [len(g) - n]))) AS s FROM u)),
+  FROM (SELECT *, unnest(range(0, len(g) - n + 1)) AS s FROM u)),
 f AS (
-  SELECT doc_id, nr, licence, s AS a, s + n AS z, 2.0 * len(list_intersect(unit, b)) / (len(unit) + d) AS dice FROM s
-  QUALIFY row_number() OVER (PARTITION BY doc_id, nr ORDER BY dice DESC, s) = 1),
-k AS (SELECT * FROM f WHERE dice >= {threshold} - 1e-12),
+  SELECT * FROM (SELECT doc_id, nr, licence, s AS a, s + n AS z, 2.0 * len(list_intersect(unit, b)) / (len(unit) + d) AS dice FROM s) WHERE dice >= {threshold} - 1e-12),
+k AS (
+  SELECT * FROM f x WHERE NOT EXISTS (
+    SELECT 1 FROM f y WHERE y.doc_id = x.doc_id AND y.nr = x.nr AND x.a <= y.z AND y.a <= x.z AND (y.dice > x.dice OR y.dice = x.dice AND y.a < x.a))),
 best AS (
   SELECT * FROM k x WHERE NOT EXISTS (
     SELECT 1 FROM k y WHERE y.doc_id = x.doc_id AND x.a <= y.z AND y.a <= x.z AND (y.dice > x.dice OR y.dice = x.dice AND y.nr < x.nr)))
