@@ -7,12 +7,12 @@ from functools import reduce
 from itertools import product
 from operator import and_
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import attach, clamp, count_if, mean_or_zero, share
-from ..sources.storage import read_blocks, stored
+from ..sources.storage import stored
+from .dominance import ROWS_A_RANGE, below, close
 from .metrics import per_list, within
 
 
@@ -137,32 +137,27 @@ def profile_metrics(ranked: DataFrame, profiles: list[dict], *by: str) -> DataFr
         "validation", sum((F.col(c) * w for c, w in VALIDATION.items()), 0.05 * (1 - F.col("exam"))))
 
 
-def pareto(rows: DataFrame, key: str, most: list[str], least: list[str], slack: float = 1e-9, block: int = 4096) -> DataFrame:
+def pareto(rows: DataFrame, key: str, most: list[str], least: list[str], slack: float = 1e-9, rows_a_range: int = ROWS_A_RANGE) -> DataFrame:
     """(key, dominates, dominated_by, optimal) among the rows.
 
-    One row dominates another if it is no worse in any field and better in one.
-    Rows with equal fields are counted together first. Each distinct point is
-    then compared with all of them, ``block`` at a time: tasks read the points
-    as a stored table, so no pairs are made and a task holds one block.
+    One row dominates another if it is no worse in any field and better in one;
+    differences of up to ``slack`` are none. Rows with equal fields are counted
+    together first. Who is no worse comes from dominance counts by divide and
+    conquer, less those that are no better either, which are close in every
+    field. A row with a field that is null or no number is not compared.
     """
     fields = [*most, *least]
-    points = stored(rows.groupBy(*fields).agg(F.count("*").cast("double").alias("_n")), "points")
-    files, signs = points.inputFiles(), np.array([1.0] * len(most) + [-1.0] * len(least))
-
-    def counted(batches):
-        for pdf in batches:
-            own, up, down = pdf[fields].to_numpy() * signs, np.zeros(len(pdf)), np.zeros(len(pdf))
-            for other in read_blocks(files, block):
-                n, there = other["_n"].to_numpy(), other[fields].to_numpy() * signs
-                for at in range(0, len(own), 256):
-                    d = own[at : at + 256, None, :] - there[None, :, :]
-                    high, low = d.max(2), d.min(2)
-                    up[at : at + 256] += ((high > slack) & (low >= -slack)) @ n
-                    down[at : at + 256] += ((low < -slack) & (high <= slack)) @ n
-            yield pdf[fields].assign(dominates=up.astype("int64"), dominated_by=down.astype("int64"))
-
-    schema = ", ".join([*[f"{c} double" for c in fields], "dominates long", "dominated_by long"])
-    counts = points.repartition(points.sparkSession.sparkContext.defaultParallelism).mapInPandas(counted, schema)
+    points = stored(rows.groupBy(*fields).agg(F.count("*").alias("n")).withColumn("q", F.monotonically_increasing_id()), "points")
+    number = reduce(and_, [F.col(c).isNotNull() & ~F.isnan(F.col(c).cast("double")) for c in fields])
+    signed = points.where(number).select("q", "n", *[(F.col(c).cast("double") * (1.0 if c in most else -1.0)).alias(c) for c in fields])
+    turned = signed.select("q", "n", *[(-F.col(c)).alias(c) for c in fields])
+    asked = lambda p: p.select("q", *[(F.col(c) + slack).alias(c) for c in fields])
+    up = below(signed, asked(signed), fields, rows_a_range).withColumnRenamed("n", "up")
+    down = below(turned, asked(turned), fields, rows_a_range).withColumnRenamed("n", "down")
+    near = close(signed, fields, slack).withColumnRenamed("n", "near")
+    less = lambda c: F.coalesce(F.col(c) - F.col("near"), F.lit(0)).cast("long")
+    counts = points.join(up, "q", "left").join(down, "q", "left").join(near, "q", "left").select(
+        *fields, less("up").alias("dominates"), less("down").alias("dominated_by"))
     same = [F.col(f"r.{c}").eqNullSafe(F.col(f"c.{c}")) for c in fields]
     return rows.alias("r").join(counts.alias("c"), reduce(and_, same)).select(
         F.col(f"r.{key}").alias(key), "dominates", "dominated_by", (F.col("dominated_by") == 0).alias("optimal"))

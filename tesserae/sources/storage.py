@@ -6,14 +6,11 @@ import atexit
 import tempfile
 import threading
 import uuid
-from collections.abc import Iterator
 from contextlib import suppress
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 
 
-
 class _Made(threading.local):
     """The stored copies of a thread; queries that run side by side don't see each other's."""
 
@@ -86,17 +83,6 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri) if "://" in uri else (fs.LocalFileSystem(), uri)
 
 
-def read_blocks(files: list[str], rows: int) -> Iterator[pd.DataFrame]:
-    """Stored Parquet files, a block of at most ``rows`` rows at a time; for use in tasks."""
-    import pyarrow.parquet as pq
-
-    for uri in files:
-        store, path = filesystem(uri)
-        with store.open_input_file(path) as f:
-            for batch in pq.ParquetFile(f).iter_batches(rows):
-                yield batch.to_pandas()
-
-
 def sink(df: DataFrame, path: str, kind: str = "parquet", by: list[str] | None = None, mode: str = "errorifexists") -> None:
     """Write a result as Parquet or JSON, in a folder for each value of ``by``."""
     w = df.write.mode(mode).format(kind)

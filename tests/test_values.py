@@ -71,7 +71,7 @@ def test_pareto(spark):
     point = {r[0]: (r[1], r[2], -r[3]) for r in rows}
     want = {k: (sum(better(v, o) for o in point.values()), sum(better(o, v) for o in point.values())) for k, v in point.items()}
     frame = spark.createDataFrame(rows, "profile string, a double, b double, c double")
-    got = {r.profile: (r.dominates, r.dominated_by) for r in experiments.pareto(frame, "profile", ["a", "b"], ["c"], block=7).collect()}
+    got = {r.profile: (r.dominates, r.dominated_by) for r in experiments.pareto(frame, "profile", ["a", "b"], ["c"], rows_a_range=7).collect()}
     assert got == want
 
 
