@@ -1,14 +1,12 @@
-"""Scan and inventory queries. Manifests are nested rows made of the given tables."""
+"""Scan and inventory queries. Manifests are JSON files that Spark writes from the given tables and scans again."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..functions import count_if, rounded
 from ..sources import manifests as S
-from ..sources.storage import shared_folder, sink
+from ..sources.storage import new_folder, sink, written
 from ..tables import VIEWS, table
 from .base import query
 
@@ -21,7 +19,8 @@ def scan_cases(spark, sf):
     meta = F.when(F.col("o_orderstatus") != "P", F.create_map(F.lit("status"), F.col("o_orderstatus")))
     case = F.struct(F.col("o_orderkey").alias("name"), F.col("all_tests").alias("tests"), "failing_tests", meta.alias("metadata"))
     manifests = table(spark, sf, "orders").join(l, "o_orderkey", "left").select(F.array(case).alias("cases"))
-    return S.cases_of(manifests).select("name", F.size("tests").cast("long").alias("tests"), F.size("failing_tests").cast("long").alias("failing"), F.size("metadata").alias("metadata"))
+    case = "name long, tests array<string>, failing_tests array<string>, metadata map<string,string>"
+    return S.read_cases(spark, written(manifests, "cases"), case, multi_line=False).select("name", F.size("tests").cast("long").alias("tests"), F.size("failing_tests").cast("long").alias("failing"), F.size("metadata").alias("metadata"))
 
 
 @query("""SELECT c_custkey AS suite, n AS "at", CASE WHEN n % 2 = 0 THEN 'seg_' || c_mktsegment ELSE 'run_' || (n + 1) END AS name, CASE WHEN n = 1 THEN 'own' ELSE c_mktsegment END AS level, CAST(c_nationkey AS VARCHAR) AS region
@@ -31,7 +30,8 @@ def scan_runs_defaults(spark, sf):
     named = F.create_map(F.lit("name"), F.concat(F.lit("seg_"), "c_mktsegment"))
     runs = F.array(named, F.create_map(F.lit("level"), F.lit("own")), named)
     s = c.select(F.col("c_custkey").alias("suite"), F.create_map(F.lit("level"), "c_mktsegment", F.lit("region"), F.col("c_nationkey").cast("string")).alias("defaults"), runs.alias("runs"))
-    r = S.runs_with_defaults(s)
+    suites = S.read_manifests(spark, written(s, "suites"), "suite long, defaults map<string,string>, runs array<map<string,string>>", multi_line=False)
+    r = S.runs_with_defaults(suites.where("manifest_reason = ''"))
     return r.select("suite", "at", "name", F.col("settings")["level"].alias("level"), F.col("settings")["region"].alias("region"))
 
 
@@ -50,7 +50,11 @@ def inventory(spark, sf):
     odd = F.get(F.array(*map(F.lit, ("/abs/x.py", "vendor/y.py", "a/../b.py", "pkg/__init__.py"))), (F.col("c_custkey") % 4).cast("int"))
     files = table(spark, sf, "customer").select(F.concat(F.lit("c"), "c_nationkey").alias("repo"), odd.alias("path"))
     repos = table(spark, sf, "nation").select(F.when(F.col("n_nationkey") % 3 == 0, "").otherwise(F.col("n_name")).alias("repo"), F.array(F.lit("docs/conf.py"), F.concat(F.lit("lib/"), "n_name", F.lit(".py"))).alias("paths"))
-    return S.flatten_inventory(trees, items, files, repos)
+    shapes = {
+        "tree": (trees, "repo string, tree array<struct<path: string, type: string, size: long>>"), "items": (items, "repo string, path string, size long"),
+        "files": (files, "repo string, path string"), "repositories": (repos, "repo string, paths array<string>")}
+    read = [S.read_manifests(spark, written(rows, name), schema, multi_line=False).where("manifest_reason = ''") for name, (rows, schema) in shapes.items()]
+    return S.flatten_inventory(*read)
 
 
 @query(f"WITH {_INV} SELECT origin, repo, count(*) AS files, CAST(coalesce(sum(size), 0) AS BIGINT) AS size FROM f GROUP BY 1, 2")
@@ -103,7 +107,7 @@ def prefix_pick(spark, sf):
 def result_sink(spark, sf):
     """Failures by suite and name, written as Parquet and as JSON in a folder a suite, and read back from the JSON."""
     result = VIEWS["suites"](spark, sf).groupBy("suite", "name").agg(F.count("*").alias("runs"), count_if("failed").alias("failed"))
-    folder = f"{shared_folder(spark)}/result-{uuid.uuid4().hex}"
+    folder = new_folder(spark, "result")
     sink(result, f"{folder}/parquet")
     kept = spark.read.parquet(f"{folder}/parquet")
     sink(kept, f"{folder}/json", "json", ["suite"])

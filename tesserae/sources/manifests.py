@@ -2,23 +2,50 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 CASE = "name string, repo_path string, buggy_functions array<string>, expected_rule_ids array<string>, failing_tests array<string>, passed_tests array<string>, metadata map<string,string>"
 
 
+def read_manifests(spark: SparkSession, path: str, schema: str, multi_line: bool = True) -> DataFrame:
+    """A row for each manifest below ``path``, with ``file`` (where it lies), ``manifest_reason`` and ``raw``.
+
+    ``multi_line``: a manifest a file; else one a line. Only the columns of
+    ``schema`` are taken from a manifest; missing ones are null. A manifest that
+    is no JSON, or whose values are of other kinds than the schema's, is
+    a row too: its text is ``raw`` and manifest_reason says ``not_readable``;
+    one that has none of the columns has ``no_fields``; else it is empty.
+    """
+    rows = spark.read.schema(f"{schema}, raw string").json(path, multiLine=multi_line, mode="PERMISSIVE", columnNameOfCorruptRecord="raw")
+    fields = [f for f in rows.columns if f != "raw"]
+    none = reduce(and_, [F.col(f).isNull() for f in fields])
+    reason = F.when(F.col("raw").isNotNull(), "not_readable").when(none, "no_fields").otherwise("")
+    return rows.select(*fields, F.col("_metadata.file_path").alias("file"), reason.alias("manifest_reason"), "raw")
+
+
 def cases_of(manifests: DataFrame) -> DataFrame:
-    """A row for each case of manifests with an array ``cases``; missing lists are empty, missing metadata too."""
-    rows = manifests.select(F.explode("cases").alias("c")).select("c.*")
+    """A row for each case of manifests with an array ``cases``; missing lists are empty, missing metadata too. A ``file`` stays."""
+    kept = [c for c in ("file",) if c in manifests.columns]
+    rows = manifests.select(*kept, F.explode("cases").alias("c")).select(*kept, "c.*")
     filled = {f.name: F.coalesce(f.name, F.array().cast(f.dataType)) for f in rows.schema if f.dataType.typeName() == "array"}
     filled |= {f.name: F.coalesce(f.name, F.create_map().cast(f.dataType)) for f in rows.schema if f.dataType.typeName() == "map"}
     return rows.withColumns(filled)
 
 
-def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Cases of all manifest files (multi-line JSON) below ``path``."""
-    return cases_of(spark.read.schema(f"cases array<struct<{CASE}>>").json(path, multiLine=True))
+def read_cases(spark: SparkSession, path: str, case: str = CASE, multi_line: bool = True) -> DataFrame:
+    """Cases of all readable manifests below ``path``, each with the ``file`` it comes from."""
+    return cases_of(read_manifests(spark, path, f"cases array<struct<{case}>>", multi_line).where("manifest_reason = ''"))
+
+
+def unread(spark: SparkSession, path: str, case: str = CASE, multi_line: bool = True) -> DataFrame:
+    """(file, reason) of manifests below ``path`` that give no case."""
+    rows = read_manifests(spark, path, f"cases array<struct<{case}>>", multi_line)
+    reason = F.when(F.col("manifest_reason") != "", F.col("manifest_reason")).when(F.size("cases") == 0, "no_cases").otherwise("")
+    return rows.select("file", reason.alias("reason")).where("reason <> ''")
 
 
 def runs_with_defaults(suites: DataFrame) -> DataFrame:

@@ -48,6 +48,20 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own in the shared folder; it goes when stored copies do."""
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    _MADE.paths.append(path)
+    return path
+
+
+def written(df: DataFrame, name: str, kind: str = "json") -> str:
+    """The folder of a copy of ``df`` in a format of its own."""
+    path = new_folder(df.sparkSession, name)
+    df.write.format(kind).save(path)
+    return path
+
+
 def made() -> list[str]:
     """The folders of the stored copies of this thread so far."""
     return list(_MADE.paths)

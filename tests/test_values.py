@@ -309,6 +309,17 @@ def test_difficulty_default(spark):
     assert got[1] == (["single_function_direct"], 0, "easy") and got[2] == (["multi_ground_truth", "patch_candidate_competition", "wide_beam_search"], 4, "hard")
 
 
+def test_broken_manifests_are_rows(spark, tmp_path):
+    good = '{\n "cases": [{"name": "a", "failing_tests": ["t"]},\n {"name": "b", "metadata": {"k": "v"}}], "more": 1}'
+    for name, text in (("good", good), ("broken", '{"cases": [{"name": '), ("other", '{"runs": []}'), ("empty", '{"cases": []}'), ("kind", '{"cases": "none"}')):
+        (tmp_path / f"{name}.json").write_text(text)
+    cases = {r.name: r for r in manifests.read_cases(spark, str(tmp_path)).collect()}
+    assert set(cases) == {"a", "b"} and cases["a"].passed_tests == [] and cases["a"].metadata == {} and cases["b"].metadata == {"k": "v"}
+    assert all(r.file.endswith("/good.json") for r in cases.values())
+    why = {Path(r.file).stem: r.reason for r in manifests.unread(spark, str(tmp_path)).collect()}
+    assert why == {"broken": "not_readable", "other": "no_fields", "empty": "no_cases", "kind": "not_readable"}
+
+
 def test_bootstrap_brackets_the_mean(spark, small):
     for r in registry.QUERIES["bootstrap_ci"](spark, small).collect():
         assert r.low - 1e-9 <= r["mean"] <= r.high + 1e-9 and not math.isnan(r.low)
