@@ -4,15 +4,15 @@ Greedy choices look at what was chosen before, so they walk through one case at
 a time, as grouped pandas. What a walk holds is bounded first, without changing
 its result: rows that are alike in all features a choice looks at can only be
 chosen best first, so of each such kind the k best are enough where k rows are
-wanted. Where all rows are ranked, a step looks at the best row left of each
-kind, not at all rows. Selections that need no memory of earlier choices but a
+wanted. Where all rows are ranked, the walk sees the best row of each
+kind, and the others take their places by a sort. Selections that need no memory of earlier choices but a
 running number are windows, which spill.
 """
 
 from __future__ import annotations
 
-from collections import deque
-from collections.abc import Callable, Iterator
+import heapq
+from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import count_if, share
+from .sequences import cut, numbered
 
 
 def _best_of_kind(rows: DataFrame, case: str, kind: list, order: list, k: int) -> DataFrame:
@@ -28,27 +29,61 @@ def _best_of_kind(rows: DataFrame, case: str, kind: list, order: list, k: int) -
     return rows.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).drop("_n")
 
 
-def _walk(records: list[dict], kinds: list[str], value: Callable[[dict, list[set]], tuple], steps: int | None = None) -> Iterator[tuple[dict, list[set]]]:
-    """Take the row of greatest ``value`` again and again; of equal ones the first in ``records``.
+def _greedy(rows: DataFrame, case: str, kinds: tuple[tuple[str, float], ...], worth: str, tie: str, weight: float = 1.0,
+            most: float | None = None, plain_first: bool = False) -> DataFrame:
+    """Rows with ``bonus`` and ``rank``: take again and again the row of greatest worth + weight * bonus.
 
-    ``value`` sees a row and the sets of each kind's values so far and is the
-    same for rows of equal kinds but for their order in ``records``, which must
-    be from the greatest on. So each step looks at the head of each combination.
+    The bonus adds up the weights of the kinds whose value was not taken before
+    (up to ``most``); ties go to the worth, then to ``tie``, then to the id.
+    With ``plain_first`` the first row is chosen without a bonus. ``id`` tells
+    the rows of a case apart.
+
+    Only the first row of each combination of values can have a bonus, and
+    later ones change nothing for others. So a walk, a case at a time, looks at
+    these heads alone. What a head was worth when it was taken only falls from
+    one to the next, as bonuses do, so the order of all rows is that of their
+    worth when taken, which for all others is their own: a sort, cut by ranges.
     """
-    heads: dict[tuple, deque] = {}
-    for i, r in enumerate(records):
-        heads.setdefault(tuple(r[k] for k in kinds), deque()).append((i, r))
-    seen: list[set] = [set() for _ in kinds]
-    taken = 0
-    while heads and (steps is None or taken < steps):
-        key = max(heads, key=lambda h: (value(heads[h][0][1], seen), -heads[h][0][0]))
-        _, row = heads[key].popleft()
-        if not heads[key]:
-            del heads[key]
-        yield row, seen
-        taken += 1
-        for k, s in zip(kinds, seen, strict=True):
-            s.add(row[k])
+    names = [k for k, _ in kinds]
+    first = F.min(F.struct((-F.col(worth)).alias("w"), F.col(tie).alias("t"), F.col("id").alias("id")))
+    heads = rows.groupBy(case, *names).agg(first.alias("h")).select(case, *names, (-F.col("h.w")).alias("worth"), F.col("h.t").alias("tie"), F.col("h.id").alias("id"))
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        ordered = pdf.sort_values(["worth", "tie", "id"], ascending=[False, True, True]).to_dict("records")
+        seen: list[set] = [set() for _ in kinds]
+        begun, out = not plain_first, []
+
+        def bonus(r: dict) -> float:
+            new = sum(w for (k, w), s in zip(kinds, seen, strict=True) if r[k] not in s) if begun else 0.0
+            return min(new, most) if most is not None else new
+
+        if plain_first:
+            r = ordered[0]
+            out.append((r[case], r["id"], float("inf"), 0.0))
+            for k, s in zip(names, seen, strict=True):
+                s.add(r[k])
+            begun = True
+        # bonuses only fall, so what is on top and still worth as much is the best
+        heap = [(-(r["worth"] + weight * bonus(r)), i) for i, r in enumerate(ordered) if i or not plain_first]
+        heapq.heapify(heap)
+        while heap:
+            value, i = heap[0]
+            r = ordered[i]
+            now, got = -(r["worth"] + weight * bonus(r)), bonus(r)
+            if now > value:
+                heapq.heapreplace(heap, (now, i))
+                continue
+            heapq.heappop(heap)
+            out.append((r[case], r["id"], -value, got))
+            for k, s in zip(names, seen, strict=True):
+                s.add(r[k])
+        return pd.DataFrame(out, columns=[case, "id", "_taken", "bonus"])
+
+    kind_of = dict(rows.dtypes)
+    taken = heads.groupBy(case).applyInPandas(walk, f"{case} {kind_of[case]}, id {kind_of['id']}, _taken double, bonus double")
+    order = F.struct((-F.coalesce("_taken", F.col(worth).cast("double"))).alias("v"), (-F.col(worth)).alias("w"), F.col(tie).alias("t"), F.col("id").alias("i"))
+    placed = cut(rows.join(taken, [case, "id"], "left").withColumn("_order", order), case, "_order")
+    return numbered(placed, case, "_order", "rank").withColumn("bonus", F.coalesce("bonus", F.lit(0.0))).select(*rows.columns, "bonus", "rank")
 
 
 def diversity_rerank(rows: DataFrame, case: str = "case_id", weight: float = 0.06) -> DataFrame:
@@ -57,19 +92,9 @@ def diversity_rerank(rows: DataFrame, case: str = "case_id", weight: float = 0.0
     The bonus has .35 for a new function, .35 for a new rule, .20 for a new
     variant and .10 for a new risk bucket; ties go to the prior, then the base rank.
     """
-    schema = f"{case} {dict(rows.dtypes)[case]}, id long, prior double, base_rank int, bonus double, rank int"
     kinds = (("function", 0.35), ("rule", 0.35), ("variant", 0.20), ("risk_bucket", 0.10))
-
-    def bonus(r, seen):
-        return sum(w for (k, w), s in zip(kinds, seen, strict=True) if r[k] not in s)
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(["prior", "base_rank"], ascending=[False, True]).to_dict("records")
-        walk = _walk(ordered, [k for k, _ in kinds], lambda r, seen: (r["prior"] + weight * bonus(r, seen), r["prior"]))
-        out = [(r[case], r["id"], r["prior"], r["base_rank"], bonus(r, seen), i) for i, (r, seen) in enumerate(walk, 1)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return rows.select(case, "id", "prior", "base_rank", *[k for k, _ in kinds]).groupBy(case).applyInPandas(choose, schema)
+    chosen = _greedy(rows.select(case, "id", "prior", "base_rank", *[k for k, _ in kinds]), case, kinds, "prior", "base_rank", weight)
+    return chosen.select(case, "id", "prior", "base_rank", "bonus", "rank")
 
 
 def gain_subset(rows: DataFrame, k: int, case: str = "case_id") -> DataFrame:
@@ -143,19 +168,9 @@ def tiered_retention(rows: DataFrame, k: int, case: str = "case_id") -> DataFram
 
 def feature_rerank(rows: DataFrame, case: str = "case_id") -> DataFrame:
     """(case, id, bonus, rank): the first by score; then by score + 3 new rule + 2 new type + 2 new upstream + 1.5 new function + 1 new source, 8 at most."""
-    schema = f"{case} {dict(rows.dtypes)[case]}, id long, bonus double, rank int"
     kinds = (("rule", 3.0), ("kind", 2.0), ("upstream", 2.0), ("function", 1.5), ("source", 1.0))
-
-    def bonus(r, seen):
-        return min(8.0, sum(w for (k, w), s in zip(kinds, seen, strict=True) if r[k] not in s)) if seen[0] else 0.0
-
-    def choose(pdf: pd.DataFrame) -> pd.DataFrame:
-        ordered = pdf.sort_values(["score", "id"], ascending=[False, True]).to_dict("records")
-        walk = _walk(ordered, [k for k, _ in kinds], lambda r, seen: (r["score"] + bonus(r, seen),))
-        out = [(r[case], r["id"], bonus(r, seen), i) for i, (r, seen) in enumerate(walk, 1)]
-        return pd.DataFrame(out, columns=[c.split()[0] for c in schema.split(", ")])
-
-    return rows.select(case, "id", "score", *[k for k, _ in kinds]).groupBy(case).applyInPandas(choose, schema)
+    chosen = _greedy(rows.select(case, "id", "score", *[k for k, _ in kinds]), case, kinds, "score", "id", most=8.0, plain_first=True)
+    return chosen.select(case, "id", "bonus", "rank")
 
 
 def best_match(seeds: DataFrame, catalogue: DataFrame) -> DataFrame:
