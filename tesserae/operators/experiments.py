@@ -96,23 +96,41 @@ def profile_rows(profiles: list[dict]) -> Column:
     return F.from_json(F.lit(json.dumps(profiles)), f"array<struct<{fields}>>")
 
 
+#: Rows of one case, all profiles counted, that a task sorts.
+ROWS_A_TASK = 1 << 22
+
+
+def beside_profiles(lists: DataFrame, profiles: list[dict], rows_a_task: int = ROWS_A_TASK) -> DataFrame:
+    """``lists`` with a profile in ``p``, a row for each, dealt by case and group, and by ``block``.
+
+    Rows are dealt before they are multiplied, so what is shuffled doesn't grow
+    with the profiles. A case that would be more than ``rows_a_task`` rows is
+    dealt several times, each time for a block of profiles; windows and sums
+    that have ``block`` among their keys find their rows in place. The number of
+    tasks is given, as adaptive execution would size them by what there is
+    before the rows are multiplied.
+    """
+    blocks = F.least(F.lit(len(profiles)), F.ceil(F.col("_n") * len(profiles) / rows_a_task)).cast("int")
+    sizes = lists.groupBy(F.col("case_id").alias("_case"), F.col("grp").alias("_grp")).agg(F.count("*").alias("_n"))
+    long = stored(sizes.where(F.col("_n") * len(profiles) > rows_a_task).select("_case", "_grp", blocks.alias("_blocks")), "long_cases")
+    found = lists.join(long, F.col("case_id").eqNullSafe(F.col("_case")) & F.col("grp").eqNullSafe(F.col("_grp")), "left").withColumn("_blocks", F.coalesce("_blocks", F.lit(1)))
+    dealt = found.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).repartition(shuffle_tasks(lists), "case_id", "grp", "block")
+    own = F.filter(profile_rows(profiles), lambda p, i: i % F.col("_blocks") == F.col("block"))
+    return dealt.withColumn("p", F.explode(own)).drop("_case", "_grp", "_blocks")
+
+
 def rerank(lists: DataFrame, profiles: list[dict], signals: list[str], repeats: bool = True) -> DataFrame:
-    """(profile, case_id, item, relevant, rank): each list under each profile (by number), by score and then the old rank.
+    """(block, profile, case_id, item, relevant, rank): each list under each profile (by number), by score and then the old rank.
 
     Where no case repeats an item (``repeats`` false), hits so far come from the same sort.
 
     Profiles are a bounded grid (hundreds): they are a constant of the plan.
-    Lists are dealt by case (and its group) before they are multiplied, so what
-    is shuffled doesn't grow with the profiles: the windows and sums by
-    (profile, case) find their rows in place. The number of tasks is given, as
-    adaptive execution would size them by what there is before the rows are
-    multiplied.
     """
-    dealt = lists.select("case_id", "grp", "item", "relevant", F.col("rank").alias("old"), *signals).repartition(shuffle_tasks(lists), "case_id", "grp")
+    own = lists.select("case_id", "grp", "item", "relevant", F.col("rank").alias("old"), *signals)
     numbered = [{"profile": i, **{s: p[s] for s in signals}} for i, p in enumerate(profiles)]
     score = sum(((-1 if s == "risk" else 1) * F.col(f"p.{s}") * F.col(s) for s in signals), F.lit(0.0))
-    rows = dealt.withColumn("p", F.explode(profile_rows(numbered))).select("case_id", "grp", "item", "relevant", "old", "p.profile", F.round(score, 9).alias("s"))
-    w = Window.partitionBy("profile", "case_id", "grp").orderBy(F.desc("s"), "old")
+    rows = beside_profiles(own, numbered).select("block", "case_id", "grp", "item", "relevant", "old", "p.profile", F.round(score, 9).alias("s"))
+    w = Window.partitionBy("block", "profile", "case_id", "grp").orderBy(F.desc("s"), "old")
     out = rows.withColumn("rank", F.row_number().over(w))
     if not repeats:
         out = out.withColumn("hits", F.sum(F.col("relevant").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
@@ -129,7 +147,7 @@ VALIDATION = {"map": 0.25, "mrr": 0.25, "ndcg": 0.20, "top1": 0.15, "top3": 0.10
 
 def profile_metrics(ranked: DataFrame, profiles: list[dict], *by: str) -> DataFrame:
     """Means of the ranking metrics and the validation score of each profile, by its name."""
-    m = per_list(ranked, ["profile", "case_id", "grp"]).groupBy("profile", *by).agg(
+    m = per_list(ranked, ["block", "profile", "case_id", "grp"]).groupBy("profile", *by).agg(
         F.count("*").alias("cases"), mean_or_zero(within(1)).alias("top1"), mean_or_zero(within(3)).alias("top3"), mean_or_zero("reciprocal").alias("mrr"),
         mean_or_zero("ap").alias("map"), mean_or_zero("ndcg").alias("ndcg"), mean_or_zero("exam").alias("exam"))
     names = F.split(F.lit(",".join(p["profile"] for p in profiles)), ",")
@@ -180,7 +198,8 @@ def holdout_robustness(groups: DataFrame) -> DataFrame:
 def repair_metrics(ranked: DataFrame) -> DataFrame:
     """(profile, cases, top1, mrr, mean_rank, margin, score) of attempts (profile, case_id, rank, success, score)."""
     ok = F.col("success")
-    c = ranked.groupBy("profile", "case_id").agg(F.min(F.when(ok, F.col("rank"))).alias("first"), F.max(F.when(ok, F.col("score"))).alias("good"), F.max(F.when(~ok, F.col("score"))).alias("bad"))
+    keys = [k for k in ("block", "profile", "case_id") if k in ranked.columns]
+    c = ranked.groupBy(*keys).agg(F.min(F.when(ok, F.col("rank"))).alias("first"), F.max(F.when(ok, F.col("score"))).alias("good"), F.max(F.when(~ok, F.col("score"))).alias("bad"))
     margin = F.when(F.col("good").isNull(), 0.0).otherwise(F.greatest(F.lit(0.0), F.col("good") - F.coalesce("bad", F.lit(0.0))))
     m = c.groupBy("profile").agg(
         F.count("*").alias("cases"), mean_or_zero(F.coalesce(F.col("first") == 1, F.lit(False)).cast("int")).alias("top1"), mean_or_zero(share(F.lit(1), "first")).alias("mrr"),

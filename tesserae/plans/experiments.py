@@ -165,12 +165,11 @@ def _repair(spark, sf):
                  F.lit(0.0).alias("prior"), (F.col("rule") / 6.0).alias("feedback"), (1 - F.col("k") / 99.0).alias("diff"), (F.col("variant") / 5.0).alias("risk"),
                  (F.col("variant") == 3).cast("double").alias("warning"), (F.col("id") % 11 / 10.0).alias("judge"))
     a = a.withColumn("fixed", sum((F.col(c) * w if c != "success" else F.col("success").cast("double") * w for c, w in _FIXED.items()), F.lit(0.0)))
-    # dealt by case before the profiles multiply the rows
-    tried = E.profile_rows([dict(zip(("profile", "f", "d", "r", "j"), x, strict=True)) for x in REPAIR])
+    tried = [dict(zip(("profile", "f", "d", "r", "j"), x, strict=True)) for x in REPAIR]
     base = clamp(F.col("fixed") + F.col("p.f") * F.col("feedback") - F.col("p.d") * F.col("diff") - F.col("p.r") * F.col("risk"))
-    rows = a.repartition(E.shuffle_tasks(a), "case_id", "grp").withColumn("p", F.explode(tried)).select(
-        "case_id", "id", "success", "grp", "rank", "feedback", "p.profile", F.round((1 - F.col("p.j")) * base + F.col("p.j") * F.col("judge"), 9).alias("score"))
-    w = Window.partitionBy("profile", "case_id", "grp").orderBy(F.desc("score"), F.desc("feedback"), "rank")
+    rows = E.beside_profiles(a, tried).select(
+        "block", "case_id", "id", "success", "grp", "rank", "feedback", "p.profile", F.round((1 - F.col("p.j")) * base + F.col("p.j") * F.col("judge"), 9).alias("score"))
+    w = Window.partitionBy("block", "profile", "case_id", "grp").orderBy(F.desc("score"), F.desc("feedback"), "rank")
     return rows.withColumn("rank", F.row_number().over(w))
 
 
