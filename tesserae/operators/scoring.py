@@ -208,13 +208,28 @@ def source_role(path: str) -> Column:
         .when(has("scripts", "tools", "examples", "docs", "doc"), "support").otherwise("application"))
 
 
-def role_ranking(rows: DataFrame, by: str, path: str) -> DataFrame:
-    """Rows with role, raw static score and final score; findings, rules, types and graph are columns."""
+def role_ranking(rows: DataFrame, by: str, path: str, name: str) -> DataFrame:
+    """Rows with role, static_rule, graph_share, role_score, final and their rank in the case.
+
+    findings, rules, types and graph are columns. Equal scores go by the static
+    score, the graph's, the role's, the path and the name.
+    """
     raw = F.col("findings") + 0.5 * F.col("rules") + 0.25 * F.col("types")
     most = rows.groupBy(by).agg(F.max(raw).alias("_s"), F.max("graph").alias("_g"))
     r = rows.join(most, by).withColumn("role", source_role(path)).withColumn("static_rule", share(raw, "_s")).withColumn("graph_share", share("graph", "_g"))
-    final = 0.55 * F.col("static_rule") + 0.30 * F.col("graph_share") + 0.15 * lookup("role", ROLE_WEIGHTS, 0.80)
-    return r.drop("_s", "_g").withColumn("final", final)
+    r = r.withColumn("role_score", lookup("role", ROLE_WEIGHTS, 0.80))
+    final = 0.55 * F.col("static_rule") + 0.30 * F.col("graph_share") + 0.15 * F.col("role_score")
+    best = [F.desc(F.round(c, 9)) for c in ("final", "static_rule", "graph_share", "role_score")]
+    w = Window.partitionBy(by).orderBy(*best, path, name)
+    return r.drop("_s", "_g").withColumn("final", final).withColumn("rank", F.row_number().over(w))
+
+
+def role_audit(ranked: DataFrame, by: str, roles: tuple[str, ...] = tuple(ROLE_WEIGHTS)) -> DataFrame:
+    """Per case: rows, rows of each role, role of the first-ranked row, whether any row, and whether the first, is application code."""
+    application = F.col("role") == "application"
+    return ranked.groupBy(by).agg(
+        F.count("*").alias("n"), *[count_if(F.col("role") == r).alias(r) for r in roles], F.min_by("role", "rank").alias("top_role"),
+        F.bool_or(application).alias("any_application"), F.min_by(application, "rank").alias("top_application"))
 
 
 # Words of a path that hint at code worth repairing.
@@ -407,10 +422,3 @@ def token_overlap(entities: DataFrame, context: DataFrame, by: str, key: str) ->
     shared = e.select(key, by, F.explode("_e").alias("_t")).join(c, [by, "_t"], "left_semi").groupBy(key).agg(F.count("*").alias("_both"))
     both = e.withColumn("_ne", F.size("_e")).drop("_e").join(shared, key, "left").join(n, by, "left")
     return both.withColumn("semantic", share(F.coalesce("_both", F.lit(0)), F.sqrt(F.col("_ne").cast("double") * F.col("_nc")))).drop("_both", "_ne", "_nc")
-
-
-def role_audit(rows: DataFrame, by: str) -> DataFrame:
-    """Per case: rows, application rows, the first-ranked row's role, whether any is application code."""
-    return rows.groupBy(by).agg(
-        F.count("*").alias("n"), count_if(F.col("role") == "application").alias("application"), F.min_by("role", "rank").alias("top_role"),
-        F.bool_or(F.col("role") == "application").alias("any_application"))

@@ -333,21 +333,33 @@ def part_paths(spark, sf):
     return table(spark, sf, "part").withColumn("path", F.get(F.array(*map(F.lit, _PATHS)), (F.col("p_partkey") % len(_PATHS)).cast("int")))
 
 
-@query(f"""WITH p AS (SELECT *, {_PATHS_SQL}[p_partkey % {len(_PATHS)} + 1] AS path FROM part), r AS (SELECT p_brand AS brand, p_partkey AS id, {_ROLE} AS role,
+_RANKED = f"""WITH p AS (SELECT *, {_PATHS_SQL}[p_partkey % {len(_PATHS)} + 1] AS path FROM part), r AS (SELECT p_brand AS brand, p_partkey AS id, p_name AS name, path, {_ROLE} AS role,
   p_size % 7 + 0.5 * (p_size % 4) + 0.25 * (p_size % 3) AS raw, p_retailprice AS graph FROM p),
-m AS (SELECT *, raw / nullif(max(raw) OVER (PARTITION BY brand), 0) AS s, graph / max(graph) OVER (PARTITION BY brand) AS g FROM r)
-SELECT brand, id, role, round(0.55 * coalesce(s, 0) + 0.30 * g + 0.15 * {case_sql('role', S.ROLE_WEIGHTS, 0.8)}, 6) AS final FROM m""")
-def source_role(spark, sf):
+m AS (SELECT *, coalesce(raw / nullif(max(raw) OVER (PARTITION BY brand), 0), 0) AS s, graph / max(graph) OVER (PARTITION BY brand) AS g, {case_sql('role', S.ROLE_WEIGHTS, 0.8)} AS w FROM r),
+f AS (SELECT *, 0.55 * s + 0.30 * g + 0.15 * w AS final FROM m),
+k AS (SELECT *, CAST(row_number() OVER (PARTITION BY brand ORDER BY round(final, 9) DESC, round(s, 9) DESC, round(g, 9) DESC, round(w, 9) DESC, path, name) AS INTEGER) AS rank FROM f)"""
+
+
+def _role_ranked(spark, sf):
     p = part_paths(spark, sf).select(
-        F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"), "path", (F.col("p_size") % 7).alias("findings"), (F.col("p_size") % 4).alias("rules"),
+        F.col("p_brand").alias("brand"), F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), "path", (F.col("p_size") % 7).alias("findings"), (F.col("p_size") % 4).alias("rules"),
         (F.col("p_size") % 3).alias("types"), F.col("p_retailprice").alias("graph"))
-    return S.role_ranking(p, "brand", "path").select("brand", "id", "role", rounded("final").alias("final"))
+    return S.role_ranking(p, "brand", "path", "name")
+
+
+@query(_RANKED + " SELECT brand, id, role, round(s, 6) AS static_rule, round(g, 6) AS graph, round(final, 6) AS final, rank FROM k")
+def source_role(spark, sf):
+    return _role_ranked(spark, sf).select("brand", "id", "role", rounded("static_rule").alias("static_rule"), rounded("graph_share").alias("graph"), rounded("final").alias("final"), "rank")
+
+
+@query(_RANKED + f""" SELECT brand, count(*) AS n, {", ".join(f"count(*) FILTER (role = '{r}') AS {r}" for r in S.ROLE_WEIGHTS)}, arg_min(role, rank) AS top_role,
+  bool_or(role = 'application') AS any_application, arg_min(role, rank) = 'application' AS top_application FROM k GROUP BY 1""")
+def source_role_audit(spark, sf):
+    """How the roles of a brand's ranked parts spread, and which one leads."""
+    return S.role_audit(_role_ranked(spark, sf), "brand")
 
 
-# the weights again, by hand, so that a wrong one above shows
-_BY_WEIGHT = {16: "cipher crypt decrypt encrypt", 14: "parser validator normalizer", 12: "index iterator counter lookup dict mapping cache window",
-              10: "token score format sort search", 5: "average mean median mode"}
-_HINT = " + ".join(f"{n} * (" + " + ".join(f"CAST(contains(path, '{w}') AS INTEGER)" for w in words.split()) + ")" for n, words in _BY_WEIGHT.items())
+_HINT = " + ".join(f"CASE WHEN contains(path, '{w}') THEN {n} ELSE 0 END" for w, n in S.PATH_HINTS.items())
 
 
 @query(f"""WITH p AS (SELECT p_partkey AS id, {_PATHS_SQL}[p_partkey % {len(_PATHS)} + 1] AS path FROM part)
