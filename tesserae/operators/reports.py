@@ -75,11 +75,23 @@ def blocker_category(text: Column, safety_blocked: Column, validated: Column, st
             .when(status.isin("blocked", "unavailable", "failed") | has("llm_failed_blocker"), "llm_failed_blocker").when(has("environment_blocker"), "environment_blocker").otherwise("generic_blocker"))
 
 
+OUTCOMES = ("llm_reflection_success", "llm_direct_success", "llm_blocker")
+CATEGORIES = (*BLOCKERS, "generic_blocker")
+
+
 def outcome_metrics(rows: DataFrame, *by: str) -> DataFrame:
-    """Per group: counts by class, success share, sums, and means over known runtimes and costs."""
+    """Per group: counts by class, of them with complete evidence, of blockers by category, success share, sums, and means over known values.
+
+    ``rows``: outcome, evidence (complete or not), category (of blockers),
+    candidates, runtime, tokens, cost.
+    """
+    is_ = lambda c: F.col("outcome") == c
+    known = ("runtime", "tokens", "cost")
     return rows.groupBy(*by).agg(
-        F.count("*").alias("n"), *[count_if(F.col("outcome") == c).alias(c) for c in ("llm_reflection_success", "llm_direct_success", "llm_blocker")],
-        mean_or_zero((F.col("outcome") != "llm_blocker").cast("int")).alias("success_rate"), F.sum("candidates").alias("candidates"), F.avg("runtime").alias("mean_runtime"), F.avg("cost").alias("mean_cost"))
+        F.count("*").alias("n"), *[count_if(is_(c)).alias(c) for c in OUTCOMES], *[count_if(is_(c) & (F.col("evidence") == "complete")).alias(f"{c}_evidence") for c in OUTCOMES],
+        *[count_if(is_("llm_blocker") & (F.col("category") == c)).alias(c) for c in CATEGORIES],
+        mean_or_zero((F.col("outcome") != "llm_blocker").cast("int")).alias("success_rate"), F.sum("candidates").alias("candidates"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(f"total_{c}") for c in known], *[F.count(c).alias(f"known_{c}") for c in known], *[F.avg(c).alias(f"mean_{c}") for c in known])
 
 
 def catalogue_audit(catalogue: DataFrame, results: DataFrame) -> DataFrame:

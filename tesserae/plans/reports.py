@@ -84,19 +84,31 @@ def outcome_class(spark, sf):
     return _outcomes(spark, sf).groupBy("grp", "outcome").agg(F.count("*").alias("n"))
 
 
-@query(f"""WITH {_OUT}, b AS (SELECT *, lower(blocker) AS t FROM c WHERE outcome = 'llm_blocker')
-SELECT id, CASE WHEN safety = 0 AND false THEN '' WHEN safety > 6 AND validated <= 0 THEN 'safety_gate_blocker' WHEN contains(t, 'safety gate') THEN 'safety_gate_blocker' WHEN contains(t, 'no tests') OR contains(t, 'dynamic evidence not usable') THEN 'no_test_oracle_blocker'
-WHEN status IN ('blocked', 'failed') OR contains(t, 'api_key') THEN 'llm_failed_blocker' WHEN contains(t, 'modulenotfounderror') OR contains(t, 'tox') THEN 'environment_blocker' ELSE 'generic_blocker' END AS category FROM b""")
+_CATEGORY = """CASE WHEN safety > 6 AND validated <= 0 THEN 'safety_gate_blocker' WHEN contains(lower(blocker), 'safety gate') THEN 'safety_gate_blocker'
+WHEN contains(lower(blocker), 'no tests') OR contains(lower(blocker), 'dynamic evidence not usable') THEN 'no_test_oracle_blocker'
+WHEN status IN ('blocked', 'failed') OR contains(lower(blocker), 'api_key') THEN 'llm_failed_blocker' WHEN contains(lower(blocker), 'modulenotfounderror') OR contains(lower(blocker), 'tox') THEN 'environment_blocker' ELSE 'generic_blocker' END"""
+
+
+@query(f"WITH {_OUT} SELECT id, {_CATEGORY} AS category FROM c WHERE outcome = 'llm_blocker'")
 def blocker_category(spark, sf):
     o = _outcomes(spark, sf).where("outcome = 'llm_blocker'")
     return o.select("id", R.blocker_category(F.col("blocker"), F.col("safety") - 6, F.col("validated"), F.col("status")).alias("category"))
 
 
-@query(f"""WITH {_OUT} SELECT grp, count(*) AS n, count(*) FILTER (outcome = 'llm_reflection_success') AS llm_reflection_success, count(*) FILTER (outcome = 'llm_direct_success') AS llm_direct_success, count(*) FILTER (outcome = 'llm_blocker') AS llm_blocker,
-round(avg(CASE WHEN outcome <> 'llm_blocker' THEN 1.0 ELSE 0 END), 6) AS success_rate, CAST(sum(candidates) AS BIGINT) AS candidates, round(avg(runtime), 4) AS mean_runtime, round(avg(cost), 4) AS mean_cost FROM c GROUP BY 1""")
+_KNOWN = ("runtime", "tokens", "cost")
+
+
+@query(f"""WITH {_OUT}, x AS (SELECT *, {_CATEGORY} AS category, CASE WHEN id % 3 > 0 THEN (id % 977) * 10 END AS tokens, validated > 0 AND runtime IS NOT NULL AS complete FROM c)
+SELECT grp, count(*) AS n, {", ".join(f"count(*) FILTER (outcome = '{c}') AS {c}, count(*) FILTER (outcome = '{c}' AND complete) AS {c}_evidence" for c in R.OUTCOMES)},
+{", ".join(f"count(*) FILTER (outcome = 'llm_blocker' AND category = '{c}') AS {c}" for c in R.CATEGORIES)},
+round(avg(CASE WHEN outcome <> 'llm_blocker' THEN 1.0 ELSE 0 END), 6) AS success_rate, CAST(sum(candidates) AS BIGINT) AS candidates,
+{", ".join(f"CAST(round(coalesce(sum({c}), 0), 3) AS DOUBLE) AS total_{c}, count({c}) AS known_{c}, round(avg({c}), 4) AS mean_{c}" for c in _KNOWN)} FROM x GROUP BY 1""")
 def outcome_metrics(spark, sf):
-    m = R.outcome_metrics(_outcomes(spark, sf), "grp")
-    return m.withColumn("success_rate", rounded("success_rate")).withColumn("mean_runtime", F.round("mean_runtime", 4)).withColumn("mean_cost", F.round("mean_cost", 4))
+    rows = _outcomes(spark, sf).withColumn("category", R.blocker_category(F.col("blocker"), F.col("safety") - 6, F.col("validated"), F.col("status")))
+    rows = rows.withColumn("tokens", F.when(F.col("id") % 3 > 0, F.col("id") % 977 * 10)).withColumn(
+        "evidence", F.when((F.col("validated") > 0) & F.col("runtime").isNotNull(), "complete").otherwise("partial"))
+    m = R.outcome_metrics(rows, "grp").withColumn("success_rate", rounded("success_rate"))
+    return m.withColumns({f"mean_{c}": F.round(f"mean_{c}", 4) for c in _KNOWN} | {f"total_{c}": F.round(F.col(f"total_{c}").cast("double"), 3) for c in _KNOWN})
 
 
 @query("""WITH c AS (SELECT c_custkey AS case_id, c_mktsegment AS expected, ['x' || c_custkey % 97, c_name, 'n' || c_nationkey] AS aliases FROM customer), r AS (SELECT 'n' || n_nationkey AS alias, CASE WHEN n_nationkey % 2 = 0 THEN 'BUILDING' ELSE 'MACHINERY' END AS actual FROM nation WHERE n_nationkey > 3
