@@ -256,6 +256,16 @@ def grounding() -> Column:
             + 0.15 * F.greatest(one("control", 1.0), one("cfg", 2.0)) + 0.10 * F.col("boundary").cast("int"))
 
 
+#: What each kind of support is called.
+GROUNDS = ("failed_test_support", "call_chain_supported", "data_flow_supported", "control_or_cfg_supported", "cross_boundary_supported")
+
+
+def grounding_reasons() -> Column:
+    """The names of the kinds of support that a slice has, from the same columns as its grounding."""
+    has = (F.col("tested"), F.col("chain"), F.col("data") > 0, (F.col("control") > 0) | (F.col("cfg") > 0), F.col("boundary"))
+    return F.filter(F.array(*[F.when(c, F.lit(name)) for c, name in zip(has, GROUNDS, strict=True)]), lambda x: x.isNotNull())
+
+
 def callers(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """(id, callers, cross_file): distinct callers that aren't tests, and those in another file."""
     e = with_ends(edges.where("kind = 'calls'"), nodes, "file", "is_test").where("not src_is_test")

@@ -258,14 +258,16 @@ g AS (SELECT *, 0.35 * CASE WHEN tested THEN 1 ELSE 0 END + 0.20 * CASE WHEN cha
 + 0.15 * greatest(least(1.0, control / 1.0), least(1.0, cfg / 2.0)) + 0.10 * CASE WHEN boundary THEN 1 ELSE 0 END AS support FROM s)"""
 
 
-@query(_GROUND + " SELECT id, round(support, 6) AS support, round(support, 9) >= 0.5 AS grounded FROM g", "edges", "nodes")
+@query(_GROUND + """ SELECT id, round(support, 6) AS support, round(support, 9) >= 0.5 AS grounded, concat_ws(',', CASE WHEN tested THEN 'failed_test_support' END, CASE WHEN chain THEN 'call_chain_supported' END,
+CASE WHEN data > 0 THEN 'data_flow_supported' END, CASE WHEN control > 0 OR cfg > 0 THEN 'control_or_cfg_supported' END, CASE WHEN boundary THEN 'cross_boundary_supported' END) AS reasons,
+CAST(tested AS INTEGER) + CAST(chain AS INTEGER) + CASE WHEN data > 0 THEN 1 ELSE 0 END + CASE WHEN control > 0 OR cfg > 0 THEN 1 ELSE 0 END + CAST(boundary AS INTEGER) AS dimensions FROM g""", "edges", "nodes")
 def slice_grounding(spark, sf):
     e = G.with_ends(edges(spark, sf), nodes(spark, sf), "file", "is_test")
     s = e.groupBy(F.col("src").alias("id")).agg(
         F.bool_or("dst_is_test").alias("tested"), (F.countDistinct("dst") >= 2).alias("chain"), count_if(F.col("kind") == "data_flow").alias("data"),
         count_if(F.col("kind") == "control_flow").alias("control"), count_if("awaited").alias("cfg"), F.bool_or(F.col("src_file") != F.col("dst_file")).alias("boundary"))
-    s = s.withColumn("support", G.grounding())
-    return s.select("id", rounded("support").alias("support"), (F.round("support", 9) >= 0.5).alias("grounded"))
+    s = s.withColumn("support", G.grounding()).withColumn("reasons", G.grounding_reasons())
+    return s.select("id", rounded("support").alias("support"), (F.round("support", 9) >= 0.5).alias("grounded"), F.array_join("reasons", ",").alias("reasons"), F.size("reasons").alias("dimensions"))
 
 
 @query(""" SELECT e.dst AS id, count(DISTINCT e.src) AS callers, count(DISTINCT CASE WHEN a.file <> b.file THEN e.src END) AS cross_file
