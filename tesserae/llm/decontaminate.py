@@ -341,7 +341,8 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text", words: in
     a window: ``words`` consecutive words of an item, or a shorter item as a
     whole. items are the ids, as strings, of the items with a window there,
     sorted. Null texts have no words; items with a null id or without words
-    are left out; repeated items and documents count as they stand. An empty
+    are left out; repeated items and documents count as they stand. A text longer
+    than SHARD_WORDS is a shard of its own and taken whole. An empty
     benchmark hits nothing. A column named match is replaced, others stay,
     whatever they are called.
     """

@@ -189,7 +189,8 @@ def score(docs: DataFrame, machine: Machine, threshold: float = THRESHOLD) -> Da
     """All columns of ``docs`` and: score double, predicted int (these names are replaced).
 
     Each row is scored by itself; null and empty texts get the score of an
-    empty one, a null n_chars counts as the text's length.
+    empty one, a null n_chars counts as the text's length; texts of any length
+    count whole.
     """
     shared = docs.sparkSession.sparkContext.broadcast(machine)
 

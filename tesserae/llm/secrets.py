@@ -143,7 +143,8 @@ def scan(versions: DataFrame, ledger: str | None = None, path: str = "doc_id", t
 
     ``spans`` is an array of (start, no, end, rule), sorted, with ``no`` the
     place of the rule in ``rules``; empty where nothing is found. A null text
-    is an empty blob. Repeated rows and null paths each keep their row; other
+    is an empty blob. Repeated rows and null paths each keep their row; texts of
+    any length are scanned whole, so no span is cut; other
     columns are not looked at; an empty table has no findings. Without a
     ``ledger`` folder the run has one of its own.
 
@@ -217,7 +218,8 @@ def redact(docs: DataFrame, mask: str = "[REDACTED]", rules: tuple[Rule, ...] =
     as they are. All rows and columns stay, in no set order; rows are told by
     their text only, so ids may be null, repeated or missing. Only rows whose
     text may have a finding by some rule meet the findings in a join; the
-    others don't leave their task. An empty table stays one.
+    others don't leave their task. Texts of any length are masked whole. An empty
+    table stays one.
     """
     own = docs.columns
     found = scan(docs.select(F.lit(None).cast("long").alias("doc_id"), "text"), rules=rules).where(F.size("spans") > 0)

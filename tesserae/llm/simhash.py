@@ -197,7 +197,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     Rows with a null key have a fingerprint and take part; a component of
     null keys only has a null component. Null, empty and blank texts have
-    fingerprint 0. Repeated rows and ties fall into one component. Other
+    fingerprint 0. Repeated rows and ties fall into one component. The shingles of
+    a very long text are hashed CHUNK at a time, all of them. Other
     columns are not looked at.
     """
     prints, named = groups(docs, key, text, words, max_bits)

@@ -189,7 +189,8 @@ def write(docs: DataFrame, folder: str | None = None, source: str = "byte_bpe_50
     the text (and then the text), so that an id with very many rows is cut into
     several shards; null ids come first and share one key. A null text is an
     empty one, of which only the end id is written. Repeats of an id are all
-    written; the index finds them together. Other columns are not looked at. An
+    written; the index finds them together. A very long text is encoded whole by
+    one task and lies in one shard. Other columns are not looked at. An
     empty table gives no shards.
     """
     spark = docs.sparkSession

@@ -162,7 +162,8 @@ def score(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFr
 
     Columns of these names in ``docs`` are replaced. Each row is scored by
     itself, so repeats and ties get equal scores; null and empty texts get the
-    score of the bias alone (about).
+    score of the bias alone (about); very long texts count whole, SLICE
+    characters at a time.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -96,7 +96,8 @@ def write(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, date:
 
     A null html is an empty payload; a null url has no target header; rows
     with a null page_id are responses without a number. Repeats of a page_id
-    with equal payloads are responses all. Other columns are not looked at. An
+    with equal payloads are responses all. A page of any length is one record,
+    which its task holds whole. Other columns are not looked at. An
     empty table gives an empty index.
     """
     spark = pages.sparkSession

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from tesserae.llm import decontaminate, fuzzyhash, nearcopies  # noqa: E402
+from tesserae.llm import decontaminate, fuzzyhash, nearcopies, simhash, toxicity  # noqa: E402
 
 
 def test_edit_study_repeated_id_in_many_ranges(spark):
@@ -81,3 +81,16 @@ def test_near_copies_between_groups_in_blocks(spark, monkeypatch):
     frame = spark.createDataFrame(docs, "doc_id long, text string")
     kept = sorted(r.doc_id for r in nearcopies.one_of_each(frame).collect())
     assert kept == sorted({find(i) for i in sets}) and 1 < len(kept) < 60
+
+
+def test_slices_change_nothing(monkeypatch):
+    """Texts of many slices and chunks have the features and fingerprints of one slice."""
+    import random
+
+    chance = random.Random(2)
+    texts = ["", "a", " ".join("".join(chance.choices("abcdeé", k=chance.randrange(1, 8))) for _ in range(700)), "xyz" * 500]
+    features, prints = [toxicity.features(t).tolist() for t in texts], [simhash.fingerprint_of(t) for t in texts]
+    for size in (7, 64, 1000):
+        monkeypatch.setattr(toxicity, "SLICE", size)
+        monkeypatch.setattr(simhash, "CHUNK", size)
+        assert [toxicity.features(t).tolist() for t in texts] == features and [simhash.fingerprint_of(t) for t in texts] == prints
