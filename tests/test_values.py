@@ -334,3 +334,10 @@ def test_library_stands_without_llm(tmp_path, small):
            f"assert e.queries()['ochiai'](local_session(2), {small!r}).count() > 0"
     env = {k: v for k, v in os.environ.items() if k not in ("PYTHONPATH", "PYSPARK_GATEWAY_PORT", "PYSPARK_GATEWAY_SECRET")}
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True, timeout=300, env=env)
+
+
+def test_failure_line_takes_only_blanks_away(spark):
+    texts = ["0997 | 0", "  \u3000\n\u00a0 11 of 1 \u2009\nmore", "\t\nx", "", None, "1" * 121, " " + "0" * 120]
+    rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", logs.failure_line("text").alias("line"))
+    got = [r.line for r in rows.orderBy("i").collect()]
+    assert got == ["0997 | 0", "11 of 1", "\t", "", "", "1" * 117 + "...", "0" * 120]
