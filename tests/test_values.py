@@ -341,3 +341,10 @@ def test_failure_line_takes_only_blanks_away(spark):
     rows = spark.createDataFrame(list(enumerate(texts)), "i int, text string").select("i", logs.failure_line("text").alias("line"))
     got = [r.line for r in rows.orderBy("i").collect()]
     assert got == ["0997 | 0", "11 of 1", "\t", "", "", "1" * 117 + "...", "0" * 120]
+
+
+def test_role_ranking_settles_full_ties_by_id(spark):
+    one = ("b", "f", "src/a.py", 1, 1, 1, 2.0)
+    rows = spark.createDataFrame([(i, *one) for i in (7, 3, 9, 1, 8, 2)], "id long, brand string, name string, path string, findings int, rules int, types int, graph double").coalesce(1)
+    got = scoring.role_ranking(rows, "brand", "path", "name").orderBy("rank").collect()
+    assert [r.id for r in got] == [1, 2, 3, 7, 8, 9]
