@@ -348,3 +348,24 @@ def test_role_ranking_settles_full_ties_by_id(spark):
     rows = spark.createDataFrame([(i, *one) for i in (7, 3, 9, 1, 8, 2)], "id long, brand string, name string, path string, findings int, rules int, types int, graph double").coalesce(1)
     got = scoring.role_ranking(rows, "brand", "path", "name").orderBy("rank").collect()
     assert [r.id for r in got] == [1, 2, 3, 7, 8, 9]
+
+
+def test_entities_alike_in_all_points_are_one(spark, monkeypatch):
+    """2,000 entities of four kinds: four rows meet the tests and frames, and the first of a kind is the answer."""
+    rows = [(i, f"src/m{i % 2}.py", f"fn_{i % 4}", f"pkg.fn_{i % 4}", 10 * (i % 4), 10 * (i % 4) + 5) for i in range(2000)]
+    entities = spark.createDataFrame(rows, "entity long, path string, name string, qualified string, start_line int, end_line int")
+    sizes, real = [], storage.stored
+
+    def counted(df, name):
+        out = real(df, name)
+        if name == "entities":
+            sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(logs, "stored", counted)
+    frames = spark.createDataFrame([("/w/src/m1.py", 12, "fn_1"), ("m1.py", 33, "other"), ("m0.py", 99, "fn_2")], "path string, line int, function string")
+    got = {(r.path, r.line): (r.entity, r.score) for r in logs.match_frames(frames, entities).collect()}
+    assert got == {("/w/src/m1.py", 12): (1, 15), ("m1.py", 33): (3, 8), ("m0.py", 99): (2, 6)}
+    tests = spark.createDataFrame([("n", "src/m1.py", "fn_3", "fn_3")], "nodeid string, path string, test string, qualified string")
+    assert [tuple(r) for r in logs.match_tests(tests, entities).select("entity", "score").collect()] == [(3, 6)]
+    assert sizes == [4, 4]
