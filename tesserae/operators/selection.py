@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import count_if, share
+from ..sources.storage import stored
 from .sequences import cut, numbered
 
 
@@ -178,14 +179,24 @@ def best_match(seeds: DataFrame, catalogue: DataFrame) -> DataFrame:
 
     Both have tags as rows: seeds (seed, tag, value), catalogue (candidate,
     tag, value, bonus). A shared failure type gives 4, a focus 3, a pattern 2, a
-    rule 1; the candidate's provenance bonus comes on top.
+    rule 1; the candidate's provenance bonus comes on top. Seeds with the same
+    tags have the same answer, and of candidates with the same tags and bonus
+    it is the first, so kinds of seeds meet kinds of candidates.
     """
     weight = F.when(F.col("tag") == "failure_type", 4.0).when(F.col("tag") == "focus", 3.0).when(F.col("tag") == "pattern", 2.0).otherwise(1.0)
-    s = seeds.distinct().withColumn("w", weight)
-    met = s.join(catalogue.select("candidate", "tag", "value", "bonus").distinct(), ["tag", "value"]).groupBy("seed", "candidate").agg((F.sum("w") + F.max("bonus")).alias("score"))
-    w = Window.partitionBy("seed").orderBy(F.desc("score"), "candidate")
+    tags = F.array_sort(F.collect_set(F.struct("tag", "value"))).alias("tags")
+    s = stored(seeds.groupBy("seed").agg(tags), "seeds")
+    # the bonuses of a candidate belong to its tags
+    own = F.array_sort(F.collect_set(F.struct("tag", "value", "bonus"))).alias("own")
+    c = stored(catalogue.groupBy("candidate").agg(own).groupBy("own").agg(F.min("candidate").alias("candidate")), "candidates")
+    kinds = stored(s.select("tags").distinct().withColumn("kind", F.monotonically_increasing_id()), "kinds")
+    asked = kinds.select("kind", F.explode("tags").alias("t")).select("kind", "t.*").withColumn("w", weight)
+    offered = c.select("candidate", F.explode("own").alias("t")).select("candidate", "t.*")
+    met = asked.join(offered.hint("shuffle_merge"), ["tag", "value"]).groupBy("kind", "candidate").agg((F.sum("w") + F.max("bonus")).alias("score"))
+    w = Window.partitionBy("kind").orderBy(F.desc("score"), "candidate")
     top = met.withColumn("n", F.row_number().over(w)).where("n = 1").drop("n")
-    return seeds.select("seed").distinct().join(top, "seed", "left").select(
+    best = kinds.join(top, "kind", "left").select("tags", "candidate", "score")
+    return s.join(best, "tags", "left").select(
         "seed", "candidate", F.coalesce("score", F.lit(0.0)).alias("score"), F.when(F.col("candidate").isNull(), "unmatched").otherwise("realized").alias("status"))
 
 

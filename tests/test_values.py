@@ -369,3 +369,40 @@ def test_entities_alike_in_all_points_are_one(spark, monkeypatch):
     tests = spark.createDataFrame([("n", "src/m1.py", "fn_3", "fn_3")], "nodeid string, path string, test string, qualified string")
     assert [tuple(r) for r in logs.match_tests(tests, entities).select("entity", "score").collect()] == [(3, 6)]
     assert sizes == [4, 4]
+
+
+def test_covering_tests_makes_no_row_for_a_test_and_function(spark, monkeypatch):
+    rng = random.Random(5)
+    hits = [(rng.randrange(40), f"f{rng.randrange(2)}", rng.randrange(1, 60)) for _ in range(600)] + [(None, "f0", 5)]
+    functions = [(f"f{i % 2}", i, a, a + rng.randrange(-1, 30), i % 7 == 0) for i in range(300) for a in [rng.randrange(50)]]
+    want = {}
+    for file, f, a, b, test in functions:
+        n = len({t for t, g, line in hits if g == file and a < line <= b and t is not None})
+        if n and not test:
+            want[f] = n
+    rows, real = [], storage.stored
+    monkeypatch.setattr(coverage, "stored", lambda df, name: (rows.append(real(df, name)), rows[-1])[1])
+    h = spark.createDataFrame(hits, "test int, file string, line int")
+    f = spark.createDataFrame(functions, "file string, function int, start_line int, end_line int, is_test boolean")
+    assert {r.function: r.tests for r in coverage.covering_tests(h, f).collect()} == want
+    assert rows and all(r.count() <= 600 for r in rows)
+
+
+def test_innermost_function_of_many_on_the_same_lines(spark, monkeypatch):
+    sizes, real = [], storage.stored
+    monkeypatch.setattr(coverage, "stored", lambda df, name: (sizes.append(df.count()), real(df, name))[1])
+    f = spark.createDataFrame([("f", i, 10 * (i % 3), 40) for i in range(900)], "file string, function int, start_line int, end_line int")
+    got = coverage.innermost_function(spark.createDataFrame([("f", 25), ("f", 5)], "file string, line int"), f).collect()
+    assert {(r.line, r.function) for r in got} == {(25, 899), (5, 897)} and sizes == [3]
+
+
+def test_best_match_of_kinds(spark, monkeypatch):
+    """500 seeds of two kinds and 300 candidates of three; against every pair."""
+    seeds = [(s, t, v) for s in range(500) for t, v in (("failure_type", s % 2), ("rule", s % 2))] + [(500, "focus", 9)]
+    catalogue = [(c, t, v, c % 3 / 10) for c in range(300) for t, v in (("failure_type", c % 3), ("rule", c % 3), ("focus", 1))]
+    sizes, real = {}, storage.stored
+    monkeypatch.setattr(selection, "stored", lambda df, name: (sizes.update({name: df.count()}), real(df, name))[1])
+    got = {r.seed: (r.candidate, r.score, r.status) for r in selection.best_match(
+        spark.createDataFrame(seeds, "seed int, tag string, value int"), spark.createDataFrame(catalogue, "candidate int, tag string, value int, bonus double")).collect()}
+    assert got == {s: (s % 2, 5 + s % 2 / 10, "realized") for s in range(500)} | {500: (None, 0.0, "unmatched")}
+    assert sizes["kinds"] == 3 and sizes["candidates"] == 3
