@@ -31,7 +31,7 @@ def _hits(spark, sf):
 @query(f"""WITH {_FUNCTIONS} SELECT f.function, count(DISTINCT h.test) AS tests FROM hits h JOIN functions f
 ON h.file = f.file AND h.line > f.start_line AND h.line <= f.end_line WHERE NOT f.is_test GROUP BY f.function""")
 def cov_range_join(spark, sf):
-    return C.covered_functions(_hits(spark, sf), _functions(spark, sf)).groupBy("function").agg(F.count("*").alias("tests"))
+    return C.covering_tests(_hits(spark, sf), _functions(spark, sf))
 
 
 @query(f"""WITH {_FUNCTIONS}, places AS (SELECT DISTINCT file, line FROM hits) SELECT p.file, p.line, f.function FROM places p JOIN functions f
