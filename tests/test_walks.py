@@ -117,3 +117,36 @@ def test_empty_graph(spark):
     one = spark.createDataFrame([(1,)], "source long")
     assert [tuple(r) for r in walks.reach_counts(none, one).collect()] == [(1, 0, 1)]
     assert walks.reach_counts(none, one.limit(0)).count() == 0
+
+
+def test_blocks_have_sources_that_follow_each_other(spark):
+    """40 rings of 32 nodes: a block of 256 sources reaches few rings, so there are about as many rows as nodes."""
+    arcs = frame(spark, [(1000 * r + i, 1000 * r + (i + 1) % 32) for r in range(40) for i in range(32)])
+    sources = arcs.select(F.col("src").alias("source")).repartition(8, F.xxhash64("src"))
+    seen, placed = walks.reach_bits(arcs, sources, 40)
+    assert walks.bits_by_source(seen, placed).where("n <> 32").count() == 0
+    assert seen.count() <= 3 * 40 * 32
+
+
+@pytest.mark.parametrize("seed", [3, 8])
+def test_shortest_paths(spark, seed):
+    arcs = random_graph(seed, 40, 110) + [(500, 501), (501, 500)]
+    nodes = sorted({a for pair in arcs for a in pair})
+    rng = random.Random(seed)
+    pairs = [(rng.choice(nodes), rng.choice(nodes)) for _ in range(150)] + [(nodes[0], nodes[0]), (nodes[0], 9999), (9999, nodes[0])]
+    for depth in (2, 8):
+        want = {}
+        for s, t in pairs:
+            front, before = {s: [s]}, set()
+            for _ in range(depth + 1):
+                if t in front:
+                    want[s, t] = front[t]
+                    break
+                before |= set(front)
+                step = {}
+                for a, b in arcs:
+                    if a in front and b not in before:
+                        step[b] = min(step.get(b, front[a] + [b]), front[a] + [b])
+                front = step
+        got = graph.bfs_paths(frame(spark, arcs), spark.createDataFrame(pairs, "source long, target long").distinct(), depth).collect()
+        assert {(r.source, r.target): r.path for r in got} == want
