@@ -55,7 +55,10 @@ def _greedy(rows: DataFrame, case: str, kinds: tuple[tuple[str, float], ...], wo
         begun, out = not plain_first, []
 
         def bonus(r: dict) -> float:
-            new = sum(w for (k, w), s in zip(kinds, seen, strict=True) if r[k] not in s) if begun else 0.0
+            new = 0.0
+            for (k, w), s in zip(kinds, seen, strict=True):
+                # added one by one, as SQL does: sum() makes up for rounding, and ties turn on the last bit
+                new += w if begun and r[k] not in s else 0.0
             return min(new, most) if most is not None else new
 
         if plain_first:

@@ -48,3 +48,13 @@ def test_only_heads_have_a_bonus(spark):
     frame = spark.range(4000).selectExpr("1 as case_id", "id", "cast(id % 100 as double) / 100 as prior", "cast(id as int) as base_rank", "id % 2 as function", "id % 2 as rule", "1 as variant", "1 as risk_bucket")
     got = selection.diversity_rerank(frame).collect()
     assert sorted(r["rank"] for r in got) == list(range(1, 4001)) and sum(r.bonus > 0 for r in got) == 2
+
+
+def test_bonuses_add_up_as_in_sql(spark):
+    """.35 + .35 + .2 + .1 is a bit less than 1 in doubles, added from left to right; where decimals tie, that bit decides."""
+    priors = [(0.0357, 0.0957), (0.0362, 0.0962), (0.042, 0.102), (0.0483, 0.1083)]
+    rows = [(c, 3 * c + i, p, i, *[kind] * 4) for c, (new, old) in enumerate(priors) for i, (p, kind) in enumerate([(0.95, 0), (new, 1), (old, 0)])]
+    got = {r.id: r["rank"] for r in selection.diversity_rerank(spark.createDataFrame(rows, "case_id long, id long, prior double, base_rank int, function int, rule int, variant int, risk_bucket int")).collect()}
+    for c, (new, old) in enumerate(priors):
+        first = new + 0.06 * (0.35 + 0.35 + 0.20 + 0.10) > old
+        assert [got[3 * c + i] for i in range(3)] == ([1, 2, 3] if first else [1, 3, 2])
