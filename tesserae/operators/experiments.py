@@ -14,6 +14,7 @@ from ..functions import attach, clamp, count_if, mean_or_zero, share
 from ..sources.storage import stored
 from .dominance import ROWS_A_RANGE, below, close
 from .metrics import per_list, within
+from .profiles import LIST_ROWS, MOST, SUMS, profile_sums
 
 
 def ablation_impact(variants: DataFrame, weights: dict[str, float], inverted: tuple[str, ...], baseline: str, slack: float = 0.05) -> DataFrame:
@@ -137,19 +138,31 @@ def rerank(lists: DataFrame, profiles: list[dict], signals: list[str], repeats:
     return out.drop("s", "old")
 
 
-def has_repeats(lists: DataFrame) -> bool:
-    """Whether a case lists an item twice."""
-    return not lists.groupBy("case_id", "item").count().where("count > 1").isEmpty()
-
-
 VALIDATION = {"map": 0.25, "mrr": 0.25, "ndcg": 0.20, "top1": 0.15, "top3": 0.10}
 
 
-def profile_metrics(ranked: DataFrame, profiles: list[dict], *by: str) -> DataFrame:
-    """Means of the ranking metrics and the validation score of each profile, by its name."""
-    m = per_list(ranked, ["block", "profile", "case_id", "grp"]).groupBy("profile", *by).agg(
-        F.count("*").alias("cases"), mean_or_zero(within(1)).alias("top1"), mean_or_zero(within(3)).alias("top3"), mean_or_zero("reciprocal").alias("mrr"),
-        mean_or_zero("ap").alias("map"), mean_or_zero("ndcg").alias("ndcg"), mean_or_zero("exam").alias("exam"))
+def profile_metrics(lists: DataFrame, profiles: list[dict], signals: list[str], *by: str, list_rows: int = LIST_ROWS) -> DataFrame:
+    """Means of the ranking metrics and the validation score of each profile, by its name: those of ``rerank``.
+
+    Lists are taken whole, a list at a time, and only sums leave a task. Those of
+    more than ``list_rows`` items, that repeat an item or have a null or very large signal
+    are reranked by windows instead.
+    """
+    own = lists.select("case_id", "grp", "item", "relevant", "rank", *signals)
+    fits = reduce(and_, [F.coalesce(F.abs(F.col(s)) <= MOST, F.lit(False)) for s in signals], F.col("relevant").isNotNull() & F.col("rank").isNotNull())
+    sizes = own.groupBy("case_id", "grp", "item").agg(F.count("*").alias("n"), F.min(fits).alias("fits")).groupBy("case_id", "grp").agg(
+        F.sum("n").alias("n"), F.max("n").alias("most"), F.min("fits").alias("fits"))
+    apart = stored(sizes.where((F.col("n") > list_rows) | (F.col("most") > 1) | ~F.col("fits")).select(F.col("case_id").alias("_case"), F.col("grp").alias("_grp")), "lists_apart")
+    same = F.col("case_id").eqNullSafe(F.col("_case")) & F.col("grp").eqNullSafe(F.col("_grp"))
+    none = apart.isEmpty()
+    weights = [[-p[s] if s == "risk" else p[s] for s in signals] for p in profiles]
+    whole = own if none else own.join(apart, same, "left_anti")
+    sums = profile_sums(whole.withColumnRenamed("rank", "old"), weights, signals, list(by), shuffle_tasks(lists))
+    if not none:
+        each = per_list(rerank(own.join(apart, same, "left_semi"), profiles, signals), ["block", "profile", "case_id", "grp"])
+        sums = sums.unionByName(each.select(
+            "profile", *by, F.lit(1).cast("long").alias("cases"), within(1).alias("top1"), within(3).alias("top3"), F.col("reciprocal").alias("mrr"), F.col("ap").alias("map"), "ndcg", "exam"))
+    m = sums.groupBy("profile", *by).agg(F.sum("cases").alias("cases"), *[F.sum(c).alias(c) for c in SUMS]).withColumns({c: share(c, "cases") for c in SUMS})
     names = F.split(F.lit(",".join(p["profile"] for p in profiles)), ",")
     return m.withColumn("profile", F.get(names, F.col("profile"))).withColumn(
         "validation", sum((F.col(c) * w for c, w in VALIDATION.items()), 0.05 * (1 - F.col("exam"))))

@@ -32,7 +32,7 @@ ab AS (SELECT variant, count(*) AS cases, avg(top1) AS top1, avg(top3) AS top3,
 def _ablation(spark, sf):
     profiles = [{"profile": v, **{c: (0.0 if c in off else abs(w)) for c, w in WEIGHTS.items()}} for v, off in ABLATED.items()]
     lists = signals(spark, sf)
-    m = E.profile_metrics(E.rerank(lists, profiles, list(WEIGHTS), E.has_repeats(lists)), profiles)
+    m = E.profile_metrics(lists, profiles, list(WEIGHTS))
     return m.withColumnRenamed("profile", "variant")
 
 
@@ -115,7 +115,7 @@ _VAL = "0.25 * map + 0.25 * mrr + 0.20 * ndcg + 0.15 * top1 + 0.10 * top3 + 0.05
 
 def _profiled(spark, sf, *by):
     lists = signals(spark, sf)
-    return E.profile_metrics(E.rerank(lists, PROFILES, list(DEFAULT), E.has_repeats(lists)), PROFILES, *by)
+    return E.profile_metrics(lists, PROFILES, list(DEFAULT), *by)
 
 
 @query(_PROF + f" SELECT variant AS profile, cases, {', '.join(f'round({c}, 6) AS {c}' for c in _SIX)}, round({_VAL}, 6) AS validation FROM ab", "ranked")

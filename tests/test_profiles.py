@@ -24,3 +24,25 @@ def test_long_cases_are_dealt_in_blocks(spark, monkeypatch):
     plan = cut._jdf.queryExecution().executedPlan().toString()
     assert plan.count("REPARTITION_BY_NUM") == 1
     assert "hashpartitioning(block" not in plan  # nothing is shuffled once it was multiplied
+
+
+def test_metrics_of_whole_lists_equal_windows(spark):
+    """Lists that are held whole, long ones, repeated items and null signals; ranks come from a sort of numbers."""
+    lists = spark.range(1200).selectExpr(
+        "cast(case when id % 4 = 0 then 1 else id % 90 end as int) as case_id", "cast(if(id % 4 = 0, null, id % 90 % 3) as int) as grp", "if(id in (41, 131), 5000, id) as item",
+        "id % 90 <> 7 and id % 5 = 1 as relevant", "cast(id as int) as rank", "if(id = 77, null, (id * 37 % 101) / 100.0) as a", "(id * 53 % 97) / 96.0 as risk")
+    profiles = [{"profile": f"p{i}", "a": 0.1 * (i // 3), "risk": 0.05 * (i % 3)} for i in range(12)]
+    by_windows = experiments.per_list(experiments.rerank(lists, profiles, ["a", "risk"]), ["profile", "case_id", "grp"]).groupBy("profile", "grp").agg(
+        F.count("*"), F.avg(experiments.within(1)), F.avg(experiments.within(3)), F.avg("reciprocal"), F.avg("ap"), F.avg("ndcg"), F.avg("exam"))
+    want = {(f"p{r[0]}", r[1]): [round(float(x), 9) for x in r[2:]] for r in by_windows.collect()}
+    for rows in (100, 1 << 20):
+        got = experiments.profile_metrics(lists, profiles, ["a", "risk"], "grp", list_rows=rows)
+        assert {(r.profile, r.grp): [round(float(r[c]), 9) for c in ("cases", "top1", "top3", "mrr", "map", "ndcg", "exam")] for r in got.collect()} == want
+    assert experiments.profile_metrics(lists.limit(0), profiles, ["a", "risk"]).count() == 0
+
+
+def test_items_are_not_multiplied_by_profiles(spark, small):
+    """No sort or exchange of the plan sees a row for an item and profile."""
+    lists = spark.range(900).selectExpr("id % 30 as case_id", "id % 3 as grp", "id as item", "id % 5 = 0 as relevant", "cast(id as int) as rank", "(id * 37 % 101) / 100.0 as a")
+    plan = experiments.profile_metrics(lists, [{"profile": f"p{i}", "a": 0.1 * i} for i in range(12)], ["a"])._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Window" not in plan
