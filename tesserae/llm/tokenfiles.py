@@ -26,6 +26,7 @@ from __future__ import annotations
 import io
 import uuid
 from collections.abc import Iterator
+from struct import pack
 
 import numpy as np
 import pandas as pd
@@ -40,7 +41,7 @@ from .common import TASK_BYTES, dealt, filesystem, new_folder, write_whole
 
 END_ID = 2
 KEYS_A_PART = 1 << 16
-MEMORY = 400_000
+MEMORY = 1_000_000
 LONG = 256
 
 
@@ -73,10 +74,14 @@ class Encoder:
         self.added = [t["content"] for t in plan["added_tokens"]]
         self.model, self.memory = self.whole.model, {}
         self.table = str.maketrans({b: chr(c) for b, c in _byte_letters().items()})
+        self.blank, self.code = self.table[0x20], "H" if self.bytes == 2 else "I"
 
     def _piece(self, piece: str) -> bytes:
-        letters = piece.encode("utf-8").decode("latin-1").translate(self.table)
-        return np.array([t.id for t in self.model.tokenize(letters)], self.kind).tobytes()
+        # of the printable ASCII characters only the blank has another letter
+        plain = piece.isascii() and piece.isprintable()
+        letters = piece.replace(" ", self.blank) if plain else piece.encode("utf-8").decode("latin-1").translate(self.table)
+        ids = [t.id for t in self.model.tokenize(letters)]
+        return pack(f"<{len(ids)}{self.code}", *ids)
 
     def encode(self, text: str) -> bytes:
         if not self.by_piece or any(a in text for a in self.added) or _ODD.search(text):

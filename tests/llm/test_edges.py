@@ -3,13 +3,14 @@
 import sys
 from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 sys.path.insert(0, str(Path(__file__).parent))
 import brute  # noqa: E402
 
-from tesserae.llm import decontaminate, fuzzyhash, nearcopies, simhash, toxicity  # noqa: E402
+from tesserae.llm import decontaminate, fuzzyhash, nearcopies, simhash, tokenfiles, toxicity  # noqa: E402
 
 
 def test_edit_study_repeated_id_in_many_ranges(spark):
@@ -94,3 +95,25 @@ def test_slices_change_nothing(monkeypatch):
         monkeypatch.setattr(toxicity, "SLICE", size)
         monkeypatch.setattr(simhash, "CHUNK", size)
         assert [toxicity.features(t).tolist() for t in texts] == features and [simhash.fingerprint_of(t) for t in texts] == prints
+
+
+def test_token_pieces_are_asked_once():
+    """The model is asked once for each of 450,000 pieces that come twice; odd and plain pieces get the library's ids."""
+    import public_tokenizers
+
+    coder = tokenfiles.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    for text in ("a  b\n\tc \x7f d", " été ß 12 34", "x" * 300, "\x00 \x01", "tail "):
+        assert coder.encode(text) == np.array(coder.whole.encode(text, add_special_tokens=False).ids, coder.kind).tobytes()
+
+    class Counting:
+        asked = 0
+
+        def tokenize(self, letters):
+            self.asked += 1
+            return []
+
+    coder.model, coder.memory = Counting(), {}
+    for _ in range(2):
+        for i in range(450):
+            coder.encode(" ".join(str(1000 * i + j + 10**6) for j in range(1000)))
+    assert coder.model.asked == 450_000
