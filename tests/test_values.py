@@ -231,6 +231,14 @@ def test_graph_walks(spark):
     assert near == {"a": 1.0, "b": 0.5, "c": 0.5}
 
 
+def test_pagerank_over_blocks(spark):
+    """Blocks of one node: arcs of a node from several blocks, a node without a way out and one without any arc."""
+    pairs = [(1, 2), (2, 3), (1, 3), (3, 3), (4, 3), (3, 5)]
+    e, n = spark.createDataFrame(pairs, "src long, dst long"), spark.range(1, 7)
+    ranks = {r.id: r.rank for r in graph.pagerank(e, n, rounds=3, block=1).collect()}
+    assert ranks == pytest.approx(slow_pagerank(pairs, range(1, 7), 3))
+
+
 def slow_pagerank(edges, ids, rounds=30):
     out = {i: sorted({b for a, b in edges if a == i}) for i in ids}
     r = dict.fromkeys(ids, 1 / len(ids))
