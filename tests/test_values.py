@@ -414,3 +414,13 @@ def test_best_match_of_kinds(spark, monkeypatch):
         spark.createDataFrame(seeds, "seed int, tag string, value int"), spark.createDataFrame(catalogue, "candidate int, tag string, value int, bonus double")).collect()}
     assert got == {s: (s % 2, 5 + s % 2 / 10, "realized") for s in range(500)} | {500: (None, 0.0, "unmatched")}
     assert sizes["kinds"] == 3 and sizes["candidates"] == 3
+
+
+def test_target_priority_by_row_and_without_a_shuffle(spark):
+    rows = spark.createDataFrame(
+        [(1, [1, 2, None, 1], "A", ["x"], "deep", 3), (1, [9], "A", ["x"], "deep", 3), (2, None, "B", [], "n", 1), (3, [2], "B", ["x"] * 9, "n", None)],
+        "id long, rules array<bigint>, kind string, failures array<string>, name string, grp bigint")
+    signals = spark.createDataFrame([("deep", [1, 2, 3, None], ["A"], 3), ("wide", [2], ["C"], None)], "signal string, rules array<bigint>, kinds array<string>, grp bigint")
+    got = scoring.target_priority(rows, signals, "id")
+    assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.id, r.signal, r.priority) for r in got.collect()) == [(1, "deep", 67.5), (1, "wide", 11.5), (3, "deep", 9.0), (3, "wide", 14.0)]
