@@ -150,3 +150,33 @@ def test_shortest_paths(spark, seed):
                 front = step
         got = graph.bfs_paths(frame(spark, arcs), spark.createDataFrame(pairs, "source long, target long").distinct(), depth).collect()
         assert {(r.source, r.target): r.path for r in got} == want
+
+
+def test_caller_impact_in_small_tasks(spark, monkeypatch):
+    chance = random.Random(4)
+    n = 40
+    edges = [(a, b, chance.random() < 0.3) for a, b in ((chance.randrange(n), chance.randrange(n)) for _ in range(110)) if a != b]
+    edges += [(a, 7, False) for a in range(n) if a != 7]
+    files = {i: None if i == 3 else f"f{i % 4}" for i in range(n)}
+    tests = {i for i in range(n) if i % 9 == 0}
+    want = {}
+    for target in range(n):
+        front, seen = {target: False}, {target}
+        for hops in (1, 2, 3):
+            step = {}
+            for a, b, awaited in edges:
+                if b in front and a not in seen and a not in tests:
+                    step[a] = step.get(a, False) or front[b] or awaited
+            for a, waits in step.items():
+                other = None not in (files[a], files[target]) and files[a] != files[target]
+                want[target] = want.get(target, 0) + 0.5 ** (hops - 1) * (1 + 0.5 * other + 0.15 * waits)
+            front, seen = step, seen | set(step)
+    dealt = []
+    repartition = type(spark.range(1)).repartition
+    monkeypatch.setattr(type(spark.range(1)), "repartition", lambda self, tasks, *by: dealt.append(tasks) or repartition(self, tasks, *by))
+    e = spark.createDataFrame([(a, b, "calls", w) for a, b, w in edges], "src long, dst long, kind string, awaited boolean")
+    nodes = spark.createDataFrame([(i, files[i], i in tests) for i in range(n)], "id long, file string, is_test boolean")
+    got = {r.id: r.impact for r in graph.caller_impact(e, nodes, task_rows=100).collect()}
+    assert got == pytest.approx(want)
+    assert dealt[-1] > 5
+    assert max(r.n for r in graph.caller_lists(frame(spark, [(a, 1) for a in range(900)]).withColumn("mark", F.lit(0)), 30).select(F.size("ids").alias("n")).collect()) < 90
