@@ -122,9 +122,9 @@ e AS (SELECT s.*, o_orderpriority AS exception FROM s JOIN orders ON run = o_ord
 SELECT DISTINCT run, path[-1] AS member, 'exception:' || exception || '@' || path[-1] AS fragment FROM e
 UNION SELECT run, unnest(list_distinct(path)), 'exception-path:' || array_to_string(path, ' -> ') FROM e WHERE len(path) > 1""", "steps")
 def exception_paths(spark, sf):
-    s = VIEWS["steps"](spark, sf).select("run_id", "seq", (F.col("component") % 8).alias("value"))
-    stacks = s.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]).alias("stack"))
     o = table(spark, sf, "orders").where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("run_id"), F.col("o_orderpriority").alias("exception"))
+    s = VIEWS["steps"](spark, sf).select("run_id", "seq", (F.col("component") % 8).alias("value")).join(o.select("run_id"), "run_id", "left_semi")
+    stacks = s.groupBy("run_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]).alias("stack"))
     return C.exception_paths(stacks.join(o, "run_id").withColumnRenamed("run_id", "run"))
 
 
