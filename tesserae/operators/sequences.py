@@ -15,11 +15,13 @@ from pyspark.sql import functions as F
 from ..sources.storage import stored
 
 PART = "_part"
+RANGE_ROWS = 1 << 18
 
 
 def cut(rows: DataFrame, by: str, order: str, parts: int | None = None) -> DataFrame:
     """``rows`` with the range of (``by``, ``order``) that they lie in; ``order`` is not repeated within a sequence."""
-    parts = parts or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # more ranges where there are more rows, so that a range's task is no larger for it
+    parts = parts or max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // RANGE_ROWS))
     # stored, so that the ranges are the same whenever they are read
     return stored(rows.repartitionByRange(parts, by, order).withColumn(PART, F.spark_partition_id()), "ranges")
 
