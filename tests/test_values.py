@@ -424,3 +424,15 @@ def test_target_priority_by_row_and_without_a_shuffle(spark):
     got = scoring.target_priority(rows, signals, "id")
     assert "Exchange hashpartitioning" not in got._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.id, r.signal, r.priority) for r in got.collect()) == [(1, "deep", 67.5), (1, "wide", 11.5), (3, "deep", 9.0), (3, "wide", 14.0)]
+
+
+def test_target_priority_of_every_pair(spark, small):
+    rows = spark.createDataFrame(
+        [(1, [9], "A", ["x"], "deep", 3), (2, None, "B", [], "n", 1), (3, [2], "B", None, "n", None)],
+        "id long, rules array<bigint>, kind string, failures array<string>, name string, grp bigint")
+    signals = spark.createDataFrame([("deep", [1, 2], ["A"], 3), ("free", [], ["C"], None)], "signal string, rules array<bigint>, kinds array<string>, grp bigint")
+    got = scoring.target_priority(rows, signals, "id", every=True)
+    assert sorted((r.id, r.signal, r.priority) for r in got.collect()) == [
+        (1, "deep", 50.5), (1, "free", 0.5), (2, "deep", -10.0), (2, "free", 0.0), (3, "deep", 6.0), (3, "free", 0.0)]
+    orders = spark.read.parquet(f"{small}/orders.parquet").count()
+    assert registry.QUERIES["target_priority"](spark, small).count() == 3 * orders
