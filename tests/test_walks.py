@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import graph, walks
+from tesserae.operators import graph, taskwalks, walks
 from tesserae.sources.storage import made
 
 
@@ -180,3 +180,30 @@ def test_caller_impact_in_small_tasks(spark, monkeypatch):
     assert got == pytest.approx(want)
     assert dealt[-1] > 5
     assert max(r.n for r in graph.caller_lists(frame(spark, [(a, 1) for a in range(900)]).withColumn("mark", F.lit(0)), 30).select(F.size("ids").alias("n")).collect()) < 90
+
+
+@pytest.mark.parametrize("small", [False, True])
+def test_walks_in_tasks_equal_those_by_shuffles(spark, monkeypatch, small):
+    """Reach, slices and paths from 320 sources; no front is stored, also with one word at a time and many files."""
+    chance = random.Random(6)
+    arcs = [(chance.randrange(400), chance.randrange(400)) for _ in range(900)] + [(1000 + i, 1001 + i) for i in range(6)] + [(7, 7), (8, 1000)]
+    edges = spark.createDataFrame(
+        [(a, b, chance.choice(["calls", "data_flow", "control_flow", "other", None])) for a, b in arcs + arcs[:200] + arcs[:3] * 2], "src long, dst long, kind string")
+    sources = spark.createDataFrame([(i,) for i in range(318)] + [(9999,), (1000,)], "source long")
+    targets = sources.withColumnRenamed("source", "target")
+    pairs = spark.createDataFrame([(chance.randrange(320), chance.choice([chance.randrange(400), 1003])) for _ in range(900)], "source long, target long").distinct()
+
+    def found():
+        return [sorted(map(str, f.collect())) for f in (
+            walks.reach_counts(edges, sources, 5), graph.slice_summary(edges, targets, 2), walks.shortest_paths(edges, pairs, 6))]
+
+    if small:
+        for name, value in {"WORD_BYTES": 1, "ARCS": 100, "HELD": 0, "BACK": 1}.items():
+            monkeypatch.setattr(taskwalks, name, value)
+    names, real = [], walks.stored
+    monkeypatch.setattr(walks, "stored", lambda df, name: (names.append(name), real(df, name))[1])
+    got = found()
+    assert not {"front", "seen", "start", "ways"} & set(names)
+    monkeypatch.setattr(taskwalks, "NODES", -1)
+    assert got == found() and all(len(g) > 100 for g in got)
+    assert "front" in names
