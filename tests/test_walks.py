@@ -207,3 +207,23 @@ def test_walks_in_tasks_equal_those_by_shuffles(spark, monkeypatch, small):
     monkeypatch.setattr(taskwalks, "NODES", -1)
     assert got == found() and all(len(g) > 100 for g in got)
     assert "front" in names
+
+
+def test_hops_of_pairs_in_tasks(spark, monkeypatch):
+    """As by shuffles, up to odd and even numbers of steps, also where lists are made for a few pairs at a time; no row a node and end is stored."""
+    chance = random.Random(12)
+    arcs = [(chance.randrange(300), chance.randrange(300)) for _ in range(500)] + [(i, 299) for i in range(250)] + [(400, 401), (401, 402), (402, 403), (403, 404), (7, 7)]
+    edges = spark.createDataFrame([(a, b, "calls" if a % 9 else "data_flow", 1) for a, b in arcs], "src long, dst long, kind string, distance int")
+    pairs = [(chance.randrange(300), chance.randrange(300)) for _ in range(400)] + [(400, 403), (404, 400), (5, 5), (9999, 3)]
+    p = spark.createDataFrame(sorted(set(pairs)), "a long, b long")
+    names, real = [], graph.stored
+    monkeypatch.setattr(graph, "stored", lambda df, name: (names.append(name), real(df, name))[1])
+    for hops in (3, 4):
+        monkeypatch.setattr(taskwalks, "NODES", 1 << 24)
+        monkeypatch.setattr(taskwalks, "MOST_BACK", 1 << 23 if hops == 3 else 50)
+        got = sorted(map(str, graph.pair_links(p, edges, hops).collect()))
+        assert not {"forward", "back"} & set(names)
+        monkeypatch.setattr(taskwalks, "NODES", -1)
+        assert got == sorted(map(str, graph.pair_links(p, edges, hops).collect()))
+        names.clear()
+    assert sum("hops=None" in g for g in got) not in (0, len(got))
